@@ -9,20 +9,50 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import table
 from weftline.llm.decontaminate import contaminated_windows
+from weftline.llm.hidden_markov import score_documents
+from weftline.llm.html_text import extract
 from weftline.llm.jaccard_join import jaccard_components
 from weftline.llm.line_quality import line_quality
 from weftline.llm.packing import pack
 from weftline.llm.quality_fm import quality_scores
+from weftline.llm.token_counts import token_counts
+from weftline.llm.transcripts import recovered_turns
+from weftline.llm.warc import ROUND_TRIP_SQL, round_trip
+
+#: Name of the vocabulary file of op3; queries look its path up where they run.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents")).withColumn("n_removed_lines", F.size("removed").cast("long")).drop("removed")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovered_turns(table(spark, sf_dir, "conversations"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,9 +66,9 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_frequency, op6_length_buckets, op8_decontaminate, op9_jaccard_groups, op10_factorisation_machine)
+    found = (op1_line_frequency, op2_warc_revisits, op3_prefix_tokens, op4_hidden_markov, op5_line_blocks, op6_length_buckets, op7_transcripts, op8_decontaminate, op9_jaccard_groups, op10_factorisation_machine)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_revisits": ROUND_TRIP_SQL}
