@@ -6,8 +6,9 @@ overlaps enough of its tokens, and every opened pair is verified exactly.
 
 Only the first tokens of a set in a global order (rare before frequent) enter the matrix: two sets that link share
 at least ``ell`` of their first n - ceil(threshold * n) + ell tokens, so the overlap of a query with a group's union
-is a bound that loses no link. Work follows the number of links found: stars around one pivot a token come first,
-and groups already joined by links are never compared again.
+is a bound that loses no link. Groups are parts of components that a few rounds of stars around pivots have found
+first; a query never opens groups of its own component, and an opened group is answered as a whole: all its
+overlaps come from one pass over the query's tokens, and its first link suffices.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from weftline.llm.words import U64, Words, mix, pieces, place, signed
 
 #: Tokens in more documents than a limit go last in the order. The limit is the least power of two that leaves at most MAX_FREQUENT of them.
 MAX_FREQUENT, LEAST_LIMIT = 400_000, 64
-#: Classes in a group; rows of a verification block.
-GROUP, BLOCK = 64, 64
+#: Classes in a group; queries of a group that are answered together.
+GROUP, BLOCK = 64, 256
+#: Rounds of stars before the matrix: in each, every token's classes are held against one of them.
+STARS = 3
 #: Rows of an id table up to which it is broadcast (three longs a row).
 MAX_BROADCAST = 500_000
 _FULL_ELL, _FULL_FROM = 3, 24
@@ -99,38 +102,60 @@ def _postings(k: int, percent: int, frequent):
     return run
 
 
-def _verify(k: int, percent: int):
+def _open(k: int, percent: int):
+    """Rows sorted by (comp, part, block, role): a group's members, then its queries; a link for each query that links to a member."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, block, hub_set = None, None, None
+        key, ids, sets, ready = None, [], [], None
         for batch in batches:
-            hubs, blocks, roles, ids = (batch.column(c).to_pylist() for c in ("hub", "block", "role", "doc_id"))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "part", "block")), strict=True))
+            roles, docs = batch.column("role").to_pylist(), batch.column("doc_id").to_pylist()
             us, vs = [], []
             for at, texts in pieces(batch.column("text")):
                 tokens, bounds = Words(texts).sets(k)
                 for i in range(len(texts)):
                     j, own = at + i, tokens[bounds[i] : bounds[i + 1]]
+                    if keys[j] != key:
+                        key, ids, sets, ready = keys[j], [], [], None
                     if roles[j] == 0:
-                        hub, block, hub_set = hubs[j], blocks[j], own.copy()
-                    elif hub == hubs[j] and block == blocks[j]:
-                        both = len(np.intersect1d(hub_set, own, assume_unique=True))
-                        if 100 * both >= percent * (len(hub_set) + len(own) - both):
-                            us.append(hub)
-                            vs.append(ids[j])
+                        ids.append(docs[j])
+                        sets.append(own.copy())
+                        continue
+                    if not ids:
+                        continue
+                    if ready is None:
+                        size = np.array([len(x) for x in sets])
+                        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                        order = np.argsort(every, kind="stable")
+                        ready = every[order], owner[order], size
+                    every, owner, size = ready
+                    low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                    n = high - low
+                    hits = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both = np.bincount(owner[hits], minlength=len(sets))
+                    linked = np.flatnonzero(100 * both >= percent * (size + len(own) - both))
+                    if len(linked):
+                        us.append(docs[j])
+                        vs.append(ids[int(linked[0])])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (u, v: doc ids) whose texts link, checked on whole sets; each block has one hub and up to about BLOCK partners."""
-    degree = pairs.groupBy("u").agg(F.count("*").alias("d"))
-    rows = pairs.join(degree, "u").select(F.col("v").alias("doc_id"), F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.ceil(F.col("d") / BLOCK)).alias("block"))
-    rows = rows.withColumn("role", F.lit(1))
-    heads = rows.select(F.col("hub").alias("doc_id"), "hub", "block", F.lit(0).alias("role")).distinct()
-    needed = stage(rows.unionByName(heads), "pairs")
+def _opened_links(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): for each query (comp, part, u) of a group one member v that it links to, if any, found on whole sets.
+
+    The members of a group (comp, part, rep) are one component already, so one link joins the query to all of them.
+    Many queries of one group are dealt over blocks of BLOCK.
+    """
+    load = queries.groupBy("comp", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = queries.join(load, ["comp", "part"]).select(F.col("u").alias("doc_id"), "comp", "part", F.pmod(F.xxhash64("u"), F.col("blocks")).alias("block"), F.lit(1).alias("role"))
+    own = members.join(load, ["comp", "part"]).select(F.col("rep").alias("doc_id"), "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
+    needed = stage(asked.unionByName(own), "opened")
     texts = docs.select("doc_id", "text").join(small(needed, MAX_BROADCAST), "doc_id")
-    blocks = texts.repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
-    links = stage(blocks.select("hub", "block", "role", "doc_id", "text").mapInArrow(_verify(k, percent), "u long, v long"), "links")
+    order = ("comp", "part", "block")
+    rows = texts.repartition(*order).sortWithinPartitions(*order, "role")
+    links = stage(rows.select(*order, "role", "doc_id", "text").mapInArrow(_open(k, percent), "u long, v long"), "links")
     unstage(needed)
     return links
 
@@ -173,39 +198,43 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     by_token = Window.partitionBy("token")
     key = F.struct("n", "h")
     posts = posts.withColumn("low", F.min(key).over(by_token)).withColumn("high", F.max(key).over(by_token)).where("low <> high")
-    posts = posts.select("token", "h", "n", F.col("low.h").alias("ph"), F.col("low.n").alias("pn")).distinct()
-    posts = posts.join(classes, ["h", "n"])
-    posts = stage(posts.select("token", "rep", "n", "ph", "pn"), "postings")
-
-    need = F.when(F.least("n", "pn") >= _FULL_FROM, _FULL_ELL).otherwise(1)
-    star = posts.where((F.col("pn") * 100 >= F.col("n") * percent)).groupBy("rep", "n", "ph", "pn").agg(F.count("*").alias("both")).where(F.col("both") >= need)
-    star = star.join(classes.select(F.col("h").alias("ph"), F.col("n").alias("pn"), F.col("rep").alias("pivot")), ["ph", "pn"])
-    star = stage(star.where("pivot <> rep").select(F.col("pivot").alias("u"), F.col("rep").alias("v")), "star")
-    links = verified(docs, star, k, percent)
-
-    joined = connected_components(links)
-    nodes = posts.select("rep", "n").distinct().join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    nodes = nodes.withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    posts = posts.select("token", "h", "n").distinct().join(classes, ["h", "n"])
+    posts = stage(posts.select("token", "rep", "n"), "postings")
+
+    of_size = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    need = lambda a, b: F.when(F.least(a, b) >= _FULL_FROM, _FULL_ELL).otherwise(1)
+    nodes = stage(posts.groupBy("rep").agg(F.first("n").alias("n"), F.col("rep").alias("comp")), "nodes")
+    links = nodes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
+    for turn in range(STARS):
+        member = posts.join(nodes.select("rep", "comp"), "rep")
+        member = member.withColumn("p", F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp", "n")).over(by_token))
+        star = member.select("rep", "n", "comp", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
+        star = star.where((F.col("comp") != F.col("pc")) & of_size("n", "pn")).groupBy("rep", "n", "pivot", "pn").agg(F.count("*").alias("both"))
+        star = stage(star.where(F.col("both") >= need("n", "pn")).select(F.col("rep").alias("u"), F.col("pivot").alias("comp"), F.lit(0).cast("long").alias("part")), "star")
+        fresh = _opened_links(docs, star.select("comp", "part", F.col("comp").alias("rep")).distinct(), star, k, percent)
+        links = stage(links.unionByName(fresh), "all-links")
+        nodes = _joined(nodes, links)
+
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("members"))
     nodes = nodes.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / GROUP)))
-    nodes = stage(nodes.select("rep", "n", "comp", "part"), "nodes")
-
+    nodes = stage(nodes.select("rep", "n", "comp", "part"), "groups")
     member = posts.select("token", "rep").join(nodes, "rep")
     matrix = member.groupBy("token", "comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    query = member.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("comp").alias("qc"))
+    query = member.select("token", F.col("rep").alias("u"), F.col("n").alias("qn"), F.col("comp").alias("qc"))
     bound = (F.col("qc") > F.col("comp")) & (F.col("high") * 100 >= F.col("qn") * percent) & (F.col("low") * percent <= F.col("qn") * 100)
-    need = F.when(F.least("qn", "low") >= _FULL_FROM, _FULL_ELL).otherwise(1)
-    opened = query.join(matrix, "token").where(bound).groupBy("q", "qn", "comp", "part").agg(F.count("*").alias("both"), F.min("low").alias("low")).where(F.col("both") >= need)
-    inside = nodes.select(F.col("rep").alias("v"), F.col("n").alias("vn"), "comp", "part")
-    pairs = opened.select(F.col("q").alias("u"), "qn", "comp", "part").join(inside, ["comp", "part"])
-    pairs = pairs.where((F.col("vn") * 100 >= F.col("qn") * percent) & (F.col("vn") * percent <= F.col("qn") * 100)).select("u", "v")
-    tried = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    pairs = stage(pairs.join(tried, ["u", "v"], "left_anti"), "opened")
-    more = verified(docs, pairs, k, percent)
-
-    final = connected_components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    of_class = stage(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h", "n", F.coalesce("component", "rep").alias("component_id")), "of-class")
-    unstage(star, pairs, nodes, posts, links, more)
+    opened = query.join(matrix, "token").where(bound).groupBy("u", "qn", "comp", "part").agg(F.count("*").alias("both"), F.min("low").alias("low"))
+    opened = stage(opened.where(F.col("both") >= need("qn", "low")).select("u", "comp", "part"), "opened-groups")
+    more = _opened_links(docs, nodes.select("comp", "part", "rep"), opened, k, percent)
+    final = _joined(nodes, links.unionByName(more))
+
+    of_class = stage(classes.join(final.select("rep", "comp"), "rep", "left").select("h", "n", F.coalesce("comp", "rep").alias("component_id")), "of-class")
+    unstage(posts, opened)
     full = signs.where("n > 0").join(of_class, ["h", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = signs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)
+
+
+def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the component that links give each, staged."""
+    found = connected_components(links).withColumnRenamed("node", "rep")
+    return stage(nodes.select("rep", "n").join(found, "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("comp")), "nodes")
