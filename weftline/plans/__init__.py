@@ -1 +1,4 @@
+"""All registered queries of the library."""
 
+from weftline.plans import events, jobs, media, streams, texts  # noqa: F401
+from weftline.plans.registry import ORACLES, QUERIES  # noqa: F401
