@@ -87,7 +87,7 @@ class Machine:
 def fit(bounds: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.02, decay: float = 1e-4) -> Machine:
     """Adam on the logistic loss over mini-batches; the order and the start are fixed by a seed."""
     draw = np.random.default_rng(7)
-    w0, w, v = 0.0, np.zeros(SIZE), draw.normal(0, 0.02, (SIZE, RANK))
+    w0, w, v = 0.0, np.zeros(SIZE), draw.normal(0, 0.02 if len(label) else 0, (SIZE, RANK))
     m0 = s0 = 0.0
     mw, sw, mv, sv = np.zeros(SIZE), np.zeros(SIZE), np.zeros((SIZE, RANK)), np.zeros((SIZE, RANK))
     rows, step = len(label), 0
