@@ -66,7 +66,7 @@ def test_text_helpers(spark):
 def test_srt_round_trip(spark):
     srt = "1\n00:00:01,000 --> 00:00:02,000\nhello\nthere\n\nbad\n\n7\n00:00:03,000 --> 00:00:04,500\nbye\n"
     row = spark.createDataFrame([(srt,)], "x string").select(C.parse_srt(F.col("x")).alias("c")).select("c", C.emit_srt(F.col("c")), C.emit_vtt(F.col("c"))).first()
-    assert [(c.index, c.start_ms, c.end_ms, c.text) for c in row[0]] == [(1, 1000, 2000, "hello\nthere"), (7, 3000, 4500, "bye")]
+    assert [(c["index"], c.start_ms, c.end_ms, c.text) for c in row[0]] == [(1, 1000, 2000, "hello\nthere"), (7, 3000, 4500, "bye")]
     assert row[1].startswith("1\n00:00:01,000 --> 00:00:02,000\nhello\nthere\n\n2\n") and row[2].startswith("WEBVTT\n\n00:00:01.000")
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import trigrams
+from weftline.functions.text import strip, trigrams
 from weftline.functions.time import SRT_TIME, srt_ms, srt_time
 
 CAPTION = "index int, start_ms bigint, end_ms bigint, text string"
@@ -15,8 +15,8 @@ CAPTIONS = f"array<struct<{CAPTION.replace(' ', ':').replace(',:', ',')}>>"
 
 def parse_srt(srt: Column) -> Column:
     """Captions of an SRT text as an array; blocks of fewer than three lines, without number or timecode are left out."""
-    blocks = F.split(F.trim(F.regexp_replace(srt, "\r\n?", "\n")), r"\n\s*\n")
-    lines = F.transform(blocks, lambda b: F.split(F.trim(b), "\n"))
+    blocks = F.split(strip(F.regexp_replace(srt, "\r\n?", "\n")), r"\n\s*\n")
+    lines = F.transform(blocks, lambda b: F.split(strip(b), "\n"))
     pattern = rf"^\s*({SRT_TIME})\s*-->\s*({SRT_TIME})\s*$"
     good = F.filter(lines, lambda x: (F.size(x) >= 3) & x[0].rlike(r"^\s*\d+\s*$") & x[1].rlike(pattern))
     return F.transform(good, lambda x: F.struct(
