@@ -63,6 +63,16 @@ def unstage(*frames: DataFrame) -> None:
             _MINE["staged"].remove(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session kept to a few MB: whole texts stand in them, in the JVM and in Python."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(conf.get(key, "0") or 0)
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return df
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a staged table when it has at most max_rows rows; otherwise leave the join to shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

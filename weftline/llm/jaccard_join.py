@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small, stage, unstage
+from weftline.llm.common import bounded_batches, small, stage, unstage
 from weftline.llm.components import connected_components
 from weftline.llm.words import U64, Words, mix, pieces, place, signed
 
 #: Tokens in more documents than a limit go last in the order. The limit is the least power of two that leaves at most MAX_FREQUENT of them.
 MAX_FREQUENT, LEAST_LIMIT = 400_000, 64
 #: Classes in a group; queries of a group that are answered together.
-GROUP, BLOCK = 64, 256
+GROUP, BLOCK = 64, 64
 #: Rounds of stars before the matrix: in each, every token's classes are held against one of them.
 STARS = 3
 #: Rows of an id table up to which it is broadcast (three longs a row).
@@ -60,16 +60,22 @@ def _signatures(k: int):
 
 def _frequencies(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(found), return_counts=True)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(count, pa.int64())], ["token", "df"])
+
         for batch in batches:
-            found = []
             for _, texts in pieces(batch.column("text")):
                 tokens, bounds = Words(texts).sets(k)
-                n = np.diff(bounds)
                 row, rank = place(bounds)
-                found.append(tokens[rank < (3 * _prefix(n, percent) // 2 + 32)[row]])
-            if found:
-                token, count = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(count, pa.int64())], ["token", "df"])
+                found.append(tokens[rank < (3 * _prefix(np.diff(bounds), percent) // 2 + 32)[row]])
+                if sum(map(len, found)) > 1_000_000:
+                    yield counted()
+        if found:
+            yield counted()
 
     return run
 
@@ -189,7 +195,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     Sets are told apart by a 64-bit hash and their size; all overlaps are counted on whole sets.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     signs = stage(docs.mapInArrow(_signatures(k), "doc_id long, n long, h long"), "signatures")
     classes = stage(signs.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("rep")), "classes")
 

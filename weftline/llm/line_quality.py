@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small, stage
+from weftline.llm.common import bounded_batches, small, stage
 from weftline.llm.words import _BYTE, U64, Words, _power, mix, pieces, signed
 
 #: A line is above its host's limit if more documents have it than both of these.
@@ -107,7 +107,7 @@ def line_quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS
     A null text counts as empty (all zero, base_failed); a null host is a host of its own; repeated rows each get
     their verdict; other columns are left out; an empty table gives an empty one.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
     seen = stage(rows.mapInArrow(_features, _SCHEMA), "line-features")
     lines = seen.select("rid", "host", "sig", F.explode("lines").alias("l")).select("rid", "host", "sig", "l.line", "l.at", "l.words")
 

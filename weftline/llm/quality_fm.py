@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod
+from weftline.llm.common import bounded_batches, crc_mod
 from weftline.llm.words import U64, Words, pieces
 
 #: Labelled rows that the fit uses at most: those of the least hash.
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Mach
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(crc_mod(F.col("doc_id"), 5) != 0)
     named = named.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")  # max_rows pairs of numbers
+    sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(named), "doc_id")  # max_rows pairs of numbers
     rows = sample.mapInArrow(_rows, "doc_id long, label int, index array<int>, value array<float>").toPandas().sort_values("doc_id")
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows["index"]])]).astype(np.int64)
     flat = lambda c, t: np.concatenate([np.asarray(x, t) for x in rows[c]]) if len(rows) else np.zeros(0, t)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import bounded_batches
+
 LIMIT = 512
 #: Pieces whose counts a worker keeps at most; then it starts anew.
 MEMO = 400_000
@@ -132,7 +134,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 chars.append(c)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, tokens, chars))], ["doc_id", "n_bytes", "n_tokens", "fit_chars"])
 
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fit_chars long")
+    counted = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, fit_chars long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
@@ -146,4 +148,4 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
                 row = pa.array([counter.prefixes(text.as_py() or "")], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), row], ["doc_id", "prefix_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, prefix_tokens array<int>")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, prefix_tokens array<int>")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod, small, stage
+from weftline.llm.common import bounded_batches, crc_mod, small, stage
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role r: 2r for the first line of a turn, 2r + 1 for later ones
@@ -121,7 +121,7 @@ def parse(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     out; an empty table gives an empty one; other columns are left out.
     """
     start, move, emit = model
-    rows = lines.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", (F.col("turn") / CHUNK).cast("long").alias("chunk"), "turn", "line", F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded_batches(lines).where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", (F.col("turn") / CHUNK).cast("long").alias("chunk"), "turn", "line", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("symbol", symbol(F.col("text")))
     slim = rows.select("conv_id", "chunk", "turn", "line", F.xxhash64("text").alias("tie"), "symbol")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text worked on at once; a longer text makes a piece of its own.
-PIECE = 2_000_000
+PIECE = 600_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
