@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
 _MINE: dict[str, list[str]] = {}
 
 
@@ -66,10 +69,8 @@ def unstage(*frames: DataFrame) -> None:
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, with Arrow batches of its session kept to a few MB: whole texts stand in them, in the JVM and in Python."""
     conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = int(conf.get(key, "0") or 0)
-        if now <= 0 or now > most:
-            conf.set(key, str(most))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
