@@ -6,9 +6,10 @@ overlaps enough of its tokens, and every opened pair is verified exactly.
 
 Only the first tokens of a set in a global order (rare before frequent) enter the matrix: two sets that link share
 at least ``ell`` of their first n - ceil(threshold * n) + ell tokens, so the overlap of a query with a group's union
-is a bound that loses no link. Groups are parts of components that a few rounds of stars around pivots have found
-first; a query never opens groups of its own component, and an opened group is answered as a whole: all its
-overlaps come from one pass over the query's tokens, and its first link suffices.
+is a bound that loses no link. A few rounds of stars around pivots first find most components. Groups are parts of large
+components, and elsewhere of the documents whose nearest pivot is the same, linked or not; a query opens only
+groups with members outside its own component. An opened group is answered as a whole: all its overlaps come from
+one pass over the query's tokens, and only links that join components are returned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from weftline.llm.words import U64, Words, mix, pieces, place, signed
 MAX_FREQUENT, LEAST_LIMIT = 400_000, 64
 #: Classes in a group; queries of a group that are answered together.
 GROUP, BLOCK = 64, 64
+#: Classes from which a component has groups of its own.
+OWN_GROUPS = 16
 #: Rounds of stars before the matrix: in each, every token's classes are held against one of them.
 STARS = 3
 #: Rows of an id table up to which it is broadcast (three longs a row).
@@ -108,23 +111,42 @@ def _postings(k: int, percent: int, frequent):
     return run
 
 
+class _Joined:
+    """Components that links have joined so far, inside one block."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _open(k: int, percent: int):
-    """Rows sorted by (comp, part, block, role): a group's members, then its queries; a link for each query that links to a member."""
+    """Rows sorted by (cluster, part, block, role): a group's members, then its queries; those of their links that join components not joined before in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, ready = None, [], [], None
+        key, ids, comps, sets, ready, joined = None, [], [], [], None, _Joined()
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "part", "block")), strict=True))
-            roles, docs = batch.column("role").to_pylist(), batch.column("doc_id").to_pylist()
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "part", "block")), strict=True))
+            roles, docs, of = (batch.column(c).to_pylist() for c in ("role", "doc_id", "comp"))
             us, vs = [], []
             for at, texts in pieces(batch.column("text")):
                 tokens, bounds = Words(texts).sets(k)
                 for i in range(len(texts)):
                     j, own = at + i, tokens[bounds[i] : bounds[i + 1]]
                     if keys[j] != key:
-                        key, ids, sets, ready = keys[j], [], [], None
+                        key, ids, comps, sets, ready, joined = keys[j], [], [], [], None, _Joined()
                     if roles[j] == 0:
                         ids.append(docs[j])
+                        comps.append(of[j])
                         sets.append(own.copy())
                         continue
                     if not ids:
@@ -139,29 +161,29 @@ def _open(k: int, percent: int):
                     n = high - low
                     hits = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
                     both = np.bincount(owner[hits], minlength=len(sets))
-                    linked = np.flatnonzero(100 * both >= percent * (size + len(own) - both))
-                    if len(linked):
-                        us.append(docs[j])
-                        vs.append(ids[int(linked[0])])
+                    for m in np.flatnonzero(100 * both >= percent * (size + len(own) - both)).tolist():
+                        if joined.join(of[j], comps[m]):
+                            us.append(docs[j])
+                            vs.append(ids[m])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
 
 def _opened_links(docs: DataFrame, members: DataFrame, queries: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v): for each query (comp, part, u) of a group one member v that it links to, if any, found on whole sets.
+    """(u, v): links, found on whole sets, of queries (cluster, part, u, comp) to members (cluster, part, rep, comp) of the groups that they open.
 
-    The members of a group (comp, part, rep) are one component already, so one link joins the query to all of them.
-    Many queries of one group are dealt over blocks of BLOCK.
+    comp is the component that each is known to be in; of links between the same components one is enough. Many
+    queries of one group are dealt over blocks of BLOCK.
     """
-    load = queries.groupBy("comp", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    asked = queries.join(load, ["comp", "part"]).select(F.col("u").alias("doc_id"), "comp", "part", F.pmod(F.xxhash64("u"), F.col("blocks")).alias("block"), F.lit(1).alias("role"))
-    own = members.join(load, ["comp", "part"]).select(F.col("rep").alias("doc_id"), "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
+    load = queries.groupBy("cluster", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = queries.join(load, ["cluster", "part"]).select(F.col("u").alias("doc_id"), "comp", "cluster", "part", F.pmod(F.xxhash64("u"), F.col("blocks")).alias("block"), F.lit(1).alias("role"))
+    own = members.join(load, ["cluster", "part"]).select(F.col("rep").alias("doc_id"), "comp", "cluster", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
     needed = stage(asked.unionByName(own), "opened")
     texts = docs.select("doc_id", "text").join(small(needed, MAX_BROADCAST), "doc_id")
-    order = ("comp", "part", "block")
+    order = ("cluster", "part", "block")
     rows = texts.repartition(*order).sortWithinPartitions(*order, "role")
-    links = stage(rows.select(*order, "role", "doc_id", "text").mapInArrow(_open(k, percent), "u long, v long"), "links")
+    links = stage(rows.select(*order, "role", "doc_id", "comp", "text").mapInArrow(_open(k, percent), "u long, v long"), "links")
     unstage(needed)
     return links
 
@@ -211,30 +233,40 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     need = lambda a, b: F.when(F.least(a, b) >= _FULL_FROM, _FULL_ELL).otherwise(1)
     nodes = stage(posts.groupBy("rep").agg(F.first("n").alias("n"), F.col("rep").alias("comp")), "nodes")
     links = nodes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
+    like = None
     for turn in range(STARS):
         member = posts.join(nodes.select("rep", "comp"), "rep")
         member = member.withColumn("p", F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp", "n")).over(by_token))
         star = member.select("rep", "n", "comp", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-        star = star.where((F.col("comp") != F.col("pc")) & of_size("n", "pn")).groupBy("rep", "n", "pivot", "pn").agg(F.count("*").alias("both"))
-        star = stage(star.where(F.col("both") >= need("n", "pn")).select(F.col("rep").alias("u"), F.col("pivot").alias("comp"), F.lit(0).cast("long").alias("part")), "star")
-        fresh = _opened_links(docs, star.select("comp", "part", F.col("comp").alias("rep")).distinct(), star, k, percent)
-        links = stage(links.unionByName(fresh), "all-links")
+        star = star.where((F.col("comp") != F.col("pc")) & of_size("n", "pn")).groupBy("rep", "n", "comp", "pivot", "pn", "pc").agg(F.count("*").alias("both"))
+        star = stage(star.where(F.col("both") >= need("n", "pn")), "star")
+        if like is None:
+            nearest = F.max_by("pivot", F.struct("both", -F.col("pivot")))
+            like = stage(star.groupBy("rep").agg(nearest.alias("like")), "like")
+        asked = star.select(F.col("pivot").alias("cluster"), F.lit(0).cast("long").alias("part"), F.col("rep").alias("u"), "comp")
+        pivots = star.select(F.col("pivot").alias("cluster"), F.lit(0).cast("long").alias("part"), F.col("pivot").alias("rep"), F.col("pc").alias("comp")).distinct()
+        links = stage(links.unionByName(_opened_links(docs, pivots, asked, k, percent)), "all-links")
         nodes = _joined(nodes, links)
 
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("members"))
-    nodes = nodes.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / GROUP)))
-    nodes = stage(nodes.select("rep", "n", "comp", "part"), "groups")
+    alone = F.col("members") >= OWN_GROUPS
+    nodes = nodes.join(sizes, "comp").join(like, "rep", "left")
+    nodes = stage(nodes.select("rep", "n", "comp", F.xxhash64(alone, F.when(alone, F.col("comp")).otherwise(F.coalesce("like", "rep"))).alias("cluster")), "clusters")
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("members"))
+    nodes = nodes.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / GROUP)))
+    nodes = stage(nodes.select("rep", "n", "comp", "cluster", "part"), "groups")
     member = posts.select("token", "rep").join(nodes, "rep")
-    matrix = member.groupBy("token", "comp", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    query = member.select("token", F.col("rep").alias("u"), F.col("n").alias("qn"), F.col("comp").alias("qc"))
-    bound = (F.col("qc") > F.col("comp")) & (F.col("high") * 100 >= F.col("qn") * percent) & (F.col("low") * percent <= F.col("qn") * 100)
-    opened = query.join(matrix, "token").where(bound).groupBy("u", "qn", "comp", "part").agg(F.count("*").alias("both"), F.min("low").alias("low"))
-    opened = stage(opened.where(F.col("both") >= need("qn", "low")).select("u", "comp", "part"), "opened-groups")
-    more = _opened_links(docs, nodes.select("comp", "part", "rep"), opened, k, percent)
+    matrix = member.groupBy("token", "cluster", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    query = member.select("token", F.col("rep").alias("u"), F.col("n").alias("qn"), F.col("comp").alias("qc"), F.struct("cluster", "part").alias("home"))
+    bound = (F.col("home") >= F.struct("cluster", "part")) & ((F.col("c0") != F.col("qc")) | (F.col("c1") != F.col("qc")))
+    bound = bound & (F.col("high") * 100 >= F.col("qn") * percent) & (F.col("low") * percent <= F.col("qn") * 100)
+    opened = query.join(matrix, "token").where(bound).groupBy("u", "qn", "qc", "cluster", "part").agg(F.count("*").alias("both"), F.min("low").alias("low"))
+    opened = stage(opened.where(F.col("both") >= need("qn", "low")).select("u", F.col("qc").alias("comp"), "cluster", "part"), "opened-groups")
+    more = _opened_links(docs, nodes.select("cluster", "part", "rep", "comp"), opened, k, percent)
     final = _joined(nodes, links.unionByName(more))
 
     of_class = stage(classes.join(final.select("rep", "comp"), "rep", "left").select("h", "n", F.coalesce("comp", "rep").alias("component_id")), "of-class")
-    unstage(posts, opened)
+    unstage(posts, opened, like)
     full = signs.where("n > 0").join(of_class, ["h", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = signs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)
