@@ -248,12 +248,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         links = stage(links.unionByName(_opened_links(docs, pivots, asked, k, percent)), "all-links")
         nodes = _joined(nodes, links)
 
-    sizes = nodes.groupBy("comp").agg(F.count("*").alias("members"))
-    alone = F.col("members") >= OWN_GROUPS
-    nodes = nodes.join(sizes, "comp").join(like, "rep", "left")
+    nodes = _with_count(nodes, "comp", OWN_GROUPS).join(like, "rep", "left")
+    alone = F.col("members").isNotNull()
     nodes = stage(nodes.select("rep", "n", "comp", F.xxhash64(alone, F.when(alone, F.col("comp")).otherwise(F.coalesce("like", "rep"))).alias("cluster")), "clusters")
-    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("members"))
-    nodes = nodes.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / GROUP)))
+    parts = F.ceil(F.coalesce("members", F.lit(1)) / GROUP)
+    nodes = _with_count(nodes, "cluster", GROUP + 1).withColumn("part", F.pmod(F.xxhash64("rep"), parts))
     nodes = stage(nodes.select("rep", "n", "comp", "cluster", "part"), "groups")
     member = posts.select("token", "rep").join(nodes, "rep")
     matrix = member.groupBy("token", "cluster", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
@@ -276,3 +275,9 @@ def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes with the component that links give each, staged."""
     found = connected_components(links).withColumnRenamed("node", "rep")
     return stage(nodes.select("rep", "n").join(found, "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("comp")), "nodes")
+
+
+def _with_count(nodes: DataFrame, key: str, least: int) -> DataFrame:
+    """nodes with members, the rows of their key where there are at least so many, else null."""
+    counts = nodes.groupBy(key).agg(F.count("*").alias("members")).where(F.col("members") >= least)
+    return nodes.join(small(stage(counts, "large"), MAX_BROADCAST), key, "left")
