@@ -40,8 +40,8 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of about PIECE bytes each."""
+def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of about size bytes each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -50,7 +50,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
         yield at, column.slice(at, to - at)
         at = to
 
