@@ -81,6 +81,17 @@ def test_line_quality_against_brute_force(spark, texts):
     assert all(got[100 + i].kept for i in range(60)), "copies of one text do not make its lines frequent"
 
 
+def test_documents_that_share_most_of_their_text_count_apart(spark):
+    draw = random.Random(8)
+    own = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = [own(30) for _ in range(6)]
+    rows = [(i, "\n".join([own(20), *shared])) for i in range(50)]
+    rows += [(100 + i, rows[0][1].upper().replace(" ", "  ")) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    for r in line_quality(df).collect():
+        assert (r.removed, r.words_left, r.kept) == ([1, 2, 3, 4, 5, 6], 20, False), r.doc_id
+
+
 def test_clean_documents(spark, texts):
     df = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").alias("n_chars"), F.lit(1).alias("removed"), F.lit(2).alias("host"))
     out = clean_documents(df.drop("removed"))

@@ -3,8 +3,8 @@
 Normalised lines (A-Z lower-cased, runs of white space as one space) are hashed; for each host, distinct documents
 with a line are counted; lines above the host's limit are removed, and documents that keep too little are rejected.
 
-Copies and near copies are one document here: documents are told apart by a signature, the least hash of their
-3-word shingles. Otherwise a text's own copies would make its lines look like boilerplate.
+Copies are one document here: documents are told apart by a hash of their whole normalised text. Otherwise a text's
+own copies would make its lines look like boilerplate. Texts that differ in any word are documents of their own.
 """
 
 from __future__ import annotations
@@ -87,11 +87,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = raw[bounds[r] : bounds[r + 1]]
                 again[r] = len(x) - len(np.unique(x))
 
-            h3, b3 = fold.shingles(3)
-            sig = np.zeros(rows, U64)
-            full = np.flatnonzero(np.diff(b3) > 0)
-            if len(full):
-                sig[full] = np.minimum.reduceat(h3, b3[full])
+            sig = _runs(fold.hash, fold.bounds[:-1], fold.bounds[1:])
             items = pa.StructArray.from_arrays([pa.array(line), pa.array(nth, pa.int32()), pa.array(last - first, pa.int32())], ["line", "at", "words"])
             cols = [batch.column(c).slice(at, rows) for c in ("rid", "doc_id", "host")]
             nums = [np.diff(own.bounds), chars, symbols, again, _repeats(own, 8), signed(sig)]
