@@ -74,6 +74,28 @@ def test_main_text():
     assert main_text('<article><p class="a>b">t</p><a title=">">u</a></article>') == "t u"
 
 
+LONG = "Some longer prose that goes on, with commas and clauses, for quite a while, and then on."
+AD = "<div class=ad>Buy now, buy more, and buy it all again before the end of this long day</div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>Teaser.</p></article><div><p>{LONG}</p><p>Body.</p></div>", f"Teaser. {LONG} Body."),
+        (f"<div><p>{LONG}</p></div><article><p>Teaser.</p></article>", f"{LONG} Teaser."),
+        (f"<div>My site</div><article><p>Head</p><p>{LONG}</p></article>", f"Head {LONG}"),
+        ("<div><p>A short page.</p><p>It ends.</p></div>", "A short page. It ends."),
+        (f"<h2>Heading</h2>{AD * 4}<p>{LONG}</p>", f"Heading {LONG}"),
+        (f"<p>{LONG}</p>{AD * 4}<p>The end.</p>", f"{LONG} The end."),
+        (f"<p>{LONG}</p><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a>, 1999</li></ul><p><a href=c>{LONG}</a></p>", f"{LONG} First source Second source, 1999 {LONG}"),
+        (f"<p><a href=c>{LONG}</a></p><p>Short.</p>", f"{LONG} Short."),
+        ("<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>", "One Two"),
+    ],
+)
+def test_only_chrome_is_dropped(page, want):
+    assert main_text(f"<body><nav>Menu</nav>{page}<footer>Foot</footer></body>") == want
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(0))
     assert [(r.page_id, r.n_chars) for r in extract(df).orderBy("page_id").collect()] == [(1, 45), (2, 0), (2, 0)]

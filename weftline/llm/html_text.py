@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block-level element starts a line. Lines of chrome (menus, adverts, footers, forms, ...)
-count as empty. Over sliding windows of lines the text lengths are summed; the text starts where the sum
-surges, ends where it dives to nothing, and everything between is kept.
+are dropped. Over sliding windows of the other lines the text lengths are summed; the text starts where the sum
+surges, ends where it dives to nothing for good, and everything between is kept.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from weftline.llm.common import bounded_batches
 
-#: Lines in a window; characters that a window outside an article needs to surge; share of link text that makes a line a menu.
+#: Lines in a window; characters that a window outside an article needs to surge; share of link text that makes a shorter line a menu.
 WINDOW, SURGE, LINKS = 3, 80, 0.5
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 #: Elements without a text of their own, whose content runs to their end tag.
@@ -111,23 +111,19 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
 def main_text(page: str | None) -> str:
     """The main text of one page; empty for null, empty and textless pages.
 
-    Where the page marks an article, its lines are the distribution's text and any length is a surge; elsewhere a
-    window needs SURGE characters, and lines of links are empty.
+    Windows run over the lines that are not chrome, so an advert between two lines doesn't part them. Text starts at the
+    first line that stands in an article, or that begins or ends a window of SURGE characters; menu lines (short, and
+    half or more of it links) never start it. A page without such a line starts at its first line that is no menu, or else at
+    its first. From there on every line is kept: sums are nothing only after the last one.
     """
-    found = lines(page or "")
-    marked = any(inside and text for text, inside, _ in found)
-    size = [len(t) if (inside if marked else links < LINKS) else 0 for t, inside, links in found]
-    least = 1 if marked else SURGE
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    kept, on = [], False
-    for i, (text, _, _) in enumerate(found):
-        if not on and size[i] and sums[i] >= least:
-            on = True
-        if on and not sums[i]:
-            on = False
-        if on and size[i]:
-            kept.append(text)
-    return " ".join(kept)
+    found = [x for x in lines(page or "") if x[0]]
+    size = [len(t) if links < LINKS or len(t) >= SURGE else 0 for t, _, links in found]
+    # lines around an article are measured by themselves: a site's name doesn't surge by the article that follows
+    outside = [0 if inside else n for n, (_, inside, _) in zip(size, found, strict=True)]
+    sums = [max(sum(outside[i : i + WINDOW]), sum(outside[max(0, i + 1 - WINDOW) : i + 1])) for i in range(len(found))]
+    starts = [i for i, (_, inside, _) in enumerate(found) if inside or (size[i] and sums[i] >= SURGE)]
+    starts = starts or [i for i, n in enumerate(size) if n] or [0]
+    return " ".join(t for t, _, _ in found[starts[0] :])
 
 
 def extract(pages: DataFrame) -> DataFrame:
