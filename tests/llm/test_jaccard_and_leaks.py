@@ -107,3 +107,21 @@ def test_leaks_against_all_windows(spark):
     assert contaminated_windows(none, b).count() == 0
     assert contaminated_windows(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert decontaminated(d.unionByName(d), b).count() == 2 * len(kept)
+
+
+def test_leaks_in_another_order(spark):
+    draw = random.Random(4)
+    own = lambda n: ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    items, docs = [], []
+    for i, n in enumerate((100, 80, 120, 100)):
+        words = own(n)
+        items.append((i, " ".join(words)))
+        for j, cut in enumerate((n // 2, n // 3, n // 4)):
+            docs.append((10 * i + j, " ".join(own(20 * j) + words[cut:] + words[:cut] + own(30))))
+        docs.append((10 * i + 8, " ".join(own(9) + words[n // 2 :] + own(40) + words[: n // 2])))
+        docs.append((10 * i + 9, " ".join(words[n // 2 :] + words[: n // 2 - 4])))
+    docs += [(docs[0][0], docs[4][1]), (90, " ".join(own(3)))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = windows_by_hand(docs, items)
+    assert {(r.doc_id, r.item_id) for r in contaminated_windows(d, b).collect()} == want and len(want) > 12
+    assert (0, 0) in want and (8, 0) not in want
