@@ -17,6 +17,10 @@ def _pick(expr: str, values: tuple[str, ...]) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
+def _lines(expr: str) -> str:
+    return f"replace({expr}, '¶', chr(10))"
+
+
 ROLES: dict[str, tuple[str, dict[str, str]]] = {
     "jobs": ("orders", {
         "id": "o_orderkey",
@@ -62,6 +66,18 @@ ROLES: dict[str, tuple[str, dict[str, str]]] = {
         "tokens": "CASE WHEN event_id % 37 = 0 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END",
         "data": "props",
     }),
+    "drafts": ("orders", {
+        "id": "o_orderkey",
+        "minutes": "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderkey % 40 + 1 AS DOUBLE) END",
+        "analyst": _lines(f"concat('<!-- model: m | tier: 1 -->¶# Analysis¶', CASE WHEN o_orderkey % 7 = 0 THEN 'No table.¶' ELSE concat('## Speakers & Roles¶| Speaker | Role/Title |¶|---|---|¶| ', {_pick('o_orderkey % 4', ('Ann Leeds', 'Robert Moss Dyke', 'Mary-Jo Ortiz', 'Kim'))}, ' | Host |¶| ', {_pick('o_orderkey % 3', ('Bob Day', 'Carla State', 'Ann Leeds'))}, ' | Guest |¶') END, "
+            "CASE WHEN o_orderkey % 2 = 0 THEN concat(repeat('word ', 60), '¶') ELSE '' END, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '## SEO Keywords (Preliminary)¶' END, 'A closing line that says enough to count as text', CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '.' END)"),
+        "formatter": "CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 13 = 1 THEN '<!-- a comment that alone is longer than fifty characters, no more -->' ELSE " + _lines(
+            f"concat(CASE WHEN o_orderkey % 8 = 1 THEN '<!-- review: check (99:59) -->¶' ELSE '' END, '**Project:** p¶---¶**Ann Leeds:**', repeat(' ', CAST(o_orderkey % 4 AS INT)), '¶Hello there, and welcome to the show of today. (1:05)¶', repeat('¶', CAST(o_orderkey % 3 AS INT)), '**', {_pick('o_orderkey % 5', ('Leeds', 'Dr. Bob Day', 'Speaker 1', 'Ann Leeds', 'Bob Day'))}, ':**¶', "
+            "CASE WHEN o_orderkey % 8 = 0 THEN '<!-- review: look -->¶' ELSE '' END, CASE o_orderkey % 9 WHEN 0 THEN 'Id {media_id} here.¶' WHEN 1 THEN '[INSERT name] here.¶' ELSE '' END, 'The rest follows at (', CASE WHEN o_orderkey % 10 = 3 THEN '1:' ELSE '' END, lpad(CAST(o_orderkey * 7 % 50 AS STRING), 2, '0'), ':30)', CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE '.' END, '¶**Note:**¶---¶**Status:** ready')") + " END",
+        "seo": "CASE WHEN o_orderkey % 11 = 0 THEN 'No fields at all, only a line of text that is long enough to count.' ELSE " + _lines(
+            f"concat('# Metadata¶¶### Title¶¶**Recommended:**¶', {_pick('o_orderkey % 4', ('A LOOK AT THE ANN LEEDS SHOW IN THE USA', 'you and our best guide to a very long title that goes beyond sixty characters', '[Title here]', 'News of the atty gen'))}, '¶¶### Short Description¶¶**Recommended:**¶¶  ', CASE WHEN o_orderkey % 3 = 0 THEN concat(repeat('short words ', 12), 'end') ELSE 'A short text for you.' END, "
+            "'  ¶¶### Long Description¶¶', CASE WHEN o_orderkey % 4 = 0 THEN '(none)' ELSE concat('**Recommended:**¶', CASE WHEN o_orderkey % 5 = 0 THEN concat(repeat('long words go on ', 25), 'end') ELSE 'Long text.' END) END, '¶¶### YouTube Tags¶¶```¶', CASE o_orderkey % 3 WHEN 0 THEN 'a, b, , c' WHEN 1 THEN concat(repeat('tag, ', 12), 'last') ELSE ' , ' END, '¶```¶¶```chapters¶0:00 Start¶bad line¶2:', lpad(CAST(o_orderkey % 80 AS STRING), 2, '0'), ' Middle part¶1:02:03 End¶```¶')") + " END",
+    }),
 }
 
 
