@@ -30,8 +30,7 @@ def test_media_ids(spark):
 
 
 def test_file_names(spark):
-    parts = T.parse_filename(F.col("x"))
-    rows = spark.createDataFrame([("6POL0101_REV20260319.srt",), ("2wli0501hd_pledge.mp4",), ("6POL0101_REV20261340.srt",), ("6POLS_x.mp4",), ("9UNP0102_NoBug.mp4",)], "x string").select(*(c.alias(k) for k, c in parts.items())).collect()
+    rows = spark.createDataFrame([("6POL0101_REV20260319.srt",), ("2wli0501hd_pledge.mp4",), ("6POL0101_REV20261340.srt",), ("6POLS_x.mp4",), ("9UNP0102_NoBug.mp4",)], "x string").select(T.parse_filename(F.col("x")).alias("p")).select("p.*").collect()
     assert [r.outcome for r in rows] == ["parsed", "parsed", "bad_date", "unmatched", "parsed"]
     assert (rows[0].media_id, str(rows[0].revision_date), rows[0].hd) == ("6POL0101", "2026-03-19", False)
     assert (rows[1].season, rows[1].episode, rows[1].variant_tag, rows[1].hd) == (5, 1, "PLEDGE", True)

@@ -35,25 +35,25 @@ def extension(name: Column) -> Column:
     return F.lower(group(name, r"\.([^.]*)$"))
 
 
-def parse_filename(name: Column) -> dict[str, Column]:
-    """Parts of a media file name; outcome is parsed, unmatched (the prefix table decides further) or bad_date."""
+def parse_filename(name: Column) -> Column:
+    """Struct of the parts of a media file name; outcome is parsed, unmatched (the prefix table decides further) or bad_date."""
     upper = F.upper(stem(name))
-    prefix, season, episode, hd, rev, tag = (group(upper, GRAMMAR, i) for i in range(1, 7))
-    day = F.to_date(F.try_to_timestamp(rev, F.lit("yyyyMMdd")))
-    tag = F.substring(tag, 2, 1000)
-    ok = upper.rlike(GRAMMAR) & (rev.isNull() | day.isNotNull())
-    keep = lambda c: F.when(ok, c)
-    return {
-        "outcome": F.when(~upper.rlike(GRAMMAR), "unmatched").when(ok, "parsed").otherwise("bad_date"),
-        "media_id": keep(F.concat(prefix, season, episode)),
-        "prefix": F.coalesce(keep(prefix), F.substring(upper, 1, 4)),
-        "season": keep(season.cast("int")),
-        "episode": keep(episode.cast("int")),
-        "hd": keep(hd.isNotNull()),
-        "revision_date": keep(day),
-        "variant_tag": keep(F.when(tag.isin(*VARIANTS), tag)),
-        "unknown_tag": keep(F.when(~tag.isin(*VARIANTS), tag)),
-    }
+    # one match for all parts: the groups side by side, or an array of one where the grammar doesn't match
+    parts = F.split(F.regexp_replace(upper, GRAMMAR, "$1\n$2\n$3\n$4\n$5\n$6"), "\n")
+
+    def read(p: Column) -> Column:
+        part = lambda i: F.nullif(F.get(p, F.lit(i)), F.lit(""))
+        matched, tag = F.size(p) == 6, F.substring(part(5), 2, 1000)
+        day = F.to_date(F.try_to_timestamp(part(4), F.lit("yyyyMMdd")))
+        ok = matched & (part(4).isNull() | day.isNotNull())
+        keep = lambda c: F.when(ok, c)
+        return F.struct(
+            F.when(~matched, "unmatched").when(ok, "parsed").otherwise("bad_date").alias("outcome"), keep(F.concat(part(0), part(1), part(2))).alias("media_id"), F.coalesce(keep(part(0)), F.substring(F.concat_ws("", p), 1, 4)).alias("prefix"),
+            keep(part(1).cast("int")).alias("season"), keep(part(2).cast("int")).alias("episode"), keep(part(3).isNotNull()).alias("hd"), keep(day).alias("revision_date"),
+            keep(F.when(tag.isin(*VARIANTS), tag)).alias("variant_tag"), keep(F.when(~tag.isin(*VARIANTS), tag)).alias("unknown_tag"),
+        )
+
+    return let(parts, read)
 
 
 def without_copy_suffix(name: Column) -> Column:

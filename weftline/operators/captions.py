@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import strip, trigrams
-from weftline.functions.time import SRT_TIME, srt_ms, srt_time
+from weftline.functions.time import SRT_TIME, srt_time
 
 CAPTION = "index int, start_ms bigint, end_ms bigint, text string"
 CAPTIONS = f"array<struct<{CAPTION.replace(' ', ':').replace(',:', ',')}>>"
@@ -17,12 +17,11 @@ def parse_srt(srt: Column) -> Column:
     """Captions of an SRT text as an array; blocks of fewer than three lines, without number or timecode are left out."""
     blocks = F.split(strip(F.regexp_replace(srt, "\r\n?", "\n")), r"\n\s*\n")
     lines = F.transform(blocks, lambda b: F.split(strip(b), "\n"))
-    pattern = rf"^\s*({SRT_TIME})\s*-->\s*({SRT_TIME})\s*$"
+    pattern = rf"^\s*{SRT_TIME}\s*-->\s*{SRT_TIME}\s*$"
+    ms = lambda p, i: ((F.get(p, F.lit(i)).cast("long") * 60 + F.get(p, F.lit(i + 1)).cast("long")) * 60 + F.get(p, F.lit(i + 2)).cast("long")) * 1000 + F.get(p, F.lit(i + 3)).cast("long")
     good = F.filter(lines, lambda x: (F.size(x) >= 3) & x[0].rlike(r"^\s*\d+\s*$") & x[1].rlike(pattern))
-    return F.transform(good, lambda x: F.struct(
-        F.trim(x[0]).cast("int").alias("index"), srt_ms(F.regexp_extract(x[1], pattern, 1)).alias("start_ms"), srt_ms(F.regexp_extract(x[1], pattern, 6)).alias("end_ms"),
-        F.array_join(F.slice(x, F.lit(3), F.size(x)), "\n").alias("text"),
-    ))
+    timed = F.transform(good, lambda x: F.struct(x.alias("x"), F.split(F.trim(x[1]), r"\s*-->\s*|[:,.]").alias("p")))
+    return F.transform(timed, lambda c: F.struct(F.trim(c["x"][0]).cast("int").alias("index"), ms(c["p"], 0).alias("start_ms"), ms(c["p"], 4).alias("end_ms"), F.array_join(F.slice(c["x"], F.lit(3), F.size(c["x"])), "\n").alias("text")))
 
 
 def emit_srt(captions: Column) -> Column:

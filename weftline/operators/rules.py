@@ -75,7 +75,9 @@ def guarded_substitutions(rules: Sequence[tuple[str, str]]):
     def one(text: str) -> tuple[str, int]:
         total = 0
         for pattern, replace in compiled:
-            spans = [m.span() for m in _GUARDED.finditer(text)]
+            if not pattern.search(text):
+                continue
+            spans = [m.span() for m in _GUARDED.finditer(text)] if "```" in text or "://" in text else []
             pieces, at = [], 0
             for m in pattern.finditer(text):
                 new = m.expand(replace)
@@ -111,7 +113,7 @@ def output_missing(text: Column, least: int = 50) -> Column:
 def truncation_suspect(text: Column) -> Column:
     """The last line with words lacks an end mark."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return F.coalesce(~F.element_at(lines, -1).rlike(r"[.!?…\"”')\]]\s*$"), F.lit(False))
+    return F.coalesce(~F.try_element_at(lines, F.lit(-1)).rlike(r"[.!?…\"”')\]]\s*$"), F.lit(False))
 
 
 def subset_labels(labels: Column) -> Column:

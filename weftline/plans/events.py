@@ -192,10 +192,10 @@ def b61_payload_flatten(spark, sf):
     return rows.select("event_id", "p.k", F.coalesce(F.nullif("p.extra.rule_id", F.lit("")), F.lit("(unknown_rule)")).alias("rule"), F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("(unknown_type)")).alias("kind"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN CAST(event_id AS STRING) WHEN 2 THEN NULL WHEN 3 THEN 'true' ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS STRING) END AS value FROM events WHERE event_id < 500")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN CAST(event_id AS STRING) WHEN 2 THEN NULL WHEN 3 THEN 'true' ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS STRING) END AS value FROM events")
 def b65_typed_config(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("string", "int", "float", "bool", "json"))), (F.col("event_id") % 5 + 1).cast("int"))
-    rows = raw(spark, sf, "events").where("event_id < 500").select("event_id", "props", kind.alias("kind"))
+    rows = raw(spark, sf, "events").select("event_id", "props", kind.alias("kind"))
     text = F.when(F.col("kind") == "string", "text").when(F.col("kind") == "int", F.col("event_id").cast("string")).when(F.col("kind") == "float", "not a number").when(F.col("kind") == "bool", "true").otherwise(F.col("props"))
     typed = F.when(F.col("kind") == "int", text.try_cast("long").cast("string")).when(F.col("kind") == "float", text.try_cast("double").cast("string")).when(F.col("kind") == "bool", text.try_cast("boolean").cast("string")).when(F.col("kind") == "json", F.get_json_object(text, "$.k")).otherwise(text)
     return rows.select("event_id", typed.alias("value"))
@@ -249,13 +249,13 @@ def b70_qa_escalation(spark, sf):
     return raw(spark, sf, "events").groupBy(F.col("user_id").alias("job")).agg((~fixed).alias("escalate"))
 
 
-@query("SELECT event_id, array_to_string(list_filter(['analyst', 'formatter', 'seo', 'validator'], lambda x, i: i >= event_id % 4 + 1), '>') AS phases FROM events WHERE event_id < 300")
+@query("SELECT event_id, array_to_string(list_filter(['analyst', 'formatter', 'seo', 'validator'], lambda x, i: i >= event_id % 4 + 1), '>') AS phases FROM events")
 def b71_escalation_phases(spark, sf):
     """The earliest flagged phase and all after it."""
     order = F.array(*map(F.lit, ("analyst", "formatter", "seo", "validator")))
     flagged = F.element_at(order, (F.col("event_id") % 4 + 1).cast("int"))
     rest = F.slice(order, F.array_position(order, flagged).cast("int"), F.size(order))
-    return raw(spark, sf, "events").where("event_id < 300").select("event_id", F.array_join(rest, ">").alias("phases"))
+    return raw(spark, sf, "events").select("event_id", F.array_join(rest, ">").alias("phases"))
 
 
 @query("SELECT user_id AS consumer, count(*) AS calls, count(*) FILTER (event_type = 'error') AS denied, max(ts) AS last_call FROM events GROUP BY 1")
@@ -263,10 +263,10 @@ def n36_audit_analytics(spark, sf):
     return raw(spark, sf, "events").groupBy(F.col("user_id").alias("consumer")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("denied"), F.max("ts").alias("last_call"))
 
 
-@query("SELECT event_id, list_contains(string_split(CASE event_id % 3 WHEN 0 THEN 'read,write' WHEN 1 THEN 'read' ELSE 'admin' END, ','), 'write') AS allowed FROM events WHERE event_id < 200")
+@query("SELECT event_id, list_contains(string_split(CASE event_id % 3 WHEN 0 THEN 'read,write' WHEN 1 THEN 'read' ELSE 'admin' END, ','), 'write') AS allowed FROM events")
 def n35_scope_check(spark, sf):
     scopes = F.transform(F.split(F.when(F.col("event_id") % 3 == 0, "read, write").when(F.col("event_id") % 3 == 1, "read").otherwise("admin"), ","), lambda s: F.trim(s))
-    return raw(spark, sf, "events").where("event_id < 200").select("event_id", F.array_contains(scopes, "write").alias("allowed"))
+    return raw(spark, sf, "events").select("event_id", F.array_contains(scopes, "write").alias("allowed"))
 
 
 @query("SELECT user_id AS id, max(CASE WHEN event_type = 'click' THEN k END) AS click, max(CASE WHEN event_type = 'view' THEN k END) AS view, coalesce(max(CASE WHEN event_type = 'signup' THEN k END), 0) AS signup FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) GROUP BY 1")
@@ -275,9 +275,10 @@ def n5_config_pivot(spark, sf):
     return raw(spark, sf, "events").select(F.col("user_id").alias("id"), "event_type", k).groupBy("id").pivot("event_type", ["click", "view", "signup"]).agg(F.max("k")).fillna({"signup": 0})
 
 
-@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS merged_ts FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, strftime(CASE WHEN event_id % 3 = 2 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS merged_ts FROM events")
 def n6_normalised_timestamps(spark, sf):
     """T or space, date alone, fractions: all become seconds in UTC."""
-    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    form = lambda f: F.date_format("ts", f)
+    text = F.when(F.col("event_id") % 3 == 0, form("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).when(F.col("event_id") % 3 == 1, form("yyyy-MM-dd HH:mm:ss")).otherwise(form("yyyy-MM-dd"))
     whole = F.date_trunc("second", F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" "))))
-    return raw(spark, sf, "events").where("event_id % 10 = 0").select("event_id", F.date_format(whole, "yyyy-MM-dd HH:mm:ss").alias("merged_ts"))
+    return raw(spark, sf, "events").select("event_id", F.date_format(whole, "yyyy-MM-dd HH:mm:ss").alias("merged_ts"))

@@ -61,9 +61,9 @@ def c8_not_blank(spark, sf):
     return role(spark, sf, "files").where("media_id IS NOT NULL AND trim(media_id) <> ''").agg(F.count("*").alias("n"))
 
 
-@query(f"{cte('files')} SELECT id FROM files WHERE remote_url IN (SELECT concat('https://media.example/d', CAST(s_suppkey AS STRING), '/f', CAST(s_suppkey * 3 AS STRING), '_1') FROM supplier)")
+@query(f"{cte('files')} SELECT id FROM files WHERE remote_url IN (SELECT concat('https://media.example/d', CAST(l_suppkey AS STRING), '/f', CAST(l_orderkey AS STRING), '_1') FROM lineitem WHERE l_quantity > 45)")
 def c9_in_list(spark, sf):
-    urls = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("concat('https://media.example/d', CAST(s_suppkey AS STRING), '/f', CAST(s_suppkey * 3 AS STRING), '_1') AS remote_url")
+    urls = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 45").selectExpr("concat('https://media.example/d', CAST(l_suppkey AS STRING), '/f', CAST(l_orderkey AS STRING), '_1') AS remote_url")
     return role(spark, sf, "files").join(urls, "remote_url", "left_semi").select("id")
 
 
@@ -200,12 +200,12 @@ def b56_heartbeat_age(spark, sf):
     return jobs(spark, sf).where("status = 'in_progress'").select("id", age.alias("age_s"), F.coalesce(age <= 864000, F.lit(False)).alias("fresh"))
 
 
-@query(f"""{_J} SELECT project_path, count(*) AS jobs, CASE WHEN bool_or(status = 'in_progress') THEN 'processing' WHEN bool_or(status = 'failed') THEN 'failed'
-WHEN bool_or(status = 'investigating') THEN 'revision' WHEN bool_and(status = 'completed') THEN 'ready' ELSE 'incomplete' END AS project_status FROM jobs WHERE id % 50 < 3 GROUP BY project_path""")
+@query(f"""{_J} SELECT project_path, CAST(queued_at AS DATE) AS day, count(*) AS jobs, CASE WHEN bool_or(status = 'in_progress') THEN 'processing' WHEN bool_or(status = 'failed') THEN 'failed'
+WHEN bool_or(status = 'investigating') THEN 'revision' WHEN bool_and(status = 'completed') THEN 'ready' ELSE 'incomplete' END AS project_status FROM jobs GROUP BY project_path, CAST(queued_at AS DATE)""")
 def b72_project_status(spark, sf):
     is_ = lambda s: F.col("status") == s
     state = F.when(F.bool_or(is_("in_progress")), "processing").when(F.bool_or(is_("failed")), "failed").when(F.bool_or(is_("investigating")), "revision").when(F.bool_and(is_("completed")), "ready").otherwise("incomplete")
-    return jobs(spark, sf).where("id % 50 < 3").groupBy("project_path").agg(F.count("*").alias("jobs"), state.alias("project_status"))
+    return jobs(spark, sf).groupBy("project_path", F.to_date("queued_at").alias("day")).agg(F.count("*").alias("jobs"), state.alias("project_status"))
 
 
 @query(f"""{_J} SELECT id, round(coalesce(word_count, 0) / CAST(150 AS DOUBLE), 2) AS est_minutes, coalesce(duration_minutes, round(word_count / CAST(150 AS DOUBLE), 2)) AS best_minutes,
@@ -267,8 +267,8 @@ def e25_distinct(spark, sf):
     return jobs(spark, sf).where("media_id IS NOT NULL").select("media_id").distinct()
 
 
-@query(f"{_J} SELECT id, 'v' || CAST(priority AS STRING) || '.' || CAST(retry_count AS STRING) AS version_tag, coalesce(actual_cost, 0) AS actual_cost, concat('OUTPUT/', project_path) AS output_path, 'pending' AS status FROM jobs WHERE id % 100 = 0")
+@query(f"{_J} SELECT id, 'v' || CAST(priority AS STRING) || '.' || CAST(retry_count AS STRING) AS version_tag, coalesce(actual_cost, 0) AS actual_cost, concat('OUTPUT/', project_path) AS output_path, 'pending' AS status FROM jobs")
 def n1_create_jobs(spark, sf):
-    """Rows as a new job would be stored, with defaults, version tag and output path."""
-    rows = jobs(spark, sf).where("id % 100 = 0")
+    """Rows as a new job would be stored, with defaults, a tag and an output path."""
+    rows = jobs(spark, sf)
     return rows.select("id", F.concat(F.lit("v"), F.col("priority").cast("string"), F.lit("."), F.col("retry_count").cast("string")).alias("version_tag"), F.coalesce("actual_cost", F.lit(0.0)).alias("actual_cost"), F.concat(F.lit("OUTPUT/"), F.col("project_path")).alias("output_path"), F.lit("pending").alias("status"))

@@ -27,7 +27,7 @@ def names(spark, sf) -> DataFrame:
 
 def prefixes(spark) -> DataFrame:
     """The prefix dimension, a handful of rows."""
-    return F.broadcast(spark.createDataFrame([("2WLI", "series", "Wisconsin Life"), ("6POL", "news", "Politics"), ("9UNP", "special", "University Place")], "prefix string, category string, show string"))
+    return F.broadcast(spark.createDataFrame([("2WLI", "series", "Lake Stories"), ("6POL", "news", "Town Hall"), ("9UNP", "special", "Open Lectures")], "prefix string, category string, show string"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 9000")
@@ -62,8 +62,7 @@ CASE WHEN ok THEN m.hd <> '' END AS hd, CASE WHEN ok THEN strftime(d, '%Y-%m-%d'
 CASE WHEN ok THEN CASE m.p WHEN '2WLI' THEN 'series' WHEN '6POL' THEN 'news' WHEN '9UNP' THEN 'special' ELSE 'unknown' END END AS category FROM r""")
 def b1_parse_filename(spark, sf):
     """B1, D5 and A6."""
-    parts = T.parse_filename(F.col("name"))
-    rows = names(spark, sf).select("id", *(c.alias(k) for k, c in parts.items())).join(prefixes(spark), "prefix", "left")
+    rows = names(spark, sf).select("id", T.parse_filename(F.col("name")).alias("p")).select("id", "p.*").join(prefixes(spark), "prefix", "left")
     outcome = F.when(F.col("outcome") == "parsed", "parsed").when((F.col("outcome") == "unmatched") & F.col("category").isNotNull(), "nonstandard").otherwise("error")
     category = F.when(F.col("outcome") == "parsed", F.coalesce("category", F.lit("unknown")))
     return rows.select("id", outcome.alias("outcome"), "media_id", "season", "episode", "hd", F.date_format("revision_date", "yyyy-MM-dd").alias("revision_date"), "variant_tag", "unknown_tag", category.alias("category"))
@@ -111,9 +110,12 @@ def b21_slug(spark, sf):
     return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.slug(F.concat("p_name", F.lit(" / "), "p_brand", F.lit(" ("), "p_type", F.lit(")"))).alias("rule_id"))
 
 
-@query("SELECT page_id, nullif(regexp_extract(url, '/([a-z]{2})/(\\d+)', 2), '') AS media_id FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'M' || CAST(page_id AS STRING) WHEN 1 THEN 'M' || CAST(page_id AS STRING) END AS media_id FROM pages")
 def b29_audit_path(spark, sf):
-    return raw(spark, sf, "pages").select("page_id", T.group(F.col("url"), r"/([a-z]{2})/(\d+)", 2).alias("media_id"))
+    """The media id in the path of an audited request, for an asset or a stream; other paths have none."""
+    ident = F.concat(F.lit("M"), F.col("page_id").cast("string"))
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/api/mmingest/asset/"), ident)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/api/mmingest/asset/"), ident, F.lit("/captions?x=1"))).otherwise("/api/mmingest/search?q=asset")
+    return raw(spark, sf, "pages").select("page_id", T.group(path, r"/asset/([^/?]+)").alias("media_id"))
 
 
 @query("SELECT DISTINCT p_brand, CASE CAST(substring(p_brand, 7) AS INT) % 4 WHEN 0 THEN 'haiku' WHEN 1 THEN 'sonnet' WHEN 2 THEN 'opus' END AS family, CASE CAST(substring(p_brand, 7) AS INT) % 4 WHEN 0 THEN 'sonnet' WHEN 1 THEN 'opus' END AS bumped FROM part")
@@ -126,11 +128,11 @@ def b30_model_family(spark, sf):
 
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS id, ms, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS srt, CASE WHEN ms >= 3600000 THEN printf('%d:%02d:%02d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60) ELSE printf('%d:%02d', ms // 60000, ms // 1000 % 60) END AS shown, ms AS back
-FROM (SELECT *, CAST(floor(l_extendedprice * 100) AS BIGINT) AS ms FROM lineitem) WHERE l_linenumber = 1""")
+FROM (SELECT *, CAST(floor(l_extendedprice * 100) AS BIGINT) AS ms FROM lineitem)""")
 def b40_timecodes(spark, sf):
     """Emitted and parsed again."""
     ms = F.col("ms")
-    rows = raw(spark, sf, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey * 10 + l_linenumber AS id", "CAST(floor(l_extendedprice * 100) AS BIGINT) AS ms")
+    rows = raw(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "CAST(floor(l_extendedprice * 100) AS BIGINT) AS ms")
     return rows.select("id", "ms", TM.srt_time(ms).alias("srt"), TM.display_time(ms).alias("shown"), TM.srt_ms(TM.srt_time(ms)).alias("back"))
 
 
@@ -158,19 +160,18 @@ def d2_anti_join(spark, sf):
     return raw(spark, sf, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 
-@query(f"{_F} SELECT DISTINCT directory_path FROM files WHERE directory_path NOT IN (SELECT directory_path FROM files WHERE superseded AND file_type = 'srt' AND variant_tag IS NULL)")
+@query(f"{_F} SELECT DISTINCT remote_url FROM files WHERE remote_url NOT IN (SELECT remote_url FROM files WHERE superseded AND file_type = 'srt' AND variant_tag IS NULL)")
 def d3_untracked(spark, sf):
     """What isn't tracked yet, each once."""
-    tracked = files(spark, sf).where("superseded AND file_type = 'srt' AND variant_tag IS NULL").select("directory_path")
-    return files(spark, sf).select("directory_path").dropDuplicates(["directory_path"]).join(tracked, "directory_path", "left_anti")
+    tracked = files(spark, sf).where("superseded AND file_type = 'srt' AND variant_tag IS NULL").select("remote_url")
+    return files(spark, sf).select("remote_url").dropDuplicates(["remote_url"]).join(tracked, "remote_url", "left_anti")
 
 
 _KNOWN = "SELECT id, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN file_size_bytes + 1 ELSE file_size_bytes END AS file_size_bytes, remote_modified_at FROM files WHERE id % 3 <> 0"
 
 
 def known(spark, sf) -> DataFrame:
-    files(spark, sf).createOrReplaceTempView("files")
-    return spark.sql(_KNOWN)
+    return files(spark, sf).where("id % 3 <> 0").selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN file_size_bytes + 1 ELSE file_size_bytes END AS file_size_bytes", "remote_modified_at")
 
 
 @query(f"{_F}, k AS ({_KNOWN}) SELECT f.id, CASE WHEN k.id IS NULL THEN 'new' WHEN coalesce(f.file_size_bytes <> k.file_size_bytes, false) OR coalesce(f.remote_modified_at <> k.remote_modified_at, false) THEN 'changed' ELSE 'same' END AS change FROM files f LEFT JOIN k ON f.id = k.id")
@@ -189,27 +190,27 @@ def j6_crawl_summary(spark, sf):
 
 @query("SELECT p_partkey, p_brand, round(p_size / 1e6 * coalesce(price, 3.0), 9) AS cost FROM part LEFT JOIN (VALUES ('Brand#1', CAST(1.5 AS DOUBLE)), ('Brand#2', CAST(2.5 AS DOUBLE))) t(brand, price) ON p_brand = brand")
 def d6_price_lookup(spark, sf):
-    """A default where no price is known."""
+    """A default where no price is known."""
     prices = spark.createDataFrame([("Brand#1", 1.5), ("Brand#2", 2.5)], "p_brand string, price double")
     return raw(spark, sf, "part").join(F.broadcast(prices), "p_brand", "left").select("p_partkey", "p_brand", F.round(F.col("p_size") / 1e6 * F.coalesce("price", F.lit(3.0)), 9).alias("cost"))
 
 
 @query("WITH r AS (SELECT l_partkey, arg_max(l_orderkey, (l_shipdate, l_orderkey, l_linenumber)) AS record FROM lineitem GROUP BY l_partkey) SELECT p_partkey, record FROM part LEFT JOIN r ON p_partkey = l_partkey")
 def d7_last_record(spark, sf):
-    """Of several records of an id, the last wins."""
+    """Of several records of an id, the last wins."""
     last = rank_one(raw(spark, sf, "lineitem"), ["l_partkey"], F.desc("l_shipdate"), F.desc("l_orderkey"), F.desc("l_linenumber"))
     return raw(spark, sf, "part").select("p_partkey").join(last.select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("record")), "p_partkey", "left")
 
 
-@query("SELECT a.o_orderkey AS old_id, b.o_orderkey AS new_id FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey + 7 WHERE a.o_orderkey % 10 = 0")
+@query("SELECT a.o_orderkey AS old_id, b.o_orderkey AS new_id FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey + 7")
 def d8_superseding_row(spark, sf):
     o = raw(spark, sf, "orders").select("o_orderkey")
-    return o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("old_id"), (F.col("o_orderkey") + 7).alias("want")).join(o.select(F.col("o_orderkey").alias("want"), F.col("o_orderkey").alias("new_id")), "want", "left").select("old_id", "new_id")
+    return o.select(F.col("o_orderkey").alias("old_id"), (F.col("o_orderkey") + 7).alias("want")).join(o.select(F.col("o_orderkey").alias("want"), F.col("o_orderkey").alias("new_id")), "want", "left").select("old_id", "new_id")
 
 
 @query("WITH m AS (SELECT o_orderkey AS src, o_orderkey + 1000000 AS live FROM orders WHERE o_orderkey % 2 = 0) SELECT event_id, live AS job_id FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS src FROM events) e LEFT JOIN m ON m.src = e.src WHERE e.src IS NULL OR live IS NOT NULL")
 def d11_id_remap(spark, sf):
-    """Ids move to the live ones; events of unknown jobs are dropped, those without a job stay."""
+    """Ids move to the live ones; events of unknown jobs are dropped, those without a job stay."""
     idmap = raw(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1000000).alias("job_id"))
     e = raw(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("src"))
     return e.where("src IS NOT NULL").join(idmap, "src").select("event_id", "job_id").unionByName(e.where("src IS NULL").select("event_id", F.lit(None).cast("long").alias("job_id")))
@@ -249,7 +250,7 @@ def j2_asset_resolve(spark, sf):
 
 @query(f"{_F} SELECT media_id, arg_min(remote_url, (first_seen_at, id)) AS url FROM files WHERE file_type = 'srt' AND media_id IS NOT NULL GROUP BY media_id")
 def j5_captions_body(spark, sf):
-    """One side file of an id, the first by time and id."""
+    """One side file of an id, the first by time and id."""
     srt = files(spark, sf).where("file_type = 'srt' AND media_id IS NOT NULL")
     return srt.groupBy("media_id").agg(F.min_by("remote_url", F.struct("first_seen_at", "id")).alias("url"))
 
@@ -258,27 +259,34 @@ _OLD = "SELECT id, file_size_bytes AS size, first_seen_at AS seen FROM files WHE
 _NEW = "SELECT id, file_size_bytes + 5 AS size, first_seen_at + INTERVAL '1' DAY AS seen FROM files WHERE id % 2 = 0"
 
 
+def versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The files as they were stored and as they are seen now."""
+    f = files(spark, sf)
+    old = f.where("id % 3 <> 0").selectExpr("id", "file_size_bytes AS size", "first_seen_at AS seen")
+    return old, f.where("id % 2 = 0").selectExpr("id", "file_size_bytes + 5 AS size", "first_seen_at + INTERVAL '1' DAY AS seen")
+
+
 @query(f"{_F}, o AS ({_OLD}), n AS ({_NEW}) SELECT coalesce(n.id, o.id) AS id, coalesce(n.size, o.size) AS size, coalesce(o.seen, n.seen) AS seen FROM o FULL JOIN n ON o.id = n.id")
 def l1_upsert(spark, sf):
-    """New values win, the first sighting stays."""
-    files(spark, sf).createOrReplaceTempView("files")
-    return M.upsert(spark.sql(_OLD), spark.sql(_NEW), "id", keep="seen")
+    """New values win, the first sighting stays."""
+    old, new = versions(spark, sf)
+    return M.upsert(old, new, "id", keep="seen")
 
 
 @query(f"{_F}, o AS ({_OLD}), n AS ({_NEW}) SELECT o.id, coalesce(CASE WHEN o.id % 4 = 0 THEN NULL ELSE o.size END, n.size) AS size FROM o LEFT JOIN n ON o.id = n.id")
 def l3_backfill(spark, sf):
     """Only what is missing gets filled."""
-    files(spark, sf).createOrReplaceTempView("files")
-    old = spark.sql(_OLD).select("id", F.when(F.col("id") % 4 != 0, F.col("size")).alias("size"))
-    return old.join(spark.sql(_NEW).select("id", F.col("size").alias("found")), "id", "left").select("id", F.coalesce("size", "found").alias("size"))
+    before, after = versions(spark, sf)
+    old = before.select("id", F.when(F.col("id") % 4 != 0, F.col("size")).alias("size"))
+    return old.join(after.select("id", F.col("size").alias("found")), "id", "left").select("id", F.coalesce("size", "found").alias("size"))
 
 
 @query(f"{_F}, o AS ({_OLD}), n AS ({_NEW}) SELECT n.id, o.size IS NOT DISTINCT FROM n.size - 5 AS accepted FROM n LEFT JOIN o ON o.id = n.id")
 def l13_optimistic_edits(spark, sf):
     """An edit is accepted if the value is still the one it expected."""
-    files(spark, sf).createOrReplaceTempView("files")
-    edits = spark.sql(_NEW).select("id", (F.col("size") - 5).alias("expected"))
-    return edits.join(spark.sql(_OLD).select("id", "size"), "id", "left").select("id", F.col("size").eqNullSafe(F.col("expected")).alias("accepted"))
+    old, new = versions(spark, sf)
+    edits = new.select("id", (F.col("size") - 5).alias("expected"))
+    return edits.join(old.select("id", "size"), "id", "left").select("id", F.col("size").eqNullSafe(F.col("expected")).alias("accepted"))
 
 
 @query(f"{_F} SELECT count(*) - count(*) FILTER (media_id IS NOT NULL) AS delta FROM files")
@@ -290,7 +298,7 @@ def e18_index_parity(spark, sf):
 
 @query(f"""{_F} SELECT id, CASE WHEN media_id IS NULL THEN 'no_match' WHEN nth > 1 THEN 'duplicate' ELSE 'attached' END AS outcome FROM (SELECT id, media_id, row_number() OVER (PARTITION BY media_id, directory_path ORDER BY id) AS nth FROM files WHERE file_type = 'image')""")
 def j11_attach_outcome(spark, sf):
-    """A file name is attached to its record once."""
+    """A file name is attached to its record once."""
     nth = F.row_number().over(Window.partitionBy("media_id", "directory_path").orderBy("id"))
     rows = files(spark, sf).where("file_type = 'image'").select("id", "media_id", nth.alias("nth"))
     return rows.select("id", F.when(F.col("media_id").isNull(), "no_match").when(F.col("nth") > 1, "duplicate").otherwise("attached").alias("outcome"))
@@ -304,11 +312,12 @@ def n12_ignore_flips(spark, sf):
 
 @query("SELECT p_brand AS id, min(p_partkey) AS first_id, arg_max(p_name, (p_retailprice, -p_partkey)) AS newest FROM part GROUP BY p_brand")
 def f15_roster(spark, sf):
-    """First id of a roster entry and the newest of a family."""
+    """First id of a roster entry and the newest of a family."""
     return raw(spark, sf, "part").groupBy(F.col("p_brand").alias("id")).agg(F.min("p_partkey").alias("first_id"), F.max_by("p_name", F.struct("p_retailprice", -F.col("p_partkey"))).alias("newest"))
 
 
-@query("SELECT s_suppkey, s_nationkey % 3 = 0 AS has_host, s_name FROM supplier ORDER BY s_nationkey % 3 = 0, s_name LIMIT 40")
+@query("SELECT s_suppkey, s_nationkey % 3 = 0 AS has_host, s_name, row_number() OVER (PARTITION BY s_nationkey % 3 = 0 ORDER BY s_name) AS place FROM supplier")
 def g11_grouped_order(spark, sf):
     local = F.col("s_nationkey") % 3 == 0
-    return raw(spark, sf, "supplier").orderBy(local, "s_name").limit(40).select("s_suppkey", local.alias("has_host"), "s_name")
+    place = F.row_number().over(Window.partitionBy(local).orderBy("s_name"))
+    return raw(spark, sf, "supplier").select("s_suppkey", local.alias("has_host"), "s_name", place.alias("place"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import media as M
 from weftline.plans.registry import query
-from weftline.sources.files import shared_folder
+from weftline.sources.files import scratch
 from weftline.sources.tables import raw
 from weftline.streaming import jobs as K
 
@@ -22,24 +21,31 @@ def k9_window_rates(spark, sf):
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'error'")
 def k1_polling_consumer(spark, sf):
-    """Whatever files are there, once each."""
+    """Whatever files are there, once each."""
     stream = K.table_stream(spark, f"{sf}/events.parquet", files_per_batch=4).where("event_type = 'error'").select("event_id", "user_id", "value")
     return K.run_once(stream)
 
 
 @query("SELECT user_id, count(*) AS seen, min(event_id) AS first_id FROM events GROUP BY user_id")
 def k5_delta_ingest(spark, sf):
-    """K5: a batch of the stream merged into a table; running a batch again changes nothing."""
-    path = f"{shared_folder(spark)}/weftline/ingest-{uuid.uuid4().hex[:12]}"
+    """K5: each batch of the stream merged into a table; running a batch again changes nothing."""
+    path = scratch(spark, "ingest")
     sink = K.upsert_sink(path, "user_id", lambda old, new: M.upsert(old, new, "user_id", keep="first_id"))
-    batch = raw(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("seen"), F.min("event_id").alias("first_id"))
-    sink(batch.limit(0), 0)
-    sink(batch, 1)
-    sink(batch, 1)
-    return spark.read.parquet(f"{path}/v1")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        rows = batch.groupBy("user_id").agg(F.count("*").alias("seen"), F.min("event_id").alias("first_id"))
+        sink(rows, number)
+        sink(rows, number)
+
+    K.table_stream(spark, f"{sf}/events.parquet").writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/v0")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['claim', 'complete', 'fail', 'pause', 'resume', 'retry', 'cancel'][event_id * 31 % 7 + 1] AS a FROM events),
+r AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS n, 'pending' AS status, CAST(0 AS BIGINT) AS applied FROM e UNION ALL SELECT id, n, coalesce(t, status), applied + CASE WHEN t IS NULL THEN 0 ELSE 1 END FROM (SELECT r.id, e.n, r.status, r.applied,
+CASE WHEN a = 'claim' AND status = 'pending' THEN 'in_progress' WHEN a = 'complete' AND status = 'in_progress' THEN 'completed' WHEN a = 'fail' AND status = 'in_progress' THEN 'failed' WHEN a = 'pause' AND status IN ('pending', 'in_progress') THEN 'paused' WHEN a = 'resume' AND status = 'paused' THEN 'pending'
+WHEN a = 'retry' AND status IN ('failed', 'cancelled') THEN 'pending' WHEN a = 'cancel' AND status IN ('pending', 'in_progress', 'paused') THEN 'cancelled' END AS t FROM r JOIN e ON e.id = r.id AND e.n = r.n + 1))
+SELECT id, arg_max(status, n) AS status, max(applied) AS applied, max(n) - max(applied) AS refused FROM r GROUP BY id""")
 def k2_state_machine(spark, sf):
     """K2 and K8: job states from a stream of actions."""
     names = F.array(*map(F.lit, ("claim", "complete", "fail", "pause", "resume", "retry", "cancel")))
@@ -47,19 +53,20 @@ def k2_state_machine(spark, sf):
     return K.latest(K.run_once(K.run_machine(stream), mode="update"), "id")
 
 
-@query("SELECT event_id, event_id % 2 AS lane FROM events WHERE event_type = 'click' ORDER BY lane, event_id LIMIT 100")
+@query("SELECT event_id, event_id % 2 AS lane  , row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2, event_id) AS place FROM events WHERE event_type = 'click'")
 def k6_priority_lanes(spark, sf):
     lane = F.col("event_id") % 2
-    return raw(spark, sf, "events").where("event_type = 'click'").orderBy(lane, "event_id").limit(100).select("event_id", lane.alias("lane"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(lane, "event_id"))
+    return raw(spark, sf, "events").where("event_type = 'click'").select("event_id", lane.alias("lane"), place.alias("place"))
 
 
-@query("SELECT event_id, (hour(ts) * 60 + minute(ts) >= 1380 OR hour(ts) * 60 + minute(ts) < 330) AS paused FROM events WHERE event_id % 7 = 0")
+@query("SELECT event_id, (hour(ts) * 60 + minute(ts) >= 1380 OR hour(ts) * 60 + minute(ts) < 330) AS paused FROM events")
 def k7_pause_window(spark, sf):
-    """A pause from 23:00 to 05:30 wraps midnight."""
+    """K7: a pause from 23:00 to 05:30 wraps midnight, told on a stream."""
     at = F.hour("ts") * 60 + F.minute("ts")
     start, end = 23 * 60, 5 * 60 + 30
     inside = (at >= start) | (at < end) if start > end else (at >= start) & (at < end)
-    return raw(spark, sf, "events").where("event_id % 7 = 0").select("event_id", inside.alias("paused"))
+    return K.run_once(K.table_stream(spark, f"{sf}/events.parquet").select("event_id", inside.alias("paused")))
 
 
 def _phases(spark, sf):
@@ -67,11 +74,11 @@ def _phases(spark, sf):
     names = ("analyst", "formatter", "seo", "validator")
     items = [F.to_json(F.struct(F.lit(n).alias("name"), F.when(F.col("o_orderkey") % (i + 2) == 0, "failed").otherwise("completed").alias("status"), (F.col("o_custkey") * (i + 1)).cast("double").alias("cost"))) for i, n in enumerate(names)]
     text = F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
-    rows = raw(spark, sf, "orders").where("o_orderkey % 10 < 3").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 != 1, text).alias("phases"))
+    rows = raw(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 10 != 1, text).alias("phases"))
     return rows.withColumn("phases", F.from_json("phases", "array<struct<name:string,status:string,cost:double>>"))
 
 
-_P = "WITH j AS (SELECT o_orderkey AS id, o_custkey AS c FROM orders WHERE o_orderkey % 10 < 3)"
+_P = "WITH j AS (SELECT o_orderkey AS id, o_custkey AS c FROM orders)"
 
 
 @query(f"{_P} SELECT id, CASE WHEN id % 10 = 1 THEN 'pending,pending' ELSE array_to_string([CASE WHEN id % 2 = 0 THEN 'failed' ELSE 'completed' END, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'completed' END, CASE WHEN id % 4 = 0 THEN 'failed' ELSE 'completed' END, CASE WHEN id % 5 = 0 THEN 'failed' ELSE 'completed' END], ',') END AS states FROM j")
@@ -115,11 +122,11 @@ def n23_manifest(spark, sf):
     return rows.select("id", F.md5(F.to_json(F.struct("id", F.size("phases").alias("phases"), total.alias("total"))).cast("binary")).alias("manifest_md5"))
 
 
-@query("SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS wrong, split_part(p_name, ' ', 2) AS fixed FROM part WHERE p_partkey % 3 = 0 AND split_part(p_name, ' ', 1) <> 'red'")
+@query("SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS wrong, split_part(p_name, ' ', 2) AS fixed FROM part WHERE split_part(p_name, ' ', 1) <> 'red'")
 def n22_glossary(spark, sf):
     """Lines "wrong -> right | note", but those already known."""
     line = F.concat(F.split("p_name", " ")[0], F.lit(" -> "), F.split("p_name", " ")[1], F.lit(" | noted"))
-    rows = raw(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), line.alias("line"))
+    rows = raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), line.alias("line"))
     pattern = r"^\s*(.+?)\s*->\s*(.+?)\s*(?:\|.*)?$"
     known = spark.createDataFrame([("red",)], "wrong string")
     return rows.select("id", F.regexp_extract("line", pattern, 1).alias("wrong"), F.regexp_extract("line", pattern, 2).alias("fixed")).join(F.broadcast(known), "wrong", "left_anti").select("id", "wrong", "fixed")

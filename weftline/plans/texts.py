@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -52,24 +52,26 @@ def b45_transcript_metrics(spark, sf):
     return docs(spark, sf).select("doc_id", n.alias("words"), F.round(n / 150.0, 2).alias("minutes"), (n / 150.0 > 15).alias("is_long"))
 
 
-@query("SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z'']{3,}')) IS NOT NULL AS ok, greatest(len(regexp_extract_all(lower(text), '[a-z'']{3,}')), 0) AS n_words FROM documents")
+@query("SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))), '|')) AS grams, len(w) AS n_words FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']{3,}') AS w FROM documents)")
 def b24_trigram_words(spark, sf):
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z']{3,})"), 1)
-    return docs(spark, sf).select("doc_id", (F.size(T.trigrams(F.col("text"))) >= 0).alias("ok"), F.size(words).cast("long").alias("n_words"))
+    return docs(spark, sf).select("doc_id", F.md5(F.array_join(F.array_sort(T.trigrams(F.col("text"))), "|").cast("binary")).alias("grams"), F.size(words).cast("long").alias("n_words"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[#*$%&|<>]')) AS marks, CASE WHEN length(flat) > 40 THEN rtrim(left(flat, 39)) || '…' ELSE flat END AS excerpt FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[#*$%&|<>]')) AS marks, CASE WHEN length(flat) > 40 THEN rtrim(left(flat, 39)) || '…' ELSE flat END AS excerpt FROM (SELECT *, trim(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f]+', ' ', 'g')) AS flat FROM documents)")
 def b22_excerpt(spark, sf):
-    rows = docs(spark, sf).where("lang = 'en'")
-    return rows.select("doc_id", F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("marks"), T.excerpt(F.col("text")).alias("excerpt"))
+    return docs(spark, sf).select("doc_id", F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("marks"), T.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM documents)
-SELECT doc_id, len(ws) AS words FROM w""")
+@query("""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '')) AS n FROM documents)
+SELECT doc_id, n + CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS words, n AS source_words FROM w""")
 def b25_content_words(spark, sf):
-    """The words of a formatted body, of an SRT source and of its plain text are those of the document."""
-    body = F.concat(F.lit("<!-- model: x -->\n**Project:** p\n---\n"), F.regexp_replace("text", r"[*#]", "x"), F.lit("\n**Status:** ready"))
-    return docs(spark, sf).select("doc_id", T.content_words(body).cast("long").alias("words"))
+    """A formatted body with a header and a status line, with a heading and a label, or plain; and an SRT source's plain text."""
+    plain = F.regexp_replace("text", r"[*#]", "x")
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<!-- model: x -->\n**Project:** p\n---\n"), plain, F.lit("\n**Status:** ready for all")))
+    body = body.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<!-- a comment\nof two lines -->Head\n---\n## Part\n**Ann:**\n"), plain)).otherwise(F.concat(F.lit("h\n---\n***Bold*** "), plain))
+    srt = F.concat(F.lit("1\n00:00:00,000 --> 00:00:02,000\n"), F.regexp_replace(plain, r"(?m)^\s*\d+\s*$", "x"))
+    return docs(spark, sf).select("doc_id", T.content_words(body).cast("long").alias("words"), T.word_count(T.srt_plain(srt)).cast("long").alias("source_words"))
 
 
 @query(f"""{_L} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(line, '[.!?…"”'')\\]]\\s*$')) AS unended FROM lines WHERE trim(line) <> '' GROUP BY doc_id""")
@@ -86,12 +88,12 @@ def i4_output_missing(spark, sf):
 _LIMITS = [("title", 60), ("description", 150)]
 
 
-@query("SELECT doc_id, concat('limits.', field, '.max') AS rule_id, 'error' AS severity, concat(field, ' has ', CAST(length(value) AS STRING), ' of ', CAST(max AS STRING)) AS message FROM (SELECT doc_id, 'title' AS field, string_split(text, chr(10))[1] AS value, 60 AS max FROM documents UNION ALL SELECT doc_id, 'description', left(text, 160), 150 FROM documents) WHERE length(value) > max")
+@query("SELECT doc_id, concat('limits.', field, '.max') AS rule_id, 'error' AS severity, concat(field, ' has ', CAST(length(value) AS STRING), ' of ', CAST(max AS STRING)) AS message FROM (SELECT doc_id, 'title' AS field, string_split(text, chr(10))[1] AS value, 60 AS max FROM documents UNION ALL SELECT doc_id, 'description', text, 150 FROM documents) WHERE length(value) > max")
 def i1_limit_findings(spark, sf):
     """I1, I6 and I22."""
     limits = spark.createDataFrame(_LIMITS, "field string, max int")
     d = docs(spark, sf)
-    fields = d.select("doc_id", F.lit("title").alias("field"), F.split("text", "\n")[0].alias("value")).unionByName(d.select("doc_id", F.lit("description").alias("field"), F.substring("text", 1, 160).alias("value")))
+    fields = d.select("doc_id", F.lit("title").alias("field"), F.split("text", "\n")[0].alias("value")).unionByName(d.select("doc_id", F.lit("description").alias("field"), F.col("text").alias("value")))
     return R.limit_findings(fields, limits)
 
 
@@ -105,12 +107,11 @@ def i1b_count_findings(spark, sf):
 _PHRASES = [("stupid", "stupid"), ("worthless", "worthless"), ("we", "we|our|us"), ("you", "you|your"), ("onthe", r"of\s+the")]
 
 
-@query("""WITH w AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9_]+', '  ', 'g') || ' ' AS t FROM documents WHERE lang = 'en'), p AS (SELECT * FROM (VALUES ('stupid', ' stupid '), ('worthless', ' worthless ')) v(id, s))
-SELECT doc_id, id, CAST((length(t) - length(replace(t, s, ''))) // length(s) AS INT) AS n FROM w, p WHERE contains(t, s)""")
+@query("""WITH n AS (SELECT doc_id, unnest(['stupid', 'worthless', 'we', 'you', 'onthe']) AS id, unnest([len(regexp_extract_all(text, '(?i)\\bstupid\\b')), len(regexp_extract_all(text, '(?i)\\bworthless\\b')), len(regexp_extract_all(text, '(?i)\\b(we|our|us)\\b')), len(regexp_extract_all(text, '(?i)\\b(you|your)\\b')), len(regexp_extract_all(text, '(?i)\\bof[ \\t\\n\\r\\x0b\\f]+the\\b'))]) AS n FROM documents)
+SELECT doc_id, id, CAST(n AS INT) AS n FROM n WHERE n > 0""")
 def d15_rules_by_text(spark, sf):
-    """D15, I2, I3 and I15 on English text: every rule against every text, the rules being few."""
-    phrases = spark.createDataFrame(_PHRASES[:2], "id string, pattern string")
-    return R.phrase_counts(docs(spark, sf).where("lang = 'en'"), phrases)
+    """Every rule against every text, the rules being few."""
+    return R.phrase_counts(docs(spark, sf), spark.createDataFrame(_PHRASES, "id string, pattern string"))
 
 
 @query()
@@ -126,50 +127,50 @@ def b9_guarded_substitutions(spark, sf):
     apply = R.guarded_substitutions([(r"\bthe\b", "The"), (r"\bof of\b", "of"), (r"\bis\b", "was")])
     rows = docs(spark, sf).select("doc_id", "text", apply("text").alias("r"))
     ratio = T.word_count(F.col("r.text")) / F.greatest(T.word_count(F.col("text")), F.lit(1))
-    return rows.select("doc_id", F.col("r.count").alias("applied"), (~ratio.between(0.995, 1.005)).alias("reverted"), F.md5(F.col("r.text").cast("binary")).alias("text_md5"))
+    return rows.select("doc_id", F.col("r.count").alias("applied"), (~ratio.between(0.995, 1.005)).alias("reverted"), F.md5(F.when(ratio.between(0.995, 1.005), F.col("r.text")).otherwise(F.col("text")).cast("binary")).alias("text_md5"))
 
 
-@query("SELECT c_custkey, concat(upper(left(lower(t), 1)), substring(replace(replace(lower(t), 'usa', 'USA'), 'pbs wisconsin', 'PBS Wisconsin'), 2)) AS title FROM (SELECT c_custkey, concat('The ', c_mktsegment, ' of USA and PBS WISCONSIN ', CAST(c_nationkey AS STRING)) AS t FROM customer)")
+@query("SELECT c_custkey, concat(upper(left(lower(t), 1)), substring(replace(replace(lower(t), 'usa', 'USA'), 'lake radio', 'LAKE Radio'), 2)) AS title FROM (SELECT c_custkey, concat('The ', c_mktsegment, ' of USA and LAKE RADIO ', CAST(c_nationkey AS STRING)) AS t FROM customer)")
 def b11_down_style(spark, sf):
-    """B11, B12 and N29."""
-    title = F.concat(F.lit("The "), F.col("c_mktsegment"), F.lit(" of USA and PBS WISCONSIN "), F.col("c_nationkey").cast("string"))
-    return raw(spark, sf, "customer").select("c_custkey", R.down_style(title, ["PBS Wisconsin", "USA", "Wisconsin"]).alias("title"))
+    title = F.concat(F.lit("The "), F.col("c_mktsegment"), F.lit(" of USA and LAKE RADIO "), F.col("c_nationkey").cast("string"))
+    return raw(spark, sf, "customer").select("c_custkey", R.down_style(title, ["LAKE Radio", "USA", "Radio"]).alias("title"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN rtrim(regexp_replace(left(text, 99), '\\s\\S*$', '')) || '…' ELSE text END AS cut FROM documents WHERE NOT contains(text, chr(9))")
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN rtrim(regexp_replace(left(text, 99), '\\s\\S*$', '')) || '…' ELSE text END AS cut FROM documents")
 def b14_truncate(spark, sf):
-    return docs(spark, sf).where(~F.contains("text", F.lit("\t"))).select("doc_id", T.truncated(F.col("text"), 100).alias("cut"))
+    return docs(spark, sf).select("doc_id", T.truncated(F.col("text"), 100).alias("cut"))
 
 
 @query("SELECT doc_id, string_split(text, chr(10))[1] AS recommended, array_to_string(list_filter(list_transform(string_split(string_split(text, chr(10))[1], ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM documents")
 def b15_field_extract(spark, sf):
-    """A recommended value under a heading, a tag list in a fence."""
+    """A recommended value under a heading and a tag list in a fence, of any text."""
     first = F.split("text", "\n")[0]
     page = F.concat(F.lit("## Title\n\n**Recommended:** "), first, F.lit("\n\n```tags\n"), first, F.lit("\n```\n"))
     tags = F.filter(F.transform(F.split(F.regexp_extract("page", r"(?s)```tags\n(.*?)\n```", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     return docs(spark, sf).select("doc_id", page.alias("page")).select("doc_id", F.regexp_extract("page", r"## Title\s+\*\*Recommended:\*\* ([^\n]*)", 1).alias("recommended"), F.array_join(tags, "|").alias("tags"))
 
 
-@query("SELECT doc_id, trim(text, chr(10) || ' ') AS body FROM documents WHERE lang = 'de' AND NOT contains(text, '---') AND NOT contains(text, '**')")
+@query(r"SELECT doc_id, regexp_replace(text, '\A[ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+\z', '', 'g') AS body, regexp_replace(regexp_replace(text, '\A[ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+\z', '', 'g'), '\n---+[ \t\n\r\x0b\f]*\z', '') AS chunk FROM documents")
 def b18_strip_wrappers(spark, sf):
-    """Think blocks, provenance, fences and attribution lines go, the text stays."""
-    rows = docs(spark, sf).where((F.col("lang") == "de") & ~F.contains("text", F.lit("---")) & ~F.contains("text", F.lit("**")))
+    """Think blocks, provenance, lines before a fence, fences and attribution lines go, the text stays."""
     wrapped = F.concat(F.lit("<think>plan\nmore</think>\n```markdown\n"), F.col("text"), F.lit("\n```"))
-    signed = F.concat(F.lit("<!-- model: m | tier: 1 -->\n**Speaker:**\n"), F.lit("**Model:** x\n"), F.lit("---"))
-    kept = F.when(T.clean_chunk(signed) == "**Speaker:**", T.without_reasoning(wrapped))
-    return rows.select("doc_id", F.regexp_replace(kept, r"^[\n ]+|[\n ]+$", "").alias("body"))
+    signed = F.concat(F.lit("<!-- model: m | tier: 1 -->\nSure, here it is.\n```markdown\n**Model:** x\n"), F.col("text"), F.lit("\n```\n"))
+    return docs(spark, sf).select("doc_id", T.strip(T.without_reasoning(wrapped)).alias("body"), T.clean_chunk(signed).alias("chunk"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before FROM conversations) SELECT conv_id, turn, CASE WHEN text = before AND text <> '' THEN 1 ELSE 0 END AS echo FROM t")
+@query("""SELECT doc_id, CASE WHEN doc_id % 9 BETWEEN 1 AND 6 AND n >= doc_id % 9 THEN CAST(doc_id % 9 AS INT) ELSE 0 END AS echo FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '')) AS n FROM documents)""")
 def f10_seam_echo(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn", "text")
-    rows = raw(spark, sf, "conversations").select("conv_id", "turn", F.array("text").alias("turns"), F.lag(F.array("text")).over(w).alias("before"))
-    return rows.select("conv_id", "turn", F.when(F.col("before").isNotNull(), C.seam_echo(F.col("before"), F.col("turns"))).otherwise(0).alias("echo"))
+    """a part that starts with the last 0 to 8 items of the one before; six at most count."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    rows = docs(spark, sf).select("doc_id", F.transform(words, lambda w, i: F.concat(w, F.lit("#"), i.cast("string"))).alias("w"))
+    m = (F.col("doc_id") % 9).cast("int")
+    after = F.concat(F.when((m > 0) & (F.size("w") >= m), F.slice("w", -m, m)).otherwise(F.array().cast("array<string>")), F.array(F.lit("new"), F.lit("words")))
+    return rows.select("doc_id", C.seam_echo(F.col("w"), after).alias("echo"))
 
 
 @query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS merged, count(*) AS parts FROM conversations GROUP BY conv_id")
 def f11_merge_chunks(spark, sf):
-    """The parts of one document, a bounded list, joined in order."""
+    """the parts of one document, a bounded list, joined in order."""
     rows = raw(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("parts"))
     return rows.select("conv_id", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "\n").cast("binary")).alias("merged"), F.size("parts").cast("long").alias("parts"))
 
@@ -185,7 +186,7 @@ def chapters(spark, sf) -> DataFrame:
 @query(f"""{_L}, {_CH}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start_ms ORDER BY ord) AS k FROM ch), e AS (SELECT doc_id, start_ms, title FROM u WHERE k = 1 AND start_ms <> 0 AND start_ms <= media_end UNION ALL SELECT DISTINCT doc_id, 0, 'Intro' FROM ch),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms) AS n FROM e) SELECT doc_id, CAST(n AS INT) AS n, start_ms, title, coalesce(lead(start_ms) OVER (PARTITION BY doc_id ORDER BY start_ms) - 1, 30000) AS end_ms FROM r WHERE n <= 6""")
 def f4_snap_chapters(spark, sf):
-    """F3, F4, I17 and N27."""
+    """F3, F4 and I17."""
     return C.snapped(chapters(spark, sf), "Intro", 6)
 
 
@@ -199,16 +200,29 @@ def f5_islands(spark, sf):
     return C.missing_runs(status, 2)
 
 
-@query()
+_CAP = f"{_L.replace('WITH s', 'WITH RECURSIVE s')}, cap AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, count(*) OVER (PARTITION BY doc_id) AS total, n, line FROM lines WHERE trim(line) <> '')"
+
+
+@query(f"""{_CAP}, c AS (SELECT doc_id, i, (n - 1) * 3000 AS s, (n - 1) * 3000 + n * 7 % 5 * 900 AS e, line AS t FROM cap), m AS (SELECT doc_id, i, 1 AS k, s, CASE WHEN e <= s THEN s + 1000 ELSE e END AS e, t FROM c WHERE i = 1
+UNION ALL SELECT doc_id, i, CASE WHEN same OR short THEN k ELSE k + 1 END, CASE WHEN same OR short THEN s ELSE s1 END, CASE WHEN same THEN greatest(e, ce) ELSE e1 END, CASE WHEN same THEN t WHEN short THEN t || chr(10) || ct ELSE ct END FROM (
+SELECT *, e1 - s1 < 1000 AND s1 - e < 500 AS short FROM (SELECT m.doc_id, c.i, m.k, m.s, m.e, m.t, c.e AS ce, c.t AS ct, trim(c.t) = trim(m.t, chr(10) || ' ') AS same, CASE WHEN c.e <= c.s THEN c.s + 1000 ELSE c.e END AS e1, greatest(c.s, m.e + 50) AS s1 FROM m JOIN c ON c.doc_id = m.doc_id AND c.i = m.i + 1)))
+SELECT doc_id, CAST(k AS INT) AS index, arg_max(s, i) AS start_ms, arg_max(e, i) AS end_ms, arg_max(t, i) AS text FROM m GROUP BY doc_id, k""")
 def f6_clean_captions(spark, sf):
+    """F6 on captions of 0 to 3.6 seconds, three seconds apart."""
     clean = F.pandas_udf(C.cleaned, C.CAPTIONS)
-    return captions(spark, sf).select("doc_id", F.explode(clean("captions")).alias("c")).select("doc_id", "c.*")
+    uneven = F.transform("captions", lambda c: F.struct(c["index"].alias("index"), c["start_ms"].alias("start_ms"), (c["start_ms"] + c["index"] * 7 % 5 * 900).alias("end_ms"), c["text"].alias("text")))
+    return captions(spark, sf).select("doc_id", F.explode(clean(uneven)).alias("c")).select("doc_id", "c.*")
 
 
-@query()
+@query(f"""{_CAP}, t AS (SELECT doc_id, i - 1 AS i, total, CASE WHEN n % 17 = 0 THEN '>> ' ELSE '' END || line AS t FROM cap), w AS (SELECT *, len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '')) AS words, lead(starts_with(ltrim(t), '>>')) OVER (PARTITION BY doc_id ORDER BY i) AS before_turn, regexp_matches(trim(t), '[.?!]$') AS ended FROM t),
+p AS (SELECT *, sum(words) OVER (PARTITION BY doc_id) AS every, min(CASE WHEN before_turn THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS turn, min(CASE WHEN ended THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS sentence FROM w),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS acc, true AS opens FROM p WHERE i = 0 UNION ALL SELECT doc_id, CASE WHEN cut THEN coalesce(turn, sentence, i) + 1 ELSE i + 1 END, CASE WHEN cut THEN 0 ELSE acc END, cut FROM (SELECT p.doc_id, p.i, p.turn, p.sentence, r.acc + p.words AS acc, r.acc + p.words >= 120 AND p.i < p.total - 1 AND p.every >= 180 AS cut FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i)),
+o AS (SELECT r.doc_id, r.i AS first, coalesce(lead(r.i) OVER (PARTITION BY r.doc_id ORDER BY r.i), p.total) AS next, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.i) - 1 AS chunk FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i WHERE opens)
+SELECT o.doc_id, CAST(chunk AS INT) AS chunk, CAST(first AS INT) AS first, CAST(next - first AS INT) AS captions, CAST(sum(words) AS BIGINT) AS words FROM o JOIN p ON p.doc_id = o.doc_id AND p.i >= first AND p.i < next GROUP BY ALL""")
 def f7_chunk_captions(spark, sf):
-    """Greedy chunks with look-ahead to a turn's or a sentence's end."""
-    return C.chunked(captions(spark, sf))
+    """greedy chunks with look-ahead to a turn's or a sentence's end; short documents are one chunk."""
+    marked = F.transform("captions", lambda c: F.struct(c["index"].alias("index"), c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), F.concat(F.when(c["index"] % 17 == 0, ">> ").otherwise(""), c["text"]).alias("text")))
+    return C.chunked(captions(spark, sf).select("doc_id", marked.alias("captions")))
 
 
 @query()
@@ -238,17 +252,23 @@ def h4_trigram_overlap(spark, sf):
     return both.where("coverage >= 0.5").select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"))
 
 
-@query("SELECT doc_id, len(ws) AS source_words, CAST(floor(len(ws) * 0.6) AS BIGINT) AS output_words, len(ws) >= 500 AND floor(len(ws) * 0.6) / len(ws) < 0.7 AS incomplete FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)")
+@query("""WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), o AS (SELECT doc_id, text, array_to_string(ls[1:CAST(floor(len(ls) * (doc_id % 5 + 6) / 10) AS INT)], chr(10)) AS output FROM s), n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '')) AS source_words, len(list_filter(regexp_split_to_array(output, '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '')) AS output_words FROM o)
+SELECT doc_id, source_words, output_words, source_words >= 500 AND output_words / source_words < 0.7 AS incomplete FROM n""")
 def j3_completeness(spark, sf):
     """Output of 0.7 of the source's words or more is complete; short sources are not judged."""
     n = T.source_words(F.concat(F.lit("1\n00:00:00,000 --> 00:00:02,000\n"), F.col("text"))).cast("long")
-    rows = docs(spark, sf).select("doc_id", n.alias("source_words")).withColumn("output_words", F.floor(F.col("source_words") * 0.6))
+    ls = F.split("text", "\n")
+    output = F.array_join(F.slice(ls, F.lit(1), F.floor(F.size(ls) * (F.col("doc_id") % 5 + 6) / 10).cast("int")), "\n")
+    rows = docs(spark, sf).select("doc_id", n.alias("source_words"), T.word_count(output).cast("long").alias("output_words"))
     return rows.select("doc_id", "source_words", "output_words", ((F.col("source_words") >= 500) & (F.try_divide("output_words", "source_words") < 0.7)).alias("incomplete"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), o AS (SELECT doc_id, ls, regexp_extract_all(lower(array_to_string(ls[1:len(ls) // 3] || ls[2 * (len(ls) // 3) + 1:], chr(10))), '[a-z'']{3,}') AS w FROM d), og AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM o),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS ord, regexp_extract_all(lower(unnest(ls)), '[a-z'']{3,}') AS w FROM d), c AS (SELECT doc_id, ord, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS own FROM l),
+s AS (SELECT c.doc_id, ord, CASE WHEN len(own) > 0 THEN len(list_intersect(own, g)) / len(own) < 0.34 END AS missing FROM c JOIN og ON c.doc_id = og.doc_id), r AS (SELECT *, sum(CASE WHEN missing = false THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM s)
+SELECT doc_id, CAST(min(ord) AS INT) AS first, CAST(max(ord) AS INT) AS last, count(*) AS missing FROM r WHERE missing GROUP BY doc_id, run HAVING count(*) >= 3""")
 def j4_seam_coverage(spark, sf):
-    """Captions missing from an output that lacks each document's middle third."""
+    """Captions missing from an output that lacks each document's middle third."""
     d = docs(spark, sf).select("doc_id", F.split("text", "\n").alias("ls"))
     third = F.floor(F.size("ls") / 3).cast("int")
     output = d.select("doc_id", F.array_join(F.concat(F.slice("ls", F.lit(1), third), F.slice("ls", 2 * third + 1, F.size("ls"))), "\n").alias("output"))
@@ -260,34 +280,40 @@ def j4_seam_coverage(spark, sf):
 def h6_sequence_diff(spark, sf):
     """Phrases that differ between a line and its edited form."""
     edited = F.regexp_replace(F.regexp_replace("line", r"\bthe\b", "a"), r"\band\b ", "")
-    rows = lines(spark, sf).where("n = 1").select("doc_id", T.tokens(F.col("line")).alias("old"), T.tokens(edited).alias("new"))
-    return rows.select("doc_id", F.posexplode(R.replaced_phrases()("old", "new")).alias("ord", "p")).select("doc_id", "ord", "p.old", "p.new")
+    rows = lines(spark, sf).select("doc_id", "n", T.tokens(F.col("line")).alias("old"), T.tokens(edited).alias("new"))
+    return rows.select("doc_id", "n", F.posexplode(R.replaced_phrases()("old", "new")).alias("ord", "p")).select("doc_id", "n", "ord", "p.old", "p.new")
 
 
-@query("SELECT text_len AS n_tokens, count(*) AS docs FROM (SELECT len(regexp_extract_all(string_split(text, chr(10))[1], '[\\p{L}\\p{N}_\\p{M}''’\\-]+|[^\\p{L}\\p{N}_\\p{M}\\s]')) AS text_len FROM documents) GROUP BY 1")
+@query("SELECT text_len AS n_tokens, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}''’\\-]+|[^\\p{L}\\p{N}_\\p{M}\\s]')) AS text_len FROM documents) GROUP BY 1")
 def b23_tokenise(spark, sf):
-    return docs(spark, sf).select(F.size(T.tokens(F.split("text", "\n")[0])).cast("long").alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    return docs(spark, sf).select(F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("docs"))
+
 
+_OWN = "WITH l AS (SELECT doc_id, unnest(CASE WHEN doc_id % 4 = 0 THEN [lang, 'Ann ' || lang, 'Ann Lee ' || lang] WHEN doc_id % 4 = 1 THEN ['Bob Day', 'Day Bob', 'Day'] ELSE ['Eve', 'Eva'] END) AS label FROM documents), w AS (SELECT *, list_distinct(string_split(lower(label), ' ')) AS ws FROM l)"
 
-@query("""WITH l AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '')))[1:4] AS w FROM documents WHERE lang = 'en')
-SELECT doc_id, len(w) AS labels FROM l""")
+
+def _own_labels() -> Column:
+    """A few labels of each document, some of them parts of others."""
+    array = lambda *xs: F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs))
+    full = array(F.col("lang"), F.concat(F.lit("Ann "), "lang"), F.concat(F.lit("Ann Lee "), "lang"))
+    return F.when(F.col("doc_id") % 4 == 0, full).when(F.col("doc_id") % 4 == 1, array("Bob Day", "Day Bob", "Day")).otherwise(array("Eve", "Eva"))
+
+
+@query(f"{_OWN} SELECT doc_id, (SELECT count(*) FROM w a JOIN w b ON a.doc_id = b.doc_id AND len(a.ws) < len(b.ws) AND list_has_all(b.ws, a.ws) WHERE a.doc_id = d.doc_id) AS pairs FROM documents d")
 def d12_label_subsets(spark, sf):
-    """Labels of a document; pairs where one's words are a strict part of the other's come from subset_labels."""
-    words = F.filter(F.split(F.regexp_replace(F.split("text", "\n")[0], "[^A-Za-z ]", ""), " "), lambda x: x != "")
-    labels = F.slice(F.sort_array(F.array_distinct(words)), 1, 4)
-    return docs(spark, sf).where("lang = 'en'").select("doc_id", F.size(labels).cast("long").alias("labels"))
+    """For each document, pairs of labels where one's words are a strict part of the other's."""
+    return docs(spark, sf).select("doc_id", F.size(R.subset_labels(_own_labels())).cast("long").alias("pairs"))
 
 
-@query()
+@query(f"{_OWN} SELECT a.doc_id, a.label AS short, b.label AS long FROM w a JOIN w b ON a.doc_id = b.doc_id AND len(a.ws) < len(b.ws) AND list_has_all(b.ws, a.ws)")
 def d12b_subset_pairs(spark, sf):
-    labels = F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.substring(x, 1, 24))
-    return docs(spark, sf).select("doc_id", F.explode(R.subset_labels(F.array_distinct(labels))).alias("p")).select("doc_id", "p.short", "p.long")
+    return docs(spark, sf).select("doc_id", F.explode(R.subset_labels(_own_labels())).alias("p")).select("doc_id", "p.short", "p.long")
 
 
 @query()
 def d10_greedy_match(spark, sf):
     """Flags claim violations in order, one group a document and source (both few rows)."""
-    rows = lines(spark, sf).where("n <= 8").select(F.col("doc_id").alias("job"), F.col("lang").alias("phase"), F.when(F.col("n") % 2 == 0, "lint").otherwise("flag").alias("kind"), F.col("n").alias("ord"), F.array((F.length("line") % 5).cast("string"), (F.length("line") % 3).cast("string")).alias("rules"))
+    rows = lines(spark, sf).select(F.col("doc_id").alias("job"), F.col("lang").alias("phase"), F.when(F.col("n") % 2 == 0, "lint").otherwise("flag").alias("kind"), F.col("n").alias("ord"), F.array((F.length("line") % 5).cast("string"), (F.length("line") % 3).cast("string")).alias("rules"))
     return rows.groupBy("job", "phase").applyInPandas(R.greedy_matches, "job long, phase string, both long, lint_only long, flag_only long")
 
 
@@ -313,7 +339,9 @@ def c11b_phrase_match(spark, sf):
     return S.phrase(S.postings(docs(spark, sf).where("lang IS NOT NULL")), ["of", "the"])
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id FROM ({0}) ORDER BY score DESC, doc_id LIMIT 10), w AS (SELECT doc_id, regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\f]+') AS ws FROM documents WHERE doc_id IN (SELECT doc_id FROM h)),
+p AS (SELECT *, list_transform(ws, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS ls FROM w), q AS (SELECT *, coalesce(least(list_position(ls, 'stupid'), list_position(ls, 'worthless')), list_position(ls, 'stupid'), list_position(ls, 'worthless'), 1) AS place FROM p)
+SELECT doc_id, array_to_string(ws[greatest(1, place - 16):greatest(1, place - 16) + 31], ' ') AS snippet FROM q""".format(_BM.replace("'stupid', 'worthless', 'thheer'", "'stupid', 'worthless'")))
 def j1b_snippets(spark, sf):
     hits = S.bm25(docs(spark, sf), ["stupid", "worthless"], 10).select("doc_id")
     return docs(spark, sf).join(F.broadcast(hits), "doc_id").select("doc_id", S.snippet(F.col("text"), ["stupid", "worthless"]).alias("snippet"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,29 @@ METRICS = "label string, transcript string, phases array<struct<phase:string,ok:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is named (local tests)."""
+    """The cluster's shared folder; a temporary one where none is named on a local master (tests), an error elsewhere."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows added to a table's files; what is there stays."""
+    df.write.mode("append").parquet(path)
+
+
 def jsonl(spark: SparkSession, path: str, schema: str = SOAK) -> DataFrame:
     """Rows of a JSONL log; blank lines vanish and malformed ones are dropped."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).cache()
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
