@@ -6,9 +6,9 @@ overlaps enough of its tokens, and every opened pair is verified exactly.
 
 Only the first tokens of a set in a global order (rare before frequent) enter the matrix: two sets that link share
 at least ``ell`` of their first n - ceil(threshold * n) + ell tokens, so the overlap of a query with a group's union
-is a bound that loses no link. A few rounds of stars around pivots first find most components. Groups are parts of large
-components, and elsewhere of the documents whose nearest pivot is the same, linked or not; a query opens only
-groups with members outside its own component. An opened group is answered as a whole: all its overlaps come from
+is a bound that loses no link. One pass of stars around pivots first gives each document its nearest pivot and joins families of
+near copies, so that these don't open one another's groups. Groups are parts of large components, and elsewhere of the
+documents whose nearest pivot is the same, linked or not; a query opens only groups with members outside its own component. An opened group is answered as a whole: all its overlaps come from
 one pass over the query's tokens, and only links that join components are returned.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_batches, small, stage, unstage
@@ -31,8 +31,6 @@ MAX_FREQUENT, LEAST_LIMIT = 400_000, 64
 GROUP, BLOCK = 64, 64
 #: Classes from which a component has groups of its own.
 OWN_GROUPS = 16
-#: Rounds of stars before the matrix: in each, every token's classes are held against one of them.
-STARS = 3
 #: Rows of an id table up to which it is broadcast (three longs a row).
 MAX_BROADCAST = 500_000
 _FULL_ELL, _FULL_FROM = 3, 24
@@ -213,40 +211,39 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     A-Z lower-cased; component_id is the smallest doc_id reachable by links, the document itself included.
     A null, empty or wordless text has an empty set and links with nothing; a text with fewer than k words has its whole
     sequence as its one shingle. Rows that repeat a doc_id and text are returned as often as they come. Other columns
-    are left out; an empty table gives an empty one. doc_id must not be null: such rows are dropped.
+    are left out; an empty table gives an empty one. A row with a null doc_id links with nothing and has a null component_id.
     Sets are told apart by a 64-bit hash and their size; all overlaps are counted on whole sets.
     """
     spark = docs.sparkSession
-    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = stage(docs.mapInArrow(_signatures(k), "doc_id long, n long, h long"), "signatures")
+    nameless = signs.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    docs, signs = docs.where("doc_id IS NOT NULL"), signs.where("doc_id IS NOT NULL")
     classes = stage(signs.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     frequent = spark.sparkContext.broadcast(_frequent(docs, k, percent))
-    posts = docs.select("text").mapInArrow(_postings(k, percent, frequent), "token long, h long, n long")
-    by_token = Window.partitionBy("token")
+    posts = stage(docs.select("text").mapInArrow(_postings(k, percent, frequent), "token long, h long, n long"), "prefixes")
+    # tokens of one class alone link nothing; extremes meet before the shuffle, and joins can split a token of many rows
     key = F.struct("n", "h")
-    posts = posts.withColumn("low", F.min(key).over(by_token)).withColumn("high", F.max(key).over(by_token)).where("low <> high")
-    posts = posts.select("token", "h", "n").distinct().join(classes, ["h", "n"])
+    shared = posts.groupBy("token").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("token")
+    every = posts
+    posts = posts.join(shared, "token", "left_semi").distinct().join(classes, ["h", "n"])
     posts = stage(posts.select("token", "rep", "n"), "postings")
+    unstage(every)
 
     of_size = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     need = lambda a, b: F.when(F.least(a, b) >= _FULL_FROM, _FULL_ELL).otherwise(1)
-    nodes = stage(posts.groupBy("rep").agg(F.first("n").alias("n"), F.col("rep").alias("comp")), "nodes")
-    links = nodes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
-    like = None
-    for turn in range(STARS):
-        member = posts.join(nodes.select("rep", "comp"), "rep")
-        member = member.withColumn("p", F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp", "n")).over(by_token))
-        star = member.select("rep", "n", "comp", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-        star = star.where((F.col("comp") != F.col("pc")) & of_size("n", "pn")).groupBy("rep", "n", "comp", "pivot", "pn", "pc").agg(F.count("*").alias("both"))
-        star = stage(star.where(F.col("both") >= need("n", "pn")), "star")
-        if like is None:
-            nearest = F.max_by("pivot", F.struct("both", -F.col("pivot")))
-            like = stage(star.groupBy("rep").agg(nearest.alias("like")), "like")
-        asked = star.select(F.col("pivot").alias("cluster"), F.lit(0).cast("long").alias("part"), F.col("rep").alias("u"), "comp")
-        pivots = star.select(F.col("pivot").alias("cluster"), F.lit(0).cast("long").alias("part"), F.col("pivot").alias("rep"), F.col("pc").alias("comp")).distinct()
-        links = stage(links.unionByName(_opened_links(docs, pivots, asked, k, percent)), "all-links")
-        nodes = _joined(nodes, links)
+    nodes = stage(posts.groupBy("rep").agg(F.first("n").alias("n")), "nodes")
+    pivots = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("x"), "rep", "n")).alias("p"))
+    star = posts.join(pivots, "token").select("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"))
+    star = star.where((F.col("rep") != F.col("pivot")) & of_size("n", "pn")).groupBy("rep", "n", "pivot", "pn").agg(F.count("*").alias("both"))
+    star = stage(star.where(F.col("both") >= need("n", "pn")), "star")
+    like = stage(star.groupBy("rep").agg(F.max_by("pivot", F.struct("both", -F.col("pivot"))).alias("like")), "like")
+    first = F.lit(0).cast("long").alias("part")
+    asked = star.select(F.col("pivot").alias("cluster"), first, F.col("rep").alias("u"), F.col("rep").alias("comp"))
+    middle = star.select(F.col("pivot").alias("cluster"), first, F.col("pivot").alias("rep"), F.col("pivot").alias("comp")).distinct()
+    links = _opened_links(docs, middle, asked, k, percent)
+    nodes = _joined(nodes, links)
 
     nodes = _with_count(nodes, "comp", OWN_GROUPS).join(like, "rep", "left")
     alone = F.col("members").isNotNull()
@@ -255,6 +252,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     nodes = _with_count(nodes, "cluster", GROUP + 1).withColumn("part", F.pmod(F.xxhash64("rep"), parts))
     nodes = stage(nodes.select("rep", "n", "comp", "cluster", "part"), "groups")
     member = posts.select("token", "rep").join(nodes, "rep")
+    mixed = member.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    member = stage(member.join(mixed, "token", "left_semi"), "members")
     matrix = member.groupBy("token", "cluster", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     query = member.select("token", F.col("rep").alias("u"), F.col("n").alias("qn"), F.col("comp").alias("qc"), F.struct("cluster", "part").alias("home"))
     bound = (F.col("home") >= F.struct("cluster", "part")) & ((F.col("c0") != F.col("qc")) | (F.col("c1") != F.col("qc")))
@@ -265,10 +264,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     final = _joined(nodes, links.unionByName(more))
 
     of_class = stage(classes.join(final.select("rep", "comp"), "rep", "left").select("h", "n", F.coalesce("comp", "rep").alias("component_id")), "of-class")
-    unstage(posts, opened, like)
+    unstage(posts, opened, like, member)
     full = signs.where("n > 0").join(of_class, ["h", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = signs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(none)
+    return full.unionByName(none).unionByName(nameless)
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
