@@ -1,7 +1,8 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is reduced to at most a few thousand bins; dynamic programming over it chooses the
-bucket boundaries with the least padding; batches within a token budget form inside each bucket.
+Dynamic programming over the global histogram of all distinct lengths chooses the bucket boundaries with the least
+padding; batches within a token budget form inside each bucket. A histogram has a row for each distinct length: at most
+the square root of twice all tokens together, and in practice as many as the longest documents have words.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from weftline.llm.common import stage
 
 N_BUCKETS, TOKEN_BUDGET = 16, 32_768
-#: Lengths up to FINE have a bin each; longer ones FINE / 2 bins for every doubling. A bin's bound is its longest length.
-FINE = 256
 #: Rows in a shard of a bucket; batches are numbered inside a shard, so no bucket meets in one task.
 SHARD = 50_000
 
@@ -24,36 +23,39 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _bin(n: Column) -> Column:
-    octave = F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - int(np.log2(FINE)) + 1, F.lit(0))
-    step = F.pow(F.lit(2.0), octave).cast("long")
-    return F.when(n < FINE, n).otherwise(F.floor(n / step) * step).cast("long")
+def optimal_bounds(length: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[list[int], int]:
+    """(bucket bounds, padding): the partition of ascending lengths into at most that many buckets with the least padding.
 
-
-def optimal_bounds(longest: np.ndarray, rows: np.ndarray, total: np.ndarray, buckets: int) -> tuple[list[int], int]:
-    """(bucket bounds, padding): the partition of ascending bins into at most that many buckets with the least padding.
-
-    A bucket pads each of its rows to its longest length. Of equal partitions, the one with fewer buckets wins, then the one
-    whose last cut comes first.
+    A bucket pads each of its rows to its longest length. Of equal partitions, the one with fewer buckets wins. The best
+    last cut never moves back as the end moves on, so each layer halves: the cut of a middle end bounds those on both sides.
     """
-    n = len(longest)
+    n = len(length)
     if not n:
         return [], 0
-    cum_rows, cum_total = np.concatenate([[0], np.cumsum(rows)]), np.concatenate([[0], np.cumsum(total)])
-    best = np.full(n + 1, np.inf)
-    best[0], cuts, ends = 0, [], []
+    cum_rows = np.concatenate([[0], np.cumsum(rows)])
+    cum_total = np.concatenate([[0], np.cumsum(length * rows)])
+    best, cuts, ends = np.full(n + 1, np.inf), [], []
+    best[0] = 0
     for _ in range(min(buckets, n)):
         now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            cost = best[:j] + longest[j - 1] * (cum_rows[j] - cum_rows[:j]) - (cum_total[j] - cum_total[:j])
-            cut[j] = int(np.argmin(cost))
-            now[j] = cost[cut[j]]
+        spans = [(1, n, 0, n - 1)]
+        while spans:
+            low, high, first, last = spans.pop()
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            cost = best[i] + length[j - 1] * (cum_rows[j] - cum_rows[i]) - (cum_total[j] - cum_total[i])
+            cut[j] = i[int(np.argmin(cost))]
+            now[j] = cost.min()
+            if low < j:
+                spans.append((low, j - 1, first, int(cut[j])))
+            if j < high:
+                spans.append((j + 1, high, int(cut[j]), last))
         cuts.append(cut)
         ends.append(now[n])
         best = now
     used, at, bounds = int(np.argmin(ends)), n, []
     for k in range(used, -1, -1):
-        bounds.append(int(longest[at - 1]))
+        bounds.append(int(length[at - 1]))
         at = int(cuts[k][at])
     return bounds[::-1], int(min(ends))
 
@@ -61,18 +63,18 @@ def optimal_bounds(longest: np.ndarray, rows: np.ndarray, total: np.ndarray, buc
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """(doc_id, length, bucket, bucket_length, batch, padding) of every row of docs.
 
-    length is a Column of lengths, by default the words of text; null counts as 0. bucket_length is the padded length of a row;
-    rows of a batch times that stay within budget, but a row longer than the budget has a batch of its own. batch is
+    length is a Column of lengths, by default the words of text as its tokens; null counts as 0. bucket_length is the padded length of a
+    row; rows of a batch times that stay within budget (in units of length), but a row longer than the budget has a batch of its own. batch is
     unique in the result. Repeated rows are packed as often as they come; other columns are left out; an empty table
     gives an empty one.
     """
     length = F.coalesce(word_count(F.col("text")) if length is None else length.cast("long"), F.lit(0).cast("long"))
     rows = stage(docs.select("doc_id", length.alias("length")), "lengths")
-    histogram = rows.groupBy(_bin(F.col("length")).alias("bin")).agg(F.max("length").alias("longest"), F.count("*").alias("rows"), F.sum("length").alias("total")).toPandas().sort_values("bin")
-    bounds, _ = optimal_bounds(*(histogram[c].to_numpy(np.int64) for c in ("longest", "rows", "total")), buckets)
+    histogram = rows.groupBy("length").count().toPandas().sort_values("length")
+    bounds, _ = optimal_bounds(histogram["length"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), buckets)
     if not bounds:
         return rows.select("doc_id", "length", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_length"), F.lit("").alias("batch"), F.lit(0).cast("long").alias("padding"))
-    counts = [int(histogram["rows"][(histogram["longest"] <= b) & (histogram["longest"] > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)]
+    counts = [int(histogram["count"][(histogram["length"] <= b) & (histogram["length"] > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)]
     edges = F.array(*map(F.lit, bounds))
     rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("length"))))
     size = F.element_at(edges, F.col("bucket") + 1).cast("long")
