@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block-level element starts a line. Lines of chrome (menus, adverts, footers, forms, ...)
-are dropped. Over sliding windows of the other lines the text lengths are summed; the text starts where the sum
-surges, ends where it dives to nothing for good, and everything between is kept.
+are dropped. Over sliding windows of the other lines the text lengths are summed, those of an article weighing more; the text
+starts where the sum surges, ends where it dives to nothing for good, and everything between is kept.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 
 from weftline.llm.common import bounded_batches
 
-#: Lines in a window; characters that a window outside an article needs to surge; share of link text that makes a shorter line a menu.
+#: Lines in a window; characters that a window needs to surge; share of link text that makes a shorter line outside an article a menu.
 WINDOW, SURGE, LINKS = 3, 80, 0.5
+#: What a character of an article counts: one is enough to surge, as an article may start with a short title or date.
+ARTICLE = SURGE
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 #: Elements without a text of their own, whose content runs to their end tag.
 _RAW = frozenset("script style noscript iframe template textarea title svg math object".split())
@@ -111,19 +113,27 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
 def main_text(page: str | None) -> str:
     """The main text of one page; empty for null, empty and textless pages.
 
-    Windows run over the lines that are not chrome, so an advert between two lines doesn't part them. Text starts at the
-    first line that stands in an article, or that begins or ends a window of SURGE characters; menu lines (short, and
-    half or more of it links) never start it. A page without such a line starts at its first line that is no menu, or else at
-    its first. From there on every line is kept: sums are nothing only after the last one.
+    Windows run over the lines that are not chrome, so an advert between two lines doesn't part them, and over those of an
+    article and those around it apart, so a site's name doesn't surge by the article that follows. Menu lines (short, half or more
+    of them links, outside an article) weigh nothing. Text runs from the first line with weight in a window of SURGE
+    characters that it begins or ends, to the last line with weight. Where no window surges it starts at the first line with
+    weight; where no line weighs anything, all of them are the text.
     """
     found = [x for x in lines(page or "") if x[0]]
-    size = [len(t) if links < LINKS or len(t) >= SURGE else 0 for t, _, links in found]
-    # lines around an article are measured by themselves: a site's name doesn't surge by the article that follows
-    outside = [0 if inside else n for n, (_, inside, _) in zip(size, found, strict=True)]
-    sums = [max(sum(outside[i : i + WINDOW]), sum(outside[max(0, i + 1 - WINDOW) : i + 1])) for i in range(len(found))]
-    starts = [i for i, (_, inside, _) in enumerate(found) if inside or (size[i] and sums[i] >= SURGE)]
-    starts = starts or [i for i, n in enumerate(size) if n] or [0]
-    return " ".join(t for t, _, _ in found[starts[0] :])
+    weight = [len(t) * ARTICLE if inside else len(t) if links < LINKS or len(t) >= SURGE else 0 for t, inside, links in found]
+    first, last = surge_and_dive(weight, [inside for _, inside, _ in found])
+    return " ".join(t for t, _, _ in found[first : last + 1])
+
+
+def surge_and_dive(weight: list[int], inside: list[bool]) -> tuple[int, int]:
+    """First and last line of the text, by the window sums of the lines' weights."""
+    own = {kind: [n if k == kind else 0 for n, k in zip(weight, inside, strict=True)] for kind in (False, True)}
+    some = [i for i, n in enumerate(weight) if n]
+    if not some:
+        return 0, len(weight) - 1
+    sums = lambda i, of: max(sum(of[i : i + WINDOW]), sum(of[max(0, i + 1 - WINDOW) : i + 1]))
+    surge = next((i for i in some if sums(i, own[inside[i]]) >= SURGE), some[0])
+    return surge, some[-1]
 
 
 def extract(pages: DataFrame) -> DataFrame:
