@@ -2,7 +2,8 @@
 
 Each role has two states, the first line of a turn and a later one. Long transcripts are cut into chunks: each
 chunk's best-path scores between all pairs of states are one small matrix, the matrices are chained over a
-transcript, and the chunks are then decoded between their end states, so the path is that of the whole transcript.
+transcript, and the chunks are then decoded between their end states, so the path is that of the whole transcript. Turns
+run on over chunks too: how a transcript is cut changes nothing in the result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_batches, crc_mod, small, stage
@@ -37,10 +38,12 @@ def marker(line: Column) -> Column:
     return out
 
 
-def without_marker(line: Column) -> Column:
-    for _, pattern in MARKERS:
-        line = F.regexp_replace(line, pattern, "")
-    return line
+def without_marker(line: Column, role: Column) -> Column:
+    """line without the marker of role, or else without the mark of a switch, at its start; other markers are text."""
+    own = F.lit("")
+    for r, pattern in MARKERS[:-1]:
+        own = F.when(role == r, F.regexp_extract(line, pattern, 0)).otherwise(own)
+    return F.when(own != "", F.substr(line, F.length(own) + 1)).otherwise(F.regexp_replace(line, MARKERS[-1][1], ""))
 
 
 def symbol(line: Column) -> Column:
@@ -55,8 +58,6 @@ def estimate(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     The pairs of neighbouring lines are counted per chunk of turns by a window; only the counts reach the driver.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("conv_id", "chunk").orderBy("turn", "line", "state")
     pairs = lines.withColumn("before", F.lag("state").over(order))
     emit, move, start = np.ones((STATES, N_SYMBOLS)), np.full((STATES, STATES), 0.01), np.full(STATES, 0.01)
@@ -115,10 +116,11 @@ def viterbi(enter: np.ndarray, move: np.ndarray, emit: np.ndarray, symbols: np.n
 
 
 def parse(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """(conv_id, chunk, turn, line, text, state, role): lines (conv_id, turn, line, text) with their recovered states.
+    """(conv_id, chunk, place, turn, line, text, state, role, opens): lines (conv_id, turn, line, text) with their recovered states.
 
-    A transcript's lines are ordered by turn, line and text. A null text counts as empty; rows with a null conv_id or turn are left
-    out; an empty table gives an empty one; other columns are left out.
+    A transcript's lines are ordered by turn, line and a hash of the text; place is a line's number in its chunk, opens whether a
+    turn starts there: in a first-line state, or at a change of role. A null text counts as empty; repeated rows are lines of their
+    own; rows with a null conv_id or turn are left out; an empty table gives an empty one; other columns are left out.
     """
     start, move, emit = model
     rows = bounded_batches(lines).where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", (F.col("turn") / CHUNK).cast("long").alias("chunk"), "turn", "line", F.coalesce("text", F.lit("")).alias("text"))
@@ -151,38 +153,48 @@ def parse(lines: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
         for g in _groups(batches, ["conv_id", "chunk"]):
             enter, leave = g.column("enter")[0].as_py(), g.column("leave")[0].as_py()
             states = viterbi(start if enter < 0 else move[enter], move, emit, g.column("symbol").to_numpy(), leave)
-            cols = [g.column(c).combine_chunks() for c in ("conv_id", "chunk", "turn", "line", "text")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(states, pa.int32()), pa.array([ROLES[s // 2] for s in states])], ["conv_id", "chunk", "turn", "line", "text", "state", "role"])
+            opens = [s % 2 == 0 or before < 0 or before // 2 != s // 2 for before, s in zip([enter, *states], states)]  # noqa: B905
+            conv, chunk, *cols = (g.column(c).combine_chunks() for c in ("conv_id", "chunk", "turn", "line", "text"))
+            place = pa.array(np.arange(len(states), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([conv, chunk, place, *cols, pa.array(states, pa.int32()), pa.array([ROLES[s // 2] for s in states]), pa.array(opens)], ["conv_id", "chunk", "place", "turn", "line", "text", "state", "role", "opens"])
 
     in_order = ("conv_id", "chunk", "turn", "line", "tie")
     chained = slim.repartition("conv_id", "chunk").sortWithinPartitions(*in_order).mapInArrow(matrices, "conv_id long, chunk long, m array<double>, entry array<double>")
     ends = stage(chained.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(borders, "conv_id long, chunk long, enter int, leave int"), "borders")
     whole = rows.withColumn("tie", F.xxhash64("text")).join(small(ends, 1_000_000), ["conv_id", "chunk"])
     whole = whole.repartition("conv_id", "chunk").sortWithinPartitions(*in_order)
-    return whole.mapInArrow(decode, "conv_id long, chunk long, turn long, line long, text string, state int, role string")
+    return whole.mapInArrow(decode, "conv_id long, chunk long, place long, turn long, line long, text string, state int, role string, opens boolean")
 
 
 def render(parsed: DataFrame) -> DataFrame:
-    """(conv_id, first_turn, first_line, role, n_lines, rendered): recovered turns in canonical form.
+    """(conv_id, first_turn, first_line, role, n_lines, rendered): the turns of parse() in canonical form.
 
-    A turn starts at a line in a first-line state, at a change of role, and at a chunk's first line.
+    A turn that runs on over chunks is one. Its first line loses the marker of its role, or a switch mark; nothing else of
+    the text changes but white space around the whole. A turn is one row, however long. Empty tables give empty ones.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id", "chunk").orderBy("turn", "line", "text")
-    opens = (F.col("state") % 2 == 0) | (F.lag("role").over(order) != F.col("role")) | F.lag("role").over(order).isNull()
-    numbered = parsed.withColumn("nth", F.sum(opens.cast("int")).over(order))
-    at = F.struct("turn", "line", F.when(F.col("nth") > 0, without_marker(F.col("text"))).alias("text"))
-    turns = numbered.groupBy("conv_id", "chunk", "nth", "role").agg(F.sort_array(F.collect_list(at)).alias("lines"))
+    parsed = stage(parsed, "parsed")
+    inside = Window.partitionBy("conv_id", "chunk").orderBy("place")
+    numbered = parsed.withColumn("nth", F.sum(F.col("opens").cast("int")).over(inside))
+    # a chunk's lines before its first opening belong to the last turn that an earlier chunk opens
+    chunks = parsed.groupBy("conv_id", "chunk").agg(F.sum(F.col("opens").cast("int")).alias("opened"))
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("opened") > 0, F.struct("chunk", F.col("opened").alias("nth"))), ignorenulls=True).over(before)
+    chunks = stage(chunks.select("conv_id", "chunk", last.alias("open")), "open-turns")
+    numbered = numbered.join(small(chunks, 500_000), ["conv_id", "chunk"])
+    key = F.when(F.col("nth") > 0, F.struct("chunk", "nth")).otherwise(F.struct(F.col("open.chunk").alias("chunk"), F.col("open.nth").cast("long").alias("nth")))
+    text = F.when(F.col("opens"), without_marker(F.col("text"), F.col("role"))).otherwise(F.col("text"))
+    turns = numbered.groupBy("conv_id", key.alias("key")).agg(F.sort_array(F.collect_list(F.struct("chunk", "place", "turn", "line", "role", text.alias("text")))).alias("lines"))
+    first = F.col("lines")[0]
     body = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
-    rendered = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.trim(body), F.lit("\n<|end|>\n"))
-    return turns.select("conv_id", F.col("lines")[0]["turn"].alias("first_turn"), F.col("lines")[0]["line"].alias("first_line"), "role", F.size("lines").cast("long").alias("n_lines"), rendered.alias("rendered"))
+    rendered = F.concat(F.lit("<|"), first["role"], F.lit("|>\n"), F.trim(body), F.lit("\n<|end|>\n"))
+    return turns.select("conv_id", first["turn"].alias("first_turn"), first["line"].alias("first_line"), first["role"].alias("role"), F.size("lines").cast("long").alias("n_lines"), rendered.alias("rendered"))
 
 
 def transcript_lines(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, line, text, role, state): conversations written as raw transcripts, in one of four marker styles by conversation.
 
-    Full names, short names, ">>" at each change of speaker, and names on every other turn only.
+    Full names, short names, ">>" at each change of speaker, and names on every other turn only. A null role counts as the
+    assistant's, a null text as empty; repeated rows stay; other columns are left out.
     """
     style = crc_mod(F.col("conv_id"), 4)
     label = F.initcap("role")
@@ -195,7 +207,11 @@ def transcript_lines(conversations: DataFrame) -> DataFrame:
 
 
 def recovered_turns(conversations: DataFrame) -> DataFrame:
-    """Canonical turns of conversations written as transcripts; the model learns from those whose crc32(conv_id) mod 5 is not 0."""
+    """Canonical turns of conversations (conv_id, turn, role, text) written as transcripts.
+
+    The model learns from those whose crc32(conv_id) mod 5 is not 0. Rows with a null conv_id or turn are left out; other
+    cases as in transcript_lines(), parse() and render().
+    """
     lines = transcript_lines(conversations)
     known = lines.where("conv_id IS NOT NULL AND turn IS NOT NULL").where(crc_mod(F.col("conv_id"), 5) != 0)
     model = estimate(known.select("conv_id", (F.col("turn") / CHUNK).cast("long").alias("chunk"), "turn", "line", "state", symbol(F.col("text")).alias("symbol")))
