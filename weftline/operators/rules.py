@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.joins import bounded
+
+#: Rules that a table of them has at most, to be joined or written out in a plan.
+MAX_RULES = 1_000
 FINDING = "doc_id long, rule_id string, severity string, message string"
 
 
@@ -33,21 +37,30 @@ def merged(base: Mapping, over: Mapping) -> dict:
 
 def limit_findings(fields: DataFrame, limits: DataFrame) -> DataFrame:
     """Fields (doc_id, field, value) over their limit (field, max) in characters."""
-    hit = fields.join(F.broadcast(limits), "field").where(F.length("value") > F.col("max"))
+    hit = fields.join(bounded(limits, MAX_RULES), "field").where(F.length("value") > F.col("max"))
     message = F.concat(F.col("field"), F.lit(" has "), F.length("value").cast("string"), F.lit(" of "), F.col("max").cast("string"))
     return hit.select("doc_id", F.concat(F.lit("limits."), F.col("field"), F.lit(".max")).alias("rule_id"), F.lit("error").alias("severity"), message.alias("message"))
 
 
 def count_findings(fields: DataFrame, limits: DataFrame) -> DataFrame:
     """Lists (doc_id, field, items) whose size is outside [min_count, max_count]."""
-    hit = fields.join(F.broadcast(limits), "field").where(~F.size("items").between(F.col("min_count"), F.col("max_count")))
+    hit = fields.join(bounded(limits, MAX_RULES), "field").where(~F.size("items").between(F.col("min_count"), F.col("max_count")))
     return hit.select("doc_id", F.concat(F.lit("limits."), F.col("field"), F.lit(".count")).alias("rule_id"), F.lit("warning").alias("severity"), F.size("items").cast("string").alias("message"))
 
 
 def phrase_counts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(doc_id, id, n): every phrase (id, pattern, few and bounded) counted in every text as whole words, any case."""
-    rows = texts.crossJoin(F.broadcast(phrases)).select("doc_id", "id", F.regexp_count("text", F.concat(F.lit("(?i)(?<![A-Za-z0-9_])(?:"), F.col("pattern"), F.lit(")(?![A-Za-z0-9_])"))).alias("n"))
-    return rows.where("n > 0")
+    """(doc_id, id, n): every phrase (id, pattern) counted in every text as whole words, any case; at most MAX_RULES phrases.
+
+    The phrases become literals of one projection: texts are neither joined nor shuffled, and each pattern is compiled once.
+    """
+    rules = phrases.select("id", "pattern").limit(MAX_RULES + 1).collect()
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} phrases")
+    count = lambda p: F.regexp_count("text", F.lit(f"(?i)(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"))
+    if not rules:
+        return texts.select("doc_id", F.lit("").alias("id"), F.lit(0).alias("n")).limit(0)
+    found = F.array(*(F.struct(F.lit(r["id"]).alias("id"), count(r["pattern"]).alias("n")) for r in rules))
+    return texts.select("doc_id", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("f")).select("doc_id", "f.id", "f.n")
 
 
 def phrase_spans(phrases: Sequence[tuple[str, str]]):

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions) of lower-case ASCII words and numbers of documents (doc_id, text)."""
+def postings(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """(term, doc_id, tf, positions) of lower-case ASCII words and numbers of documents (doc_id, text); only of terms, where given, before anything is shuffled."""
     words = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).alias("pos", "term"))
+    if terms is not None:
+        words = words.where(F.col("term").isin(*terms))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -49,14 +51,16 @@ def phrase(index: DataFrame, words: Sequence[str]) -> DataFrame:
 
 
 def near(index: DataFrame, a: str, b: str, within: int = 10) -> DataFrame:
-    """doc_id of documents where a and b stand at most within words apart."""
-    of = lambda t, name: index.where(F.col("term") == t).select("doc_id", F.explode("positions").alias(name))
-    return of(a, "pa").join(of(b, "pb"), "doc_id").where(F.abs(F.col("pa") - F.col("pb")) <= within).select("doc_id").distinct()
+    """doc_id of documents where a and b stand at most within words apart: in order of place, the closest such two are neighbours."""
+    of = lambda t, name: index.where(F.col("term") == t).select("doc_id", F.transform("positions", lambda p: F.struct(p.alias("p"), F.lit(name).alias("t"))).alias(name))
+    both = of(a, "a").join(of(b, "b"), "doc_id").select("doc_id", F.array_sort(F.concat("a", "b")).alias("s"))
+    near_by = F.exists(F.transform("s", lambda x, i: F.struct(x.alias("x"), F.get("s", i + 1).alias("y"))), lambda z: (z["x"]["t"] != z["y"]["t"]) & (z["y"]["p"] - z["x"]["p"] <= within))
+    return both.where(near_by).select("doc_id")
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k: int, offset: int = 0) -> DataFrame:
     """(doc_id, score): one page of documents with any of terms, the best first, ties by doc_id."""
-    of = postings(docs).where(F.col("term").isin(*terms)).select("term", "doc_id", "tf")
+    of = postings(docs, terms).select("term", "doc_id", "tf")
     size = lengths(docs)
     corpus = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     seen = of.groupBy("term").agg(F.count("*").alias("df"))

@@ -35,7 +35,8 @@ def append(df: DataFrame, path: str) -> None:
 
 def jsonl(spark: SparkSession, path: str, schema: str = SOAK) -> DataFrame:
     """Rows of a JSONL log; blank lines vanish and malformed ones are dropped."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(read.alias("r")).select("r.*")
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
