@@ -2,11 +2,12 @@
 
 Latent states emit word classes: frequent words have a class of their own, other words share one with those of the
 same ending, and words never seen in training share the unknown class. Inside a shared class a word has its
-share of the class's training count, so the model is a distribution over words. Baum-Welch counts are taken in every
-partition and summed; the scaled forward recursion gives the exact likelihood of a whole text.
+share of the class's training count, so the model is a distribution over words. Baum-Welch counts of whole texts are taken
+in every partition and summed until the likelihood settles; the scaled forward recursion gives the exact likelihood of a whole text.
 
 Texts are encoded once into blocks with a dictionary each. Only dictionaries meet in the shuffle that counts tokens,
-and each block gets the counts of its own words back, so no task or driver ever holds the vocabulary.
+and each block gets the counts of its own words back, so no task or driver ever holds the vocabulary. Tokens are told apart there
+by a 64-bit hash and their ending's class. A token has one row for each block of text that it stands in, at most.
 """
 
 from __future__ import annotations
@@ -22,20 +23,22 @@ from pyspark.sql import functions as F
 from weftline.llm.common import bounded_batches, crc_mod, stage, unstage
 from weftline.llm.words import U64, Words, mix, pieces
 
-STATES, ROUNDS = 8, 3
+STATES = 8
+#: Rounds of Baum-Welch at most; they end when a round raises the likelihood by less than this share.
+ROUNDS, SETTLED = 6, 0.002
 #: Words with a class of their own; classes of word endings; then the end and the unknown class.
 TOP, ENDINGS = 6_000, 2_048
 CLASSES = TOP + ENDINGS + 2
 END, UNKNOWN = CLASSES - 2, CLASSES - 1
-#: Tokens in a step's sequences: training cuts longer texts, scoring multiplies the steps' matrices instead.
+#: Tokens in a segment: longer texts are several, joined by the products of their steps' matrices.
 SEGMENT = 256
-#: Bytes of text in a block: the more, the fewer dictionary entries meet in the shuffles.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text in a block: the more, the fewer dictionary entries meet in the shuffles. Tokens that Baum-Welch works on at once.
+BLOCK_BYTES, AT_ONCE = 4_000_000, 100_000
 #: Documents whose classes seed the states (a bounded sample; training itself uses every document).
 SEED_DOCS = 1_500
 #: Weight of the corpus-wide class shares in each state's emissions, in tokens.
 SMOOTH = 500.0
-_END_TOKEN = b" "  # no word has a space
+_END_KEY = 0  # with an ending below 0, which no word has
 
 
 def _endings(words: Words, at: np.ndarray) -> np.ndarray:
@@ -54,14 +57,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, texts in pieces(batch.column("text"), BLOCK_BYTES):
             words = Words(texts)
             _, first, code = np.unique(words.hash, return_index=True, return_inverse=True)
-            whole = words.bytes.tobytes()
-            vocab = [whole[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
             out = held[at : at + len(texts)]
-            count = np.bincount(code, ~out[words.row], len(vocab)).astype(np.int64)
-            entries = pa.StructArray.from_arrays([pa.array(vocab + [_END_TOKEN], pa.binary()), pa.array(np.append(count, np.sum(~out))), pa.array(np.append(_endings(words, first), -1), pa.int32())], ["token", "count", "ending"])
+            count = np.bincount(code, ~out[words.row], len(first)).astype(np.int64)
+            key = np.append(words.hash[first].view(np.int64), _END_KEY)
+            entries = pa.StructArray.from_arrays([pa.array(key), pa.array(np.append(count, np.sum(~out))), pa.array(np.append(_endings(words, first), -1), pa.int32())], ["key", "count", "ending"])
             yield pa.RecordBatch.from_arrays([
                 pa.array([block], pa.int64()), pa.array([batch.column("doc_id").slice(at, len(texts)).to_pylist()], pa.list_(pa.int64())), pa.array([out.tolist()], pa.list_(pa.bool_())),
-                pa.array([np.diff(words.bounds).tolist()], pa.list_(pa.int32())), pa.array([code.astype(np.int32).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(vocab) + 1], pa.int32()), entries),
+                pa.array([np.diff(words.bounds).tolist()], pa.list_(pa.int32())), pa.array([code.astype(np.int32).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), entries),
             ], ["block", "ids", "held", "lengths", "codes", "vocab"])
             block += 1
 
@@ -73,10 +75,10 @@ def _translate(totals, share):
         tokens, distinct = totals
         for batch in batches:
             for i in range(batch.num_rows):
-                entry = batch.column("entries").slice(i, 1).flatten()
-                nth, count, kind = (entry.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                order = np.argsort(nth)
-                count, kind = count[order], np.where(count == 0, UNKNOWN, kind)[order]
+                place, count = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("places", "counts"))
+                order = np.argsort(place)
+                count = count[order]
+                kind = np.where(count == 0, UNKNOWN, place[order] % CLASSES)
                 inside = np.where((kind >= TOP) & (kind < END), np.log10(np.maximum(count, 1) / np.maximum(share.value[kind], 1)), 0.0)
                 base = np.log10((count + 1) / (tokens + distinct + 1)) if tokens + distinct else np.zeros(len(count))
                 codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
@@ -135,37 +137,97 @@ def _segments(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(bounds[text + 1] - start, SEGMENT), text
 
 
-def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, move, emit) of these texts, by forward and backward recursions over their segments."""
+def _transfers(model: Model, classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, log10 of its scale) of each segment: the product of its steps, from the state before it to its last state."""
+    k = len(model.start)
+    out, logs = np.empty((len(start), k, k)), np.zeros(len(start))
+    for at in range(0, len(start), 4096):
+        order, offset, place = _steps(start[at : at + 4096], length[at : at + 4096])
+        m, log = np.broadcast_to(np.eye(k), (len(order), k, k)).copy(), np.zeros(len(order))
+        for t in range(len(offset) - 1):
+            n = int(offset[t + 1] - offset[t])
+            x = (m[:n].reshape(n * k, k) @ model.move).reshape(n, k, k) * model.emit[classes[place[offset[t] : offset[t + 1]]]][:, None, :]
+            s = x.sum((1, 2))
+            m[:n] = x / s[:, None, None]
+            log[:n] += np.log10(s)
+        out[at + order], logs[at + order] = m, log
+    return out, logs
+
+
+def _heads(model: Model, classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state distribution at the end, log10 likelihood) of texts' first segments."""
+    k = len(model.start)
+    order, offset, place = _steps(start, length)
+    a, log = np.broadcast_to(model.start, (len(order), k)).copy(), np.zeros(len(order))
+    for t in range(len(offset) - 1):
+        n = offset[t + 1] - offset[t]
+        x = (a[:n] @ model.move if t else a[:n]) * model.emit[classes[place[offset[t] : offset[t + 1]]]]
+        s = x.sum(1)
+        a[:n] = x / s[:, None]
+        log[:n] += np.log10(s)
+    end, logs = np.empty_like(a), np.empty_like(log)
+    end[order], logs[order] = a, log
+    return end, logs
+
+
+def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (start, move, emit) of these whole texts and their log-likelihood.
+
+    Forward and backward recursions run over all segments at once; what enters a segment from before and from behind
+    comes from the products of its text's other segments, so cuts change nothing.
+    """
     k = len(model.start)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
-    seg, length, _ = _segments(bounds)
+    seg, length, text = _segments(bounds)
     if not len(seg):
-        return start, move, emit
-    _, offset, place = _steps(seg, length)
+        return start, move, emit, 0.0
+    head = seg == bounds[text]
+    enter, leave = np.tile(model.start, (len(seg), 1)), np.ones((len(seg), k))
+    rest = np.flatnonzero(~head)
+    if len(rest):
+        m, _ = _transfers(model, classes, seg[rest], length[rest])
+        whole = np.flatnonzero(head & np.append(~head[1:], False))  # first segments that others follow
+        end, _ = _heads(model, classes, seg[whole], length[whole])
+        before = dict(zip(whole.tolist(), end, strict=True))
+        for j, s in enumerate(rest.tolist()):  # in text order
+            enter[s] = a = before.pop(s - 1)
+            a = a @ m[j]
+            before[s] = a / a.sum()
+        for j, s in reversed(list(enumerate(rest.tolist()))):
+            x = m[j] @ leave[s]
+            leave[s - 1] = x / x.sum()
+    order, offset, place = _steps(seg, length)
     kinds = classes[place]
     b = model.emit[kinds]
+    first = np.where(head[order, None], model.start, enter[order] @ model.move)
     alpha, scale = np.empty((len(kinds), k)), np.empty(len(kinds))
     for t in range(len(offset) - 1):
         lo, hi = offset[t], offset[t + 1]
-        a = np.broadcast_to(model.start, (hi - lo, k)) if t == 0 else alpha[offset[t - 1] : offset[t - 1] + hi - lo] @ model.move
+        a = first if t == 0 else alpha[offset[t - 1] : offset[t - 1] + hi - lo] @ model.move
         a = a * b[lo:hi]
         s = a.sum(1)
         scale[lo:hi] = s
         alpha[lo:hi] = a / s[:, None]
+    last = alpha[offset[length[order] - 1] + np.arange(len(order))]
+    beta = leave[order] / (last * leave[order]).sum(1, keepdims=True)
     gamma = alpha.copy()
-    beta = np.ones((int(offset[1]), k))
+    gamma[offset[-2] :] *= beta[: offset[-1] - offset[-2]]
     for t in range(len(offset) - 2, 0, -1):
-        lo, hi, before = offset[t], offset[t + 1], offset[t - 1]
+        lo, hi, before_t = offset[t], offset[t + 1], offset[t - 1]
         x = b[lo:hi] * beta[: hi - lo] / scale[lo:hi, None]
-        move += model.move * (alpha[before : before + hi - lo].T @ x)
+        move += model.move * (alpha[before_t : before_t + hi - lo].T @ x)
         beta[: hi - lo] = x @ model.move.T
-        gamma[before : offset[t]] *= beta[: offset[t] - before]
+        gamma[before_t : offset[t]] *= beta[: offset[t] - before_t]
     gamma /= gamma.sum(1, keepdims=True)
-    start += gamma[: offset[1]].sum(0)
+    opening = gamma[: offset[1]]
+    start += opening[head[order]].sum(0)
+    later = np.flatnonzero(~head[order])
+    if len(later):  # from the last token of a segment to the first of the next
+        x = b[later] * beta[later] / scale[later, None]
+        move += model.move * (enter[order[later]].T @ x)
     for j in range(k):
         emit[:, j] = np.bincount(kinds, gamma[:, j], len(emit))
-    return start, move, emit
+    return start, move, emit, float(np.log(scale).sum())
 
 
 def log10_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -174,43 +236,20 @@ def log10_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> n
     A text's first segment carries a vector; each later one the product of its steps' matrices, which is then
     applied to the vector: so long texts need no more steps than SEGMENT.
     """
-    k, texts = len(model.start), len(bounds) - 1
-    out = np.zeros(texts)
+    out = np.zeros(len(bounds) - 1)
     if not len(classes):
         return out
     seg, length, text = _segments(bounds)
     head = seg == bounds[text]
-    vector = np.zeros((texts, k))
-    order, offset, place = _steps(seg[head], length[head])
-    owner = text[head][order]
-    log = np.zeros(len(order))
-    a = np.broadcast_to(model.start, (len(order), k)).copy()
-    for t in range(len(offset) - 1):
-        n = offset[t + 1] - offset[t]
-        x = (a[:n] @ model.move if t else a[:n]) * model.emit[classes[place[offset[t] : offset[t + 1]]]]
-        s = x.sum(1)
-        a[:n] = x / s[:, None]
-        log[:n] += np.log10(s)
-    out[owner] = log
-    vector[owner] = a
+    vector = np.zeros((len(out), len(model.start)))
+    vector[text[head]], out[text[head]] = _heads(model, classes, seg[head], length[head])
     rest = np.flatnonzero(~head)
-    for at in range(0, len(rest), 4096):
-        own = rest[at : at + 4096]
-        order, offset, place = _steps(seg[own], length[own])
-        m = np.broadcast_to(np.eye(k), (len(order), k, k)).copy()
-        log = np.zeros(len(order))
-        for t in range(len(offset) - 1):
-            n = int(offset[t + 1] - offset[t])
-            x = (m[:n].reshape(n * k, k) @ model.move).reshape(n, k, k) * model.emit[classes[place[offset[t] : offset[t + 1]]]][:, None, :]
-            s = x.sum((1, 2))
-            m[:n] = x / s[:, None, None]
-            log[:n] += np.log10(s)
-        back = np.argsort(order)
-        for j, owner in zip(back.tolist(), text[own].tolist(), strict=True):
-            v = vector[owner] @ m[j]
-            s = v.sum()
-            out[owner] += log[j] + np.log10(s)
-            vector[owner] = v / s
+    m, log = _transfers(model, classes, seg[rest], length[rest])
+    for j, owner in enumerate(text[rest].tolist()):
+        v = vector[owner] @ m[j]
+        s = v.sum()
+        out[owner] += log[j] + np.log10(s)
+        vector[owner] = v / s
     return out
 
 
@@ -226,12 +265,15 @@ def _counts(model):
         total = None
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = expected_counts(model.value, *_train_only(batch, i))
-                total = parts if total is None else tuple(a + b for a, b in zip(total, parts, strict=True))
+                classes, bounds = _train_only(batch, i)
+                cuts = np.unique(np.searchsorted(bounds, np.arange(0, bounds[-1] + AT_ONCE, AT_ONCE)).clip(0, len(bounds) - 1))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    parts = expected_counts(model.value, classes[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                    total = parts if total is None else tuple(x + y for x, y in zip(total, parts, strict=True))
         if total is not None:
-            start, move, emit = total
-            rows = np.concatenate([emit, move, start[None]])
-            some = np.flatnonzero(rows.sum(1) > 0)
+            start, move, emit, log = total
+            rows = np.concatenate([emit, move, start[None], np.full((1, len(start)), log / len(start))])
+            some = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(rows[some, j]) for j in range(rows.shape[1]))], ["at", *(f"s{j}" for j in range(rows.shape[1]))])
 
     return run
@@ -266,7 +308,7 @@ def _with_unknown(emit: np.ndarray, shares: np.ndarray) -> np.ndarray:
 def _seed(coded: DataFrame, texts: int, states: int, shares: np.ndarray) -> Model:
     """States from clusters of a bounded sample of documents; a state keeps to itself at first."""
     sample = coded.mapInArrow(_histograms(min(1.0, SEED_DOCS / max(texts, 1))), "doc_id long, kinds array<int>, counts array<int>")
-    rows = sample.limit(3 * SEED_DOCS).toPandas().sort_values("doc_id")
+    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("kinds", "counts")).limit(3 * SEED_DOCS).toPandas()
     weight = -np.log(np.maximum(shares, 1e-9))
     matrix = np.zeros((len(rows), CLASSES), np.float32)
     for i, (kinds, counts) in enumerate(zip(rows["kinds"], rows["counts"], strict=True)):
@@ -293,12 +335,13 @@ def _seed(coded: DataFrame, texts: int, states: int, shares: np.ndarray) -> Mode
     return Model(np.full(states, 1 / states), move, _with_unknown(emit, shares))
 
 
-def _updated(rows, states: int, shares: np.ndarray) -> Model:
-    table = np.zeros((CLASSES + states + 1, states))
+def _updated(rows, states: int, shares: np.ndarray) -> tuple[Model, float]:
+    """The model that expected counts make, and the log-likelihood under the one before it."""
+    table = np.zeros((CLASSES + states + 2, states))
     table[rows["at"].to_numpy()] = rows[[f"s{j}" for j in range(states)]].to_numpy()
-    emit, move, start = table[:CLASSES], table[CLASSES:-1] + 0.1, table[-1] + 0.1
+    emit, move, start = table[:CLASSES], table[CLASSES:-2] + 0.1, table[-2] + 0.1
     emit = _with_unknown((emit + SMOOTH * shares[:, None]) / (emit.sum(0) + SMOOTH), shares)
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit)
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit), float(table[-1].sum())
 
 
 def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -311,21 +354,22 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     """
     spark = docs.sparkSession
     held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out")
-    schema = "block long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, vocab array<struct<token:binary,count:long,ending:int>>"
+    schema = "block long, ids array<long>, held array<boolean>, lengths array<int>, codes binary, vocab array<struct<key:long,count:long,ending:int>>"
     blocks = stage(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(_encode, schema), "blocks")
 
-    entries = blocks.select("block", F.posexplode("vocab").alias("nth", "v")).select("block", "nth", "v.token", F.col("v.count").alias("own"), "v.ending")
-    same = Window.partitionBy("token")
-    entries = entries.withColumn("count", F.sum("own").over(same)).withColumn("first", F.min("block").over(same) == F.col("block"))
+    entries = blocks.select("block", F.posexplode("vocab").alias("nth", "v")).select("block", "nth", "v.key", F.col("v.count").alias("own"), "v.ending")
+    token = Window.partitionBy("key", "ending")
+    # a window and not a join with counts: dictionaries are shuffled once, with one row of a token for each block
+    entries = entries.withColumn("count", F.sum("own").over(token)).withColumn("first", F.min("block").over(token) == F.col("block"))
     entries = stage(entries.drop("own"), "entries")
     known = entries.where("first AND count > 0")
     tokens, distinct, texts = known.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("ending") < 0, F.col("count"))), F.lit(0))).first()
     words = known.where("ending >= 0")
-    top = words.orderBy(F.desc("count"), "token").limit(TOP).select("token", "count").toPandas()
-    tops = spark.createDataFrame([(bytes(t), i) for i, t in enumerate(top["token"])], "token binary, top int")
+    top = words.orderBy(F.desc("count"), "key", "ending").limit(TOP).select("key", "ending", "count").toPandas()
+    tops = spark.createDataFrame([(int(k), int(e), i) for i, (k, e) in enumerate(zip(top["key"], top["ending"], strict=True))], "key long, ending int, top int")
     mass = np.zeros(CLASSES)
     mass[: len(top)] = top["count"].to_numpy()
-    for r in words.join(F.broadcast(tops), "token", "left_anti").groupBy("ending").agg(F.sum("count").alias("n")).collect():
+    for r in words.join(F.broadcast(tops), ["key", "ending"], "left_anti").groupBy("ending").agg(F.sum("count").alias("n")).collect():
         mass[TOP + r["ending"]] = r["n"]
     mass[END] = texts
     shares = (mass + 0.0) / max(tokens + 1, 1)
@@ -334,8 +378,10 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     shares /= shares.sum()
 
     kind = F.coalesce("top", F.when(F.col("ending") < 0, F.lit(END)).otherwise(F.col("ending") + TOP))
-    named = entries.join(F.broadcast(tops), "token", "left").select("block", F.struct("nth", "count", kind.alias("kind")).alias("e"))
-    looked_up = named.groupBy("block").agg(F.collect_list("e").alias("entries"))
+    # two numbers an entry: its place with its class, and its count; both lists of a block grow together
+    place = F.col("nth").cast("long") * CLASSES + kind
+    named = entries.join(F.broadcast(tops), ["key", "ending"], "left").select("block", place.alias("place"), "count")
+    looked_up = named.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("count").alias("counts"))
     joined = blocks.select("block", "ids", "held", "lengths", "codes").join(looked_up, "block").drop("block")
     fields = "ids array<long>, held array<boolean>, lengths array<int>, base array<double>, inside array<double>, known array<double>, classes binary, end int"
     coded = stage(joined.mapInArrow(_translate((tokens, distinct), spark.sparkContext.broadcast(mass)), fields), "coded")
@@ -343,9 +389,13 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
 
     model = _seed(coded, texts, states, shares)
     columns = [f"s{j}" for j in range(states)]
+    before = None
     for _ in range(rounds):
         counts = coded.mapInArrow(_counts(spark.sparkContext.broadcast(model)), "at long, " + ", ".join(f"{c} double" for c in columns))
-        model = _updated(counts.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas(), states, shares)
+        model, log = _updated(counts.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas(), states, shares)
+        if before is not None and log - before < SETTLED * abs(before):
+            break
+        before = log
     final = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
