@@ -162,3 +162,12 @@ def snapped(chapters: DataFrame, title: str, cap: int) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("start_ms")
     every = every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
     return every.select("doc_id", "n", "start_ms", "title", F.coalesce(F.lead("start_ms").over(w) - 1, F.col("media_end")).alias("end_ms"))
+
+
+def gap_message(spans: DataFrame) -> DataFrame:
+    """(doc_id, message) of spans (doc_id, start, end, captions, sample): what an editor reads about the parts that are missing."""
+    n = F.size("s")
+    one = lambda x: F.concat(x["start"], F.lit("–"), x["end"], F.lit(" ("), x["captions"].cast("string"), F.lit(' captions, e.g. "'), x["sample"], F.lit('")'))
+    rows = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "captions", "sample"))).alias("s"))
+    text = F.concat(F.lit("SEAM GAP DETECTED: Formatter output is missing "), n.cast("string"), F.when(n == 1, " section").otherwise(" sections"), F.lit(" of source dialogue: "), F.array_join(F.transform("s", one), "; "), F.lit(". Likely a chunk-boundary drop — retry to escalate / re-chunk."))
+    return rows.select("doc_id", text.alias("message"))

@@ -168,3 +168,40 @@ def without_known(new: DataFrame, live: DataFrame, key: Sequence[str]) -> DataFr
 def maintained(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """A postings table after documents changed (doc_id): their old postings go, fresh ones come."""
     return index.join(changed.select("doc_id").distinct(), "doc_id", "left_anti").select(*index.columns).unionByName(fresh)
+
+
+def asset_url(files: DataFrame, variant: str | None) -> DataFrame:
+    """(media_id, url) of files (media_id, variant, primary, url): the file of the variant in any case, the least url of several; without one the primary file's."""
+    wanted = F.lower("variant") == F.lit((variant or "").lower())
+    both = files.groupBy("media_id").agg(F.min(F.when(wanted, F.col("url"))).alias("own"), F.min(F.when(F.col("primary"), F.col("url"))).alias("main"))
+    return both.select("media_id", F.coalesce("own", "main").alias("url") if variant else F.col("main").alias("url")).where("url IS NOT NULL")
+
+
+def family_of(model: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """The family of the first glob (pattern, family) that a model's name matches; * is any run of characters, ? any one."""
+    out = F.lit(None).cast("string")
+    for glob, family in reversed(patterns):
+        like = glob.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
+        out = F.when(F.lower(model).like(like.lower()), family).otherwise(out)
+    return out
+
+
+def percent_delta(value: Column, base: Column, places: int = 1) -> Column:
+    """Change against base in percent as text: a dash where either is unknown; of a base of 0, 0 where nothing changed and n/a elsewhere."""
+    change = F.round((value - base) * 100.0 / F.nullif(base, F.lit(0)), places)
+    return F.when(value.isNull() | base.isNull(), "—").when(base == 0, F.when(value == 0, "0").otherwise("n/a")).otherwise(F.format_string(f"%+.{places}f", change))
+
+
+def link_counts(jobs: DataFrame, records: DataFrame, limit: int = 1000) -> DataFrame:
+    """One row (checked, linked, not_found): the first limit jobs without a record, oldest id first, looked up among records (media_id, record_id)."""
+    todo = jobs.where("record_id IS NULL").orderBy("id").limit(limit)
+    known = records.groupBy("media_id").agg(F.max("record_id").alias("found"))
+    hit = todo.select("id", "media_id").join(known, "media_id", "left")
+    return hit.agg(F.count("*").alias("checked"), F.count("found").alias("linked"), F.count_if(F.col("found").isNull()).alias("not_found"))
+
+
+def verdict(criteria: DataFrame) -> DataFrame:
+    """GO where every criterion (name, passed) passes and there is one at all: one row (passed, total, failed, verdict)."""
+    failed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("name")))), ",")
+    all_ = criteria.agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"), failed.alias("failed"))
+    return all_.withColumn("verdict", F.when((F.col("total") > 0) & (F.col("passed") == F.col("total")), "GO").otherwise("NO-GO"))

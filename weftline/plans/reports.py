@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.operators import captions as C
 from weftline.operators import events as E
 from weftline.operators import jobs as J
 from weftline.operators import reports as R
@@ -317,3 +318,71 @@ def n50_model_cells(spark, sf):
     """N50: a report's cells of counted models, the most common first."""
     rows = role(spark, sf, "stats").where("model IS NOT NULL").select(F.coalesce("phase", F.lit("?")).alias("phase"), "model")
     return E.counted(rows, ["phase"], "model", "by_model").withColumn("by_model", F.replace(F.replace("by_model", F.lit("="), F.lit("×")), F.lit(","), F.lit(", ")))
+
+
+@query(f"""{_F}, g AS (SELECT media_id, min(remote_url) FILTER (variant_tag = 'PLEDGE') AS own, min(remote_url) FILTER (variant_tag IS NULL AND unknown_tag IS NULL) AS main FROM files WHERE media_id IS NOT NULL GROUP BY media_id) SELECT media_id, coalesce(own, main) AS url FROM g WHERE coalesce(own, main) IS NOT NULL""")
+def n7_asset_url(spark, sf):
+    """A variant's file in any case, else the primary one."""
+    f = role(spark, sf, "files").where("media_id IS NOT NULL")
+    rows = f.select("media_id", F.col("variant_tag").alias("variant"), (F.col("variant_tag").isNull() & F.col("unknown_tag").isNull()).alias("primary"), F.col("remote_url").alias("url"))
+    return R.asset_url(rows, "Pledge")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'large' WHEN p_partkey % 5 = 1 THEN 'small' WHEN p_partkey % 5 = 2 THEN 'any-b' WHEN p_partkey % 5 = 3 THEN 'any-b' END AS family FROM part")
+def b31_glob_family(spark, sf):
+    """The first of several patterns that a model's name matches."""
+    names = pick(("vendor/Big-4:beta", "vendor/tiny-v2", "b1", "b_2", "other"), "p_partkey")
+    globs = [("vendor/big-*", "large"), ("*tiny-v?", "small"), ("b*", "any-b"), ("*beta", "never")]
+    return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), R.family_of(names, globs).alias("family"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '—' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN '0' ELSE 'n/a' END ELSE printf('%+.1f', round((event_id % 50 - 20) * 100.0 / 20, 1)) END AS delta FROM events")
+def b53_percent_delta(spark, sf):
+    """No base, a base of nothing, and others."""
+    k = F.col("event_id")
+    base = F.when(k % 4 == 1, 0).when(k % 4 != 0, 20)
+    value = F.when(k % 4 == 1, F.when(k % 3 == 0, 0).otherwise(7)).otherwise(k % 50)
+    return raw(spark, sf, "events").select("event_id", R.percent_delta(value.cast("double"), base.cast("double")).alias("delta"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'applied' WHEN 1 THEN 'reverted' WHEN 2 THEN 'applied' WHEN 3 THEN 'flagged' ELSE 'unknown' END AS action FROM events")
+def b68_event_actions(spark, sf):
+    """A known action, else what a lint event's mode tells, else unknown."""
+    e = raw(spark, sf, "events").select("event_id", pick(("applied", "reverted", "odd", None, "odd", None), "event_id").alias("a"), pick(("llm", "lint", "lint", "lint", "llm", "llm"), "event_id").alias("s"), pick(("x", "x", "enforce", "shadow", "enforce", None), "event_id").alias("m"))
+    return e.select("event_id", E.action_of(F.col("a"), source=F.col("s"), mode=F.col("m")).alias("action"))
+
+
+@query(f"""{_J}, t AS (SELECT id, media_id FROM jobs WHERE id % 3 <> 0 ORDER BY id LIMIT 1000) SELECT count(*) AS checked, count(*) FILTER (media_id IS NOT NULL AND CAST(substring(media_id, 5) AS INT) % 2 = 0) AS linked, count(*) FILTER (media_id IS NULL OR CAST(substring(media_id, 5) AS INT) % 2 <> 0) AS not_found FROM t""")
+def n44_link_backfill(spark, sf):
+    """The first thousand jobs without a record, looked up; the limit is the feature."""
+    j = role(spark, sf, "jobs")
+    records = j.where("media_id IS NOT NULL AND CAST(substring(media_id, 5, 4) AS INT) % 2 = 0").select("media_id", F.concat(F.lit("rec"), "media_id").alias("record_id")).distinct()
+    every = spark.range(350).select(F.concat(F.lit("6POL"), F.lpad((F.col("id") * 2).cast("string"), 4, "0")).alias("media_id")).withColumn("record_id", F.concat(F.lit("rec"), "media_id"))
+    return R.link_counts(j.select("id", "media_id", F.when(F.col("id") % 3 == 0, "rec").alias("record_id")), records.unionByName(every))
+
+
+@query(f"""{_F}, v AS (SELECT list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL), r AS (SELECT max(n) / 300.0 AS rate FROM (SELECT count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '5 minutes', ts))), c AS (SELECT unnest(['rate', 'errors', 'p95', 'p99', 'parity', 'coverage']) AS name, unnest([(SELECT rate <= 1 FROM r), (SELECT count(*) FILTER (event_type = 'error') / count(*) < 0.01 FROM events),
+(SELECT v[least(CAST(floor(len(v) * 95 / 100) AS BIGINT), len(v) - 1) + 1] < 50 FROM v), (SELECT v[least(CAST(floor(len(v) * 99 / 100) AS BIGINT), len(v) - 1) + 1] < 200 FROM v), (SELECT count(*) > 0 AND count(*) FILTER (d <> 0) = 0 FROM (SELECT count(*) - count(event_id) AS d FROM events GROUP BY date_trunc('day', ts))), (SELECT abs(count(*) FILTER (file_type = 'mp4') - count(*) FILTER (file_type = 'srt')) / count(*) FILTER (file_type = 'srt') <= 0.05 FROM files WHERE prefix = '2WLI')]) AS passed)
+SELECT count(*) FILTER (passed) AS passed, count(*) AS total, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT passed), '') AS failed, CASE WHEN count(*) FILTER (passed) = count(*) THEN 'GO' ELSE 'NO-GO' END AS verdict FROM c""")
+def j10b_all_criteria(spark, sf):
+    """Request rate, errors, latencies, parity checks and coverage against a baseline count."""
+    e = raw(spark, sf, "events")
+    of = lambda df, name, test: df.select(F.lit(name).alias("name"), test.alias("passed"))
+    rate = E.rates(e).agg(F.max("rate").alias("rate"))
+    ratio = e.agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("ratio"))
+    late = E.percentiles(e.where("value IS NOT NULL").withColumn("all", F.lit(0)), ["all"], "value")
+    parity = e.groupBy(F.to_date("ts").alias("day")).agg((F.count("*") - F.count("event_id")).alias("delta")).agg(F.count("*").alias("checks"), F.count_if(F.col("delta") != 0).alias("bad"))
+    files = role(spark, sf, "files").where("prefix = '2WLI'").agg(F.count_if(F.col("file_type") == "mp4").alias("have"), F.count_if(F.col("file_type") == "srt").alias("base"))
+    every = of(rate, "rate", F.col("rate") <= 1)
+    for part in (of(ratio, "errors", F.col("ratio") < 0.01), of(late, "p95", F.col("p95") < 50), of(late, "p99", F.col("p99") < 200), of(parity, "parity", (F.col("checks") > 0) & (F.col("bad") == 0)), of(files, "coverage", F.abs(F.col("have") - F.col("base")) / F.col("base") <= 0.05)):
+        every = every.unionByName(part)
+    return R.verdict(every)
+
+
+@query("""WITH n AS (SELECT doc_id, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id) SELECT doc_id, 'SEAM GAP DETECTED: Formatter output is missing ' || CASE WHEN k > 3 THEN '2 sections' ELSE '1 section' END || ' of source dialogue: 00:00:00–00:00:03 (1 captions, e.g. "x")' || CASE WHEN k > 3 THEN '; 00:00:09–00:00:12 (' || CAST(k AS STRING) || ' captions, e.g. "y")' ELSE '' END || '. Likely a chunk-boundary drop — retry to escalate / re-chunk.' AS message FROM n""")
+def n28_gap_message(spark, sf):
+    """One span for each document, two for longer ones."""
+    k = F.size(F.split("text", "\n"))
+    span = lambda a, b, n, x: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), n.alias("captions"), F.lit(x).alias("sample"))
+    spans = F.when(k > 3, F.array(span("00:00:09", "00:00:12", k, "y"), span("00:00:00", "00:00:03", F.lit(1), "x"))).otherwise(F.array(span("00:00:00", "00:00:03", F.lit(1), "x")))
+    return C.gap_message(raw(spark, sf, "documents").select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*"))
