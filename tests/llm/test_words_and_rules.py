@@ -101,6 +101,23 @@ def test_clean_documents(spark, texts):
     assert rows[100].text == dict(texts)[100] and 200 not in rows
 
 
+def test_clean_documents_with_clashing_columns_and_ids(spark, texts):
+    kept, gone = texts[0][1], "too short"
+    rows = [(5, kept), (5, gone), (5, kept), (None, kept), (None, gone), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "removed": F.lit("x"), "host": F.lit(2), "text_hash": F.lit(3), "v": F.lit(4), "d": F.lit(5)})
+    out = clean_documents(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.text, r.removed) for r in out.collect()) == [(0, kept, "x"), (5, kept, "x"), (5, kept, "x")]
+
+
+def test_copies_counted_by_id(spark):
+    draw = random.Random(8)
+    line = " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(30))
+    df = spark.createDataFrame([(i, line) for i in range(12)] + [(3, line)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert {tuple(r.removed) for r in line_quality(df).collect()} == {()}
+    assert {tuple(r.removed) for r in line_quality(df, fold_copies=False).collect()} == {(0,)}
+    assert {tuple(r.removed) for r in line_quality(df.where("doc_id < 10"), fold_copies=False).collect()} == {()}
+
+
 def test_empty_table_and_repeats(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_quality(none).count() == 0

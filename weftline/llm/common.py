@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+#: Bytes of files up to which a staged table is broadcast.
+SMALL_BYTES = 64 << 20
 
 _MINE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share; a temporary one where none is set on a local master (tests), an error elsewhere."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _MINE.setdefault("own", [f"file://{tempfile.mkdtemp(prefix='weftline-')}"])[0]
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -75,8 +79,11 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a staged table when it has at most max_rows rows; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast a staged table when it has at most max_rows rows and SMALL_BYTES bytes; otherwise leave the join to shuffle."""
+    jvm = df.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    size = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return F.broadcast(df) if size <= SMALL_BYTES and df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def crc_mod(col: Column, m: int) -> Column:

@@ -33,11 +33,13 @@ _powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, PIECE)
-        back = pow(_STEP, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, U64(p))]), dtype=U64) for p in (_STEP, back)]
-    return _powers
+    if _powers and n <= len(_powers[0]):
+        return _powers
+    back = pow(_STEP, -1, 1 << 64)
+    made = [np.cumprod(np.concatenate([[U64(1)], np.full(max(n, PIECE + 1) - 1, U64(p))]), dtype=U64) for p in (_STEP, back)]
+    if n <= PIECE + 1:  # those of a longer text are made for it alone
+        _powers[:] = made
+    return made
 
 
 def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, pa.Array]]:
