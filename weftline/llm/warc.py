@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,20 +19,21 @@ from weftline.llm.common import fresh_path, small, stage
 
 #: Payloads of fewer bytes are stored again instead of being revisited.
 MIN_REVISIT = 1000
-RECORDS_PER_FILE = 2_000
+#: Bounds of an archive: records, and bytes by the largest payload; a larger payload is an archive of its own.
+RECORDS_PER_FILE, FILE_BYTES = 2_000, 256 << 20
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record(refers_to: Column) -> Column:
-    """The bytes of one record as text, without the closing blank lines (the sink's line separator)."""
+def _record(refers_to: Column, date: str) -> Column:
+    """The bytes of one record, written at date, as text, without the closing blank lines (the sink's line separator)."""
     revisit = refers_to.isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
     block_bytes = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     uri = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\s<>]", "%20")
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), uri,
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), refers_to.cast("string"), F.lit(f">\r\nWARC-Profile: {_PROFILE}"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), block_bytes.cast("string"), F.lit(_END), http, F.when(revisit, F.lit("")).otherwise(F.col("html")),
@@ -48,15 +50,19 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT)
     """Write a record for every row of pages (page_id, url, html) into gzipped archives under path.
 
     Of rows with equal payloads of at least min_revisit bytes, those with the largest page_id are responses and the
-    others revisit it. A null html is an empty payload; a null url an empty one. Other columns are left out.
+    others revisit it. A null html is an empty payload; a null url an empty one. Record ids are page ids, so repeated rows
+    repeat them. Each file is one gzip stream. Other columns are left out.
     """
     rows = _with_digest(pages)
+    largest = max(1, rows.agg(F.max("payload_bytes")).first()[0] or 0)
     shared = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("rows"))
     shared = stage(shared.where("rows > 1").drop("rows"), "shared-payloads")
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // largest))
     rows = rows.join(small(shared, 500_000), ["payload_digest", "payload_bytes"], "left")
     refers_to = F.when(F.col("original") > F.col("page_id"), F.col("original"))
-    out = rows.select(_record(refers_to).alias("value"))
-    out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    out = rows.select(_record(refers_to, date).alias("value"))
+    out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -98,7 +104,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; revisits have the payload of the response that they refer to.
 
-    A revisit whose response is missing, or has another digest, keeps null in payload_bytes and payload_digest.
+    A revisit whose response is missing, or has another digest, keeps null in payload_bytes and payload_digest. Repeated records
+    are resolved as often as they come.
     """
     own = records.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("found").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     originals = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("found").alias("digest"), F.col("bytes").alias("payload_bytes")).dropDuplicates(["refers_to", "digest"])
