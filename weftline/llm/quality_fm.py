@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_batches, crc_mod
+from weftline.llm.common import bounded_batches, crc_mod, stage
 from weftline.llm.words import U64, Words, pieces
 
-#: Labelled rows that the fit uses at most: those of the least hash.
-MAX_TRAIN = 6_000
+#: Labelled rows that the fit uses at most, and their features together: rows of the least hash.
+MAX_TRAIN, MAX_FEATURES = 6_000, 5_000_000
 WORD_BUCKETS, RANK = 1 << 13, 8
 STATS = ("words", "word_length", "symbols", "capitals", "digits", "marks", "bars", "shouts", "beyond_ascii", "lines", "line_words", "repeated_lines", "distinct_words", "top_word", "same_as_before", "length")
 SIZE = WORD_BUCKETS + len(STATS)
@@ -141,14 +141,17 @@ def _scores(machine):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Machine:
     """Fit on at most max_rows labelled documents, those of the least hash whose crc32(doc_id) mod 5 is not 0.
 
-    Rows without doc_id or quality are left out; of repeated labels the least counts. Without any labelled row all
-    scores are 0.5.
+    Of these only as many as have MAX_FEATURES features together. Rows without doc_id or quality are left out; of repeated
+    labels the least counts, repeated rows each count. Without any labelled row all scores are 0.5.
     """
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(crc_mod(F.col("doc_id"), 5) != 0)
     named = named.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(named), "doc_id")  # max_rows pairs of numbers
-    rows = sample.mapInArrow(_rows, "doc_id long, label int, index array<int>, value array<float>").toPandas().sort_values("doc_id")
+    rows = stage(sample.mapInArrow(_rows, "doc_id long, label int, index array<int>, value array<float>").withColumn("order", F.xxhash64("doc_id")), "features")
+    size = rows.select("order", F.size("index").alias("n")).toPandas().sort_values("order")
+    within = size["order"][size["n"].cumsum() <= MAX_FEATURES]
+    rows = rows.where(F.col("order") <= int(within.max()) if len(within) else F.lit(False)).toPandas().sort_values(["doc_id", "label"], kind="stable")
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows["index"]])]).astype(np.int64)
     flat = lambda c, t: np.concatenate([np.asarray(x, t) for x in rows[c]]) if len(rows) else np.zeros(0, t)
     return fit(bounds, flat("index", np.int64), flat("value", np.float64), rows["label"].to_numpy(np.float64))
@@ -168,7 +171,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs that the classifier predicts as 1, scored in place: texts are not shuffled."""
+    """Rows of docs that the classifier predicts as 1, scored in place: texts are not shuffled.
+
+    Null and empty texts have a score too; repeated rows all stay or go; other columns pass through; an empty table gives
+    an empty one.
+    """
     machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
