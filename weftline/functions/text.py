@@ -13,6 +13,18 @@ MEDIA_ID = r"(?i)([A-Z0-9]{4}\d{4}(?:[A-Z]+\d{0,2})?)"
 FILE_TYPES = {"mp4": "mp4", "mov": "mp4", "mxf": "mp4", "jpg": "image", "jpeg": "image", "png": "image", "gif": "image", "srt": "srt", "scc": "scc"}
 
 
+#: Marks of formatted documents.
+COMMENT, RULE_LINE, EMPHASIS, HEADING, STATUS_LINE = r"(?s)<!--.*?-->", r"^---+[ \t]*$", r"\*{1,3}", r"(?m)^#{1,6}\s+", r"(?m)^Status:\s+.*$"
+#: What goes from a model's chunk, in this order, and what of it stays: provenance comment, lines before a mark, outer fence, attribution, last rule.
+CHUNK_WRAPPERS = (
+    (r"\A<!--\s*model:.*?-->\s*\n?", ""),
+    (r"\A(?:(?!```|#\s|\*\*|---|<!--)[^\n]*\n)+", ""),
+    (r"(?s)\A```(?:markdown|md)?\s*\n(.*?)\n```\s*\z", "$1"),
+    (r"(?m)^\*\*(?:Model|Creator|Agent):\*\*.*\n?", ""),
+    (r"\n---+\s*\n*\z", ""),
+)
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value computed once, even where use has it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -132,11 +144,12 @@ def word_count(text: Column) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    """Words of a formatted transcript's body: no comments, header block, emphasis, heading marks or status line."""
-    body = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    body = F.regexp_replace(body, r"(?s)\A(?:(?!^---+\s*$).)*?^---+[ \t]*$".replace("^", "(?m:^)").replace("$", "(?m:$)"), "")
-    body = F.regexp_replace(F.regexp_replace(body, r"\*{1,3}", ""), r"(?m)^#{1,6}\s+", "")
-    return word_count(F.regexp_replace(body, r"(?m)^Status:\s+.*$", ""))
+    """Words below the first rule line (of everything where there is none), without comments, emphasis, heading marks and the status line."""
+    lines = F.split(F.regexp_replace(text, COMMENT, ""), "\n")
+    rules = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(x.rlike(RULE_LINE), i + 1)), lambda i: i.isNotNull())
+    below = let(lines, lambda ls: F.slice(ls, F.coalesce(F.get(rules(ls), F.lit(0)), F.lit(0)) + 1, F.size(ls)))
+    plain = F.regexp_replace(F.regexp_replace(F.array_join(below, "\n"), EMPHASIS, ""), HEADING, "")
+    return word_count(F.regexp_replace(plain, STATUS_LINE, ""))
 
 
 def source_words(srt: Column) -> Column:
@@ -157,12 +170,10 @@ def without_reasoning(text: Column) -> Column:
 
 
 def clean_chunk(text: Column) -> Column:
-    """Strip, in order: provenance comment, preamble, outer fence, attribution lines, a last rule."""
-    out = F.regexp_replace(strip(text), r"\A<!--\s*model:.*?-->\s*\n?", "")
-    out = F.regexp_replace(out, r"\A(?:(?!```|#\s|\*\*|---|<!--)[^\n]*\n)+", "")
-    out = F.regexp_replace(out, r"(?s)\A```(?:markdown|md)?\s*\n(.*?)\n```\s*\z", "$1\n")
-    out = F.regexp_replace(out, r"(?m)^\*\*(?:Model|Creator|Agent):\*\*.*\n?", "")
-    return strip(F.regexp_replace(strip(out), r"\n---+\s*\n*\z", ""))
+    """text without what models put around it."""
+    for pattern, stays in CHUNK_WRAPPERS:
+        text = F.regexp_replace(strip(text), pattern, stays)
+    return strip(text)
 
 
 def model_family(model: Column) -> Column:

@@ -171,3 +171,10 @@ def gap_message(spans: DataFrame) -> DataFrame:
     rows = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "captions", "sample"))).alias("s"))
     text = F.concat(F.lit("SEAM GAP DETECTED: Formatter output is missing "), n.cast("string"), F.when(n == 1, " section").otherwise(" sections"), F.lit(" of source dialogue: "), F.array_join(F.transform("s", one), "; "), F.lit(". Likely a chunk-boundary drop — retry to escalate / re-chunk."))
     return rows.select("doc_id", text.alias("message"))
+
+
+def chapter_checks(chapters: Column, boundaries: Column, cap: int, words: int, near_ms: int = 2000) -> dict[str, Column]:
+    """Numbers of findings of a chapter list (start_ms, title): over its cap, titles of more than so many words, starts that no boundary is near."""
+    long = F.filter(chapters, lambda c: F.size(F.split(F.trim(c["title"]), r"\s+")) > words)
+    off = F.filter(chapters, lambda c: ~F.exists(boundaries, lambda b: F.abs(b - c["start_ms"]) <= near_ms))
+    return {"over_cap": (F.size(chapters) > cap).cast("int"), "long_titles": F.size(long), "off_boundary": F.size(off)}

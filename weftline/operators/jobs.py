@@ -98,3 +98,43 @@ def rank_one(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each group; null keys form one group."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+#: What may be uploaded, by extension or content type.
+UPLOADS, UPLOAD_TYPES = ("srt", "txt", "csv", "tsv"), ("text/csv", "text/plain", "application/csv", "application/octet-stream")
+
+
+def upload_error(name: Column, content_type: Column, path: Column, root: str) -> Column:
+    """Why an upload is refused: its type, or a folder outside root; null where it is taken."""
+    known = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*UPLOADS) | F.coalesce(content_type, F.lit("")).isin(*UPLOAD_TYPES)
+    inside = F.startswith(path, F.lit(root.rstrip("/") + "/")) & ~F.array_contains(F.split(path, "/"), "..")
+    return F.when(~known, "type").when(~F.coalesce(inside, F.lit(False)), "path")
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """(source, run, status) of a run log (source, run, event): running until completed, suppressed or failed; a run still open when its source has a later one is interrupted."""
+    runs = events.groupBy("source", "run").agg(F.max_by("event", F.when(F.col("event") == "running", 0).otherwise(1)).alias("status"))
+    later = F.lead("run").over(Window.partitionBy("source").orderBy("run")).isNotNull()
+    return runs.select("source", "run", F.when((F.col("status") == "running") & later, "interrupted").otherwise(F.col("status")).alias("status"))
+
+
+def attach_decisions(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, outcome, before, after) of files (id, media_id, filename) against records (media_id, attachments: array of names)."""
+    joined = wanted.join(records.select("media_id", "attachments"), "media_id", "left")
+    before = F.when(F.col("attachments").isNotNull(), F.size("attachments"))
+    there = F.array_contains("attachments", F.col("filename"))
+    outcome = F.when(F.col("attachments").isNull(), "no_match").when(there, "duplicate").otherwise("attached")
+    return joined.select("id", outcome.alias("outcome"), before.alias("before"), (before + (~there).cast("int")).alias("after"))
+
+
+def retried(phases: Column, name: str) -> Column:
+    """Struct phases, cost: the phase of that name pending again with its run archived, later "validator" runs too; the cost is that of what still stands."""
+    again = lambda p: (p["name"] == name) | (p["name"] == "validator")
+    state = F.transform(phases, lambda p: F.struct(p["name"].alias("name"), F.when(again(p), "pending").otherwise(p["status"]).alias("status"), F.when(again(p), 0.0).otherwise(p["cost"]).alias("cost"), F.when(again(p), F.array(p)).otherwise(F.array().cast("array<struct<name:string,status:string,cost:double>>")).alias("previous_runs")))
+    return F.struct(state.alias("phases"), F.aggregate(state, F.lit(0.0), lambda a, p: a + F.coalesce(p["cost"], F.lit(0.0))).alias("cost"))
+
+
+def access(required: str, scopes: Column, consumer: Column) -> Column:
+    """allowed where a consumer's comma-separated scopes have the required one, shared for the common key without a consumer, else denied."""
+    has = F.array_contains(F.transform(F.split(F.coalesce(scopes, F.lit("")), ","), lambda s: F.trim(s)), required)
+    return F.when(consumer.isNull(), "shared").when(has, "allowed").otherwise("denied")
