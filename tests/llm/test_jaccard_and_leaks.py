@@ -109,6 +109,19 @@ def test_leaks_against_all_windows(spark):
     assert decontaminated(d.unionByName(d), b).count() == 2 * len(kept)
 
 
+def test_leaks_of_clashing_and_null_ids(spark):
+    draw = random.Random(9)
+    own = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    one, two = own(30), own(12)
+    items = spark.createDataFrame([(1, one), (1, two), (None, own(20))], "item_id long, text string")
+    docs = [(5, own(10) + " " + one), (5, own(40)), (6, two + " " + two + " " + own(3)), (None, one), (None, own(30)), (7, own(3000) + " " + one)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item": F.lit(1), "doc": F.lit(2), "start": F.lit(3), "fp": F.lit(4)})
+    found = {(r.doc_id, r.item_id, r.start, r.n_words, round(r.similarity, 6)) for r in contaminated_windows(df, items).collect()}
+    assert found == {(5, 1, 10, 30, 1.0), (6, 1, 0, 12, 1.0), (None, 1, 0, 30, 1.0), (7, 1, 3000, 30, 1.0)}
+    out = decontaminated(df, items)
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(5, docs[1][1]), (0, docs[4][1])])
+
+
 def test_leaks_in_another_order(spark):
     draw = random.Random(4)
     own = lambda n: ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n)]

@@ -280,3 +280,12 @@ def _with_count(nodes: DataFrame, key: str, least: int) -> DataFrame:
     """nodes with members, the rows of their key where there are at least so many, else null."""
     counts = nodes.groupBy(key).agg(F.count("*").alias("members")).where(F.col("members") >= least)
     return nodes.join(small(stage(counts, "large"), MAX_BROADCAST), key, "left")
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s), links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS d, doc_id AS c FROM s UNION SELECT r.d, links.v FROM r JOIN links ON links.u = r.c)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT d, min(c) AS component_id FROM r GROUP BY d) m ON m.d = s.doc_id
+"""

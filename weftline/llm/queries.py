@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import table
-from weftline.llm.decontaminate import contaminated_windows
+from weftline.llm.decontaminate import LEAKS_SQL, contaminated_windows
 from weftline.llm.hidden_markov import score_documents
 from weftline.llm.html_text import extract
-from weftline.llm.jaccard_join import jaccard_components
-from weftline.llm.line_quality import line_quality
+from weftline.llm.jaccard_join import JACCARD_SQL, jaccard_components
+from weftline.llm.line_quality import QUALITY_SQL, line_quality
 from weftline.llm.packing import pack
 from weftline.llm.quality_fm import quality_scores
 from weftline.llm.token_counts import token_counts
@@ -24,44 +24,54 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the line rules on every document; null texts fail, repeated rows each have theirs."""
     return line_quality(table(spark, sf_dir, "documents")).withColumn("n_removed_lines", F.size("removed").cast("long")).drop("removed")
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written into archives and resolved again; a null html is an empty payload."""
     return round_trip(table(spark, sf_dir, "pages"))
 
 
 def op3_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document from its stored prefix table; null texts have none."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document under the hidden Markov model; a null text is the end token alone."""
     return score_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; empty for null and textless pages."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length bucket and batch of every document; null texts have length 0."""
     return pack(table(spark, sf_dir, "documents"))
 
 
 def op7_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered turns of every conversation; rows without conversation or turn number are left out."""
     return recovered_turns(table(spark, sf_dir, "conversations"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar window of every document and benchmark item that it leaks; null texts have none."""
     return contaminated_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document; null and empty texts link with nothing."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; null and empty texts have one too."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -71,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": ROUND_TRIP_SQL}
+    return {"op1_line_frequency": QUALITY_SQL, "op2_warc_revisits": ROUND_TRIP_SQL, "op8_decontaminate": LEAKS_SQL, "op9_jaccard_groups": JACCARD_SQL}
