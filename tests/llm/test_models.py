@@ -73,19 +73,65 @@ def test_likelihood_and_counts_by_enumeration():
                 move[a, b] += x / total
             for k, o in zip(p, s, strict=True):
                 emit[o, k] += x / total
-    for have, want in zip(H.expected_counts(model, classes, bounds), (start, move, emit), strict=True):
+    have = H.expected_counts(model, classes, bounds)
+    assert math.isclose(have[3], sum(math.log(10) * x for x in H.log10_likelihood(model, classes, bounds)))
+    for have, want in zip(have, (start, move, emit), strict=False):
         assert np.allclose(have, want)
 
 
-def test_long_texts_are_scored_exactly():
-    model = tiny()
-    classes = np.random.default_rng(2).integers(0, 5, 3 * H.SEGMENT + 17)
-    alpha, log = model.start * model.emit[classes[0]], 0.0
-    for c in classes[1:]:
-        alpha = alpha @ model.move * model.emit[c]
-        log += math.log10(alpha.sum())
-        alpha = alpha / alpha.sum()
-    assert math.isclose(H.log10_likelihood(model, classes, np.array([0, len(classes)]))[0], log + math.log10((model.start * model.emit[classes[0]]).sum()) * 0, rel_tol=1e-3)
+def plain_counts(model, classes):
+    """Log10 likelihood and expected counts of one text by the plain scaled recursions over all its tokens."""
+    alpha, scale = [], []
+    for i, c in enumerate(classes):
+        a = (model.start if i == 0 else alpha[-1] @ model.move) * model.emit[c]
+        scale.append(a.sum())
+        alpha.append(a / a.sum())
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    beta = np.ones(3)
+    for i in range(len(classes) - 1, -1, -1):
+        emit[classes[i]] += alpha[i] * beta
+        if i == 0:
+            start += alpha[0] * beta
+            break
+        x = model.emit[classes[i]] * beta / scale[i]
+        move += model.move * np.outer(alpha[i - 1], x)
+        beta = model.move @ x
+    return sum(map(math.log10, scale)), start, move, emit
+
+
+def test_long_texts_are_exact_over_segments(monkeypatch):
+    monkeypatch.setattr(H, "SEGMENT", 7)
+    model, draw = tiny(), np.random.default_rng(2)
+    texts = [draw.integers(0, 5, n) for n in (3 * 7 + 4, 7, 8, 1, 70, 6, 14)]
+    classes, bounds = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    plain = [plain_counts(model, x) for x in texts]
+    assert np.allclose(H.log10_likelihood(model, classes, bounds), [p[0] for p in plain], rtol=1e-9, atol=0)
+    start, move, emit, log = H.expected_counts(model, classes, bounds)
+    assert math.isclose(log, math.log(10) * sum(p[0] for p in plain), rel_tol=1e-9)
+    for have, want in zip((start, move, emit), (sum(p[i] for p in plain) for i in (1, 2, 3)), strict=True):
+        assert np.allclose(have, want, rtol=1e-9)
+
+
+def test_query_scores_by_a_plain_forward_pass(spark, monkeypatch):
+    """The rows of score_documents against a forward recursion over words, with the model that it fitted."""
+    kept = {}
+    updated = H._updated
+    monkeypatch.setattr(H, "_updated", lambda *a: kept.setdefault("all", []).append(updated(*a)) or kept["all"][-1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 150).alias("text"))
+    got = {r.doc_id: r for r in H.score_documents(docs).collect()}
+    model = kept["all"][-1][0]
+    rows = {r.doc_id: re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()) for r in docs.collect()}
+    counts = Counter(x for i, t in rows.items() if held(i, 7) != 2 for x in t)
+    assert 100 < len(counts) <= H.TOP  # so each known word has a class of its own, by count and then by key
+    key = lambda w: H.Words(next(pieces(pa.array([w.decode()])))[1]).hash.view(np.int64)[0]
+    place = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], key(w))))}
+    for i, text in rows.items():
+        a, log = None, 0.0
+        for c in [*(place.get(w, H.UNKNOWN) for w in text), H.END]:
+            a = (model.start if a is None else a @ model.move) * model.emit[c]
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        assert math.isclose(got[i].score, log, rel_tol=1e-9), i
 
 
 def test_scores_of_an_empty_table(spark):
@@ -121,24 +167,75 @@ def test_classifier_edges(spark, docs):
     assert Q.keep_quality(docs, labels.limit(0)).columns == docs.columns
 
 
-def test_best_buckets_by_enumeration():
+def test_query_scores_by_all_pairs(spark, docs):
+    """Rows of quality_scores, long, null and repeated texts included, against the sum over all pairs of features."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    every = docs.unionByName(docs.where("doc_id < 3 OR text IS NULL")).withColumns({"label": F.lit("x"), "score": F.lit(1)})
+    machine = Q.train(every, labels)
+    texts = {r.doc_id: r.text for r in every.collect()}
+    got = Q.quality_scores(every, labels).collect()
+    assert len(got) == every.count()
+    for r in got:
+        _, i, x = Q.features(next(pieces(pa.array([texts[r.doc_id]], pa.string())))[1])
+        z = machine.w0 + machine.w[i] @ x + sum((machine.v[i[a]] @ machine.v[i[:a]].T) @ x[:a] * x[a] for a in range(1, len(i)))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+
+
+def test_features_bound_the_fit(spark, docs, monkeypatch):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).where("doc_id < 100")
+    sizes = []
+    fit = Q.fit
+    monkeypatch.setattr(Q, "fit", lambda b, i, v, y: sizes.append(len(i)) or fit(b, i, v, y))
+    monkeypatch.setattr(Q, "MAX_FEATURES", 2_000)
+    Q.train(docs, labels)
+    assert 0 < sizes[0] <= 2_000
+
+
+def plain_bounds(length, rows, buckets):
+    """Least padding of every partition, by the plain recursion over all cuts."""
+    n = len(length)
+    cost = lambda i, j: sum((length[j - 1] - length[m]) * rows[m] for m in range(i, j))
+    best = {0: 0}
+    least = math.inf
+    for _ in range(min(buckets, n)):
+        best = {j: min(best[i] + cost(i, j) for i in best if i < j) for j in range(1, n + 1) if any(i < j for i in best)}
+        least = min(least, best.get(n, math.inf))
+    return least
+
+
+def test_best_buckets_against_all_cuts():
     draw = np.random.default_rng(6)
-    for _ in range(20):
-        n = int(draw.integers(1, 9))
-        longest = np.sort(draw.choice(50, n, replace=False))
+    for n, top in [(1, 9), (2, 50), (5, 9), (8, 50), (30, 5000), (60, 20_000)]:
+        length = np.sort(draw.choice(top, n, replace=False)).astype(np.int64)
         rows = draw.integers(1, 9, n)
-        total = longest * rows - draw.integers(0, 2, n) * (longest > 0)
-        for k in (1, 3, 20):
-            best = min(sum(longest[b - 1] * rows[a:b].sum() - total[a:b].sum() for a, b in itertools.pairwise((0, *cut, n))) for r in range(min(k, n)) for cut in itertools.combinations(range(1, n), r))
-            bounds, padding = optimal_bounds(longest, rows, total, k)
-            assert padding == best and bounds[-1] == longest[-1] and len(bounds) <= k
+        for k in (1, 3, 7, 70):
+            bounds, padding = optimal_bounds(length, rows, k)
+            assert padding == plain_bounds(length.tolist(), rows.tolist(), k) and bounds[-1] == length[-1] and len(bounds) <= k
+            padded = np.array(bounds)[np.searchsorted(bounds, length)]
+            assert ((padded - length) * rows).sum() == padding
+    assert optimal_bounds(np.zeros(0, np.int64), np.zeros(0, np.int64), 3) == ([], 0)
 
 
 def test_batches(spark, docs):
     rows = pack(docs.unionByName(docs), buckets=5, budget=2000).toPandas()
     assert len(rows) == 2 * docs.count() and (rows.length <= rows.bucket_length).all() and (rows.padding == rows.bucket_length - rows.length).all()
+    length = rows.length.value_counts().sort_index()
+    assert rows.padding.sum() == optimal_bounds(length.index.to_numpy(), length.to_numpy(), 5)[1]
     assert rows.bucket.nunique() <= 5 and (rows.groupby("batch").bucket.nunique() == 1).all()
     size = rows.groupby("batch").bucket_length.agg(["sum", "count"])
     assert ((size["sum"] <= 2000) | (size["count"] == 1)).all()
     assert rows.set_index("doc_id").loc[90001].length.tolist() == [0, 0]
     assert pack(docs.limit(0)).count() == 0
+    clash = docs.select("doc_id", "text", F.lit("x").alias("length"), F.lit("y").alias("bucket"), F.lit(0).alias("batch"))
+    assert pack(clash).columns == ["doc_id", "length", "bucket", "bucket_length", "batch", "padding"] and pack(clash).count() == docs.count()
+
+
+def test_query_packs_with_the_least_padding(spark):
+    from weftline.llm.queries import op6_length_buckets
+
+    rows = op6_length_buckets(spark, SF).toPandas()
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.length for r in rows.itertuples()} == words
+    length = sorted(Counter(words.values()).items())
+    assert rows.padding.sum() == plain_bounds([x for x, _ in length], [n for _, n in length], 16)
+    assert (rows.groupby("batch").bucket_length.sum() <= 32_768).all()

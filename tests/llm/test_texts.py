@@ -1,12 +1,14 @@
 import hashlib
 import random
+import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import transcripts as X
-from weftline.llm.html_text import extract, main_text
-from weftline.llm.token_counts import PrefixCounter, prefix_counts, token_counts
+from weftline.llm.html_text import extract, main_text, surge_and_dive
+from weftline.llm.token_counts import PrefixCounter, fitting, prefix_tables, running, token_counts
 from weftline.llm.warc import read_archives, resolve, round_trip, write_archives
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -15,28 +17,37 @@ PATH = tokenizers.path("byte_bpe_50k.json")
 
 def test_every_prefix_is_exact():
     counter, draw = PrefixCounter(PATH), random.Random(1)
-    letters = [*"ab '’sltve.!  \n\t\x1c\x0b1é日", "<|endoftext|>", "'ll"]
-    for _ in range(600):
-        text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 25)))
+    letters = [*"ab '’sltve.!  \n\t\x1c\x0b1é日\xa0\u2003", "<|endoftext|>", "<|end", "oftext|>", "'ll", "'re", "the", " and", "aaa", "   "]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 25))) for _ in range(1500)]
+    for text in [*texts, "x" * 700, "é" * 300 + " " * 300 + "!?" * 150, "ab" * 100 + "<|endoftext|>" * 3]:
         want = [0, *counter.encoded([text[:i] for i in range(1, len(text) + 1)])]
-        assert counter.prefixes(text) == want
+        have = running(*counter.steps(text))
+        assert have.tolist() == want
         budget = draw.randint(0, 8)
-        assert counter.fits(text, budget) == (want[-1], max(i for i, n in enumerate(want) if n <= budget))
+        assert fitting(have, budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
 def test_token_counts(spark):
-    rows = [(1, None), (2, ""), (3, "Hello  world<|endoftext|>\n"), (4, "word " * 5000), (5, "x" * 3000), (3, "Hello  world<|endoftext|>\n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+    rows = [(1, None), (2, ""), (3, "Hello  world<|endoftext|>\n"), (4, "word " * 5000), (5, "x" * 30_000), (3, "Hello  world<|endoftext|>\n"), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_tokens": F.lit("clash"), "steps": F.lit(1)})
     got = token_counts(df, PATH).collect()
     direct = PrefixCounter(PATH)
     texts = dict(rows)
-    assert len(got) == 6
+    assert len(got) == 7
     for r in got:
         text = texts[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), direct.encoded([text])[0], direct.encoded([text])[0] > 512)
-        assert direct.encoded([text[: r.fit_chars]])[0] <= 512
+        assert direct.encoded([text[: r.fit_chars]])[0] <= 512 and (r.fit_chars == len(text) or all(n > 512 for n in direct.encoded([text[: r.fit_chars + i] for i in range(1, 40)])))
     assert token_counts(df.limit(0), PATH).count() == 0
-    assert [len(r.prefix_tokens) for r in prefix_counts(df.where("doc_id < 4"), PATH).orderBy("doc_id").collect()] == [1, 1, 27, 27]
+    assert [len(running(r.width, r.steps)) for r in prefix_tables(df.where("doc_id < 4"), PATH).orderBy("doc_id").collect()] == [1, 1, 27, 27]
+
+
+def test_counts_of_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    direct = PrefixCounter(PATH)
+    for r in token_counts(docs, PATH).collect():
+        assert r.n_tokens == direct.encoded([texts[r.doc_id] or ""])[0]
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -58,6 +69,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert round_trip(df.limit(0), f"file://{tmp_path}/c").count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    from weftline.llm import warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    rows = [(i, "u", f"{i} " + "x" * (4_000 if i else 60_000)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    write_archives(df, f"file://{tmp_path}/a")
+    assert len(list((tmp_path / "a").glob("*.gz"))) == 9
+    assert read_archives(spark, f"file://{tmp_path}/a").agg(F.sum("bytes")).first()[0] == sum(len(h) for _, _, h in rows)
+    import gzip
+
+    head = gzip.decompress(next(iter((tmp_path / "a").glob("*.gz"))).read_bytes()).decode()
+    assert re.search(r"WARC-Date: 20[0-9-]{8}T[0-9:]{8}Z", head)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-banner">We use cookies</div><article><h1>Head &amp;  line</h1><p>First <b>bold</b>
 part.<br>Next<p>To.</p><div class='ad'>Buy <p>now</p></div><script>var x="</p>";</script><form><input><button>Go</button></form><table><tr><td>a</td><td>b &lt; c</td></tr></table>
@@ -90,12 +116,74 @@ AD = "<div class=ad>Buy now, buy more, and buy it all again before the end of th
         (f"<p>{LONG}</p><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a>, 1999</li></ul><p><a href=c>{LONG}</a></p>", f"{LONG} First source Second source, 1999 {LONG}"),
         (f"<p><a href=c>{LONG}</a></p><p>Short.</p>", f"{LONG} Short."),
         ("<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>", "One Two"),
+        (f"<ul><li><a href=a>One</a></li></ul><div>My site</div><p>{LONG}</p><p>The end.</p><ul><li><a href=a>More</a></li><li><a href=b>Top</a></li></ul>", f"My site {LONG} The end."),
+        (f"<div>My site</div><p>Since 1999</p><p>Call us</p><p>Today</p><p>{LONG}</p><p>Bye.</p><p><a href=x>Back</a></p>", f"Call us Today {LONG} Bye."),
     ],
 )
 def test_only_chrome_is_dropped(page, want):
     assert main_text(f"<body><nav>Menu</nav>{page}<footer>Foot</footer></body>") == want
 
 
+class Blocks(HTMLParser):
+    """Blocks of a page and whether each stands in an article, by a stack of open elements: the plain way, for pages whose elements are closed."""
+
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+    INLINE = frozenset("a b i em strong span u small sub sup code abbr img".split())
+    CHROME = re.compile(r"(nav|footer|aside|form|button|select|menu|dialog|head|script|style|noscript|iframe|template|textarea|title|svg)$")
+    NAMES = re.compile(r"(.*[-_])?(ad|ads|advert|banner|breadcrumbs?|comments?|comment-list|consent|cookies?|footer|header|menu|nav|newsletter|notice|popup|promo|related|search|share|sidebar|social|sponsor|sponsored|subscribe|widget)([-_].*)?$")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.text = [], [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.text).split()):
+            self.blocks.append((text, any(t in ("article", "main") for t, _ in self.open)))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        inside = any(t in ("article", "main") for t, _ in self.open)
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).split()
+        bad = bool(self.CHROME.match(tag)) or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and any(self.NAMES.match(n) for n in names)) or (tag == "article" and inside and any(self.NAMES.match(n) for n in names))
+        if tag not in self.INLINE:
+            self.flush()
+        if tag not in self.VOID:
+            self.open.append((tag, bad))
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.flush()
+        while tag in [t for t, _ in self.open]:
+            if self.open.pop()[0] == tag:
+                break
+
+    def handle_data(self, data):
+        if not any(bad for _, bad in self.open):
+            self.text.append(data)
+
+
+def test_pages_against_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    for r in pages.collect():
+        parser = Blocks()
+        parser.feed(r.html or "")
+        parser.close()
+        parser.flush()
+        assert got[r.page_id] == " ".join(t for t, inside in parser.blocks if inside), r.page_id
+
+
+def test_surge_and_dive_by_all_windows():
+    draw = random.Random(7)
+    for _ in range(300):
+        n = draw.randint(1, 9)
+        weight, inside = [draw.choice([0, 0, 10, 30, 60, 200]) for _ in range(n)], [draw.random() < 0.3 for _ in range(n)]
+        windows = [range(a, min(a + 3, n)) for a in range(n)] + [range(0, b + 1) for b in range(min(2, n))]
+        surging = [i for i in range(n) if weight[i] and any(i in (w[0], w[-1]) and sum(weight[j] for j in w if inside[j] == inside[i]) >= 80 for w in windows)]
+        some = [i for i in range(n) if weight[i]]
+        assert surge_and_dive(weight, inside) == ((surging or some)[0], some[-1]) if some else (0, n - 1)
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(0))
     assert [(r.page_id, r.n_chars) for r in extract(df).orderBy("page_id").collect()] == [(1, 45), (2, 0), (2, 0)]
@@ -126,6 +214,41 @@ def test_roles_over_chunks(spark, monkeypatch):
     assert X.parse(lines.limit(0), model).count() == 0
 
 
+def turns_by_hand(lines, model):
+    """Rendered turns of lines (conv_id, turn, line, text, symbol) by the plain best path over whole transcripts."""
+    marks = {r: re.compile(p.replace("(?i)", ""), re.I) for r, p in X.MARKERS}
+    out, convs = [], {}
+    for r in lines:
+        convs.setdefault(r.conv_id, []).append(r)
+    for conv, rows in convs.items():
+        rows.sort(key=lambda r: (r.turn, r.line, r.tie))
+        before, turns = None, []
+        for r, s in zip(rows, best_path(*model, [r.symbol for r in rows]), strict=True):
+            role, text = X.ROLES[s // 2], r.text
+            if s % 2 == 0 or before is None or before // 2 != s // 2:
+                m = marks[role].match(text) or marks["switch"].match(text)
+                turns.append([r.turn, r.line, role, []])
+                text = text[m.end() :] if m else text
+            turns[-1][3].append(text)
+            before = s
+        out += [(conv, t, i, role, len(x), f"<|{role}|>\n" + "\n".join(x).strip(" ") + "\n<|end|>\n") for t, i, role, x in turns]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_query_against_whole_transcripts(spark, monkeypatch, chunk):
+    monkeypatch.setattr(X, "CHUNK", chunk)
+    kept, estimate = {}, X.estimate
+    monkeypatch.setattr(X, "estimate", lambda lines: kept.setdefault("model", estimate(lines)))
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = [(901, 0, "assistant", "Answer: 42 is it\nUser: not me"), (901, 1, "user", None), (901, 1, "user", None), (902, 0, "assistant", "\n".join(f"line {i}" for i in range(700))), (902, 1, None, "x"), (None, 1, "user", "x"), (903, None, "user", "x")]
+    df = conv.unionByName(spark.createDataFrame(more, conv.schema)).withColumns({"line": F.lit(1), "place": F.lit("x"), "chunk": F.lit(2)})
+    got = [tuple(r) for r in X.recovered_turns(df).collect()]
+    lines = X.transcript_lines(df).where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "line", "text", F.xxhash64("text").alias("tie"), X.symbol(F.col("text")).alias("symbol"))
+    assert sorted(got) == sorted(turns_by_hand(lines.collect(), kept["model"]))
+    assert X.recovered_turns(df.limit(0)).count() == 0
+
+
 def test_recovered_roles(spark):
     conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     lines = X.transcript_lines(conv)
