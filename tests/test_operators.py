@@ -24,8 +24,8 @@ def test_copy_suffixes(spark):
 
 
 def test_media_ids(spark):
-    names = ["2wli1209HD_ForClaude.txt", "2BUC0000HDWEB02_REV20251202.srt", "WC_S01_trailer.srt", "TLB CC IN WI.srt", "x_REV20251106.srt", "6GWQ2503 (1).srt"]
-    assert values(spark, T.media_id(F.col("x")), names) == ["2WLI1209HD", "2BUC0000HDWEB02_REV20251202", "WC_S01_trailer", None, "x_REV20251106", "6GWQ2503"]
+    names = ["9abc1209HD_ForClaude.txt", "7ABC0000HDWEB02_REV20251202.srt", "ab_x01_promo.srt", "no id in here.srt", "x_REV20251106.srt", "8XYZ2503 (1).srt"]
+    assert values(spark, T.media_id(F.col("x")), names) == ["9ABC1209HD", "7ABC0000HDWEB02_REV20251202", "ab_x01_promo", None, "x_REV20251106", "8XYZ2503"]
     assert values(spark, T.media_id_of_url(F.col("x")), ["http://h/d/2WLI1209HD%20(1).srt.srt"]) == ["2WLI1209HD"]
 
 
@@ -96,7 +96,7 @@ def test_guarded_substitutions(spark):
 
 
 def test_style_checks(spark):
-    assert values(spark, R.down_style(F.col("x"), ["PBS Wisconsin", "Wisconsin"]), ["THE pbs WISCONSIN Show", "123 go"]) == ["The PBS Wisconsin show", "123 Go"]
+    assert values(spark, R.down_style(F.col("x"), ["Lake Radio", "Radio"]), ["THE lake RADIO Show", "123 go"]) == ["The Lake Radio show", "123 Go"]
     assert values(spark, R.truncation_suspect(F.col("x")), ["Done.\n\n", "cut off", ""]) == [False, True, False]
     pairs = spark.createDataFrame([(["Ann", "Ann Lee", "Bob"],)], "x array<string>").select(F.explode(R.subset_labels(F.col("x"))).alias("p")).collect()
     assert [(r.p.short, r.p.long) for r in pairs] == [("Ann", "Ann Lee")]
