@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import table
 from weftline.llm.decontaminate import LEAKS_SQL, contaminated_windows
+from weftline.llm.hard_negatives import NEGATIVES_SQL, mined
 from weftline.llm.hidden_markov import score_documents
 from weftline.llm.html_text import extract
 from weftline.llm.jaccard_join import JACCARD_SQL, jaccard_components
@@ -17,6 +18,7 @@ from weftline.llm.packing import pack
 from weftline.llm.quality_fm import quality_scores
 from weftline.llm.token_counts import token_counts
 from weftline.llm.transcripts import recovered_turns
+from weftline.llm.vector_codes import CODES_SQL, compressed
 from weftline.llm.warc import ROUND_TRIP_SQL, round_trip
 
 #: Name of the vocabulary file of op3; queries look its path up where they run.
@@ -75,10 +77,20 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every usable vector; others are left out."""
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive; rows without id, label or a usable vector take no part."""
+    return mined(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_frequency, op2_warc_revisits, op3_prefix_tokens, op4_hidden_markov, op5_line_blocks, op6_length_buckets, op7_transcripts, op8_decontaminate, op9_jaccard_groups, op10_factorisation_machine)
+    found = (op1_line_frequency, op2_warc_revisits, op3_prefix_tokens, op4_hidden_markov, op5_line_blocks, op6_length_buckets, op7_transcripts, op8_decontaminate, op9_jaccard_groups, op10_factorisation_machine, op12_vector_codes, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": QUALITY_SQL, "op2_warc_revisits": ROUND_TRIP_SQL, "op8_decontaminate": LEAKS_SQL, "op9_jaccard_groups": JACCARD_SQL}
+    return {"op1_line_frequency": QUALITY_SQL, "op2_warc_revisits": ROUND_TRIP_SQL, "op8_decontaminate": LEAKS_SQL, "op9_jaccard_groups": JACCARD_SQL, "op12_vector_codes": CODES_SQL, "op13_hard_negatives": NEGATIVES_SQL}
