@@ -16,6 +16,7 @@ from weftline.llm.jaccard_join import JACCARD_SQL, jaccard_components
 from weftline.llm.line_quality import QUALITY_SQL, line_quality
 from weftline.llm.packing import pack
 from weftline.llm.quality_fm import quality_scores
+from weftline.llm.sanitise import personal_spans
 from weftline.llm.token_counts import token_counts
 from weftline.llm.transcripts import recovered_turns
 from weftline.llm.vector_codes import CODES_SQL, compressed
@@ -77,6 +78,11 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that give it away; a null text has none."""
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and error of every usable vector; others are left out."""
     return compressed(table(spark, sf_dir, "embeddings"))
@@ -88,7 +94,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_frequency, op2_warc_revisits, op3_prefix_tokens, op4_hidden_markov, op5_line_blocks, op6_length_buckets, op7_transcripts, op8_decontaminate, op9_jaccard_groups, op10_factorisation_machine, op12_vector_codes, op13_hard_negatives)
+    found = (op1_line_frequency, op2_warc_revisits, op3_prefix_tokens, op4_hidden_markov, op5_line_blocks, op6_length_buckets, op7_transcripts, op8_decontaminate, op9_jaccard_groups, op10_factorisation_machine, op11_personal_data, op12_vector_codes, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
