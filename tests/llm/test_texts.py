@@ -175,13 +175,69 @@ def test_pages_against_a_plain_parser(spark):
 
 def test_surge_and_dive_by_all_windows():
     draw = random.Random(7)
-    for _ in range(300):
-        n = draw.randint(1, 9)
-        weight, inside = [draw.choice([0, 0, 10, 30, 60, 200]) for _ in range(n)], [draw.random() < 0.3 for _ in range(n)]
-        windows = [range(a, min(a + 3, n)) for a in range(n)] + [range(0, b + 1) for b in range(min(2, n))]
-        surging = [i for i in range(n) if weight[i] and any(i in (w[0], w[-1]) and sum(weight[j] for j in w if inside[j] == inside[i]) >= 80 for w in windows)]
-        some = [i for i in range(n) if weight[i]]
-        assert surge_and_dive(weight, inside) == ((surging or some)[0], some[-1]) if some else (0, n - 1)
+    for _ in range(500):
+        n = draw.randint(1, 14)
+        weight = [draw.choice([0, 0, 0, 10, 30, 60, 200]) for _ in range(n)]
+        windows = [(a, sum(weight[a : a + 3])) for a in range(n - 2)]
+        dives = {a for a, total in windows if not total}
+        # stretches: lines with weight that no dive parts
+        want, now = [], []
+        for i in (i for i in range(n) if weight[i]):
+            if now and any(now[-1] < a and a + 2 < i for a in dives):
+                want.append(now)
+                now = []
+            now.append(i)
+        want += [now] * bool(now)
+        have = surge_and_dive(weight)
+        assert [(a, b) for a, _, b in have] == [(own[0], own[-1] + 1) for own in want]
+        for own, (a, surge, b) in zip(want, have, strict=True):
+            padded = [0, 0, *weight[a:b], 0, 0]
+            begins = [i for i in own if sum(padded[i - a + 2 : i - a + 5]) >= 80 or sum(padded[i - a : i - a + 3]) >= 80]
+            assert surge == (begins[0] if begins else None)
+
+
+PROSE = "Some longer prose that goes on, with commas and clauses, for quite a while. " * 2
+ARTICLE, TEXT = f"<article><h1>Head line</h1><p>{PROSE}</p><p>Short.</p></article>", f"Head line {PROSE.strip()} Short."
+SLOGAN = "We are a site about many things and this slogan has more than eighty characters in all."
+
+
+@pytest.mark.parametrize(
+    ("page", "bare"),
+    [
+        (f'<div class="overflow-hidden">{ARTICLE}</div>', True),
+        (f'<div style="overflow:hidden">{ARTICLE}</div>', True),
+        (f'<div class="elementor-widget elementor-widget-text-editor">{ARTICLE}</div>', True),
+        (f'<div class="content-sidebar-wrap">{ARTICLE}</div>', True),
+        (f'<div class="layout-sidebar-right">{ARTICLE}</div>', True),
+        (f'<section id="market-share">{ARTICLE}</section>', True),
+        (f'<div class="widget">{ARTICLE}</div>', True),
+        (f'<form id="page"><input type="hidden" value="x">{ARTICLE}</form>', True),
+        (f"<div hidden>Not yet</div>{ARTICLE}<div style='display: none'>Nor this</div>", True),
+        (f'<div class="site-header"><a href=x>Home</a> Site</div>{ARTICLE}<div class="comment-list"><article><p>{PROSE * 3}</p></article></div><div class="cookie-notice">We use cookies</div>', True),
+        (ARTICLE.replace("<h1>", '<div class="article-header"><h1>').replace("</h1>", "</h1></div>"), True),
+        (ARTICLE.replace("<p>Short.", '<div class="ad-slot"><p>Buy</p></div><ul class="share-links"><li>Share<li>Send</ul><p>Short.'), True),
+        (f"<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul>{ARTICLE}<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul><p>Since 1999, all year</p>", True),
+        (f"{ARTICLE}<p>Copyright 2020 Example. All rights reserved</p>", False),
+        (f"<p>{SLOGAN}</p>{ARTICLE}", False),
+    ],
+)
+def test_whole_articles(page, bare):
+    whole = f"<html><body><nav>Menu</nav>{page}<footer>Foot</footer></body></html>"
+    assert main_text(whole) == TEXT
+    if bare:  # where something else than the tag parts the article from the rest
+        assert main_text(whole.replace("<article>", "<div>").replace("</article>", "</div>")) == TEXT
+
+
+def test_formulas_and_open_elements():
+    assert main_text("<article><p>Let <math><mi>x</mi></math> be a number</p></article>") == "Let x be a number"
+    assert main_text(f"<p>{PROSE}<p class=ad>Buy<p>More {PROSE}<ul><li>a<li class=ad>b<li>c</ul><div class=ad>never closed") == f"{PROSE.strip()} More {PROSE.strip()} a c never closed"
+
+
+def test_pages_without_article_tags(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    assert len(pages) > 200
+    for page in pages:
+        assert main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == main_text(page)
 
 
 def test_extract(spark):
