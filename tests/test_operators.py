@@ -166,9 +166,3 @@ def test_jobs(spark):
     assert J.page_count(0, 25) == 1 and J.page_count(51, 25) == 3
     names = spark.createDataFrame([("a_b",), ("axb",), ("50%",)], "n string")
     assert names.where(J.contains_ci("A_B", "n")).count() == 1 and names.where(J.contains_ci("%", "n")).count() == 1
-
-
-def test_state_machine_refuses(spark, tmp_path):
-    spark.createDataFrame([(1, 1, "claim"), (1, 2, "complete"), (1, 3, "cancel"), (2, 1, "complete")], "id long, seq long, action string").write.parquet(str(tmp_path / "ev"))
-    out = K.latest(K.run_once(K.run_machine(K.table_stream(spark, str(tmp_path / "ev"))), mode="update"), "id").orderBy("id").collect()
-    assert [(r.status, r.applied, r.refused) for r in out] == [("completed", 2, 1), ("pending", 0, 1)]

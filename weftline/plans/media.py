@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions import time as TM
 from weftline.operators import media as M
+from weftline.operators import search as S
+from weftline.operators import walk as W
 from weftline.operators.jobs import rank_one
 from weftline.plans.registry import query
+from weftline.sources.files import scratch
 from weftline.sources.tables import cte, raw, role
 
 _F = cte("files")
@@ -188,6 +193,49 @@ def j6_crawl_summary(spark, sf):
     return M.delta(seen, known(spark, sf), "id", ["file_size_bytes"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
+_WALK = f"""{_F}, s AS (SELECT f.*, concat_ws('-', remote_url, CAST(file_size_bytes AS STRING)) AS url, id % 3 <> 0 AS was, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN file_size_bytes + 1 ELSE file_size_bytes END AS old_size FROM files f),
+c AS (SELECT *, CASE WHEN NOT was THEN 'new' WHEN coalesce(file_size_bytes <> old_size, false) THEN 'changed' ELSE 'same' END AS change FROM s)"""
+
+
+@lru_cache(maxsize=4)
+def walked(spark, sf):
+    """Two walks: what is known, then all files, with the second one delivered twice. The queries over one folder share them."""
+    parts = W.tables(spark, scratch(spark, "index"))
+    f = files(spark, sf).select(F.concat_ws("-", "remote_url", F.col("file_size_bytes").cast("string")).alias("url"), "id", "directory_path", "media_id", "variant_tag", "unknown_tag", "revision_date", "file_type", F.col("file_size_bytes").alias("size"), F.col("remote_modified_at").alias("modified"))
+    at = lambda day: F.lit(f"2025-01-0{day}").cast("timestamp_ntz").alias("at")
+    old = f.where("id % 3 <> 0").withColumn("size", F.expr("CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN size + 1 ELSE size END"))
+    bodies = f.where("id % 10 <> 0").select("url", F.concat(F.lit("Captions of "), "url").alias("body_text"))
+    W.walk(parts, 0, old.select("*", at(1)), bodies)
+    run = W.walk(parts, 1, f.select("*", at(2)), bodies)
+    assert W.walk(parts, 1, f.select("*", at(3)), bodies) is None
+    return parts, run
+
+
+@query(f"{_WALK} SELECT url, id, CASE WHEN change = 'same' THEN old_size ELSE file_size_bytes END AS size, CASE WHEN was THEN DATE '2025-01-01' ELSE DATE '2025-01-02' END AS first_seen, CASE WHEN change = 'same' THEN DATE '2025-01-01' ELSE DATE '2025-01-02' END AS last_seen FROM c")
+def j6a_walk_files(spark, sf):
+    """The files after a walk: new ones, changed ones, and those that stay."""
+    return walked(spark, sf)[0].current("files").select("url", "id", "size", F.to_date("first_seen").alias("first_seen"), F.to_date("last_seen").alias("last_seen"))
+
+
+@query(f"{_F}, lin AS (SELECT id, first_value(id) OVER (PARTITION BY media_id, variant_tag, file_type ORDER BY revision_date DESC NULLS LAST, id) AS winner FROM files WHERE media_id IS NOT NULL AND unknown_tag IS NULL) SELECT id, CASE WHEN winner <> id THEN winner END AS superseded_by FROM lin")
+def j6b_walk_lineage(spark, sf):
+    """The lineage that a walk leaves, also of groups that span directories."""
+    return walked(spark, sf)[0].current("lineage").select("id", "superseded_by")
+
+
+@query(f"{_F} SELECT id AS file_id, concat('Captions of ', remote_url, '-', CAST(file_size_bytes AS STRING)) AS body_text FROM files WHERE file_type IN ('srt', 'scc') AND id % 10 <> 0")
+def j6c_walk_side_files(spark, sf):
+    """One side file a file, whose fetch didn't fail."""
+    return walked(spark, sf)[0].current("side_files").select("file_id", "body_text")
+
+
+@query(f"""{_WALK} SELECT count(*) AS seen, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'same') AS same, count(*) FILTER (change <> 'same' AND file_type IN ('srt', 'scc')) AS fetched,
+count(*) FILTER (change <> 'same' AND file_type IN ('srt', 'scc') AND id % 10 <> 0) AS persisted, count(*) FILTER (file_type IN ('srt', 'scc') AND id % 10 = 0) AS parity FROM c""")
+def j6d_walk_run(spark, sf):
+    """The account of a walk, counted while it ran."""
+    return spark.createDataFrame([vars(walked(spark, sf)[1])], "seen long, new long, changed long, same long, fetched long, persisted long, parity long")
+
+
 @query("SELECT p_partkey, p_brand, round(p_size / 1e6 * coalesce(price, 3.0), 9) AS cost FROM part LEFT JOIN (VALUES ('Brand#1', CAST(1.5 AS DOUBLE)), ('Brand#2', CAST(2.5 AS DOUBLE))) t(brand, price) ON p_brand = brand")
 def d6_price_lookup(spark, sf):
     """A default where no price is known."""
@@ -202,10 +250,13 @@ def d7_last_record(spark, sf):
     return raw(spark, sf, "part").select("p_partkey").join(last.select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("record")), "p_partkey", "left")
 
 
-@query("SELECT a.o_orderkey AS old_id, b.o_orderkey AS new_id FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey + 7")
+@query(f"""{_F}, lin AS (SELECT *, first_value(id) OVER (PARTITION BY media_id, variant_tag, file_type ORDER BY revision_date DESC NULLS LAST, id) AS winner FROM files WHERE media_id IS NOT NULL AND unknown_tag IS NULL)
+SELECT a.id AS old_id, b.id AS new_id, b.remote_url AS new_url, b.revision_date AS new_revision FROM lin a LEFT JOIN files b ON b.id = a.winner AND a.winner <> a.id""")
 def d8_superseding_row(spark, sf):
-    o = raw(spark, sf, "orders").select("o_orderkey")
-    return o.select(F.col("o_orderkey").alias("old_id"), (F.col("o_orderkey") + 7).alias("want")).join(o.select(F.col("o_orderkey").alias("want"), F.col("o_orderkey").alias("new_id")), "want", "left").select("old_id", "new_id")
+    """Each file with the one that superseded it, where there is one."""
+    f = files(spark, sf)
+    newer = f.select(F.col("id").alias("superseded_by"), F.col("remote_url").alias("new_url"), F.col("revision_date").alias("new_revision"))
+    return M.lineage(f).join(newer, "superseded_by", "left").select(F.col("id").alias("old_id"), F.col("superseded_by").alias("new_id"), "new_url", "new_revision")
 
 
 @query("WITH m AS (SELECT o_orderkey AS src, o_orderkey + 1000000 AS live FROM orders WHERE o_orderkey % 2 = 0) SELECT event_id, live AS job_id FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS src FROM events) e LEFT JOIN m ON m.src = e.src WHERE e.src IS NULL OR live IS NOT NULL")
@@ -289,11 +340,13 @@ def l13_optimistic_edits(spark, sf):
     return edits.join(old.select("id", "size"), "id", "left").select("id", F.col("size").eqNullSafe(F.col("expected")).alias("accepted"))
 
 
-@query(f"{_F} SELECT count(*) - count(*) FILTER (media_id IS NOT NULL) AS delta FROM files")
+@query("SELECT count(*) AS texts, count(*) FILTER (regexp_matches(lower(text), '[a-z0-9]')) AS indexed, count(*) - count(*) FILTER (regexp_matches(lower(text), '[a-z0-9]')) AS delta FROM documents")
 def e18_index_parity(spark, sf):
-    f = files(spark, sf)
-    indexed = f.where("media_id IS NOT NULL").agg(F.count("*").alias("i"))
-    return f.agg(F.count("*").alias("b")).crossJoin(indexed).select((F.col("b") - F.col("i")).alias("delta"))
+    """Texts, those that the index's postings name, and the difference: texts without a word."""
+    docs = raw(spark, sf, "documents")
+    indexed = S.postings(docs).select("doc_id").distinct()
+    both = docs.select("doc_id").join(indexed.withColumn("_in", F.lit(1)), "doc_id", "left")
+    return both.agg(F.count("*").alias("texts"), F.count("_in").alias("indexed"), (F.count("*") - F.count("_in")).alias("delta"))
 
 
 @query(f"""{_F} SELECT id, CASE WHEN media_id IS NULL THEN 'no_match' WHEN nth > 1 THEN 'duplicate' ELSE 'attached' END AS outcome FROM (SELECT id, media_id, row_number() OVER (PARTITION BY media_id, directory_path ORDER BY id) AS nth FROM files WHERE file_type = 'image')""")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import media as M
 from weftline.plans.registry import query
 from weftline.sources.files import scratch
+from weftline.sources.parts import Parts
 from weftline.sources.tables import raw
 from weftline.streaming import jobs as K
+from weftline.streaming import ordered as O
 
 
 @query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS bucket, count(*) AS requests FROM events GROUP BY 1")
@@ -28,17 +29,17 @@ def k1_polling_consumer(spark, sf):
 
 @query("SELECT user_id, count(*) AS seen, min(event_id) AS first_id FROM events GROUP BY user_id")
 def k5_delta_ingest(spark, sf):
-    """K5: each batch of the stream merged into a table; running a batch again changes nothing."""
+    """K5: each batch rewrites the parts that it touches and commits them; a batch that comes again changes nothing."""
     path = scratch(spark, "ingest")
-    sink = K.upsert_sink(path, "user_id", lambda old, new: M.upsert(old, new, "user_id", keep="first_id"))
+    parts = Parts(spark, f"{path}/users", {"users": ("user_id long, seen long, first_id long, part string", "part")})
 
     def twice(batch: DataFrame, number: int) -> None:
-        rows = batch.groupBy("user_id").agg(F.count("*").alias("seen"), F.min("event_id").alias("first_id"))
-        sink(rows, number)
-        sink(rows, number)
+        for _ in range(2):
+            K.merged_part(parts, "users", batch.groupBy("user_id").agg(F.count("*").alias("seen"), F.min("event_id").alias("first_id")).withColumn("part", (F.col("user_id") % 16).cast("string")), number, "user_id", {"seen": "sum", "first_id": "min"})
 
-    K.table_stream(spark, f"{sf}/events.parquet").writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/v0")
+    events = K.table_stream(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"])
+    events.writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return parts.current("users").drop("part")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['claim', 'complete', 'fail', 'pause', 'resume', 'retry', 'cancel'][event_id * 31 % 7 + 1] AS a FROM events),
@@ -47,10 +48,10 @@ CASE WHEN a = 'claim' AND status = 'pending' THEN 'in_progress' WHEN a = 'comple
 WHEN a = 'retry' AND status IN ('failed', 'cancelled') THEN 'pending' WHEN a = 'cancel' AND status IN ('pending', 'in_progress', 'paused') THEN 'cancelled' END AS t FROM r JOIN e ON e.id = r.id AND e.n = r.n + 1))
 SELECT id, arg_max(status, n) AS status, max(applied) AS applied, max(n) - max(applied) AS refused FROM r GROUP BY id""")
 def k2_state_machine(spark, sf):
-    """K2 and K8: job states from a stream of actions."""
+    """K2: job states from a stream of actions, in the order of time whatever batches they come in."""
     names = F.array(*map(F.lit, ("claim", "complete", "fail", "pause", "resume", "retry", "cancel")))
-    stream = K.table_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") * 31 % 7 + 1).cast("int")).alias("action"))
-    return K.latest(K.run_once(K.run_machine(stream), mode="update"), "id")
+    stream = K.table_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") * 31 % 7 + 1).cast("int")).alias("kind"), F.lit(None).cast("long").alias("number"))
+    return K.latest(K.run_once(O.in_order(stream, O.Machine(), "1 day", provisional=True), mode="update"), "id")
 
 
 @query("SELECT event_id, event_id % 2 AS lane  , row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2, event_id) AS place FROM events WHERE event_type = 'click'")
@@ -130,3 +131,38 @@ def n22_glossary(spark, sf):
     pattern = r"^\s*(.+?)\s*->\s*(.+?)\s*(?:\|.*)?$"
     known = spark.createDataFrame([("red",)], "wrong string")
     return rows.select("id", F.regexp_extract("line", pattern, 1).alias("wrong"), F.regexp_extract("line", pattern, 2).alias("fixed")).join(F.broadcast(known), "wrong", "left_anti").select("id", "wrong", "fixed")
+
+
+_TIMED = """w AS (SELECT max(ts) - INTERVAL '1' DAY AS w FROM events), e AS (SELECT user_id AS id, event_id AS seq, ts, CASE event_type WHEN 'error' THEN 'busy' WHEN 'purchase' THEN 'progress' ELSE event_type END AS kind, CASE WHEN event_id % 4 = 0 THEN event_id % 1000 END AS number FROM events, w WHERE ts <= w)"""
+
+
+def _timed(spark, sf) -> DataFrame:
+    """Events of a stream: errors as a busy backend, some with the seconds that it asks for, purchases as progress."""
+    kind = F.when(F.col("event_type") == "error", "busy").when(F.col("event_type") == "purchase", "progress").otherwise(F.col("event_type"))
+    number = F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 1000)
+    return K.table_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("id"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), number.alias("number"))
+
+
+@query(f"""WITH {_TIMED}, k AS (SELECT * FROM e WHERE kind IN ('busy', 'progress')), s AS (SELECT *, count(*) FILTER (kind = 'progress') OVER (PARTITION BY id ORDER BY ts, seq) AS spell, lead(ts) OVER (PARTITION BY id ORDER BY ts, seq) AS next_ts FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY id, spell ORDER BY ts, seq) AS n, min(ts) OVER (PARTITION BY id, spell) AS first FROM s WHERE kind = 'busy'), p AS (SELECT *, ts - first >= INTERVAL '1' HOUR * 36 AS over, count(*) FILTER (ts - first >= INTERVAL '1' HOUR * 36) OVER (PARTITION BY id, spell ORDER BY ts, seq) AS nth FROM b),
+d AS (SELECT *, ts + INTERVAL '1' SECOND * coalesce(number, [300, 3600, 43200, 86400][least(n, 4)]) AS until FROM p WHERE NOT over)
+SELECT id, epoch_us(ts) AS at, 'deferred' AS outcome, n, epoch_us(until) AS until FROM d UNION ALL SELECT id, epoch_us(until), 'woken', n, NULL FROM d, w WHERE until <= w AND (next_ts IS NULL OR next_ts > until) UNION ALL SELECT id, epoch_us(ts), 'paused', n - 1, NULL FROM p WHERE over AND nth = 1""")
+def k3_deferral(spark, sf):
+    """K3: jobs put off by a schedule wake by themselves, and are paused where the ceiling is reached; what the watermark has passed."""
+    return K.run_once(O.in_order(_timed(spark, sf), O.Deferral((300, 3600, 43_200, 86_400), 36 * 3600), "1 day"))
+
+
+@query(f"""WITH {_TIMED}, n AS (SELECT id, ts, lead(ts) OVER (PARTITION BY id ORDER BY ts, seq) AS next_ts FROM e)
+SELECT id, epoch_us(ts) AS last_beat, epoch_us(ts + INTERVAL '12' HOUR) AS stale_at FROM n, w WHERE ts + INTERVAL '12' HOUR <= w AND (next_ts IS NULL OR next_ts > ts + INTERVAL '12' HOUR)""")
+def k4_silence(spark, sf):
+    """K4: users without an event for twelve hours, once for each silence; what the watermark has passed."""
+    return K.run_once(O.in_order(_timed(spark, sf), O.Silence(12 * 3600), "1 day"))
+
+
+@query(f"""WITH {_TIMED}, r AS (SELECT id % 97 AS id, seq, ts, CASE kind WHEN 'view' THEN 'running' WHEN 'progress' THEN 'completed' WHEN 'busy' THEN 'failed' END AS kind FROM e WHERE kind IN ('view', 'progress', 'busy')),
+n AS (SELECT *, lead(kind) OVER o AS next_kind, lead(ts) OVER o AS next_ts FROM r WINDOW o AS (PARTITION BY id ORDER BY ts, seq))
+SELECT id, seq AS run, CASE next_kind WHEN 'running' THEN 'interrupted' ELSE next_kind END AS status, epoch_us(ts) AS started, epoch_us(next_ts) AS finished FROM n WHERE kind = 'running' AND next_kind IS NOT NULL""")
+def k8_run_log(spark, sf):
+    """K8: runs of a source are closed by their end or interrupted by the next run's start, from events as they come."""
+    rows = _timed(spark, sf).where("kind IN ('view', 'progress', 'busy')").withColumns({"id": F.col("id") % 97, "kind": F.expr("CASE kind WHEN 'view' THEN 'running' WHEN 'progress' THEN 'completed' ELSE 'failed' END")})
+    return K.run_once(O.in_order(rows, O.RunLog(), "1 day"))

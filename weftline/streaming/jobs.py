@@ -1,24 +1,15 @@
-"""Streaming forms: rates over windows, idempotent upsert, the job state machine, deferral, change feeds."""
+"""Streaming forms: table streams, rates over windows, merges by part."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from weftline.sources.files import shared_folder
-
-#: Which event moves a job from which states to which.
-TRANSITIONS = {
-    "claim": (("pending",), "in_progress"), "complete": (("in_progress",), "completed"), "fail": (("in_progress",), "failed"), "pause": (("pending", "in_progress"), "paused"),
-    "resume": (("paused",), "pending"), "retry": (("failed", "cancelled"), "pending"), "cancel": (("pending", "in_progress", "paused"), "cancelled"),
-}
-
+from weftline.sources.parts import Parts
+from weftline.streaming.ordered import ROCKS, settings
 
 def table_stream(spark: SparkSession, path: str, schema: StructType | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A stream over the Parquet files at path: the polling consumer, with at most so many files a batch."""
@@ -37,15 +28,17 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/weftline/stream-{uuid.uuid4().hex[:12]}"
     if mode == "append":
-        query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-        query.awaitTermination()
+        with settings(spark, ROCKS):
+            query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+            query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with settings(spark, ROCKS):
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
@@ -60,32 +53,15 @@ def latest(updates: DataFrame, key: str) -> DataFrame:
     return updates.groupBy(key).agg(*(F.max_by(c, "_batch").alias(c) for c in updates.columns if c not in (key, "_batch")))
 
 
-def upsert_sink(path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that merges each batch into a table: it writes version number + 1 from version number, so that a batch run twice gives the same."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        (merge(old, rows) if old is not None else rows).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return apply
-
-
-def run_machine(events: DataFrame) -> DataFrame:
-    """(id, status, applied, refused) as job events (id, seq, action) come in: a state for each job, in order of seq within a batch."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        status, applied, refused = state.get if state.exists else ("pending", 0, 0)
-        for pdf in frames:
-            for action in pdf.sort_values("seq").action:
-                sources, target = TRANSITIONS.get(action, ((), ""))
-                if status in sources:
-                    status, applied = target, applied + 1
-                else:
-                    refused += 1
-        state.update((status, applied, refused))
-        yield pd.DataFrame([(key[0], status, applied, refused)], columns=["id", "status", "applied", "refused"])
+def merged_part(parts: Parts, name: str, rows: DataFrame, batch: int, key: str, by: dict[str, str]) -> None:
+    """Rows (one a key) merged into the parts of a table that they touch, and committed; a batch that was committed before is left alone.
 
-    schema = "id long, status string, applied long, refused long"
-    return events.groupBy("id").applyInPandasWithState(step, schema, "status string, applied long, refused long", "update", GroupStateTimeout.NoTimeout)
+    by: how a value joins that which is there (sum, min or max).
+    """
+    if parts.committed(batch):
+        return
+    part = parts.schemas[name][1]
+    old = parts.current(name).join(rows.select(part).distinct(), part, "left_semi")
+    both = old.unionByName(rows.select(old.columns)).groupBy(key, part).agg(*(getattr(F, how)(c).alias(c) for c, how in by.items()))
+    parts.write(batch, name, both)
+    parts.commit(batch)
