@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.numbering import running
+
 
 def phase_stats(events: DataFrame, since: Column) -> DataFrame:
     """Per phase and model: completions, cost, tokens, the phase's failures and the success rate, from one scan.
@@ -60,17 +65,15 @@ def counted(pairs: DataFrame, keys: list[str], value: str, name: str) -> DataFra
 def percentiles(rows: DataFrame, key: list[str], value: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """Floor-index percentiles: the value of rank floor(n * p / 100), counted from 0, of all values; and count, least, most and mean.
 
-    Values are counted first, so that a running count over distinct values finds the ranks.
+    Values are counted first; the count runs along the distinct values over ranges of them, so that one key's values needn't fit in a task.
     """
-    from pyspark.sql import Window
-
     counts = rows.groupBy(*key, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*key)
-    upto = F.sum("_n").over(w.orderBy(value))
-    ranked = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(w))
-    at = lambda p: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_all") * p / 100), F.col("_all") - 1), F.col(value)))
+    ranked = running(counts, key, [value], {"_upto": F.col("_n")})
     stats = [F.sum("_n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 6).alias("mean")]
-    return ranked.groupBy(*key).agg(*(at(p).alias(f"p{p}") for p in points), *stats)
+    whole = ranked.groupBy(*key).agg(*stats)
+    both = ranked.crossJoin(whole) if not key else ranked.join(whole.withColumnsRenamed({k: f"_{k}" for k in key}), reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key)))
+    at = lambda p: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value)))
+    return both.groupBy(*key, "n", "least", "most", "mean").agg(*(at(p).alias(f"p{p}") for p in points)).select(*key, *(f"p{p}" for p in points), "n", "least", "most", "mean")
 
 
 def rates(events: DataFrame, width: str = "5 minutes", seconds: int = 300) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import jobs as J
+from weftline.operators.numbering import running
 from weftline.plans.registry import query
 from weftline.sources.tables import STATUSES, cte, role
 
@@ -235,10 +236,10 @@ def b51_cost_estimate(spark, sf):
 
 @query(f"{_J} SELECT id, day, round(sum(actual_cost) OVER (PARTITION BY day ORDER BY id ROWS UNBOUNDED PRECEDING), 2) AS spent, sum(actual_cost) OVER (PARTITION BY day ORDER BY id ROWS UNBOUNDED PRECEDING) >= 500000 AS stopped FROM (SELECT *, CAST(queued_at AS DATE) AS day FROM jobs)")
 def n31_cost_cap(spark, sf):
-    from pyspark.sql import Window
-
-    spent = F.sum("actual_cost").over(Window.partitionBy("day").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return jobs(spark, sf).withColumn("day", F.to_date("queued_at")).select("id", "day", F.round(spent, 2).alias("spent"), (spent >= 500000).alias("stopped"))
+    """What a day's jobs have cost so far, and whether that stops it; a day of any size runs over ranges of ids."""
+    rows = jobs(spark, sf).select("id", F.to_date("queued_at").alias("day"), F.col("actual_cost").cast("decimal(18,2)").alias("cost"))
+    spent = F.col("spent").cast("double")
+    return running(rows, ["day"], ["id"], {"spent": F.col("cost")}).select("id", "day", F.round(spent, 2).alias("spent"), (spent >= 500000).alias("stopped"))
 
 
 @query(f"""{_J}, ranked AS (SELECT id, project_path, queued_at, row_number() OVER (PARTITION BY project_path ORDER BY queued_at DESC, id DESC) AS nth FROM jobs)

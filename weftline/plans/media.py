@@ -13,6 +13,7 @@ from weftline.operators import media as M
 from weftline.operators import search as S
 from weftline.operators import walk as W
 from weftline.operators.jobs import rank_one
+from weftline.operators.numbering import numbered
 from weftline.plans.registry import query
 from weftline.sources.files import scratch
 from weftline.sources.tables import cte, raw, role
@@ -259,10 +260,13 @@ def d8_superseding_row(spark, sf):
     return M.lineage(f).join(newer, "superseded_by", "left").select(F.col("id").alias("old_id"), F.col("superseded_by").alias("new_id"), "new_url", "new_revision")
 
 
-@query("WITH m AS (SELECT o_orderkey AS src, o_orderkey + 1000000 AS live FROM orders WHERE o_orderkey % 2 = 0) SELECT event_id, live AS job_id FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS src FROM events) e LEFT JOIN m ON m.src = e.src WHERE e.src IS NULL OR live IS NOT NULL")
+@query("""WITH m AS (SELECT o_orderkey AS src, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 2 = 1) + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS live FROM orders WHERE o_orderkey % 2 = 0)
+SELECT event_id, live AS job_id FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS src FROM events) e LEFT JOIN m ON m.src = e.src WHERE e.src IS NULL OR live IS NOT NULL""")
 def d11_id_remap(spark, sf):
-    """Ids move to the live ones; events of unknown jobs are dropped, those without a job stay."""
-    idmap = raw(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1000000).alias("job_id"))
+    """The other store's ids move to new ones that follow the live ones without gaps; events of unknown jobs are dropped, those without a job stay."""
+    orders = raw(spark, sf, "orders")
+    last = orders.where("o_orderkey % 2 = 1").agg(F.max("o_orderkey")).first()[0] or 0
+    idmap = numbered(orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("src"), "o_orderdate"), ["o_orderdate", "src"], "job_id", after=last)
     e = raw(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("src"))
     return e.where("src IS NOT NULL").join(idmap, "src").select("event_id", "job_id").unionByName(e.where("src IS NULL").select("event_id", F.lit(None).cast("long").alias("job_id")))
 
@@ -369,8 +373,8 @@ def f15_roster(spark, sf):
     return raw(spark, sf, "part").groupBy(F.col("p_brand").alias("id")).agg(F.min("p_partkey").alias("first_id"), F.max_by("p_name", F.struct("p_retailprice", -F.col("p_partkey"))).alias("newest"))
 
 
-@query("SELECT s_suppkey, s_nationkey % 3 = 0 AS has_host, s_name, row_number() OVER (PARTITION BY s_nationkey % 3 = 0 ORDER BY s_name) AS place FROM supplier")
+@query("SELECT s_suppkey, s_nationkey % 3 = 0 AS has_host, s_name, row_number() OVER (PARTITION BY s_nationkey % 3 = 0 ORDER BY s_name, s_suppkey) AS place FROM supplier")
 def g11_grouped_order(spark, sf):
-    local = F.col("s_nationkey") % 3 == 0
-    place = F.row_number().over(Window.partitionBy(local).orderBy("s_name"))
-    return raw(spark, sf, "supplier").select("s_suppkey", local.alias("has_host"), "s_name", place.alias("place"))
+    """A place in each group by name, ties by key."""
+    rows = raw(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3 == 0).alias("has_host"), "s_name")
+    return numbered(rows, ["s_name", "s_suppkey"], "place", by=["has_host"])

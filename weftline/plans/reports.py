@@ -9,6 +9,7 @@ from weftline.operators import events as E
 from weftline.operators import jobs as J
 from weftline.operators import reports as R
 from weftline.operators import search as S
+from weftline.operators.numbering import numbered
 from weftline.plans.registry import query
 from weftline.sources.files import append, scratch
 from weftline.sources.tables import cte, raw, role
@@ -255,12 +256,14 @@ def l9_index_upkeep(spark, sf):
     return R.maintained(index, gone, S.postings(edited)).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query(f"""{_J}, live AS (SELECT DISTINCT project_path, transcript_file, queued_at FROM jobs WHERE id % 2 = 0), s AS (SELECT j.id, l.project_path IS NOT NULL AS known FROM jobs j LEFT JOIN live l ON l.project_path = j.project_path AND l.transcript_file = j.transcript_file AND l.queued_at IS NOT DISTINCT FROM j.queued_at) SELECT id + 1000000 AS id FROM s WHERE NOT known""")
+@query(f"""{_J}, live AS (SELECT DISTINCT project_path, transcript_file, queued_at FROM jobs WHERE id % 2 = 0), s AS (SELECT j.id, l.project_path IS NOT NULL AS known FROM jobs j LEFT JOIN live l ON l.project_path = j.project_path AND l.transcript_file = j.transcript_file AND l.queued_at IS NOT DISTINCT FROM j.queued_at) SELECT id AS src, (SELECT max(id) FROM jobs WHERE id % 2 = 0) + row_number() OVER (ORDER BY id) AS id FROM s WHERE NOT known""")
 def l10_backfill_jobs(spark, sf):
-    """Rows of another store whose natural key isn't live yet, with new ids."""
+    """Rows of another store whose natural key isn't live yet, with new ids that follow the live ones without gaps."""
     j = role(spark, sf, "jobs")
-    live = j.where("id % 2 = 0").select("project_path", "transcript_file", "queued_at")
-    return R.without_known(j, live, ["project_path", "transcript_file", "queued_at"]).select((F.col("id") + 1000000).alias("id"))
+    own = j.where("id % 2 = 0")
+    last = own.agg(F.max("id")).first()[0] or 0
+    more = R.without_known(j, own.select("project_path", "transcript_file", "queued_at"), ["project_path", "transcript_file", "queued_at"])
+    return numbered(more.select(F.col("id").alias("src")), ["src"], "id", after=last)
 
 
 @query(f"""{_F}, a AS (SELECT id, media_id, CASE WHEN media_id IS NULL THEN 'no_match' WHEN id % 5 = 0 THEN 'new' ELSE 'attached' END AS status FROM files WHERE file_type = 'image') SELECT status, count(*) AS files, count(*) FILTER (status = 'attached') AS successes, count(*) FILTER (media_id IS NULL) AS without_record FROM a GROUP BY status""")
@@ -370,7 +373,7 @@ def j10b_all_criteria(spark, sf):
     of = lambda df, name, test: df.select(F.lit(name).alias("name"), test.alias("passed"))
     rate = E.rates(e).agg(F.max("rate").alias("rate"))
     ratio = e.agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("ratio"))
-    late = E.percentiles(e.where("value IS NOT NULL").withColumn("all", F.lit(0)), ["all"], "value")
+    late = E.percentiles(e.where("value IS NOT NULL"), [], "value")
     parity = e.groupBy(F.to_date("ts").alias("day")).agg((F.count("*") - F.count("event_id")).alias("delta")).agg(F.count("*").alias("checks"), F.count_if(F.col("delta") != 0).alias("bad"))
     files = role(spark, sf, "files").where("prefix = '2WLI'").agg(F.count_if(F.col("file_type") == "mp4").alias("have"), F.count_if(F.col("file_type") == "srt").alias("base"))
     every = of(rate, "rate", F.col("rate") <= 1)

@@ -9,9 +9,12 @@ from weftline.functions import text as T
 from weftline.operators import captions as C
 from weftline.operators import rules as R
 from weftline.operators import search as S
+from weftline.operators.jobs import rank_one
 from weftline.operators.joins import bounded
+from weftline.operators.text_index import TextIndex, search_files
 from weftline.plans.registry import query
-from weftline.sources.tables import raw
+from weftline.sources.files import scratch
+from weftline.sources.tables import cte, raw, role
 
 _L = "WITH s AS (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents), lines AS (SELECT doc_id, lang, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM s)"
 _TC = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
@@ -346,3 +349,29 @@ SELECT doc_id, array_to_string(ws[greatest(1, place - 16):greatest(1, place - 16
 def j1b_snippets(spark, sf):
     hits = S.bm25(docs(spark, sf), ["stupid", "worthless"], 10).select("doc_id")
     return docs(spark, sf).join(F.broadcast(hits), "doc_id").select("doc_id", S.snippet(F.col("text"), ["stupid", "worthless"]).alias("snippet"))
+
+
+_INDEXED = """, s AS (SELECT * FROM (SELECT *, id // 10 AS doc_id, row_number() OVER (PARTITION BY id ORDER BY remote_url, file_size_bytes) AS nth FROM files WHERE id % 10 = 1) WHERE nth = 1),
+b AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 10 = 3 THEN concat('late ', text) ELSE text END), '[a-z0-9]+') AS ws FROM documents WHERE doc_id % 10 <> 7), c AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM b),
+tf AS (SELECT doc_id, len(ws) AS len, t, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS t FROM b) WHERE t IN ('the', 'late', 'of', 'thheer') GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+h AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (t), c GROUP BY doc_id),
+r AS (SELECT doc_id, media_id, score FROM h JOIN s USING (doc_id) WHERE lower(prefix) = '2wli' AND remote_modified_at >= TIMESTAMP '1995-01-01' AND NOT superseded)"""
+
+
+def side_file_index(spark, sf) -> tuple[TextIndex, DataFrame]:
+    """Side files: first every text, then a batch that changes some and removes others; and the files that they belong to."""
+    index = TextIndex(spark, scratch(spark, "index"))
+    texts = docs(spark, sf).select("doc_id", "text")
+    index.add(0, texts)
+    index.add(1, texts.where("doc_id % 10 = 3").select("doc_id", F.concat(F.lit("late "), "text").alias("text")), texts.where("doc_id % 10 = 7").select("doc_id"))
+    own = role(spark, sf, "files").where("id % 10 = 1").withColumn("superseded_by", F.when(F.col("superseded"), F.lit(0)))
+    own = rank_one(own, ["id"], F.asc("remote_url"), F.asc("file_size_bytes"))
+    return index, own.select(F.floor(F.col("id") / 10).alias("doc_id"), "media_id", "prefix", "remote_modified_at", "superseded_by")
+
+
+@query(f"{cte('files')}{_INDEXED} SELECT doc_id, media_id, score, (SELECT count(*) FROM r) AS total FROM r ORDER BY score DESC, doc_id LIMIT 20 OFFSET 5")
+def j1c_indexed_search(spark, sf):
+    """One page of a search over a stored index: terms, prefix, since, not superseded, and how many there are in all."""
+    index, own = side_file_index(spark, sf)
+    found = search_files(index, own, ["the", "late", "of", "thheer"], 20, 5, prefix="2Wli", since=F.lit("1995-01-01").cast("timestamp_ntz"))
+    return found.page.select("doc_id", "media_id", "score", F.lit(found.total).alias("total"))
