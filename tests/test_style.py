@@ -33,7 +33,9 @@ def test_names_and_casing(spark):
     seed = S.canonical_seed(["PBS"], {"atty gen": "Atty. Gen."})
     styled = S.down_styled(X, S.canonical_terms(F.array(F.lit("Pbs"), F.lit("Ann $ Leeds")), seed))
     assert values(spark, styled, ["THE ATTY GEN on pbs with ann $ LEEDS", "1 (go", "", "atty. gen. x"]) == ["The Atty. Gen. on Pbs with Ann $ Leeds", "1 (Go", "", "Atty. Gen. x"]
-    assert [tuple(r) for r in values(spark, S.speaker_names(X, F.lit("Reporters Ann Leeds and Eve Hart")), ["led by Ann Leeds and include Bob Day.", ""])] == [("Ann Leeds", ["Bob Day", "Eve Hart"]), ("Ann Leeds", ["Eve Hart"])]
+    fields = [(X, ["led by"], "host"), (X, ["and include"], "guest"), (F.lit("Reporters Ann Leeds and Eve Hart"), ["reporters"], "guest")]
+    assert [tuple(r) for r in values(spark, S.speaker_names(fields), ["led by Ann Leeds and include Bob Day.", "", None])] == [("Ann Leeds", ["Bob Day", "Eve Hart"]), ("Ann Leeds", ["Eve Hart"]), ("Ann Leeds", ["Eve Hart"])]
+    assert values(spark, S.cued_names(X, ["with"], ["Judge", "Dr"]), ["With Judge Ann van Leeds, Jo-Ann Day. Not Bob Moss", "with Dr Kim", "without Ann Leeds"]) == [["Ann van Leeds", "Jo-Ann Day"], [], []]
 
 
 def test_fields_and_splices(spark):
@@ -48,7 +50,7 @@ def test_fields_and_splices(spark):
 
 def test_lint_of_missing_and_bad_drafts(spark):
     bad = "Id {media_id} and more text to have fifty characters in all, or else.\n---\n**Lee:**\nLate (9:99:00) end"
-    df = spark.createDataFrame([(1, 10.0, None, bad, "<!-- c -->")], "id long, minutes double, analyst string, formatter string, seo string")
+    df = spark.createDataFrame([(1, 10.0, None, bad, "<!-- c -->", {})], "id long, minutes double, analyst string, formatter string, seo string, limits map<string,struct<max:int,min_count:int,max_count:int>>")
     out = {r.phase: sorted(f.rule_id for f in r.findings) for r in S.lint(df).collect()}
     rule = "lint.formatter."
     assert out == {"analyst": ["lint.output_missing"], "seo": ["lint.output_missing"], "formatter": [rule + "content_past_duration", rule + "speaker_label_inconsistent", rule + "truncation_suspect", "lint.placeholder_text"]}
@@ -59,7 +61,6 @@ def test_verdicts_and_flags(spark):
     X = F.col("x")  # noqa: N806
     v = S.verdict_of(X, "overall string")
     assert values(spark, v["overall"], ['```json\n{"overall": "pass"}\n```', '{"overall": "fail"}', "oops", ""]) == ["pass", "fail", None, None]
-    assert values(spark, S.flag_categories(X)["categories"], ["Title is over 60 characters", "label: who?", ""]) == [["char_limit"], [], []]
     assert values(spark, S.appended(F.array(F.lit("a"), F.lit("a")), F.split(X, ",")), ["b,a,b"]) == [["a", "a", "b"]]
     with pytest.raises(Exception, match="unknown block"):
         values(spark, S.rendered_tokens(X, {}, "full"), ["{{style:k}}"])

@@ -13,16 +13,8 @@ MEDIA_ID = r"(?i)([A-Z0-9]{4}\d{4}(?:[A-Z]+\d{0,2})?)"
 FILE_TYPES = {"mp4": "mp4", "mov": "mp4", "mxf": "mp4", "jpg": "image", "jpeg": "image", "png": "image", "gif": "image", "srt": "srt", "scc": "scc"}
 
 
-#: Marks of formatted documents.
-COMMENT, RULE_LINE, EMPHASIS, HEADING, STATUS_LINE = r"(?s)<!--.*?-->", r"^---+[ \t]*$", r"\*{1,3}", r"(?m)^#{1,6}\s+", r"(?m)^Status:\s+.*$"
-#: What goes from a model's chunk, in this order, and what of it stays: provenance comment, lines before a mark, outer fence, attribution, last rule.
-CHUNK_WRAPPERS = (
-    (r"\A<!--\s*model:.*?-->\s*\n?", ""),
-    (r"\A(?:(?!```|#\s|\*\*|---|<!--)[^\n]*\n)+", ""),
-    (r"(?s)\A```(?:markdown|md)?\s*\n(.*?)\n```\s*\z", "$1"),
-    (r"(?m)^\*\*(?:Model|Creator|Agent):\*\*.*\n?", ""),
-    (r"\n---+\s*\n*\z", ""),
-)
+#: What starts a line of a formatted document, and what signs one.
+CONTENT_MARKS, SIGNATURE, RULE_LINE, PROVENANCE = r"^(```|#\s|\*\*|---|<!--)", r"^\*\*(Model|Creator|Agent):\*\*", r"^-{3,}\s*$", r"^<!--\s*model:"
 
 
 def let(value: Column, use) -> Column:
@@ -122,9 +114,9 @@ def excerpt(text: Column, size: int = 40) -> Column:
     return F.when(F.length(flat) > size, F.concat(F.rtrim(F.substring(flat, 1, size - 1)), F.lit("…"))).otherwise(flat)
 
 
-def truncated(text: Column, limit: int) -> Column:
+def truncated(text: Column, limit: Column | int) -> Column:
     """At most limit characters, cut at a word's end, with an ellipsis."""
-    cut = F.rtrim(F.regexp_replace(F.substring(text, 1, limit - 1), r"\s\S*\z", ""))
+    cut = F.rtrim(F.regexp_replace(F.left(text, (F.lit(limit) - 1).cast("int")), r"\s\S*\z", ""))
     return F.when(F.length(text) > limit, F.concat(cut, F.lit("…"))).otherwise(text)
 
 
@@ -144,17 +136,25 @@ def word_count(text: Column) -> Column:
 
 
 def content_words(text: Column) -> Column:
-    """Words below the first rule line (of everything where there is none), without comments, emphasis, heading marks and the status line."""
-    lines = F.split(F.regexp_replace(text, COMMENT, ""), "\n")
-    rules = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(x.rlike(RULE_LINE), i + 1)), lambda i: i.isNotNull())
-    below = let(lines, lambda ls: F.slice(ls, F.coalesce(F.get(rules(ls), F.lit(0)), F.lit(0)) + 1, F.size(ls)))
-    plain = F.regexp_replace(F.regexp_replace(F.array_join(below, "\n"), EMPHASIS, ""), HEADING, "")
-    return word_count(F.regexp_replace(plain, STATUS_LINE, ""))
+    """Words of a formatted document's body: its lines after the first rule line (all where there is none), without comments and the status line.
+
+    A word counts by what is left of it without emphasis marks; heading marks are no words.
+    """
+    spoken = lambda line: F.filter(F.split(F.replace(line, F.lit("*"), F.lit("")), r"\s+"), lambda w: (w != "") & ~w.rlike(r"^#{1,6}$"))
+    status = lambda line: F.replace(line, F.lit("*"), F.lit("")).rlike(r"^Status:\s")
+    lines = F.split(F.array_join(F.transform(F.split(text, "<!--"), lambda part, i: F.when(i == 0, part).otherwise(F.when(F.contains(part, F.lit("-->")), F.substr(part, F.instr(part, F.lit("-->")) + 3)).otherwise(F.concat(F.lit("<!--"), part)))), ""), "\n")
+
+    def body(all_lines: Column) -> Column:
+        rule = F.array_position(F.transform(all_lines, lambda x: x.rlike(RULE_LINE)), True).cast("int")
+        return F.aggregate(F.filter(all_lines, lambda x, i: (i >= rule) & ~status(x)), F.lit(0), lambda n, x: n + F.size(spoken(x)))
+
+    return let(lines, body)
 
 
 def source_words(srt: Column) -> Column:
-    plain = F.regexp_replace(srt, r"(?m)^\d+[ \t]*$", "")
-    return word_count(F.regexp_replace(plain, r"\d{1,2}:\d{2}:\d{2}[,.]\d{3}\s*-->\s*\d{1,2}:\d{2}:\d{2}[,.]\d{3}", ""))
+    """Words of an SRT text's dialogue: no numbers on their own line, no times."""
+    words = lambda line: F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    return F.aggregate(F.filter(F.split(srt, "\n"), lambda x: ~x.rlike(r"^\d+[ \t]*$") & ~x.rlike(r"^\d{1,2}:\d\d:\d\d[,.]\d{3}\s*-->")), F.lit(0), lambda n, x: n + F.size(words(x)))
 
 
 def srt_plain(srt: Column) -> Column:
@@ -170,10 +170,23 @@ def without_reasoning(text: Column) -> Column:
 
 
 def clean_chunk(text: Column) -> Column:
-    """text without what models put around it."""
-    for pattern, stays in CHUNK_WRAPPERS:
-        text = F.regexp_replace(strip(text), pattern, stays)
-    return strip(text)
+    """text without what models put around it: a provenance line, talk before the first marked line, a fence around all, signatures, a rule at the end.
+
+    Told by the places of lines: the first with a mark, the fence that it opens, the last that says something.
+    """
+
+    def kept(lines: Column) -> Column:
+        marked = F.array_position(F.transform(lines, lambda x: x.rlike(CONTENT_MARKS)), True).cast("int")
+        fenced = F.coalesce(F.get(lines, marked - 1).rlike(r"^```(markdown|md)?\s*$"), F.lit(False)) & (marked > 0)
+        closing = F.size(lines) - F.coalesce((fenced & F.element_at(lines, -1).rlike(r"^```\s*$") & (F.size(lines) > marked)).cast("int"), F.lit(0))
+        first = F.when(fenced, marked).otherwise(F.greatest(marked, F.lit(1)) - 1)
+        inner = F.filter(lines, lambda x, i: (i >= first) & (i < closing) & ~x.rlike(SIGNATURE))
+        says = lambda ls: F.array_max(F.transform(ls, lambda x, i: F.when(~x.rlike(RULE_LINE) & (F.trim(x) != ""), i + 1).otherwise(0)))
+        return let(inner, lambda ls: F.array_join(F.slice(ls, F.lit(1), F.coalesce(says(ls), F.lit(0))), "\n"))
+
+    lines = F.split(strip(text), "\n")
+    # a provenance comment is the first line
+    return strip(let(F.when(F.get(lines, F.lit(0)).rlike(PROVENANCE), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines), kept))
 
 
 def model_family(model: Column) -> Column:

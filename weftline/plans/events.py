@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import events as E
+from weftline.operators import phrases as P
 from weftline.plans.registry import query
 from weftline.sources.tables import cte, raw, role
 
@@ -241,10 +242,22 @@ def j10_go_no_go(spark, sf):
     return rate.crossJoin(ratio).select(F.round("rate", 6).alias("max_rate"), F.round("ratio", 6).alias("error_ratio"), ok[0].alias("rate_ok"), ok[1].alias("errors_ok"), F.when(ok[0] & ok[1], "GO").otherwise("NO-GO").alias("verdict"))
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id // 3 AS job, lang, string_split(lower(text), chr(10)) AS ls, doc_id % 4 = 0 AS passed FROM documents),
+f AS (SELECT doc_id, job, passed, ls, CASE WHEN doc_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE ls[1:3] END AS flags FROM d), r AS (SELECT *, CASE WHEN len(flags) = 0 THEN [''] ELSE flags END AS fs, contains(ls[-1], 'sch') AS bad FROM f WHERE NOT passed OR len(flags) > 0),
+n AS (SELECT job, count(*) FILTER (NOT (bad OR contains(x, 'ough') OR contains(x, 'ción'))) AS fixable, count(*) FILTER (bad OR contains(x, 'ough') OR contains(x, 'ción')) AS nonfixable FROM (SELECT job, bad, unnest(fs) AS x FROM r) GROUP BY job)
+SELECT DISTINCT d.job AS id, coalesce(fixable, 0) AS fixable, coalesce(nonfixable, 0) AS nonfixable, coalesce(nonfixable, 0) = 0 AS escalate FROM d LEFT JOIN n ON n.job = d.job""")
+def b70_qa_failures(spark, sf):
+    """Jobs of three phases, whose flags are a document's first lines and whose output is its last; by a table of patterns."""
+    lines = F.split("text", "\n")
+    flags = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, 1, 3))
+    results = raw(spark, sf, "documents").select(F.floor(F.col("doc_id") / 3).alias("id"), F.col("doc_id").cast("string").alias("phase"), F.when(F.col("doc_id") % 4 == 0, "pass").otherwise("fail").alias("status"), flags.alias("flags"), F.element_at(lines, -1).alias("output"))
+    return P.qa_outcome(results, spark.createDataFrame([("flag", "ough"), ("flag", "ción"), ("output", "sch")], "kind string, part string"))
+
+
 @query("""WITH f AS (SELECT user_id AS job, CAST(list(value > 150 ORDER BY ts, event_id) AS VARCHAR) AS seen, bool_or(event_type = 'error' AND value > 150) AS fixed FROM events GROUP BY 1)
 SELECT job, NOT fixed AS escalate FROM f""")
 def b70_qa_escalation(spark, sf):
-    """Any flag that is not fixable stops the escalation of its job."""
+    """B70 over the event log: any flag that is not fixable stops the escalation of its job."""
     fixed = F.bool_or((F.col("event_type") == "error") & (F.col("value") > 150))
     return raw(spark, sf, "events").groupBy(F.col("user_id").alias("job")).agg((~fixed).alias("escalate"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import captions as C
+from weftline.operators import phrases as P
 from weftline.operators import rules as R
 from weftline.operators import search as S
 from weftline.operators.jobs import rank_one
@@ -118,6 +119,22 @@ def d15_rules_by_text(spark, sf):
     return R.phrase_counts(docs(spark, sf), spark.createDataFrame(_PHRASES, "id string, pattern string"))
 
 
+_TOK = "'[a-z0-9]+|[^a-z0-9\\s]'"
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]|_', '.', 'g')), {_TOK}), lambda t: t) AS ws FROM documents), p AS (SELECT min(doc_id) AS id, a, b FROM (SELECT doc_id, ws[1] AS a, ws[2] AS b FROM w WHERE len(ws) >= 2) GROUP BY a, b),
+t AS (SELECT doc_id, unnest(ws) AS a, unnest(list_concat(ws[2:], [NULL])) AS b FROM w), n AS (SELECT doc_id, id, count(*) AS n FROM t JOIN p ON t.a = p.a AND t.b = p.b GROUP BY ALL)
+SELECT doc_id, 'voice.forbidden.' || CAST(id AS STRING) AS rule_id, CASE WHEN id % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, n FROM n""")
+def i2b_phrase_findings(spark, sf):
+    """I2, I15 and D15 by a table of rules: the first two words of every document, found in all documents by one automaton; as many phrases as documents."""
+    plain = F.lower(F.regexp_replace("text", r"[^\x00-\x7F]|_", "."))
+    texts = docs(spark, sf).select("doc_id", plain.alias("text"))
+    first = F.regexp_extract_all("text", F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), 0)
+    rules = texts.select("doc_id", first.alias("w")).where(F.size("w") >= 2).groupBy(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("phrase")).agg(F.min("doc_id").alias("id"))
+    rules = rules.withColumn("severity", F.when(F.col("id") % 2 == 0, "error").otherwise("warning"))
+    return P.phrase_findings(texts, rules).groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 @query()
 def i2_phrase_spans(spark, sf):
     """Each match with its span."""
