@@ -150,20 +150,3 @@ def greedy_matches(pdf: pd.DataFrame) -> pd.DataFrame:
             free.pop(hit)
             both += 1
     return pd.DataFrame([(pdf.job.iloc[0], pdf.phase.iloc[0], both, len(free), len(flags) - both)], columns=["job", "phase", "both", "lint_only", "flag_only"])
-
-
-def replaced_phrases():
-    """pandas UDF: phrases that differ between two token lists, by longest matching blocks."""
-    from difflib import SequenceMatcher
-
-    def one(a, b):
-        if a is None or b is None:
-            return []
-        a, b = list(a), list(b)
-        return [{"old": " ".join(a[i:j]), "new": " ".join(b[k:m])} for tag, i, j, k, m in SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes() if tag != "equal"]
-
-    @F.pandas_udf("array<struct<old:string,new:string>>")
-    def phrases(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
-
-    return phrases

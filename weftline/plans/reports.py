@@ -9,6 +9,7 @@ from weftline.operators import events as E
 from weftline.operators import jobs as J
 from weftline.operators import reports as R
 from weftline.operators import search as S
+from weftline.operators import diff as D
 from weftline.operators.numbering import numbered
 from weftline.plans.registry import query
 from weftline.sources.files import append, scratch
@@ -308,6 +309,22 @@ def k11_change_feed(spark, sf):
     return K.run_once(stream.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("job"))).alias("message")))
 
 
+@query(f"""{_J}, b AS (SELECT id, status, priority, retry_after FROM jobs WHERE id % 6 <> 0), a AS (SELECT id, CASE WHEN id % 4 = 1 THEN 'completed' WHEN id % 4 = 2 THEN 'in_progress' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN priority + 1 ELSE priority END AS priority, CASE WHEN id % 10 = 0 THEN NULL ELSE retry_after END AS retry_after FROM jobs WHERE id % 8 <> 0)
+SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NULL THEN 'insert' WHEN a.id IS NULL THEN 'delete' ELSE 'update' END AS change, '{{"type":"' || CASE WHEN a.id IS NULL THEN 'job_deleted' WHEN a.status = 'completed' THEN 'job_completed' WHEN a.status = 'failed' THEN 'job_failed' WHEN a.status = 'in_progress' THEN 'job_started' ELSE 'job_updated' END
+|| '","job":' || CAST(coalesce(b.id, a.id) AS STRING) || coalesce(',"was":"' || b.status || '"', '') || coalesce(',"is":"' || a.status || '"', '') || '}}' AS message
+FROM b FULL JOIN a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.status IS DISTINCT FROM b.status OR a.priority IS DISTINCT FROM b.priority OR a.retry_after IS DISTINCT FROM b.retry_after""")
+def k11b_change_broadcast(spark, sf):
+    """What two snapshots of the jobs differ in, announced once, though the batch is delivered twice."""
+    j = role(spark, sf, "jobs")
+    before = j.where("id % 6 <> 0").select("id", "status", "priority", "retry_after")
+    after = j.where("id % 8 <> 0").select("id", F.when(F.col("id") % 4 == 1, "completed").when(F.col("id") % 4 == 2, "in_progress").otherwise(F.col("status")).alias("status"), F.when(F.col("id") % 9 == 0, F.col("priority") + 1).otherwise(F.col("priority")).alias("priority"), F.when(F.col("id") % 10 != 0, F.col("retry_after")).alias("retry_after"))
+    path = scratch(spark, "outbox")
+    for _ in range(2):
+        changes = D.row_changes(before, after, "id")
+        K.to_outbox(changes.select("id", "change").join(D.announcements(changes, "id"), "id"), path, 0)
+    return K.outbox(spark, path, "id long, change string, message string").select("id", "change", "message")
+
+
 @query(f"{_J} SELECT id, transcript_file, CASE WHEN duration_minutes > 3 THEN 'full' WHEN duration_minutes IS NOT NULL THEN 'short' END AS content_type, duration_minutes FROM jobs")
 def n43_study_context(spark, sf):
     """A job's row as the context of its checks."""

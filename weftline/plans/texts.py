@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import captions as C
+from weftline.operators import diff as D
 from weftline.operators import phrases as P
 from weftline.operators import rules as R
 from weftline.operators import search as S
@@ -302,7 +303,7 @@ def h6_sequence_diff(spark, sf):
     """Phrases that differ between a line and its edited form."""
     edited = F.regexp_replace(F.regexp_replace("line", r"\bthe\b", "a"), r"\band\b ", "")
     rows = lines(spark, sf).select("doc_id", "n", T.tokens(F.col("line")).alias("old"), T.tokens(edited).alias("new"))
-    return rows.select("doc_id", "n", F.posexplode(R.replaced_phrases()("old", "new")).alias("ord", "p")).select("doc_id", "n", "ord", "p.old", "p.new")
+    return rows.select("doc_id", "n", F.posexplode(D.replaced_phrases()("old", "new")).alias("ord", "p")).select("doc_id", "n", "ord", "p.old", "p.new")
 
 
 @query("SELECT text_len AS n_tokens, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}''’\\-]+|[^\\p{L}\\p{N}_\\p{M}\\s]')) AS text_len FROM documents) GROUP BY 1")
@@ -392,3 +393,18 @@ def j1c_indexed_search(spark, sf):
     index, own = side_file_index(spark, sf)
     found = search_files(index, own, ["the", "late", "of", "thheer"], 20, 5, prefix="2Wli", since=F.lit("1995-01-01").cast("timestamp_ntz"))
     return found.page.select("doc_id", "media_id", "score", F.lit(found.total).alias("total"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), e AS (SELECT doc_id, n * 3 AS k, CASE WHEN n % 5 = 1 THEN 'new ' || line ELSE line END AS line FROM l WHERE n % 7 <> 3 UNION ALL SELECT doc_id, n * 3 + 1, 'added' FROM l WHERE n % 11 = 2)
+SELECT d.doc_id, len(string_split(text, chr(10))) AS old_lines, (SELECT count(*) FROM e WHERE e.doc_id = d.doc_id) AS new_lines, md5(coalesce((SELECT string_agg(line, chr(10) ORDER BY k) FROM e WHERE e.doc_id = d.doc_id), '')) AS rebuilt FROM documents d""")
+def h8_version_diff(spark, sf):
+    """H8: lines that two versions differ in; hunks put to the first version give the second."""
+    def edited(line: Column, i: Column) -> Column:
+        n = i + 1
+        own = F.when(n % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(F.when(n % 5 == 1, F.concat(F.lit("new "), line)).otherwise(line)))
+        return F.concat(own, F.when(n % 11 == 2, F.array(F.lit("added"))).otherwise(F.array().cast("array<string>")))
+
+    new = F.array_join(F.flatten(F.transform(F.split("text", "\n"), edited)), "\n")
+    rows = D.line_hunks(docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("old"), new.alias("new")))
+    back = D.rebuilt(F.col("old"), F.col("hunks"))
+    return rows.select(F.col("id").alias("doc_id"), F.size(F.split("old", "\n")).cast("long").alias("old_lines"), F.size(back).cast("long").alias("new_lines"), F.md5(F.array_join(back, "\n").cast("binary")).alias("rebuilt"))

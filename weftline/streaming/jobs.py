@@ -65,3 +65,13 @@ def merged_part(parts: Parts, name: str, rows: DataFrame, batch: int, key: str,
     both = old.unionByName(rows.select(old.columns)).groupBy(key, part).agg(*(getattr(F, how)(c).alias(c) for c, how in by.items()))
     parts.write(batch, name, both)
     parts.commit(batch)
+
+
+def to_outbox(messages: DataFrame, path: str, batch: int) -> None:
+    """Messages of a batch into the outbox; a batch that is delivered again replaces its own messages, whatever else is there."""
+    messages.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def outbox(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All messages, with the number of their batch."""
+    return spark.read.schema(f"{schema}, batch int").parquet(path)
