@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -76,12 +77,26 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     rows = [(i, "u", f"{i} " + "x" * (4_000 if i else 60_000)) for i in range(9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     write_archives(df, f"file://{tmp_path}/a")
-    assert len(list((tmp_path / "a").glob("*.gz"))) == 9
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "a/responses").rglob("*.gz")]
+    assert sorted(f.count(b"WARC/1.1") for f in files) == [1, 2, 2, 2, 2], "the large one alone, then two a file"
     assert read_archives(spark, f"file://{tmp_path}/a").agg(F.sum("bytes")).first()[0] == sum(len(h) for _, _, h in rows)
-    import gzip
+    assert re.search(r"WARC-Date: 20[0-9-]{8}T[0-9:]{8}Z", files[0].decode())
 
-    head = gzip.decompress(next(iter((tmp_path / "a").glob("*.gz"))).read_bytes()).decode()
-    assert re.search(r"WARC-Date: 20[0-9-]{8}T[0-9:]{8}Z", head)
+
+def test_one_large_page_makes_no_more_archives(spark, tmp_path):
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") == 150, F.repeat(F.lit("large page "), 7_000_000)).otherwise(F.concat(F.lit("small "), F.col("id").cast("string"))).alias("html"))
+    write_archives(pages.coalesce(2), f"file://{tmp_path}/a")
+    assert len(list((tmp_path / "a").rglob("*.gz"))) <= 8
+    assert read_archives(spark, f"file://{tmp_path}/a").agg(F.count("*"), F.max("bytes")).first() == (300, 77_000_000)
+
+
+def test_pages_without_an_id(spark, tmp_path):
+    same, other = "s" * 1500, "o" * 1500
+    rows = [(None, "a", same), (4, "b", same), (None, "c", same), (None, "d", other), (None, "e", other), (None, "f", None)]
+    got = round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a").collect()
+    kinds = sorted((r.record_type, r.page_id, r.refers_to, r.payload_bytes) for r in got if r.page_id or r.refers_to)
+    assert kinds == [("response", 4, None, 1500), ("revisit", None, 4, 1500), ("revisit", None, 4, 1500)]
+    assert sorted(r.payload_bytes for r in got) == [0, 1500, 1500, 1500, 1500, 1500]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ from weftline.llm.common import fresh_path, small, stage
 
 #: Payloads of fewer bytes are stored again instead of being revisited.
 MIN_REVISIT = 1000
-#: Bounds of an archive: records, and bytes by the largest payload; a larger payload is an archive of its own.
-RECORDS_PER_FILE, FILE_BYTES = 2_000, 256 << 20
+#: Bounds of an archive: records, and bytes of payloads; a larger payload is an archive of its own.
+RECORDS_PER_FILE, FILE_BYTES = 20_000, 64 << 20
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -46,35 +48,63 @@ def _with_digest(pages: DataFrame) -> DataFrame:
     return rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
 
 
+def _archive_numbers(most_bytes: int, most_records: int) -> Callable[[Column], Column]:
+    """The archive of each record by the running bytes of its task: a new one where the next record would go beyond a bound."""
+
+    @F.pandas_udf("int")
+    def numbers(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        archive, held, records = 0, 0, 0
+        for batch in sizes:
+            out = []
+            for n in batch.tolist():
+                if records and (held + n > most_bytes or records >= most_records):
+                    archive, held, records = archive + 1, 0, 0
+                held, records = held + n, records + 1
+                out.append(archive)
+            yield pd.Series(out, dtype="int32")
+
+    return numbers
+
+
+def revisited(headers: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """Headers (page_id, payload_bytes, payload_digest, ...) whose payload another record holds, with that record's page_id as original."""
+    by = ["payload_digest", "payload_bytes"]
+    shared = headers.where(F.col("payload_bytes") >= min_revisit).groupBy(*by).agg(F.max("page_id").alias("original"), F.count("*").alias("rows"))
+    shared = stage(shared.where("rows > 1").drop("rows"), "shared-payloads")
+    return headers.join(small(shared, 500_000), by).where(F.coalesce(F.col("page_id") < F.col("original"), F.col("original").isNotNull()))
+
+
 def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Write a record for every row of pages (page_id, url, html) into gzipped archives under path.
 
     Of rows with equal payloads of at least min_revisit bytes, those with the largest page_id are responses and the
-    others revisit it. A null html is an empty payload; a null url an empty one. Record ids are page ids, so repeated rows
-    repeat them. Each file is one gzip stream. Other columns are left out.
+    others, those without page_id too, revisit it; where none has a page_id, all are responses. A null html is an empty payload; a null url an
+    empty one. Record ids are page ids, so repeated rows repeat them. Each file is one gzip stream, of FILE_BYTES and RECORDS_PER_FILE at most unless
+    one payload is larger. Payloads are read twice, to be hashed and to be written; only headers are grouped, and payloads are shuffled (by page, not by
+    digest) only where there are too many revisits to send to every task. Other columns are left out.
     """
     rows = _with_digest(pages)
-    largest = max(1, rows.agg(F.max("payload_bytes")).first()[0] or 0)
-    shared = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("rows"))
-    shared = stage(shared.where("rows > 1").drop("rows"), "shared-payloads")
-    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // largest))
-    rows = rows.join(small(shared, 500_000), ["payload_digest", "payload_bytes"], "left")
-    refers_to = F.when(F.col("original") > F.col("page_id"), F.col("original"))
+    headers = stage(rows.drop("html"), "headers")
+    again = stage(revisited(headers, min_revisit).withColumn("html", F.lit("")), "revisits")
+    same = F.col("r.page_id").eqNullSafe(F.col("v.page_id")) & (F.col("r.payload_digest") == F.col("v.payload_digest"))
+    keys = stage(again.select("page_id", "payload_digest").distinct(), "revisit-keys")
+    first = rows.alias("r").join(small(keys, 500_000).alias("v"), same, "left_anti").withColumn("original", F.lit(None).cast("long"))
+    numbers = _archive_numbers(FILE_BYTES, RECORDS_PER_FILE)
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    out = rows.select(_record(refers_to, date).alias("value"))
-    out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    for kind, part in (("responses", first), ("revisits", again)):
+        out = part.withColumn("archive", numbers(F.octet_length("html").cast("long"))).select(_record(F.col("original"), date).alias("value"), "archive")
+        out.write.partitionBy("archive").option("lineSep", _END).option("compression", "gzip").text(f"{path}/{kind}")
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        start = end + 4
-        at = start + int(fields["content-length"])
-        yield fields, data[start:at]
-        at += 4
+def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record of a gzipped archive, which is unpacked as far as one record goes."""
+    with gzip.open(io.BytesIO(content)) as archive:
+        while first := archive.readline():
+            if not first.strip():
+                continue
+            lines = [x.decode() for x in iter(archive.readline, b"\r\n")]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+            yield fields, archive.read(int(fields["content-length"]))
 
 
 def _page(field: str | None) -> int | None:
@@ -86,7 +116,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in _records(gzip.decompress(content.as_py())):
+            for fields, block in _records(content.as_py()):
                 _, _, payload = block.partition(b"\r\n\r\n")
                 full = fields["warc-type"] == "response"
                 rows.append((_page(fields["warc-record-id"]), fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), _page(fields.get("warc-refers-to")), len(payload) if full else None, hashlib.sha1(payload).hexdigest() if full else None))
@@ -97,7 +127,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record_type, digest, refers_to, bytes, found) of every record: digest as its header has it, bytes and found (the digest) as its payload has them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(_parse, "page_id long, record_type string, digest string, refers_to long, bytes long, found string")
 
 
