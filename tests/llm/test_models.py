@@ -112,26 +112,57 @@ def test_long_texts_are_exact_over_segments(monkeypatch):
         assert np.allclose(have, want, rtol=1e-9)
 
 
-def test_query_scores_by_a_plain_forward_pass(spark, monkeypatch):
-    """The rows of score_documents against a forward recursion over words, with the model that it fitted."""
+@pytest.mark.parametrize(("own_share", "common"), [(1e-9, 200_000), (1 / 300, 50)])
+def test_query_scores_by_a_plain_forward_pass(spark, monkeypatch, own_share, common):
+    """The rows of score_documents against a forward recursion over words, with the model that it fitted; with few own classes most words share one."""
     kept = {}
     updated = H._updated
     monkeypatch.setattr(H, "_updated", lambda *a: kept.setdefault("all", []).append(updated(*a)) or kept["all"][-1])
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 150).alias("text"))
-    got = {r.doc_id: r for r in H.score_documents(docs).collect()}
+    monkeypatch.setattr(H, "OWN_SHARE", own_share)
+    monkeypatch.setattr(H, "COMMON", common)
+    more = spark.createDataFrame([(None, "the last word"), (0, "an id again"), (0, "an id again"), (7, None)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 1500).alias("text")).unionByName(more).repartition(3)
+    got = {(r.doc_id, round(r.score, 6)) for r in H.score_documents(docs).collect()}
     model = kept["all"][-1][0]
-    rows = {r.doc_id: re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()) for r in docs.collect()}
-    counts = Counter(x for i, t in rows.items() if held(i, 7) != 2 for x in t)
-    assert 100 < len(counts) <= H.TOP  # so each known word has a class of its own, by count and then by key
-    key = lambda w: H.Words(next(pieces(pa.array([w.decode()])))[1]).hash.view(np.int64)[0]
-    place = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], key(w))))}
-    for i, text in rows.items():
+    rows = [(r.doc_id, re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower())) for r in docs.collect()]
+    train = lambda i: i is None or held(i, 7) != 2
+    counts = Counter(x for i, t in rows if train(i) for x in t)
+    tokens = sum(counts.values()) + sum(train(i) for i, _ in rows)
+    words = lambda w: H.Words(next(pieces(pa.array([w.decode()])))[1])
+    order = sorted(((-n, words(w).hash.view(np.int64)[0], w) for w, n in counts.items() if n >= max(5, tokens * own_share)))
+    own = {w: H.OWN + k for k, (_, _, w) in enumerate(order)}
+    assert len(model.emit) == H.OWN + len(own) and len(own) < len(counts)
+    ending = {w: int(H._endings(words(w), np.array([0]))[0]) for w in counts}
+    mass = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            mass[ending[w]] += n
+    share = lambda w: (own[w], 1.0) if w in own else (ending[w], counts[w] / mass[ending[w]]) if w in counts else (H.UNKNOWN, 1.0)
+    for i, text in rows:
         a, log = None, 0.0
-        for c in [*(place.get(w, H.UNKNOWN) for w in text), H.END]:
-            a = (model.start if a is None else a @ model.move) * model.emit[c]
+        for c, part in [*map(share, text), (H.END, 1.0)]:
+            a = (model.start if a is None else a @ model.move) * model.emit[c] * part
             log += math.log10(a.sum())
             a = a / a.sum()
-        assert math.isclose(got[i].score, log, rel_tol=1e-9), i
+        assert any((i, round(log + d, 6)) in got for d in (0, 1e-6, -1e-6)), i
+    assert math.isclose(sum(model.emit[:, 0]), 1, rel_tol=1e-9)
+
+
+def test_start_values_come_from_all_texts(spark):
+    """Two kinds of texts, of which one is rare, have states of their own from the start."""
+    draw = np.random.default_rng(3)
+    kinds = [[f"{k}{i}" for i in range(50)] for k in "ab"]
+    texts = [(i, " ".join(draw.choice(kinds[i % 10 == 0], 60))) for i in range(300)]
+    kept = {}
+    seed = H._seed
+    try:
+        H._seed = lambda *a: kept.setdefault("model", seed(*a))
+        H.score_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), states=2, rounds=1)
+    finally:
+        H._seed = seed
+    emit = kept["model"].emit
+    share = emit[H.OWN :, 0] / emit[H.OWN :].sum(1)
+    assert (np.minimum(share, 1 - share) < 0.3).mean() > 0.9 and (share > 0.5).sum() == 50
 
 
 def test_scores_of_an_empty_table(spark):

@@ -7,7 +7,11 @@ in every partition and summed until the likelihood settles; the scaled forward r
 
 Texts are encoded once into blocks with a dictionary each. Only dictionaries meet in the shuffle that counts tokens,
 and each block gets the counts of its own words back, so no task or driver ever holds the vocabulary. Tokens are told apart there
-by a 64-bit hash and their ending's class. A token has one row for each block of text that it stands in, at most.
+by a 64-bit hash and their ending's class. A token has one row for each block of text that it stands in, at most; those of the tokens
+that most blocks have get their counts from a bounded table, the others in a join that adaptive execution can split.
+
+The start values come from all training texts too: each has a short vector of its weighted words, and clusters of these vectors, found from sums over
+partitions, give each state its first emissions.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bounded_batches, crc_mod, stage, unstage
@@ -26,19 +30,23 @@ from weftline.llm.words import U64, Words, mix, pieces
 STATES = 8
 #: Rounds of Baum-Welch at most; they end when a round raises the likelihood by less than this share.
 ROUNDS, SETTLED = 6, 0.002
-#: Words with a class of their own; classes of word endings; then the end and the unknown class.
-TOP, ENDINGS = 6_000, 2_048
-CLASSES = TOP + ENDINGS + 2
-END, UNKNOWN = CLASSES - 2, CLASSES - 1
+#: Classes of word endings, then the end and the unknown class, then words with a class of their own: those with at least this share of all training
+#: tokens (so there are fewer than 1 / OWN_SHARE, at any size of corpus) and this count.
+ENDINGS = 2_048
+END, UNKNOWN, OWN = ENDINGS, ENDINGS + 1, ENDINGS + 2
+OWN_SHARE, OWN_COUNT = 1 / 50_000, 5
+#: Tokens whose counts are sent to every task: those in most blocks.
+COMMON = 200_000
 #: Tokens in a segment: longer texts are several, joined by the products of their steps' matrices.
 SEGMENT = 256
 #: Bytes of text in a block: the more, the fewer dictionary entries meet in the shuffles. Tokens that Baum-Welch works on at once.
 BLOCK_BYTES, AT_ONCE = 4_000_000, 100_000
-#: Documents whose classes seed the states (a bounded sample; training itself uses every document).
-SEED_DOCS = 1_500
+#: Numbers of a text's vector, rounds of their clusters, tokens that a text needs to be told.
+VECTOR, CLUSTER_ROUNDS, TELLING = 24, 6, 30
 #: Weight of the corpus-wide class shares in each state's emissions, in tokens.
 SMOOTH = 500.0
 _END_KEY = 0  # with an ending below 0, which no word has
+_KIND = (1 << 20) - 1  # what holds a class, below the place in a dictionary
 
 
 def _endings(words: Words, at: np.ndarray) -> np.ndarray:
@@ -78,8 +86,8 @@ def _translate(totals, share):
                 place, count = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("places", "counts"))
                 order = np.argsort(place)
                 count = count[order]
-                kind = np.where(count == 0, UNKNOWN, place[order] % CLASSES)
-                inside = np.where((kind >= TOP) & (kind < END), np.log10(np.maximum(count, 1) / np.maximum(share.value[kind], 1)), 0.0)
+                kind = np.where(count == 0, UNKNOWN, place[order] & _KIND)
+                inside = np.where(kind < ENDINGS, np.log10(np.maximum(count, 1) / np.maximum(share.value[kind], 1)), 0.0)
                 base = np.log10((count + 1) / (tokens + distinct + 1)) if tokens + distinct else np.zeros(len(count))
                 codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
                 lengths = batch.column("lengths").slice(i, 1).flatten().to_numpy().astype(np.int64)
@@ -88,7 +96,7 @@ def _translate(totals, share):
                 yield pa.RecordBatch.from_arrays([
                     batch.column("ids").slice(i, 1), batch.column("held").slice(i, 1), batch.column("lengths").slice(i, 1),
                     *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (add(base), add(inside), add((count > 0).astype(float)))),
-                    pa.array([kind[codes].astype(np.int16).tobytes()], pa.binary()),
+                    pa.array([kind[codes].astype(np.uint16).tobytes()], pa.binary()),
                     pa.array([int(kind[-1])], pa.int32()),
                 ], ["ids", "held", "lengths", "base", "inside", "known", "classes", "end"])
 
@@ -105,7 +113,7 @@ class Model:
 def _sequences(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """(classes with the end after each text, start of each text and the end of all)."""
     lengths = batch.column("lengths").slice(i, 1).flatten().to_numpy().astype(np.int64)
-    words = np.frombuffer(batch.column("classes")[i].as_py(), np.int16)
+    words = np.frombuffer(batch.column("classes")[i].as_py(), np.uint16)
     bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
     out = np.empty(int(bounds[-1]), np.int64)
     ends = np.zeros(len(out), bool)
@@ -279,19 +287,84 @@ def _counts(model):
     return run
 
 
-def _histograms(rate: float):
+def _directions(shares: np.ndarray) -> np.ndarray:
+    """A fixed random direction for each class, rarer ones longer."""
+    return (np.random.default_rng(11).standard_normal((len(shares), VECTOR)) * -np.log(np.maximum(shares, 1e-9))[:, None]).astype(np.float32)
+
+
+def _text_vectors(classes: np.ndarray, bounds: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """One unit vector for each text: the directions of its words, each by the root of its count; of a text with few words zero."""
+    n = np.diff(bounds)
+    text = np.repeat(np.arange(len(n)), n)
+    pair, count = np.unique(text * len(directions) + classes, return_counts=True)
+    out = np.zeros((len(n), VECTOR))
+    weight = np.sqrt(count)
+    for j in range(VECTOR):
+        out[:, j] = np.bincount(pair // len(directions), directions[pair % len(directions), j] * weight, len(n))
+    out[n < TELLING] = 0
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def _vectors(directions):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = _text_vectors(*_train_only(batch, i), directions.value).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(v.tolist(), pa.list_(pa.float32()))], ["vector"])
+
+    return run
+
+
+def _moments(assign, width: int):
+    """Sums over vectors: of each cluster (assign gives each vector's, -1 for none) its number, vector and squares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            v = batch.column("vector").flatten().to_numpy().astype(float).reshape(-1, width)
+            v = v[np.abs(v).sum(1) > 0]
+            near = assign(v)
+            clusters = int(near.max(initial=0)) + 1
+            parts = np.zeros((max(clusters, 0 if total is None else len(total)), 1 + width + width * width))
+            for c in range(clusters):
+                own = v[near == c]
+                parts[c] = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+            if total is not None:
+                parts[: len(total)] += total
+            total = parts
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at // total.shape[1]), pa.array(at % total.shape[1]), pa.array(total.ravel()[at])], ["cluster", "at", "sum"])
+
+    return run
+
+
+def _summed(vectors: DataFrame, assign, clusters: int) -> np.ndarray:
+    out = np.zeros((clusters, 1 + VECTOR + VECTOR * VECTOR))
+    rows = vectors.mapInArrow(_moments(assign, VECTOR), "cluster long, at long, sum double")
+    for r in rows.groupBy("cluster", "at").agg(F.sum("sum").alias("sum")).collect():
+        out[r["cluster"], r["at"]] = r["sum"]
+    return out
+
+
+def _nearest(centres: np.ndarray):
+    return lambda v: (v @ centres.T).argmax(1) if len(v) else np.zeros(0, np.int64)
+
+
+def _cluster_counts(directions, centres: np.ndarray, states: int):
+    """(at, state, n): classes of the texts of each cluster."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(directions.value), states))
         for batch in batches:
-            docs, kinds, counts = [], [], []
             for i in range(batch.num_rows):
-                classes, bounds = _sequences(batch, i)
-                held = batch.column("held")[i].as_py()
-                for j, doc in enumerate(batch.column("ids")[i].as_py()):
-                    if held[j] or doc is None or int(mix(np.array([doc], np.int64).view(U64))[0]) > rate * 2.0**64:
-                        continue
-                    kind, n = np.unique(classes[bounds[j] : bounds[j + 1]], return_counts=True)
-                    docs.append(doc), kinds.append(kind.tolist()), counts.append(n.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(kinds, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "kinds", "counts"])
+                classes, bounds = _train_only(batch, i)
+                v = _text_vectors(classes, bounds, directions.value)
+                near, told = _nearest(centres)(v), np.abs(v).sum(1) > 0
+                own = np.repeat(np.where(told, near, -1), np.diff(bounds))
+                total += np.bincount(classes[own >= 0] * states + own[own >= 0], minlength=total.size).reshape(total.shape)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
     return run
 
@@ -305,41 +378,42 @@ def _with_unknown(emit: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return emit
 
 
-def _seed(coded: DataFrame, texts: int, states: int, shares: np.ndarray) -> Model:
-    """States from clusters of a bounded sample of documents; a state keeps to itself at first."""
-    sample = coded.mapInArrow(_histograms(min(1.0, SEED_DOCS / max(texts, 1))), "doc_id long, kinds array<int>, counts array<int>")
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("kinds", "counts")).limit(3 * SEED_DOCS).toPandas()
-    weight = -np.log(np.maximum(shares, 1e-9))
-    matrix = np.zeros((len(rows), CLASSES), np.float32)
-    for i, (kinds, counts) in enumerate(zip(rows["kinds"], rows["counts"], strict=True)):
-        matrix[i, kinds] = counts
-    flat = np.sqrt(matrix) * weight.astype(np.float32)
-    flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)
+def _seed(coded: DataFrame, states: int, shares: np.ndarray) -> Model:
+    """States from clusters of all training texts; a state keeps to itself at first.
+
+    Clusters begin as the sign patterns of the first principal directions of all vectors; where vectors don't part, states
+    begin near to each other.
+    """
+    sent = coded.sparkSession.sparkContext.broadcast(_directions(shares))
+    vectors = stage(coded.mapInArrow(_vectors(sent), "vector array<float>"), "text-vectors")
+    n, total, squares = np.split(_summed(vectors, lambda v: np.zeros(len(v), np.int64), 1)[0], [1, 1 + VECTOR])
     emit = np.repeat(shares[:, None], states, 1)
-    if len(rows) >= states:
-        centre = flat[[0]]
-        while len(centre) < states:  # the farthest next, among those with words enough to tell
-            far = np.where(matrix.sum(1) >= 30, (flat @ centre.T).max(1), 2.0)
-            centre = np.concatenate([centre, flat[[int(np.argmin(far))]]])
-        for _ in range(12):
-            near = np.argmax(flat @ centre.T, axis=1)
-            for j in range(states):
-                if (near == j).any():
-                    c = flat[near == j].mean(0)
-                    centre[j] = c / max(np.linalg.norm(c), 1e-9)
-        for j in range(states):
-            n = matrix[near == j].sum(0)
-            emit[:, j] = (n + 1000 * shares) / (n.sum() + 1000)
+    if n[0] >= states:
+        mean = total / n[0]
+        _, axes = np.linalg.eigh(squares.reshape(VECTOR, VECTOR) / n[0] - np.outer(mean, mean))
+        bits = max(1, (states - 1).bit_length())
+        axes = axes[:, ::-1][:, :bits]
+        sums = _summed(vectors, lambda v: ((v - mean) @ axes > 0) @ (1 << np.arange(bits)) % states, states)
+        for _ in range(CLUSTER_ROUNDS):
+            centres = np.where(sums[:, :1] > 0, sums[:, 1 : 1 + VECTOR], mean)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+            sums = _summed(vectors, _nearest(centres), states)
+        counts = np.zeros(emit.size)
+        for r in coded.mapInArrow(_cluster_counts(sent, centres, states), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r["at"]] = r["n"]
+        counts = counts.reshape(emit.shape)
+        emit = (counts + 1000 * shares[:, None]) / (counts.sum(0) + 1000)
     move = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    unstage(vectors)
     return Model(np.full(states, 1 / states), move, _with_unknown(emit, shares))
 
 
 def _updated(rows, states: int, shares: np.ndarray) -> tuple[Model, float]:
     """The model that expected counts make, and the log-likelihood under the one before it."""
-    table = np.zeros((CLASSES + states + 2, states))
+    table = np.zeros((len(shares) + states + 2, states))
     table[rows["at"].to_numpy()] = rows[[f"s{j}" for j in range(states)]].to_numpy()
-    emit, move, start = table[:CLASSES], table[CLASSES:-2] + 0.1, table[-2] + 0.1
+    emit, move, start = table[: len(shares)], table[len(shares) : -2] + 0.1, table[-2] + 0.1
     emit = _with_unknown((emit + SMOOTH * shares[:, None]) / (emit.sum(0) + SMOOTH), shares)
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit), float(table[-1].sum())
 
@@ -358,36 +432,47 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     blocks = stage(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(_encode, schema), "blocks")
 
     entries = blocks.select("block", F.posexplode("vocab").alias("nth", "v")).select("block", "nth", "v.key", F.col("v.count").alias("own"), "v.ending")
-    token = Window.partitionBy("key", "ending")
-    # a window and not a join with counts: dictionaries are shuffled once, with one row of a token for each block
-    entries = entries.withColumn("count", F.sum("own").over(token)).withColumn("first", F.min("block").over(token) == F.col("block"))
-    entries = stage(entries.drop("own"), "entries")
-    known = entries.where("first AND count > 0")
+    counted = stage(entries.groupBy("key", "ending").agg(F.sum("own").alias("count"), F.count("*").alias("blocks")), "token-counts")
+    known = counted.where("count > 0")
     tokens, distinct, texts = known.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("ending") < 0, F.col("count"))), F.lit(0))).first()
     words = known.where("ending >= 0")
-    top = words.orderBy(F.desc("count"), "key", "ending").limit(TOP).select("key", "ending", "count").toPandas()
+    # fewer than 1 / OWN_SHARE rows
+    top = words.where(F.col("count") >= max(OWN_COUNT, tokens * OWN_SHARE)).orderBy(F.desc("count"), "key", "ending").select("key", "ending", "count").toPandas()
     tops = spark.createDataFrame([(int(k), int(e), i) for i, (k, e) in enumerate(zip(top["key"], top["ending"], strict=True))], "key long, ending int, top int")
-    mass = np.zeros(CLASSES)
-    mass[: len(top)] = top["count"].to_numpy()
+    mass = np.zeros(OWN + len(top))
+    mass[OWN:] = top["count"].to_numpy()
     for r in words.join(F.broadcast(tops), ["key", "ending"], "left_anti").groupBy("ending").agg(F.sum("count").alias("n")).collect():
-        mass[TOP + r["ending"]] = r["n"]
+        mass[r["ending"]] = r["n"]
     mass[END] = texts
     shares = (mass + 0.0) / max(tokens + 1, 1)
     shares[UNKNOWN] = 1 / (tokens + distinct + 1)
     shares = np.maximum(shares, 1e-12)
     shares /= shares.sum()
 
-    kind = F.coalesce("top", F.when(F.col("ending") < 0, F.lit(END)).otherwise(F.col("ending") + TOP))
-    # two numbers an entry: its place with its class, and its count; both lists of a block grow together
-    place = F.col("nth").cast("long") * CLASSES + kind
-    named = entries.join(F.broadcast(tops), ["key", "ending"], "left").select("block", place.alias("place"), "count")
+    kind = F.coalesce(F.col("top") + OWN, F.when(F.col("ending") < 0, F.lit(END)).otherwise(F.col("ending")))
+    # two numbers a token: its class and its count, and for an entry its place with the class
+    told = counted.join(F.broadcast(tops), ["key", "ending"], "left").select("key", "ending", kind.alias("kind"), "count", "blocks")
+    size = F.floor(F.log2("blocks") * 16)
+    held, least = 0, 1 << 30
+    for r in sorted(told.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > COMMON:
+            break
+        least = r["size"]
+    common = stage(told.where(size >= least).select("key", "ending", F.struct("kind", "count").alias("told")), "common-tokens")
+    sent = entries.drop("own").join(F.broadcast(common), ["key", "ending"], "left")
+    rest = told.select("key", "ending", F.struct("kind", "count").alias("told")).join(F.broadcast(common.select("key", "ending")), ["key", "ending"], "left_anti")
+    # every entry is told: by the common tokens, or by the others
+    rare = sent.where("told IS NULL").drop("told").join(stage(rest, "other-tokens"), ["key", "ending"])
+    place = F.shiftleft(F.col("nth").cast("long"), 20) + F.col("told.kind")
+    named = sent.where("told IS NOT NULL").unionByName(rare.select(*sent.columns)).select("block", place.alias("place"), F.col("told.count").alias("count"))
     looked_up = named.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("count").alias("counts"))
     joined = blocks.select("block", "ids", "held", "lengths", "codes").join(looked_up, "block").drop("block")
     fields = "ids array<long>, held array<boolean>, lengths array<int>, base array<double>, inside array<double>, known array<double>, classes binary, end int"
     coded = stage(joined.mapInArrow(_translate((tokens, distinct), spark.sparkContext.broadcast(mass)), fields), "coded")
-    unstage(blocks, entries)
+    unstage(blocks, counted)
 
-    model = _seed(coded, texts, states, shares)
+    model = _seed(coded, states, shares)
     columns = [f"s{j}" for j in range(states)]
     before = None
     for _ in range(rounds):
