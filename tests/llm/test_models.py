@@ -270,3 +270,15 @@ def test_query_packs_with_the_least_padding(spark):
     length = sorted(Counter(words.values()).items())
     assert rows.padding.sum() == plain_bounds([x for x, _ in length], [n for _, n in length], 16)
     assert (rows.groupby("batch").bucket_length.sum() <= 32_768).all()
+
+
+def test_rows_without_an_id_are_packed_over_many_tasks(spark, monkeypatch):
+    from weftline.llm import packing as P
+
+    monkeypatch.setattr(P, "SHARD", 50)
+    rows = [(None, "w " * (k % 7)) for k in range(600)] + [(5, "w")] * 300 + [(None, None)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == 901 and sum(r.doc_id is None for r in out) == 601
+    shards = Counter(r.batch.rsplit("-", 1)[0] for r in out)
+    assert len(shards) > 9 and max(shards.values()) < 120
+    assert all(sum(1 for x in out if x.batch == b) * r.bucket_length <= P.TOKEN_BUDGET for b, r in {r.batch: r for r in out}.items())

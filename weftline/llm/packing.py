@@ -69,7 +69,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = N_BUCKETS
     gives an empty one.
     """
     length = F.coalesce(word_count(F.col("text")) if length is None else length.cast("long"), F.lit(0).cast("long"))
-    rows = stage(docs.select("doc_id", length.alias("length")), "lengths")
+    # rows are dealt by their place: ids may be null, or many rows may share one
+    rows = stage(docs.select("doc_id", length.alias("length"), F.monotonically_increasing_id().alias("place")), "lengths")
     histogram = rows.groupBy("length").count().toPandas().sort_values("length")
     bounds, _ = optimal_bounds(histogram["length"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), buckets)
     if not bounds:
@@ -79,8 +80,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = N_BUCKETS
     rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("length"))))
     size = F.element_at(edges, F.col("bucket") + 1).cast("long")
     shards = F.element_at(F.array(*(F.lit(-(-c // SHARD) or 1) for c in counts)), F.col("bucket") + 1)
-    rows = rows.withColumn("bucket_length", size).withColumn("shard", F.pmod(F.xxhash64("doc_id"), shards).cast("int"))
+    rows = rows.withColumn("bucket_length", size).withColumn("shard", F.pmod(F.xxhash64("place"), shards).cast("int"))
     per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
-    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("length", "doc_id")) - 1
+    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("length", "doc_id", "place")) - 1
     batch = F.concat_ws("-", F.col("bucket").cast("string"), F.col("shard").cast("string"), F.floor(nth / per_batch).cast("string"))
     return rows.select("doc_id", "length", "bucket", "bucket_length", batch.alias("batch"), (F.col("bucket_length") - F.col("length")).alias("padding"))
