@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import bounded
+from weftline.sources.files import rule_rows
 
 #: Rules that a table of them has at most, to be joined or written out in a plan.
 MAX_RULES = 1_000
@@ -17,14 +18,13 @@ FINDING = "doc_id long, rule_id string, severity string, message string"
 
 
 def load(spark, path: str) -> dict[str, DataFrame]:
-    """Rule families of a YAML file as small DataFrames; its root must be a mapping with a meta entry."""
-    import yaml
-
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    tree = yaml.safe_load(text)
-    if not isinstance(tree, Mapping) or "meta" not in tree:
-        raise ValueError("rules need a mapping with meta at the root")
-    return {k: spark.createDataFrame(pd.DataFrame(v)) for k, v in tree.items() if isinstance(v, list) and v and isinstance(v[0], Mapping)}
+    """Rule families of the YAML files below path as DataFrames, one column a key; items of all files, told apart by their path."""
+    rows = rule_rows(spark, path)
+    families = {}
+    for r in rows.groupBy("family").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.json_object_keys("item"))))).alias("keys")).collect():
+        own = rows.where(F.col("family") == r["family"])
+        families[r["family"]] = own.select("path", *(F.get_json_object("item", f"$['{k}']").alias(k) for k in r["keys"]))
+    return families
 
 
 def merged(base: Mapping, over: Mapping) -> dict:

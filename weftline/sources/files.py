@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +48,17 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METRICS).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def side_files(spark: SparkSession, path: str) -> DataFrame:
+def side_files(spark: SparkSession, path: str, names: str = r"\.(srt|scc)$") -> DataFrame:
     """(path, ok, body_text) of .srt and .scc files: UTF-8 if valid, else Latin-1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.(srt|scc)$"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(names))
     body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select("path", (F.length("content") > 0).alias("ok"), body.alias("body_text"))
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
+def manifests(spark: SparkSession, path: str, name: str = "manifest.json") -> DataFrame:
     """Projects with a manifest.json below path."""
-    files = spark.read.schema("project string, status string, outputs map<string,string>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(path)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/manifest\.json$", 1).alias("folder"), "project", "status", F.array_sort(F.map_keys("outputs")).alias("deliverables"))
+    files = spark.read.schema("project string, status string, outputs map<string,string>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(path)
+    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("folder"), "project", "status", F.array_sort(F.map_keys("outputs")).alias("deliverables"))
 
 
 def provenance(text: Column) -> dict[str, Column]:
@@ -72,3 +75,26 @@ def snapshot(df: DataFrame, path: str) -> None:
 def write_captions(srt: DataFrame, path: str) -> None:
     """One text file a partition of a column of SRT texts."""
     srt.select("srt").write.mode("overwrite").text(path)
+
+
+def rule_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, family, nth, item) of the YAML rule files below path: each item of each list of mappings, as JSON.
+
+    A file's root must be a mapping with a meta entry; any other file ends the read with its path. Files are parsed where they are read.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        for batch in batches:
+            rows = []
+            for where, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = yaml.safe_load(text)
+                if not isinstance(tree, dict) or "meta" not in tree:
+                    raise ValueError(f"{where}: rules need a mapping with meta at the root")
+                rows += [(where, k, i, json.dumps(x)) for k, v in tree.items() if isinstance(v, list) for i, x in enumerate(v) if isinstance(x, dict)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["path", "family", "nth", "item"])
+
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return files.mapInArrow(parse, "path string, family string, nth int, item string")
