@@ -147,10 +147,15 @@ def n15_keyword_reports(spark, sf):
     return rows.select("project", "file", R.keyword_report(F.col("file"), F.col("text")).alias("r")).select("project", "file", "r.version", "r.uploaded_at")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'busy' WHEN 1 THEN 'later' WHEN 2 THEN 'gateway says no' ELSE 'backend returned 503' END AS detail, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 100 WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 30 ELSE 7 END WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 30 END ELSE CASE WHEN event_id % 3 = 0 THEN 30 END END AS INT) AS retry_after_s, event_id % 4 <> 0 AS retryable FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'busy ' || CAST(user_id AS STRING) WHEN 1 THEN 'later, ' || event_type WHEN 2 THEN 'gateway of ' || CAST(user_id AS STRING) ELSE 'backend returned 503' END AS detail,
+CAST(CASE event_id % 4 WHEN 0 THEN event_id % 100 WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN user_id + 1 ELSE user_id + 7 END WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN user_id + 1 END ELSE CASE WHEN event_id % 3 = 0 THEN user_id + 1 END END AS INT) AS retry_after_s, event_id % 4 <> 0 AS retryable FROM events""")
 def n32_unavailable(spark, sf):
-    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"error": {"retryable": false, "retry_after_s": '), (F.col("event_id") % 100).cast("string"), F.lit(', "message": "busy"}}'))).when(F.col("event_id") % 4 == 1, '{"detail": "later", "retry_after_s": 7}').when(F.col("event_id") % 4 == 2, "gateway says no").otherwise("")
-    header = F.when(F.col("event_id") % 3 == 0, "30").when(F.col("event_id") % 3 == 1, "soon")
+    """Refusals with a full body, a short one, plain text and nothing; a header's number before a short body's."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_id") % 4
+    full = F.concat(F.lit('{"error": {"retryable": false, "retry_after_s": '), (F.col("event_id") % 100).cast("string"), F.lit(', "message": "busy '), user, F.lit('"}}'))
+    short = F.concat(F.lit('{"detail": "later, '), "event_type", F.lit('", "retry_after_s": '), (F.col("user_id") + 7).cast("string"), F.lit("}"))
+    body = F.when(kind == 0, full).when(kind == 1, short).when(kind == 2, F.concat(F.lit("gateway of "), user)).otherwise("")
+    header = F.when(F.col("event_id") % 3 == 0, (F.col("user_id") + 1).cast("string")).when(F.col("event_id") % 3 == 1, "soon")
     return raw(spark, sf, "events").select("event_id", R.unavailable(body, header).alias("u")).select("event_id", "u.*")
 
 
@@ -348,11 +353,12 @@ def n7_asset_url(spark, sf):
     return R.asset_url(rows, "Pledge")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'large' WHEN p_partkey % 5 = 1 THEN 'small' WHEN p_partkey % 5 = 2 THEN 'any-b' WHEN p_partkey % 5 = 3 THEN 'any-b' END AS family FROM part")
+@query("""WITH n AS (SELECT p_partkey AS id, replace(p_name, ' ', '-') || '/' || p_brand || ':' || CAST(p_size AS STRING) AS name FROM part)
+SELECT id, CASE WHEN regexp_matches(name, '^s.*/Brand#1:.*$') THEN 'early' WHEN regexp_matches(name, '^.*:.$') THEN 'small' WHEN regexp_matches(name, '^.*e.*/.*5$') THEN 'round' END AS family FROM n""")
 def b31_glob_family(spark, sf):
-    """The first of several patterns that a model's name matches."""
-    names = pick(("vendor/Big-4:beta", "vendor/tiny-v2", "b1", "b_2", "other"), "p_partkey")
-    globs = [("vendor/big-*", "large"), ("*tiny-v?", "small"), ("b*", "any-b"), ("*beta", "never")]
+    """The first of several patterns that a name matches."""
+    names = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("/"), "p_brand", F.lit(":"), F.col("p_size").cast("string"))
+    globs = [("S*/brand#1:*", "early"), ("*:?", "small"), ("*e*/*5", "round")]
     return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), R.family_of(names, globs).alias("family"))
 
 
@@ -365,11 +371,13 @@ def b53_percent_delta(spark, sf):
     return raw(spark, sf, "events").select("event_id", R.percent_delta(value.cast("double"), base.cast("double")).alias("delta"))
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'applied' WHEN 1 THEN 'reverted' WHEN 2 THEN 'applied' WHEN 3 THEN 'flagged' ELSE 'unknown' END AS action FROM events")
+@query("""WITH x AS (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE event_type END AS a, CASE WHEN event_id % 3 = 0 THEN 'lint' ELSE 'llm' END AS s, CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 'enforce' WHEN 1 THEN 'shadow' END AS m FROM events)
+SELECT event_id, CASE WHEN a IN ('click', 'view') THEN a WHEN s = 'lint' AND m = 'enforce' THEN 'applied' WHEN s = 'lint' THEN 'flagged' ELSE 'unknown' END AS action FROM x""")
 def b68_event_actions(spark, sf):
     """A known action, else what a lint event's mode tells, else unknown."""
-    e = raw(spark, sf, "events").select("event_id", pick(("applied", "reverted", "odd", None, "odd", None), "event_id").alias("a"), pick(("llm", "lint", "lint", "lint", "llm", "llm"), "event_id").alias("s"), pick(("x", "x", "enforce", "shadow", "enforce", None), "event_id").alias("m"))
-    return e.select("event_id", E.action_of(F.col("a"), source=F.col("s"), mode=F.col("m")).alias("action"))
+    mode = F.floor("value").cast("long") % 3
+    e = raw(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 5 != 0, F.col("event_type")).alias("a"), F.when(F.col("event_id") % 3 == 0, "lint").otherwise("llm").alias("s"), F.when(mode == 0, "enforce").when(mode == 1, "shadow").alias("m"))
+    return e.select("event_id", E.action_of(F.col("a"), ("click", "view"), F.col("s"), F.col("m")).alias("action"))
 
 
 @query(f"""{_J}, t AS (SELECT id, media_id FROM jobs WHERE id % 3 <> 0 ORDER BY id LIMIT 1000) SELECT count(*) AS checked, count(*) FILTER (media_id IS NOT NULL AND CAST(substring(media_id, 5) AS INT) % 2 = 0) AS linked, count(*) FILTER (media_id IS NULL OR CAST(substring(media_id, 5) AS INT) % 2 <> 0) AS not_found FROM t""")

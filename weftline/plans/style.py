@@ -246,12 +246,13 @@ def n20_section_tail(spark, sf):
     return drafts(spark, sf).select("id", S.section_tail(F.coalesce("formatter", F.lit(""))).alias("tail"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Use short text.' || chr(10) || 'End' WHEN 1 THEN 'None here' ELSE 'Full rules Slim' END AS prompt FROM supplier")
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, text FROM documents) SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN head || 'short text.' || chr(10) || text WHEN 1 THEN text ELSE 'Full rules ' || text || ' Slim' || head END) AS prompt FROM d""")
 def b33_prompt_tokens(spark, sf):
-    """Blocks of a profile, with the full one where it has none."""
+    """Prompts around every document, with the blocks of a profile, or the full one where it has none."""
     blocks = {"rules.a": {"full": "Full rules\n", "slim": "short text."}, "rules.b": {"full": "Full rules"}, "c": {"slim": "Slim"}}
-    text = F.element_at(F.array(*map(F.lit, ("Use {{style:rules.a}}\nEnd", "None here", "{{style:rules.b}} {{style:c}}"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    return raw(spark, sf, "supplier").select("s_suppkey", S.rendered_tokens(text, blocks, "slim").alias("prompt"))
+    head, k = F.split("text", "\n")[0], F.col("doc_id") % 3
+    text = F.when(k == 0, F.concat(head, F.lit("{{style:rules.a}}\n"), "text")).when(k == 1, F.col("text")).otherwise(F.concat(F.lit("{{style:rules.b}} "), "text", F.lit(" {{style:c}}"), head))
+    return raw(spark, sf, "documents").select("doc_id", F.md5(S.rendered_tokens(text, blocks, "slim").cast("binary")).alias("prompt"))
 
 
 #: category, need (0 excludes), part, rule: what flags about texts of the tables can be about.

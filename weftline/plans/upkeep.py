@@ -18,12 +18,15 @@ from weftline.sources.tables import cte, raw, role
 _J, _F, _S = cte("jobs"), cte("files"), cte("stats")
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 1 THEN 'type' WHEN 3 THEN 'path' WHEN 4 THEN 'path' END AS error FROM part")
+@query("""WITH u AS (SELECT p_partkey AS id, ['SRT', 'exe', 'csv', 'Txt', 'tsv.bak'][p_size % 5 + 1] AS ext, CASE p_partkey % 3 WHEN 1 THEN 'text/csv' WHEN 2 THEN 'image/png' END AS kind, CASE p_size % 4 WHEN 0 THEN '/out/' || p_brand WHEN 1 THEN '/out/../' || p_brand WHEN 2 THEN '/' || p_brand ELSE '/out/' || p_name || '..x' END AS path FROM part)
+SELECT id, CASE WHEN NOT (lower(string_split(ext, '.')[-1]) IN ('srt', 'txt', 'csv', 'tsv') OR coalesce(kind, '') = 'text/csv') THEN 'type' WHEN NOT starts_with(path, '/out/') OR list_contains(string_split(path, '/'), '..') THEN 'path' END AS error FROM u""")
 def a22_uploads(spark, sf):
-    """Uploads of a known type into a folder below the root."""
-    row = lambda values: pick(values, "p_partkey")
-    error = J.upload_error(row(("a.SRT", "b.exe", "c", "d.txt", "e.csv")), row((None, "image/png", "text/csv", None, None)), row(("/out/p", "/out/p", "/out/p/q", "/etc", "/out/../etc")), "/out")
-    return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), error.alias("error"))
+    """Uploads, named after the parts, of a known type into a folder below the root."""
+    name = F.concat("p_name", F.lit("."), F.element_at(F.array(*map(F.lit, ("SRT", "exe", "csv", "Txt", "tsv.bak"))), F.col("p_size") % 5 + 1))
+    kind = F.when(F.col("p_partkey") % 3 == 1, "text/csv").when(F.col("p_partkey") % 3 == 2, "image/png")
+    size = F.col("p_size") % 4
+    path = F.when(size == 0, F.concat(F.lit("/out/"), "p_brand")).when(size == 1, F.concat(F.lit("/out/../"), "p_brand")).when(size == 2, F.concat(F.lit("/"), "p_brand")).otherwise(F.concat(F.lit("/out/"), "p_name", F.lit("..x")))
+    return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), J.upload_error(name, kind, path, "/out").alias("error"))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '2WLI' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') WHEN 1 THEN '6POL' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') || '_REV20251202' WHEN 2 THEN 'a+b_' || CAST(p_partkey AS STRING) ELSE NULL END AS media_id FROM part")
@@ -148,11 +151,13 @@ def n30_trace_cost(spark, sf):
     return role(spark, sf, "stats").groupBy(F.col("job_id").alias("trace")).agg(F.round(cost, 6).alias("cost"), F.count("cost").alias("observed"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'allowed' WHEN 1 THEN 'denied' WHEN 2 THEN 'shared' ELSE 'denied' END AS outcome FROM events")
+@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'shared' WHEN event_id % 4 >= 2 AND event_id % 9 <> 0 THEN 'allowed' ELSE 'denied' END AS outcome FROM events")
 def n35_access_outcomes(spark, sf):
-    """A consumer with the scope, one without, the common key, and no scopes at all."""
-    outcome = J.access("write", pick(("read, write", "read", "write", None), "event_id"), pick(("c1", "c2", None, "c3"), "event_id"))
-    return raw(spark, sf, "events").select("event_id", outcome.alias("outcome"))
+    """Consumers with any mix of scopes, or none, and the common key."""
+    bit = lambda n, name: F.when(F.floor(F.col("event_id") / n) % 2 == 1, name)
+    scopes = F.when(F.col("event_id") % 9 != 0, F.concat_ws(" , ", bit(1, "read"), bit(2, "write"), bit(4, "write:all")))
+    consumer = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("c"), F.col("user_id").cast("string")))
+    return raw(spark, sf, "events").select("event_id", J.access("write", scopes, consumer).alias("outcome"))
 
 
 @query(f"{_J} SELECT name FROM (SELECT DISTINCT concat('Clip ', CAST(p_partkey AS STRING), '.srt') AS name FROM part) WHERE name NOT IN (SELECT transcript_file FROM jobs WHERE status <> 'cancelled' AND id % 3 = 0)")
