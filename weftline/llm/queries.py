@@ -16,7 +16,7 @@ from weftline.llm.jaccard_join import JACCARD_SQL, jaccard_components
 from weftline.llm.line_quality import QUALITY_SQL, line_quality
 from weftline.llm.packing import pack
 from weftline.llm.quality_fm import quality_scores
-from weftline.llm.sanitise import personal_spans
+from weftline.llm.sanitise import PERSONAL_SQL, personal_spans
 from weftline.llm.token_counts import token_counts
 from weftline.llm.transcripts import recovered_turns
 from weftline.llm.vector_codes import CODES_SQL, compressed
@@ -99,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": QUALITY_SQL, "op2_warc_revisits": ROUND_TRIP_SQL, "op8_decontaminate": LEAKS_SQL, "op9_jaccard_groups": JACCARD_SQL, "op12_vector_codes": CODES_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+    return {"op1_line_frequency": QUALITY_SQL, "op2_warc_revisits": ROUND_TRIP_SQL, "op8_decontaminate": LEAKS_SQL, "op9_jaccard_groups": JACCARD_SQL, "op11_personal_data": PERSONAL_SQL, "op12_vector_codes": CODES_SQL, "op13_hard_negatives": NEGATIVES_SQL}
