@@ -26,13 +26,13 @@ def test_copy_suffixes(spark):
 def test_media_ids(spark):
     names = ["9abc1209HD_ForClaude.txt", "7ABC0000HDWEB02_REV20251202.srt", "ab_x01_promo.srt", "no id in here.srt", "x_REV20251106.srt", "8XYZ2503 (1).srt"]
     assert values(spark, T.media_id(F.col("x")), names) == ["9ABC1209HD", "7ABC0000HDWEB02_REV20251202", "ab_x01_promo", None, "x_REV20251106", "8XYZ2503"]
-    assert values(spark, T.media_id_of_url(F.col("x")), ["http://h/d/2WLI1209HD%20(1).srt.srt"]) == ["2WLI1209HD"]
+    assert values(spark, T.media_id_of_url(F.col("x")), ["http://h/d/2LAK1209HD%20(1).srt.srt"]) == ["2LAK1209HD"]
 
 
 def test_file_names(spark):
-    rows = spark.createDataFrame([("6POL0101_REV20260319.srt",), ("2wli0501hd_pledge.mp4",), ("6POL0101_REV20261340.srt",), ("6POLS_x.mp4",), ("9UNP0102_NoBug.mp4",)], "x string").select(T.parse_filename(F.col("x")).alias("p")).select("p.*").collect()
+    rows = spark.createDataFrame([("6TWN0101_REV20260319.srt",), ("2lak0501hd_pledge.mp4",), ("6TWN0101_REV20261340.srt",), ("6TWNS_x.mp4",), ("9LEC0102_NoBug.mp4",)], "x string").select(T.parse_filename(F.col("x")).alias("p")).select("p.*").collect()
     assert [r.outcome for r in rows] == ["parsed", "parsed", "bad_date", "unmatched", "parsed"]
-    assert (rows[0].media_id, str(rows[0].revision_date), rows[0].hd) == ("6POL0101", "2026-03-19", False)
+    assert (rows[0].media_id, str(rows[0].revision_date), rows[0].hd) == ("6TWN0101", "2026-03-19", False)
     assert (rows[1].season, rows[1].episode, rows[1].variant_tag, rows[1].hd) == (5, 1, "PLEDGE", True)
     assert rows[4].unknown_tag == "NOBUG"
 

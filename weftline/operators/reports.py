@@ -30,7 +30,7 @@ def project_type(explicit: Column, minutes: Column, name: Column) -> Column:
     short = F.contains(low, F.lit("sm")) | F.contains(low, F.lit("short")) | F.contains(low, F.lit("ds"))
     out = F.when(F.coalesce(explicit, F.lit("")) != "", kind(explicit, "explicit"))
     out = out.when(minutes.isNotNull(), kind(F.when(minutes < SHORT_MINUTES, "digital_short").otherwise("segment"), "inferred")).when(short, kind(F.lit("digital_short"), "inferred"))
-    return out.when(F.startswith(name, F.lit("2WLI")) | F.startswith(name, F.lit("9UNP")), kind(F.lit("segment"), "inferred")).otherwise(kind(F.lit("segment"), "unknown"))
+    return out.when(F.startswith(name, F.lit("2LAK")) | F.startswith(name, F.lit("9LEC")), kind(F.lit("segment"), "inferred")).otherwise(kind(F.lit("segment"), "unknown"))
 
 
 def call_cost(reported: Column, flat: Column, tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -132,9 +132,9 @@ def e13_percentiles(spark, sf):
     return E.percentiles(raw(spark, sf, "events").where("value IS NOT NULL"), ["event_type"], "value")
 
 
-@query(f"{_F} SELECT count(*) FILTER (prefix = '2WLI' AND file_type = 'mp4') AS actual, round(abs(count(*) FILTER (prefix = '2WLI' AND file_type = 'mp4') - 3000) / 3000.0 * 100, 4) AS diff_pct, abs(count(*) FILTER (prefix = '2WLI' AND file_type = 'mp4') - 3000) / 3000.0 * 100 <= 5 AS within FROM files")
+@query(f"{_F} SELECT count(*) FILTER (prefix = '2LAK' AND file_type = 'mp4') AS actual, round(abs(count(*) FILTER (prefix = '2LAK' AND file_type = 'mp4') - 3000) / 3000.0 * 100, 4) AS diff_pct, abs(count(*) FILTER (prefix = '2LAK' AND file_type = 'mp4') - 3000) / 3000.0 * 100 <= 5 AS within FROM files")
 def e14_coverage_diff(spark, sf):
-    n = F.count_if((F.col("prefix") == "2WLI") & (F.col("file_type") == "mp4"))
+    n = F.count_if((F.col("prefix") == "2LAK") & (F.col("file_type") == "mp4"))
     diff = F.abs(n - 3000) / 3000 * 100
     return role(spark, sf, "files").agg(n.alias("actual"), F.round(diff, 4).alias("diff_pct"), (diff <= 5).alias("within"))
 

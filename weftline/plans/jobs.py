@@ -51,9 +51,9 @@ def c5_seen_within_days(spark, sf):
     return role(spark, sf, "files").where((F.col("first_seen_at") >= _now() - F.expr("INTERVAL '14' DAY")) & (F.col("first_seen_at") < _now())).select("id")
 
 
-@query(f"{cte('files')} SELECT id, prefix FROM files WHERE lower(prefix) = lower('6pol') AND NOT superseded")
+@query(f"{cte('files')} SELECT id, prefix FROM files WHERE lower(prefix) = lower('6twn') AND NOT superseded")
 def c6_optional_prefix(spark, sf):
-    prefix: str | None = "6pol"
+    prefix: str | None = "6twn"
     return J.all_of(role(spark, sf, "files").where("NOT superseded"), None if prefix is None else F.lower("prefix") == prefix.lower()).select("id", "prefix")
 
 
@@ -68,9 +68,9 @@ def c9_in_list(spark, sf):
     return role(spark, sf, "files").join(urls, "remote_url", "left_semi").select("id")
 
 
-@query(f"{cte('files')} SELECT count(*) AS n FROM files WHERE media_id LIKE '2WLI%' AND file_type = 'mp4'")
+@query(f"{cte('files')} SELECT count(*) AS n FROM files WHERE media_id LIKE '2LAK%' AND file_type = 'mp4'")
 def c10_starts_with(spark, sf):
-    return role(spark, sf, "files").where(F.col("media_id").startswith("2WLI") & (F.col("file_type") == "mp4")).agg(F.count("*").alias("n"))
+    return role(spark, sf, "files").where(F.col("media_id").startswith("2LAK") & (F.col("file_type") == "mp4")).agg(F.count("*").alias("n"))
 
 
 @query(f"{_J} SELECT id, retry_after FROM jobs WHERE status = 'pending' AND (retry_after IS NULL OR retry_after <= {NOW})")
@@ -170,10 +170,10 @@ def j8_reset_stuck(spark, sf):
 
 
 @query(f"""{_J}, live AS (SELECT * FROM jobs WHERE status <> 'cancelled'),
-wanted AS (SELECT concat('Clip ', CAST(n_nationkey * 40 AS STRING), '.srt') AS file, concat('6POL', lpad(CAST(n_nationkey AS STRING), 4, '0')) AS media_id FROM nation)
+wanted AS (SELECT concat('Clip ', CAST(n_nationkey * 40 AS STRING), '.srt') AS file, concat('6TWN', lpad(CAST(n_nationkey AS STRING), 4, '0')) AS media_id FROM nation)
 SELECT file, w.media_id, coalesce((SELECT arg_max(id, (queued_at, id)) FROM live WHERE transcript_file = file), (SELECT arg_max(id, (queued_at, id)) FROM live l WHERE l.media_id = w.media_id)) AS job_id FROM wanted w""")
 def j9_duplicate_detection(spark, sf):
-    wanted = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("concat('Clip ', CAST(n_nationkey * 40 AS STRING), '.srt') AS file", "concat('6POL', lpad(CAST(n_nationkey AS STRING), 4, '0')) AS media_id")
+    wanted = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("concat('Clip ', CAST(n_nationkey * 40 AS STRING), '.srt') AS file", "concat('6TWN', lpad(CAST(n_nationkey AS STRING), 4, '0')) AS media_id")
     return J.duplicates_of(jobs(spark, sf), wanted)
 
 

@@ -19,7 +19,7 @@ from weftline.sources.files import scratch
 from weftline.sources.tables import cte, raw, role
 
 _F = cte("files")
-_NAME = """concat(CASE l_partkey % 4 WHEN 0 THEN '2WLI' WHEN 1 THEN '6POL' WHEN 2 THEN '9UNP' ELSE 'ZZZZ' END, CASE WHEN l_linenumber = 5 THEN 'S' ELSE '' END, lpad(CAST(l_suppkey % 20 AS STRING), 2, '0'), lpad(CAST(l_partkey % 60 AS STRING), 2, '0'),
+_NAME = """concat(CASE l_partkey % 4 WHEN 0 THEN '2LAK' WHEN 1 THEN '6TWN' WHEN 2 THEN '9LEC' ELSE 'ZZZZ' END, CASE WHEN l_linenumber = 5 THEN 'S' ELSE '' END, lpad(CAST(l_suppkey % 20 AS STRING), 2, '0'), lpad(CAST(l_partkey % 60 AS STRING), 2, '0'),
 CASE WHEN l_linenumber % 2 = 0 THEN 'hd' ELSE '' END, CASE l_linenumber WHEN 3 THEN '_REV20250931' WHEN 4 THEN '_REV20250930' ELSE '' END, CASE l_returnflag WHEN 'A' THEN '_pledge' WHEN 'R' THEN '_NoBug' ELSE '' END, CASE WHEN l_suppkey % 2 = 0 THEN '.mp4' ELSE '.srt' END)"""
 
 
@@ -33,7 +33,7 @@ def names(spark, sf) -> DataFrame:
 
 def prefixes(spark) -> DataFrame:
     """The prefix dimension, a handful of rows."""
-    return F.broadcast(spark.createDataFrame([("2WLI", "series", "Lake Stories"), ("6POL", "news", "Town Hall"), ("9UNP", "special", "Open Lectures")], "prefix string, category string, show string"))
+    return F.broadcast(spark.createDataFrame([("2LAK", "series", "Lake Stories"), ("6TWN", "news", "Town Hall"), ("9LEC", "special", "Open Lectures")], "prefix string, category string, show string"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 9000")
@@ -63,9 +63,9 @@ def a7b_page_links(spark, sf):
 
 @query(f"""WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, regexp_extract(upper(regexp_replace({_NAME}, '\\.[^.]*$', '')), '^([A-Z0-9]{{4}})(\\d{{2}})(\\d{{2}})(HD)?(?:_REV(\\d{{8}}))?(_[A-Z0-9]+)?$', ['p', 's', 'e', 'hd', 'rev', 'tag']) AS m, upper({_NAME}) AS u FROM lineitem),
 q AS (SELECT *, m.p <> '' AS matched, try_strptime(nullif(m.rev, ''), '%Y%m%d') AS d FROM p), r AS (SELECT *, matched AND (m.rev = '' OR d IS NOT NULL) AS ok FROM q)
-SELECT id, CASE WHEN NOT matched THEN CASE WHEN left(u, 4) IN ('2WLI', '6POL', '9UNP') THEN 'nonstandard' ELSE 'error' END WHEN ok THEN 'parsed' ELSE 'error' END AS outcome, CASE WHEN ok THEN m.p || m.s || m.e END AS media_id, CASE WHEN ok THEN TRY_CAST(m.s AS INT) END AS season, CASE WHEN ok THEN TRY_CAST(m.e AS INT) END AS episode,
+SELECT id, CASE WHEN NOT matched THEN CASE WHEN left(u, 4) IN ('2LAK', '6TWN', '9LEC') THEN 'nonstandard' ELSE 'error' END WHEN ok THEN 'parsed' ELSE 'error' END AS outcome, CASE WHEN ok THEN m.p || m.s || m.e END AS media_id, CASE WHEN ok THEN TRY_CAST(m.s AS INT) END AS season, CASE WHEN ok THEN TRY_CAST(m.e AS INT) END AS episode,
 CASE WHEN ok THEN m.hd <> '' END AS hd, CASE WHEN ok THEN strftime(d, '%Y-%m-%d') END AS revision_date, CASE WHEN ok AND m.tag IN ('_PLEDGE', '_DS') THEN substring(m.tag, 2) END AS variant_tag, CASE WHEN ok AND m.tag <> '' AND m.tag NOT IN ('_PLEDGE', '_DS') THEN substring(m.tag, 2) END AS unknown_tag,
-CASE WHEN ok THEN CASE m.p WHEN '2WLI' THEN 'series' WHEN '6POL' THEN 'news' WHEN '9UNP' THEN 'special' ELSE 'unknown' END END AS category FROM r""")
+CASE WHEN ok THEN CASE m.p WHEN '2LAK' THEN 'series' WHEN '6TWN' THEN 'news' WHEN '9LEC' THEN 'special' ELSE 'unknown' END END AS category FROM r""")
 def b1_parse_filename(spark, sf):
     """B1, D5 and A6."""
     rows = names(spark, sf).select("id", T.parse_filename(F.col("name")).alias("p")).select("id", "p.*").join(prefixes(spark), "prefix", "left")
@@ -74,7 +74,7 @@ def b1_parse_filename(spark, sf):
     return rows.select("id", outcome.alias("outcome"), "media_id", "season", "episode", "hd", F.date_format("revision_date", "yyyy-MM-dd").alias("revision_date"), "variant_tag", "unknown_tag", category.alias("category"))
 
 
-_TITLE = "concat(CASE p_partkey % 6 WHEN 0 THEN concat('2wli', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), 'HD') WHEN 1 THEN concat('6POL', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), '_REV20251202') WHEN 2 THEN p_name WHEN 3 THEN replace(p_name, ' ', '_') ELSE concat('9UNP', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0')) END, CASE p_partkey % 5 WHEN 0 THEN ' - Copy (2)' WHEN 1 THEN ' (3)' WHEN 2 THEN '_ForClaude' WHEN 3 THEN ' copy 2' ELSE '' END)"
+_TITLE = "concat(CASE p_partkey % 6 WHEN 0 THEN concat('2lak', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), 'HD') WHEN 1 THEN concat('6TWN', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), '_REV20251202') WHEN 2 THEN p_name WHEN 3 THEN replace(p_name, ' ', '_') ELSE concat('9LEC', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0')) END, CASE p_partkey % 5 WHEN 0 THEN ' - Copy (2)' WHEN 1 THEN ' (3)' WHEN 2 THEN '_ForClaude' WHEN 3 THEN ' copy 2' ELSE '' END)"
 
 
 @query(f"""WITH t AS (SELECT p_partkey AS id, {_TITLE} AS name FROM part)

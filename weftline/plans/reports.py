@@ -10,6 +10,7 @@ from weftline.operators import jobs as J
 from weftline.operators import reports as R
 from weftline.operators import search as S
 from weftline.operators import diff as D
+from weftline.operators.joins import bounded
 from weftline.operators.numbering import numbered
 from weftline.plans.registry import query
 from weftline.sources.files import append, scratch
@@ -30,12 +31,12 @@ def b28_export_names(spark, sf):
     return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), R.export_name(name, F.lit("seo.md")).alias("file"))
 
 
-_PT = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'special' WHEN o_orderkey % 7 = 1 THEN '' END AS explicit, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey % 6 AS DOUBLE) END AS minutes, CASE o_orderkey % 5 WHEN 0 THEN '2WLI0101' WHEN 1 THEN '9UNPShortOne' WHEN 2 THEN '6POL0101' WHEN 3 THEN 'TALKDS01' ELSE '9UNP0100' END AS name FROM orders"
+_PT = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'special' WHEN o_orderkey % 7 = 1 THEN '' END AS explicit, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey % 6 AS DOUBLE) END AS minutes, CASE o_orderkey % 5 WHEN 0 THEN '2LAK0101' WHEN 1 THEN '9LECShortOne' WHEN 2 THEN '6TWN0101' WHEN 3 THEN 'TALKDS01' ELSE '9LEC0100' END AS name FROM orders"
 
 
 @query(f"SELECT id, CASE WHEN explicit = 'special' THEN 'special' WHEN minutes IS NOT NULL THEN CASE WHEN minutes < 3 THEN 'digital_short' ELSE 'segment' END WHEN id % 5 IN (1, 3) THEN 'digital_short' ELSE 'segment' END AS type, CASE WHEN explicit = 'special' THEN 'explicit' WHEN minutes IS NULL AND id % 5 = 2 THEN 'unknown' ELSE 'inferred' END AS confidence FROM ({_PT})")
 def b48_project_type(spark, sf):
-    rows = raw(spark, sf, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 7 = 0 THEN 'special' WHEN o_orderkey % 7 = 1 THEN '' END AS explicit", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey % 6 AS DOUBLE) END AS minutes", "CASE o_orderkey % 5 WHEN 0 THEN '2WLI0101' WHEN 1 THEN '9UNPShortOne' WHEN 2 THEN '6POL0101' WHEN 3 THEN 'TALKDS01' ELSE '9UNP0100' END AS name")
+    rows = raw(spark, sf, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 7 = 0 THEN 'special' WHEN o_orderkey % 7 = 1 THEN '' END AS explicit", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey % 6 AS DOUBLE) END AS minutes", "CASE o_orderkey % 5 WHEN 0 THEN '2LAK0101' WHEN 1 THEN '9LECShortOne' WHEN 2 THEN '6TWN0101' WHEN 3 THEN 'TALKDS01' ELSE '9LEC0100' END AS name")
     return rows.select("id", R.project_type(F.col("explicit"), F.col("minutes"), F.col("name")).alias("t")).select("id", "t.type", "t.confidence")
 
 
@@ -78,11 +79,11 @@ def g10_roster_order(spark, sf):
     return raw(spark, sf, "part").select(F.col("p_brand").alias("provider"), F.col("p_partkey").alias("id"), F.row_number().over(w).alias("place"))
 
 
-@query(f"{_F} SELECT remote_url, min(file_type) AS file_type FROM files WHERE directory_path IN ('/d1', '/d2', '/d3') OR media_id LIKE '2WLI00000%' GROUP BY remote_url")
+@query(f"{_F} SELECT remote_url, min(file_type) AS file_type FROM files WHERE directory_path IN ('/d1', '/d2', '/d3') OR media_id LIKE '2LAK00000%' GROUP BY remote_url")
 def h5_file_union(spark, sf):
     """H5: files of several folders in one table, those that two of them list only once."""
     f = role(spark, sf, "files")
-    parts = [f.where(F.col("directory_path") == d) for d in ("/d1", "/d2", "/d3")] + [f.where("media_id LIKE '2WLI00000%'")]
+    parts = [f.where(F.col("directory_path") == d) for d in ("/d1", "/d2", "/d3")] + [f.where("media_id LIKE '2LAK00000%'")]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -117,7 +118,7 @@ def _tree(spark, sf):
     s, p = raw(spark, sf, "supplier"), raw(spark, sf, "part")
     top = s.selectExpr("concat('/r', CAST(s_nationkey AS STRING)) AS directory", "concat('/r', CAST(s_nationkey AS STRING), '/s', CAST(s_suppkey AS STRING)) AS url", "CASE WHEN s_suppkey % 9 = 0 THEN 'old' ELSE concat('s', CAST(s_suppkey AS STRING)) END AS name", "true AS is_dir")
     back = s.selectExpr("concat('/r', CAST(s_nationkey AS STRING), '/s', CAST(s_suppkey AS STRING)) AS directory", "concat('/r', CAST(s_nationkey AS STRING)) AS url", "'up' AS name", "true AS is_dir")
-    own = p.crossJoin(F.broadcast(s.agg(F.count("*").alias("n")))).join(F.broadcast(s), F.col("p_partkey") % F.col("n") == F.col("s_suppkey"))
+    own = p.crossJoin(F.broadcast(s.agg(F.count("*").alias("n")))).join(bounded(s, 100_000), F.col("p_partkey") % F.col("n") == F.col("s_suppkey"))
     files = own.selectExpr("concat('/r', CAST(s_nationkey AS STRING), '/s', CAST(s_suppkey AS STRING)) AS directory", "concat('/r', CAST(s_nationkey AS STRING), '/s', CAST(s_suppkey AS STRING), '/', CAST(p_partkey AS STRING), '.srt') AS url", "concat(CAST(p_partkey AS STRING), '.srt') AS name", "false AS is_dir")
     roots = s.where("s_nationkey < 20").selectExpr("concat('/r', CAST(s_nationkey AS STRING)) AS url").distinct()
     return top.unionByName(back).unionByName(files), roots
@@ -198,11 +199,11 @@ def n39_project_summary(spark, sf):
     return j.groupBy("project_path").agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "completed").alias("completed"), F.round(F.sum("actual_cost"), 2).alias("cost"), F.max("queued_at").alias("last_queued"), last.alias("last_job"))
 
 
-@query(f"""{_J}, w AS (SELECT p_partkey, concat('6POL', lpad(CAST(p_partkey % 900 AS STRING), 4, '0')) AS media_id, p_size % 3 = 0 AS has_source FROM part), d AS (SELECT media_id, arg_max(id, (queued_at, id)) AS job FROM jobs WHERE status <> 'cancelled' AND media_id IS NOT NULL GROUP BY media_id)
+@query(f"""{_J}, w AS (SELECT p_partkey, concat('6TWN', lpad(CAST(p_partkey % 900 AS STRING), 4, '0')) AS media_id, p_size % 3 = 0 AS has_source FROM part), d AS (SELECT media_id, arg_max(id, (queued_at, id)) AS job FROM jobs WHERE status <> 'cancelled' AND media_id IS NOT NULL GROUP BY media_id)
 SELECT p_partkey, CASE WHEN NOT has_source THEN 'no_source' WHEN job IS NOT NULL THEN 'duplicate' ELSE 'created' END AS outcome, CASE WHEN has_source THEN job END AS job_id FROM w LEFT JOIN d USING (media_id)""")
 def n40_submit_job(spark, sf):
     """A job for each media id that has a source and no live job."""
-    wanted = raw(spark, sf, "part").select("p_partkey", F.concat(F.lit("6POL"), F.lpad((F.col("p_partkey") % 900).cast("string"), 4, "0")).alias("media_id"), F.lit(None).cast("string").alias("file"), (F.col("p_size") % 3 == 0).alias("has_source"))
+    wanted = raw(spark, sf, "part").select("p_partkey", F.concat(F.lit("6TWN"), F.lpad((F.col("p_partkey") % 900).cast("string"), 4, "0")).alias("media_id"), F.lit(None).cast("string").alias("file"), (F.col("p_size") % 3 == 0).alias("has_source"))
     found = J.duplicates_of(role(spark, sf, "jobs"), wanted.select("file", "media_id").distinct()).select("media_id", "job_id")
     rows = wanted.join(found, "media_id", "left")
     outcome = F.when(~F.col("has_source"), "no_source").when(F.col("job_id").isNotNull(), "duplicate").otherwise("created")
@@ -385,12 +386,12 @@ def n44_link_backfill(spark, sf):
     """The first thousand jobs without a record, looked up; the limit is the feature."""
     j = role(spark, sf, "jobs")
     records = j.where("media_id IS NOT NULL AND CAST(substring(media_id, 5, 4) AS INT) % 2 = 0").select("media_id", F.concat(F.lit("rec"), "media_id").alias("record_id")).distinct()
-    every = spark.range(350).select(F.concat(F.lit("6POL"), F.lpad((F.col("id") * 2).cast("string"), 4, "0")).alias("media_id")).withColumn("record_id", F.concat(F.lit("rec"), "media_id"))
+    every = spark.range(350).select(F.concat(F.lit("6TWN"), F.lpad((F.col("id") * 2).cast("string"), 4, "0")).alias("media_id")).withColumn("record_id", F.concat(F.lit("rec"), "media_id"))
     return R.link_counts(j.select("id", "media_id", F.when(F.col("id") % 3 == 0, "rec").alias("record_id")), records.unionByName(every))
 
 
 @query(f"""{_F}, v AS (SELECT list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL), r AS (SELECT max(n) / 300.0 AS rate FROM (SELECT count(*) AS n FROM events GROUP BY time_bucket(INTERVAL '5 minutes', ts))), c AS (SELECT unnest(['rate', 'errors', 'p95', 'p99', 'parity', 'coverage']) AS name, unnest([(SELECT rate <= 1 FROM r), (SELECT count(*) FILTER (event_type = 'error') / count(*) < 0.01 FROM events),
-(SELECT v[least(CAST(floor(len(v) * 95 / 100) AS BIGINT), len(v) - 1) + 1] < 50 FROM v), (SELECT v[least(CAST(floor(len(v) * 99 / 100) AS BIGINT), len(v) - 1) + 1] < 200 FROM v), (SELECT count(*) > 0 AND count(*) FILTER (d <> 0) = 0 FROM (SELECT count(*) - count(event_id) AS d FROM events GROUP BY date_trunc('day', ts))), (SELECT abs(count(*) FILTER (file_type = 'mp4') - count(*) FILTER (file_type = 'srt')) / count(*) FILTER (file_type = 'srt') <= 0.05 FROM files WHERE prefix = '2WLI')]) AS passed)
+(SELECT v[least(CAST(floor(len(v) * 95 / 100) AS BIGINT), len(v) - 1) + 1] < 50 FROM v), (SELECT v[least(CAST(floor(len(v) * 99 / 100) AS BIGINT), len(v) - 1) + 1] < 200 FROM v), (SELECT count(*) > 0 AND count(*) FILTER (d <> 0) = 0 FROM (SELECT count(*) - count(event_id) AS d FROM events GROUP BY date_trunc('day', ts))), (SELECT abs(count(*) FILTER (file_type = 'mp4') - count(*) FILTER (file_type = 'srt')) / count(*) FILTER (file_type = 'srt') <= 0.05 FROM files WHERE prefix = '2LAK')]) AS passed)
 SELECT count(*) FILTER (passed) AS passed, count(*) AS total, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT passed), '') AS failed, CASE WHEN count(*) FILTER (passed) = count(*) THEN 'GO' ELSE 'NO-GO' END AS verdict FROM c""")
 def j10b_all_criteria(spark, sf):
     """Request rate, errors, latencies, parity checks and coverage against a baseline count."""
@@ -400,7 +401,7 @@ def j10b_all_criteria(spark, sf):
     ratio = e.agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("ratio"))
     late = E.percentiles(e.where("value IS NOT NULL"), [], "value")
     parity = e.groupBy(F.to_date("ts").alias("day")).agg((F.count("*") - F.count("event_id")).alias("delta")).agg(F.count("*").alias("checks"), F.count_if(F.col("delta") != 0).alias("bad"))
-    files = role(spark, sf, "files").where("prefix = '2WLI'").agg(F.count_if(F.col("file_type") == "mp4").alias("have"), F.count_if(F.col("file_type") == "srt").alias("base"))
+    files = role(spark, sf, "files").where("prefix = '2LAK'").agg(F.count_if(F.col("file_type") == "mp4").alias("have"), F.count_if(F.col("file_type") == "srt").alias("base"))
     every = of(rate, "rate", F.col("rate") <= 1)
     for part in (of(ratio, "errors", F.col("ratio") < 0.01), of(late, "p95", F.col("p95") < 50), of(late, "p99", F.col("p99") < 200), of(parity, "parity", (F.col("checks") > 0) & (F.col("bad") == 0)), of(files, "coverage", F.abs(F.col("have") - F.col("base")) / F.col("base") <= 0.05)):
         every = every.unionByName(part)

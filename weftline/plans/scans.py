@@ -144,7 +144,7 @@ def f17_escalate_once(spark, sf):
 
 @query(f"""{_F}, s AS (SELECT id AS file_id, id, first_seen_at, CASE WHEN id % 7 = 0 THEN '  ' WHEN id % 11 = 0 THEN NULL ELSE 'Body ' || CAST(id AS STRING) END AS body FROM files WHERE file_type = 'srt' AND id % 3 <> 1),
 c AS (SELECT DISTINCT media_id, id FROM files WHERE NOT superseded AND media_id IS NOT NULL AND file_type = 'srt'), one AS (SELECT file_id, arg_min(coalesce(body, ''), (first_seen_at, id)) AS body FROM s GROUP BY file_id),
-b AS (SELECT c.media_id, c.id, one.file_id IS NULL AS bare, one.body FROM c LEFT JOIN one ON one.file_id = c.id QUALIFY row_number() OVER (PARTITION BY c.media_id ORDER BY one.file_id IS NULL, c.id) = 1), p AS (SELECT concat('2WLI', lpad(CAST(p_partkey AS STRING), 6, '0')) AS media_id FROM part)
+b AS (SELECT c.media_id, c.id, one.file_id IS NULL AS bare, one.body FROM c LEFT JOIN one ON one.file_id = c.id QUALIFY row_number() OVER (PARTITION BY c.media_id ORDER BY one.file_id IS NULL, c.id) = 1), p AS (SELECT concat('2LAK', lpad(CAST(p_partkey AS STRING), 6, '0')) AS media_id FROM part)
 SELECT p.media_id, CASE WHEN b.id IS NULL THEN 404 WHEN trim(coalesce(b.body, '')) = '' THEN 503 ELSE 200 END AS status, CASE WHEN trim(coalesce(b.body, '')) <> '' THEN b.body END AS body FROM p LEFT JOIN b ON b.media_id = p.media_id""")
 def j5b_captions_outcome(spark, sf):
     """The captions of every media id: found, without a file, without a body."""
@@ -152,7 +152,7 @@ def j5b_captions_outcome(spark, sf):
     files = f.select("media_id", "id", F.when(F.col("superseded"), F.lit(0)).alias("superseded_by"))
     body = F.when(F.col("id") % 7 == 0, "  ").when(F.col("id") % 11 != 0, F.concat(F.lit("Body "), F.col("id").cast("string")))
     sides = f.where("id % 3 <> 1").select(F.col("id").alias("file_id"), F.col("first_seen_at").alias("fetched_at"), "id", body.alias("body_text"))
-    asked = raw(spark, sf, "part").select(F.concat(F.lit("2WLI"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("media_id"))
+    asked = raw(spark, sf, "part").select(F.concat(F.lit("2LAK"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("media_id"))
     return R.captions_outcome(asked, files, sides).select("media_id", "status", "body")
 
 

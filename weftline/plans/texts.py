@@ -373,7 +373,7 @@ _INDEXED = """, s AS (SELECT * FROM (SELECT *, id // 10 AS doc_id, row_number()
 b AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 10 = 3 THEN concat('late ', text) ELSE text END), '[a-z0-9]+') AS ws FROM documents WHERE doc_id % 10 <> 7), c AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM b),
 tf AS (SELECT doc_id, len(ws) AS len, t, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS t FROM b) WHERE t IN ('the', 'late', 'of', 'thheer') GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 h AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (t), c GROUP BY doc_id),
-r AS (SELECT doc_id, media_id, score FROM h JOIN s USING (doc_id) WHERE lower(prefix) = '2wli' AND remote_modified_at >= TIMESTAMP '1995-01-01' AND NOT superseded)"""
+r AS (SELECT doc_id, media_id, score FROM h JOIN s USING (doc_id) WHERE lower(prefix) = '2lak' AND remote_modified_at >= TIMESTAMP '1995-01-01' AND NOT superseded)"""
 
 
 def side_file_index(spark, sf) -> tuple[TextIndex, DataFrame]:
@@ -391,7 +391,7 @@ def side_file_index(spark, sf) -> tuple[TextIndex, DataFrame]:
 def j1c_indexed_search(spark, sf):
     """One page of a search over a stored index: terms, prefix, since, not superseded, and how many there are in all."""
     index, own = side_file_index(spark, sf)
-    found = search_files(index, own, ["the", "late", "of", "thheer"], 20, 5, prefix="2Wli", since=F.lit("1995-01-01").cast("timestamp_ntz"))
+    found = search_files(index, own, ["the", "late", "of", "thheer"], 20, 5, prefix="2Lak", since=F.lit("1995-01-01").cast("timestamp_ntz"))
     return found.page.select("doc_id", "media_id", "score", F.lit(found.total).alias("total"))
 
 

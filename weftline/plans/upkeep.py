@@ -29,11 +29,11 @@ def a22_uploads(spark, sf):
     return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), J.upload_error(name, kind, path, "/out").alias("error"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '2WLI' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') WHEN 1 THEN '6POL' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') || '_REV20251202' WHEN 2 THEN 'a+b_' || CAST(p_partkey AS STRING) ELSE NULL END AS media_id FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '2LAK' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') WHEN 1 THEN '6TWN' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') || '_REV20251202' WHEN 2 THEN 'a+b_' || CAST(p_partkey AS STRING) ELSE NULL END AS media_id FROM part")
 def b3_media_id_of_url(spark, sf):
     """Encoded names, doubled extensions and a plus sign in a URL."""
     n, k = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.col("p_partkey") % 4
-    name = F.when(k == 0, F.concat(F.lit("2wli"), n, F.lit("%20(2).srt"))).when(k == 1, F.concat(F.lit("6POL"), n, F.lit("_REV20251202.srt.srt"))).when(k == 2, F.concat(F.lit("a+b_"), F.col("p_partkey").cast("string"), F.lit(".txt.txt"))).otherwise("no%20id%20here.srt")
+    name = F.when(k == 0, F.concat(F.lit("2lak"), n, F.lit("%20(2).srt"))).when(k == 1, F.concat(F.lit("6TWN"), n, F.lit("_REV20251202.srt.srt"))).when(k == 2, F.concat(F.lit("a+b_"), F.col("p_partkey").cast("string"), F.lit(".txt.txt"))).otherwise("no%20id%20here.srt")
     return raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.media_id_of_url(F.concat(F.lit("https://h/d%20e/"), name)).alias("media_id"))
 
 

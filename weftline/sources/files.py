@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_MINE: list[str] = []
 SOAK = "event string, ts string, req_total bigint, req_5xx bigint, req_errors bigint, peak_inflight int, elapsed_s double, fts_parity_delta bigint, latency_ms double, status int, endpoint string, outcome string, _corrupt_record string"
 METRICS = "label string, transcript string, phases array<struct<phase:string,ok:boolean,model:string,total_tokens:bigint,cost:double,wall_s:double,words:bigint>>"
 
@@ -27,8 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, removed when this process ends."""
+    path = f"{shared_folder(spark)}/weftline/{name}-{uuid.uuid4().hex[:12]}"
+    if not _MINE:
+        atexit.register(_forget, spark)
+    _MINE.append(path)
+    return path
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _forget(spark: SparkSession) -> None:
+    for path in _MINE:
+        try:
+            store, where = _place(spark, path)
+            store.delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below path."""
+    store, where = _place(spark, path)
+    return store.getContentSummary(where).getLength()
 
 
 def append(df: DataFrame, path: str) -> None:

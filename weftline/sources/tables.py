@@ -26,7 +26,7 @@ ROLES: dict[str, tuple[str, dict[str, str]]] = {
         "id": "o_orderkey",
         "project_path": "concat('project_', CAST(o_custkey % 40 AS STRING))",
         "transcript_file": "concat('Clip ', CAST(o_orderkey % 900 AS STRING), '.srt')",
-        "media_id": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('6POL', lpad(CAST(o_orderkey % 700 AS STRING), 4, '0')) END",
+        "media_id": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('6TWN', lpad(CAST(o_orderkey % 700 AS STRING), 4, '0')) END",
         "status": _pick("o_orderkey % 7", STATUSES),
         "priority": "CAST(substring(o_orderpriority, 1, 1) AS INT)",
         "queued_at": "o_orderdate",
@@ -43,8 +43,8 @@ ROLES: dict[str, tuple[str, dict[str, str]]] = {
         "id": "l_orderkey * 10 + l_linenumber",
         "remote_url": "concat('https://media.example/d', CAST(l_suppkey AS STRING), '/f', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING))",
         "directory_path": "concat('/d', CAST(l_suppkey AS STRING))",
-        "media_id": "CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE concat('2WLI', lpad(CAST(l_partkey AS STRING), 6, '0')) END",
-        "prefix": _pick("l_partkey % 4", ("2WLI", "6POL", "9UNP", "2BUC")),
+        "media_id": "CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE concat('2LAK', lpad(CAST(l_partkey AS STRING), 6, '0')) END",
+        "prefix": _pick("l_partkey % 4", ("2LAK", "6TWN", "9LEC", "2HIL")),
         "variant_tag": "CASE l_returnflag WHEN 'A' THEN 'PLEDGE' WHEN 'R' THEN 'DS' END",
         "unknown_tag": "CASE WHEN l_linenumber = 7 THEN 'NOBUG' END",
         "revision_date": "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END",

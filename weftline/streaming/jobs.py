@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.sources.files import shared_folder
+from weftline.sources.files import scratch
 from weftline.sources.parts import Parts
 from weftline.streaming.ordered import ROCKS, settings
 
+
 def table_stream(spark: SparkSession, path: str, schema: StructType | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A stream over the Parquet files at path: the polling consumer, with at most so many files a batch."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
@@ -26,7 +26,7 @@ def table_stream(spark: SparkSession, path: str, schema: StructType | None = Non
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything that is there now, through the stream into a table in the shared folder; late rows follow the watermark."""
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/weftline/stream-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "stream")
     if mode == "append":
         with settings(spark, ROCKS):
             query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
