@@ -52,7 +52,7 @@ def plain(fold, rows, until):
     return out
 
 
-@pytest.mark.parametrize("fold", [O.Deferral((60, 600), 5000), O.Silence(900), O.RunLog()], ids=lambda f: type(f).__name__)
+@pytest.mark.parametrize("fold", [O.Deferral((60, 600), 5000), O.Silence(900), O.RunLog(), O.Throttle(600 * O.SECOND, 2)], ids=lambda f: type(f).__name__)
 def test_every_split_gives_the_same(spark, tmp_path, fold):
     rows = events(60)
     until = micros(max(r[1] for r in rows)) - 7200 * O.SECOND
@@ -97,3 +97,10 @@ def test_results_follow_a_plain_reading():
     assert plain(O.Silence(100), spell, at(800)) == {(1, at(40), at(140))}
     runs = [(1, ts(0), 1, "failed", None), (1, ts(1), 2, "running", None), (1, ts(2), 3, "running", None), (1, ts(3), 4, "completed", None), (1, ts(4), 5, "running", None)]
     assert plain(O.RunLog(), runs, at(9)) == {(1, 2, "interrupted", at(1), at(2)), (1, 3, "completed", at(2), at(3))}
+
+
+def test_a_burst_and_then_an_even_flow():
+    at = lambda s: micros(START) + s * O.SECOND
+    asked = [(1, START + dt.timedelta(seconds=s), i, "x", None) for i, s in enumerate([0, 0, 0, 5, 100, 100])]
+    got = sorted((seq, (granted - at(0)) // O.SECOND) for _, seq, _, granted in plain(O.Throttle(10 * O.SECOND, 2), asked, at(999)))
+    assert got == [(0, 0), (1, 0), (2, 10), (3, 20), (4, 100), (5, 100)]

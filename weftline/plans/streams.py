@@ -166,3 +166,11 @@ def k8_run_log(spark, sf):
     """K8: runs of a source are closed by their end or interrupted by the next run's start, from events as they come."""
     rows = _timed(spark, sf).where("kind IN ('view', 'progress', 'busy')").withColumns({"id": F.col("id") % 97, "kind": F.expr("CASE kind WHEN 'view' THEN 'running' WHEN 'progress' THEN 'completed' ELSE 'failed' END")})
     return K.run_once(O.in_order(rows, O.RunLog(), "1 day"))
+
+
+@query(f"""WITH RECURSIVE {_TIMED}, n AS (SELECT id, seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY id ORDER BY ts, seq) AS n FROM e),
+r AS (SELECT id, n, seq, us, us AS granted, us + 7200000000 AS nxt FROM n WHERE n = 1 UNION ALL SELECT n.id, n.n, n.seq, n.us, greatest(n.us, r.nxt - 14400000000), greatest(n.us, r.nxt) + 7200000000 FROM r JOIN n ON n.id = r.id AND n.n = r.n + 1)
+SELECT id, seq, us AS at, granted FROM r""")
+def k7b_rate_limit(spark, sf):
+    """K7: when each request of a user may go, at one in two hours after a burst of three; what the watermark has passed."""
+    return K.run_once(O.in_order(_timed(spark, sf), O.Throttle(7_200_000_000, 3), "1 day"))

@@ -231,3 +231,23 @@ class RunLog(Fold):
         out = [] if state["run"] is None else [(state["run"], "interrupted" if kind == "running" else kind, state["at"], at)]
         state.update(run=seq, at=at) if kind == "running" else state.update(self.start())
         return out
+
+
+class Throttle(Fold):
+    """Requests of a key at one each interval of microseconds, after a burst of so many at once: when each may go.
+
+    The state is one time, that of the next request in an even flow; a request may be ahead of it by the burst.
+    """
+
+    output = "seq long, at long, granted long"
+
+    def __init__(self, interval: int, burst: int = 1):
+        self.interval, self.ahead = interval, (burst - 1) * interval
+
+    def start(self) -> dict:
+        return {"next": 0}
+
+    def row(self, state, at, seq, kind, number):
+        granted = max(at, state["next"] - self.ahead)
+        state["next"] = max(granted, state["next"]) + self.interval
+        return [(seq, at, granted)]
