@@ -65,7 +65,7 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def phrase_spans(phrases: Sequence[tuple[str, str]]):
     """pandas UDF: (id, start, end) of each match of the phrases in a text."""
-    compiled = [(i, re.compile(rf"(?<!\w)(?:{p})(?!\w)", re.I)) for i, p in phrases]
+    compiled = [(i, re.compile(rf"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])", re.I)) for i, p in phrases]
 
     @F.pandas_udf("array<struct<id:string,start:int,end:int>>")
     def spans(texts: pd.Series) -> pd.Series:

@@ -136,7 +136,11 @@ def i2b_phrase_findings(spark, sf):
     return P.phrase_findings(texts, rules).groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+_SPANS = " UNION ALL ".join(f"SELECT doc_id, '{i}' AS id, regexp_extract_all(text, {p}) AS vs, string_split_regex(text, {p}) AS gs FROM documents" for i, p in ((i, "'(?i)\\b(?:" + p.replace("\\s+", "[ \\t\\n\\r\\x0b\\f]+") + ")\\b'") for i, p in _PHRASES))
+
+
+@query(f"""WITH f AS ({_SPANS}), u AS (SELECT doc_id, id, i, vs[i] AS v, gs[i] AS g FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM f)), e AS (SELECT doc_id, id, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY doc_id, id ORDER BY i) AS INTEGER) AS e FROM u)
+SELECT doc_id, id, CAST(e - length(v) AS INTEGER) AS start, e AS "end" FROM e""")
 def i2_phrase_spans(spark, sf):
     """Each match with its span."""
     spans = R.phrase_spans(_PHRASES)
