@@ -38,9 +38,11 @@ OWN_SHARE, OWN_COUNT = 1 / 50_000, 5
 #: Tokens whose counts are sent to every task: those in most blocks.
 COMMON = 200_000
 #: Tokens in a segment: longer texts are several, joined by the products of their steps' matrices.
-SEGMENT = 256
+SEGMENT = 512
+#: Steps between two scalings: what a few steps take away is far above the smallest number there is.
+SCALED = 8
 #: Bytes of text in a block: the more, the fewer dictionary entries meet in the shuffles. Tokens that Baum-Welch works on at once.
-BLOCK_BYTES, AT_ONCE = 4_000_000, 100_000
+BLOCK_BYTES, AT_ONCE = 4_000_000, 200_000
 #: Numbers of a text's vector, rounds of their clusters, tokens that a text needs to be told.
 VECTOR, CLUSTER_ROUNDS, TELLING = 24, 6, 30
 #: Weight of the corpus-wide class shares in each state's emissions, in tokens.
@@ -154,10 +156,12 @@ def _transfers(model: Model, classes: np.ndarray, start: np.ndarray, length: np.
         m, log = np.broadcast_to(np.eye(k), (len(order), k, k)).copy(), np.zeros(len(order))
         for t in range(len(offset) - 1):
             n = int(offset[t + 1] - offset[t])
-            x = (m[:n].reshape(n * k, k) @ model.move).reshape(n, k, k) * model.emit[classes[place[offset[t] : offset[t + 1]]]][:, None, :]
-            s = x.sum((1, 2))
-            m[:n] = x / s[:, None, None]
-            log[:n] += np.log10(s)
+            x = (m[:n].reshape(n * k, k) @ model.move).reshape(n, k, k)
+            np.multiply(x, model.emit[classes[place[offset[t] : offset[t + 1]]]][:, None, :], out=m[:n])
+            if t % SCALED == SCALED - 1:
+                s = m[:n].sum((1, 2))
+                m[:n] /= s[:, None, None]
+                log[:n] += np.log10(s)
         out[at + order], logs[at + order] = m, log
     return out, logs
 
@@ -169,10 +173,14 @@ def _heads(model: Model, classes: np.ndarray, start: np.ndarray, length: np.ndar
     a, log = np.broadcast_to(model.start, (len(order), k)).copy(), np.zeros(len(order))
     for t in range(len(offset) - 1):
         n = offset[t + 1] - offset[t]
-        x = (a[:n] @ model.move if t else a[:n]) * model.emit[classes[place[offset[t] : offset[t + 1]]]]
-        s = x.sum(1)
-        a[:n] = x / s[:, None]
-        log[:n] += np.log10(s)
+        np.multiply(a[:n] @ model.move if t else a[:n], model.emit[classes[place[offset[t] : offset[t + 1]]]], out=a[:n])
+        if t % SCALED == SCALED - 1:
+            s = a[:n].sum(1)
+            a[:n] /= s[:, None]
+            log[:n] += np.log10(s)
+    s = a.sum(1)
+    a /= s[:, None]
+    log += np.log10(s)
     end, logs = np.empty_like(a), np.empty_like(log)
     end[order], logs[order] = a, log
     return end, logs
@@ -208,21 +216,24 @@ def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tu
     kinds = classes[place]
     b = model.emit[kinds]
     first = np.where(head[order, None], model.start, enter[order] @ model.move)
-    alpha, scale = np.empty((len(kinds), k)), np.empty(len(kinds))
+    # scales divide alpha and beta alike, so they may be 1 at most steps
+    alpha, scales = np.empty((len(kinds), k)), {}
     for t in range(len(offset) - 1):
         lo, hi = offset[t], offset[t + 1]
         a = first if t == 0 else alpha[offset[t - 1] : offset[t - 1] + hi - lo] @ model.move
-        a = a * b[lo:hi]
-        s = a.sum(1)
-        scale[lo:hi] = s
-        alpha[lo:hi] = a / s[:, None]
+        np.multiply(a, b[lo:hi], out=alpha[lo:hi])
+        if t % SCALED == 0:
+            scales[t] = s = alpha[lo:hi].sum(1, keepdims=True)
+            alpha[lo:hi] /= s
     last = alpha[offset[length[order] - 1] + np.arange(len(order))]
     beta = leave[order] / (last * leave[order]).sum(1, keepdims=True)
     gamma = alpha.copy()
     gamma[offset[-2] :] *= beta[: offset[-1] - offset[-2]]
     for t in range(len(offset) - 2, 0, -1):
         lo, hi, before_t = offset[t], offset[t + 1], offset[t - 1]
-        x = b[lo:hi] * beta[: hi - lo] / scale[lo:hi, None]
+        x = b[lo:hi] * beta[: hi - lo]
+        if t in scales:
+            x /= scales[t]
         move += model.move * (alpha[before_t : before_t + hi - lo].T @ x)
         beta[: hi - lo] = x @ model.move.T
         gamma[before_t : offset[t]] *= beta[: offset[t] - before_t]
@@ -231,11 +242,12 @@ def expected_counts(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tu
     start += opening[head[order]].sum(0)
     later = np.flatnonzero(~head[order])
     if len(later):  # from the last token of a segment to the first of the next
-        x = b[later] * beta[later] / scale[later, None]
+        x = b[later] * beta[later] / scales[0][later]
         move += model.move * (enter[order[later]].T @ x)
     for j in range(k):
         emit[:, j] = np.bincount(kinds, gamma[:, j], len(emit))
-    return start, move, emit, float(np.log(scale).sum())
+    whole = np.log(last.sum(1)).sum() + sum(np.log(x).sum() for x in scales.values())
+    return start, move, emit, float(whole)
 
 
 def log10_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -293,14 +305,12 @@ def _directions(shares: np.ndarray) -> np.ndarray:
 
 
 def _text_vectors(classes: np.ndarray, bounds: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """One unit vector for each text: the directions of its words, each by the root of its count; of a text with few words zero."""
+    """One unit vector for each text: the sum of its words' directions; of a text with few words zero."""
     n = np.diff(bounds)
-    text = np.repeat(np.arange(len(n)), n)
-    pair, count = np.unique(text * len(directions) + classes, return_counts=True)
     out = np.zeros((len(n), VECTOR))
-    weight = np.sqrt(count)
-    for j in range(VECTOR):
-        out[:, j] = np.bincount(pair // len(directions), directions[pair % len(directions), j] * weight, len(n))
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(directions[classes], bounds[:-1][some], axis=0)
     out[n < TELLING] = 0
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
