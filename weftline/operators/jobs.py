@@ -76,7 +76,7 @@ def duplicates_of(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def with_status(df: DataFrame, status: str, now: Column) -> DataFrame:
-    """Partial update: the new status and the timestamps that follow from it."""
+    """Partial update: the new status and the timestamps that follow from it: a first start, and an end that any other state than an ended one takes back."""
     started = F.when(F.lit(status == "in_progress") & F.col("started_at").isNull(), now).otherwise(F.col("started_at"))
     ended = F.lit(status) if status in ("completed", "failed", "cancelled") else F.lit(None).cast("string")
     return df.withColumn("started_at", started).withColumn("completed_at", F.when(ended.isNotNull(), now)).withColumn("status", F.lit(status))
@@ -111,10 +111,10 @@ def upload_error(name: Column, content_type: Column, path: Column, root: str) ->
     return F.when(~known, "type").when(~F.coalesce(inside, F.lit(False)), "path")
 
 
-def run_states(events: DataFrame) -> DataFrame:
-    """(source, run, status) of a run log (source, run, event): running until completed, suppressed or failed; a run still open when its source has a later one is interrupted."""
-    runs = events.groupBy("source", "run").agg(F.max_by("event", F.when(F.col("event") == "running", 0).otherwise(1)).alias("status"))
-    later = F.lead("run").over(Window.partitionBy("source").orderBy("run")).isNotNull()
+def run_states(events: DataFrame, at: str = "run") -> DataFrame:
+    """(source, run, status) of a run log (source, run, event, and at, what runs are ordered by): running until completed, suppressed or failed; a run still open when its source has a later one is interrupted."""
+    runs = events.groupBy("source", "run").agg(F.max_by("event", F.when(F.col("event") == "running", 0).otherwise(1)).alias("status"), F.min(at).alias("_at"))
+    later = F.lead("run").over(Window.partitionBy("source").orderBy("_at", "run")).isNotNull()
     return runs.select("source", "run", F.when((F.col("status") == "running") & later, "interrupted").otherwise(F.col("status")).alias("status"))
 
 

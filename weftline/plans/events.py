@@ -108,9 +108,9 @@ def i23_proposals(spark, sf):
 @query("SELECT d.lang AS phase, d.source AS category, count(*) FILTER (quality = 0 AND toxic = 1) AS both, count(*) FILTER (quality = 0 AND toxic = 0) AS first_only, count(*) FILTER (quality = 1 AND toxic = 1) AS second_only, count(*) AS total FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY GROUPING SETS ((), (d.lang), (d.source))")
 def e10_agreement(spark, sf):
     """Totals, by phase and by category, in one pass of grouping sets."""
-    raw(spark, sf, "labels").join(raw(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id").createOrReplaceTempView("weftline_verdicts")
-    return spark.sql("""SELECT lang AS phase, source AS category, count_if(quality = 0 AND toxic = 1) AS both, count_if(quality = 0 AND toxic = 0) AS first_only, count_if(quality = 1 AND toxic = 1) AS second_only, count(*) AS total
-                        FROM weftline_verdicts GROUP BY GROUPING SETS ((), (lang), (source))""")
+    rows = raw(spark, sf, "labels").join(raw(spark, sf, "documents").select("doc_id", F.col("lang").alias("phase"), F.col("source").alias("category")), "doc_id")
+    both = lambda quality, toxic, name: F.count_if((F.col("quality") == quality) & (F.col("toxic") == toxic)).alias(name)
+    return rows.groupingSets([[], ["phase"], ["category"]], "phase", "category").agg(both(0, 1, "both"), both(0, 0, "first_only"), both(1, 1, "second_only"), F.count("*").alias("total"))
 
 
 @query("SELECT max(n) AS busiest, round(max(n) / 300.0, 6) AS max_rate, count(*) AS buckets FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS b, count(*) AS n FROM events GROUP BY 1)")

@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL if it has any."""
 
     def wrap(f: Callable[[SparkSession, str], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

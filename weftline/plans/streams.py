@@ -162,7 +162,7 @@ def k4_silence(spark, sf):
 @query(f"""WITH {_TIMED}, r AS (SELECT id % 97 AS id, seq, ts, CASE kind WHEN 'view' THEN 'running' WHEN 'progress' THEN 'completed' WHEN 'busy' THEN 'failed' END AS kind FROM e WHERE kind IN ('view', 'progress', 'busy')),
 n AS (SELECT *, lead(kind) OVER o AS next_kind, lead(ts) OVER o AS next_ts FROM r WINDOW o AS (PARTITION BY id ORDER BY ts, seq))
 SELECT id, seq AS run, CASE next_kind WHEN 'running' THEN 'interrupted' ELSE next_kind END AS status, epoch_us(ts) AS started, epoch_us(next_ts) AS finished FROM n WHERE kind = 'running' AND next_kind IS NOT NULL""")
-def k8_run_log(spark, sf):
+def k8b_run_log_stream(spark, sf):
     """K8: runs of a source are closed by their end or interrupted by the next run's start, from events as they come."""
     rows = _timed(spark, sf).where("kind IN ('view', 'progress', 'busy')").withColumns({"id": F.col("id") % 97, "kind": F.expr("CASE kind WHEN 'view' THEN 'running' WHEN 'progress' THEN 'completed' ELSE 'failed' END")})
     return K.run_once(O.in_order(rows, O.RunLog(), "1 day"))
