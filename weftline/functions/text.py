@@ -45,19 +45,20 @@ def parse_filename(name: Column) -> Column:
     # one match for all parts: the groups side by side, or an array of one where the grammar doesn't match
     parts = F.split(F.regexp_replace(upper, GRAMMAR, "$1\n$2\n$3\n$4\n$5\n$6"), "\n")
 
-    def read(p: Column) -> Column:
-        part = lambda i: F.nullif(F.get(p, F.lit(i)), F.lit(""))
-        matched, tag = F.size(p) == 6, F.substring(part(5), 2, 1000)
-        day = F.to_date(F.try_to_timestamp(part(4), F.lit("yyyyMMdd")))
-        ok = matched & (part(4).isNull() | day.isNotNull())
+    # what several fields ask for is computed once
+    facts = lambda p: F.struct(p.alias("p"), (F.size(p) == 6).alias("matched"), F.to_date(F.try_to_timestamp(F.nullif(F.get(p, F.lit(4)), F.lit("")), F.lit("yyyyMMdd"))).alias("day"))
+
+    def read(x: Column) -> Column:
+        part = lambda i: F.nullif(F.get(x["p"], F.lit(i)), F.lit(""))
+        tag, ok = F.substring(part(5), 2, 1000), x["matched"] & (part(4).isNull() | x["day"].isNotNull())
         keep = lambda c: F.when(ok, c)
         return F.struct(
-            F.when(~matched, "unmatched").when(ok, "parsed").otherwise("bad_date").alias("outcome"), keep(F.concat(part(0), part(1), part(2))).alias("media_id"), F.coalesce(keep(part(0)), F.substring(F.concat_ws("", p), 1, 4)).alias("prefix"),
-            keep(part(1).cast("int")).alias("season"), keep(part(2).cast("int")).alias("episode"), keep(part(3).isNotNull()).alias("hd"), keep(day).alias("revision_date"),
+            F.when(~x["matched"], "unmatched").when(ok, "parsed").otherwise("bad_date").alias("outcome"), keep(F.concat(part(0), part(1), part(2))).alias("media_id"), F.coalesce(keep(part(0)), F.substring(F.concat_ws("", x["p"]), 1, 4)).alias("prefix"),
+            keep(part(1).cast("int")).alias("season"), keep(part(2).cast("int")).alias("episode"), keep(part(3).isNotNull()).alias("hd"), keep(x["day"]).alias("revision_date"),
             keep(F.when(tag.isin(*VARIANTS), tag)).alias("variant_tag"), keep(F.when(~tag.isin(*VARIANTS), tag)).alias("unknown_tag"),
         )
 
-    return let(parts, read)
+    return let(parts, lambda p: let(facts(p), read))
 
 
 def without_copy_suffix(name: Column) -> Column:

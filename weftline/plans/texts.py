@@ -153,7 +153,8 @@ def b9_guarded_substitutions(spark, sf):
     apply = R.guarded_substitutions([(r"\bthe\b", "The"), (r"\bof of\b", "of"), (r"\bis\b", "was")])
     rows = docs(spark, sf).select("doc_id", "text", apply("text").alias("r"))
     ratio = T.word_count(F.col("r.text")) / F.greatest(T.word_count(F.col("text")), F.lit(1))
-    return rows.select("doc_id", F.col("r.count").alias("applied"), (~ratio.between(0.995, 1.005)).alias("reverted"), F.md5(F.when(ratio.between(0.995, 1.005), F.col("r.text")).otherwise(F.col("text")).cast("binary")).alias("text_md5"))
+    told = rows.select("doc_id", "text", "r", ratio.between(0.995, 1.005).alias("ok"))
+    return told.select("doc_id", F.col("r.count").alias("applied"), (~F.col("ok")).alias("reverted"), F.md5(F.when(F.col("ok"), F.col("r.text")).otherwise(F.col("text")).cast("binary")).alias("text_md5"))
 
 
 @query("SELECT c_custkey, concat(upper(left(lower(t), 1)), substring(replace(replace(lower(t), 'usa', 'USA'), 'lake radio', 'LAKE Radio'), 2)) AS title FROM (SELECT c_custkey, concat('The ', c_mktsegment, ' of USA and LAKE RADIO ', CAST(c_nationkey AS STRING)) AS t FROM customer)")
