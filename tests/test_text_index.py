@@ -75,3 +75,16 @@ def test_an_empty_index(spark, tmp_path):
     assert empty.search(["x"], 5).total == 0
     empty.add(0, spark.createDataFrame([], "doc_id long, text string"))
     assert empty.search(["x"], 5).page.collect() == []
+
+
+def test_words_phrases_and_prefixes_of_live_texts(index):
+    from weftline.operators import search as S
+
+    words = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in index[1].items()}
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    assert ids(S.phrase(index[0].postings(["common", "rare"]), ["common", "rare"])) == {i for i, w in words.items() if ("common", "rare") in pairs(w)}
+    got = S.matching(index[0].postings(["common", "x"], prefix="uni"), every=["common"], none=["x"], prefix="uni")
+    assert ids(got) == {i for i, w in words.items() if "common" in w and "x" not in w and "unique" in w}
+    rows = index[0].postings(["rare"]).collect()
+    assert {(r.doc_id, tuple(r.positions)) for r in rows} == {(i, tuple(k for k, x in enumerate(w) if x == "rare")) for i, w in words.items() if "rare" in w}

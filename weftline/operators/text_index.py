@@ -19,7 +19,7 @@ from weftline.operators.search import K1, B
 
 #: Folders of a segment; postings in a block; blocks of each term that are scored first, beyond what k needs.
 BUCKETS, BLOCK, PROBE = 64, 128, 4
-_POSTINGS = "term string, n int, max_tf long, min_len long, docs array<struct<doc_id:long,tf:long>>, segment int, bucket int"
+_POSTINGS = "term string, n int, max_tf long, min_len long, docs array<struct<doc_id:long,tf:long>>, places array<array<int>>, segment int, bucket int"
 _DOCS = "doc_id long, len long, segment int"
 _WORD = "([a-z0-9]+)"
 
@@ -60,11 +60,13 @@ class TextIndex:
         if segment in self._segments():
             return
         words = texts.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), 1).alias("words"))
-        each = words.select("doc_id", F.size("words").cast("long").alias("len"), F.explode("words").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+        each = words.select("doc_id", F.size("words").cast("long").alias("len"), F.posexplode("words").alias("pos", "term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
         # in order of weight, for any mean: more of a term in a shorter text first; a frequent term spreads over many tasks
         ordered = each.withColumn("order", -F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / 500))).repartitionByRange("term", "order", "doc_id").sortWithinPartitions("term", "order", "doc_id")
         blocks = ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).groupBy("term", "block").agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("docs"))
+            F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "pos"))).alias("d"))
+        # places stand in a column of their own, which ranked search doesn't read
+        blocks = blocks.select("term", "block", "n", "max_tf", "min_len", F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["tf"].alias("tf"))).alias("docs"), F.transform("d", lambda x: x["pos"]).alias("places"))
         out = blocks.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term").drop("block")
         out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
         docs = words.select("doc_id", F.size("words").cast("long").alias("len"))
@@ -81,12 +83,26 @@ class TextIndex:
             rows = rows.groupBy("doc_id").agg(F.max(F.struct("segment", "len")).alias("last")).select("doc_id", "last.*")
         return rows.where("len IS NOT NULL").select("doc_id", "segment", "len")
 
-    def _blocks(self, terms: Sequence[str]) -> DataFrame:
+    def postings(self, terms: Sequence[str], prefix: str | None = None) -> DataFrame:
+        """(term, doc_id, tf, positions) of these terms, and of those that start with prefix, in the live documents: what matching, phrase and near ask for.
+
+        Terms are sought in their own folders; for a prefix all folders are, by the bounds of their files.
+        """
+        blocks = self._blocks(terms)
+        if prefix:
+            every = self._all().where(F.startswith("term", F.lit(prefix)) & ~F.col("term").isin(*terms))
+            blocks = blocks.unionByName(every)
+        each = blocks.select("term", "segment", F.explode(F.arrays_zip("docs", "places")).alias("d")).select("term", "segment", F.col("d.docs.doc_id").alias("doc_id"), F.col("d.docs.tf").alias("tf"), F.col("d.places").alias("positions"))
+        return each.join(self.live().select("doc_id", "segment"), ["doc_id", "segment"]).select("term", "doc_id", "tf", "positions")
+
+    def _all(self) -> DataFrame:
         segments = self._segments()
-        if not segments:
-            return self.spark.createDataFrame([], _POSTINGS)
+        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings") if segments else self.spark.createDataFrame([], _POSTINGS)
+        return rows.where(F.col("segment").isin(segments))
+
+    def _blocks(self, terms: Sequence[str]) -> DataFrame:
         buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]
-        return self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings").where(F.col("segment").isin(segments) & F.col("bucket").isin(buckets) & F.col("term").isin(*terms))
+        return self._all().where(F.col("bucket").isin(buckets) & F.col("term").isin(*terms))
 
     def search(self, terms: Sequence[str], k: int, offset: int = 0, within: DataFrame | None = None) -> Found:
         """Documents with any of terms, the best by BM25 first, ties by doc_id; within: the doc_ids that count, all if not given."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -381,8 +383,9 @@ h AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 r AS (SELECT doc_id, media_id, score FROM h JOIN s USING (doc_id) WHERE lower(prefix) = '2lak' AND remote_modified_at >= TIMESTAMP '1995-01-01' AND NOT superseded)"""
 
 
+@lru_cache(maxsize=4)
 def side_file_index(spark, sf) -> tuple[TextIndex, DataFrame]:
-    """Side files: first every text, then a batch that changes some and removes others; and the files that they belong to."""
+    """Side files: first every text, then a batch that changes some and removes others; and the files that they belong to. The queries over one folder share them."""
     index = TextIndex(spark, scratch(spark, "index"))
     texts = docs(spark, sf).select("doc_id", "text")
     index.add(0, texts)
@@ -400,6 +403,24 @@ def j1c_indexed_search(spark, sf):
     return found.page.select("doc_id", "media_id", "score", F.lit(found.total).alias("total"))
 
 
+_LIVE = "WITH w AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 10 = 3 THEN concat('late ', text) ELSE text END), '[a-z0-9]+') AS ws FROM documents WHERE doc_id % 10 <> 7)"
+
+
+@query(f"""{_LIVE} SELECT doc_id FROM w WHERE list_contains(ws, 'of') AND (list_contains(ws, 'late') OR list_contains(ws, 'thheer') OR list_contains(ws, 'her')) AND NOT list_contains(ws, 'stupid') AND len(list_filter(ws, lambda x: starts_with(x, 'wh'))) > 0""")
+def c11c_indexed_match(spark, sf):
+    """C11: AND, OR, NOT and a prefix from the stored index, after texts were changed and removed."""
+    index, _ = side_file_index(spark, sf)
+    words = {"every": ["of"], "some": ["late", "thheer", "her"], "none": ["stupid"]}
+    return S.matching(index.postings([t for ts in words.values() for t in ts], prefix="wh"), **words, prefix="wh")
+
+
+@query(f"""{_LIVE} SELECT doc_id FROM w WHERE contains(' ' || array_to_string(ws, ' ') || ' ', ' of the ')""")
+def c11d_indexed_phrase(spark, sf):
+    """C11: a phrase from the stored index."""
+    index, _ = side_file_index(spark, sf)
+    return S.phrase(index.postings(["of", "the"]), ["of", "the"])
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), e AS (SELECT doc_id, n * 3 AS k, CASE WHEN n % 5 = 1 THEN 'new ' || line ELSE line END AS line FROM l WHERE n % 7 <> 3 UNION ALL SELECT doc_id, n * 3 + 1, 'added' FROM l WHERE n % 11 = 2)
 SELECT d.doc_id, len(string_split(text, chr(10))) AS old_lines, (SELECT count(*) FROM e WHERE e.doc_id = d.doc_id) AS new_lines, md5(coalesce((SELECT string_agg(line, chr(10) ORDER BY k) FROM e WHERE e.doc_id = d.doc_id), '')) AS rebuilt FROM documents d""")
 def h8_version_diff(spark, sf):
