@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import captions as C
+from weftline.operators import diff as D
 from weftline.operators import events as E
 from weftline.operators import jobs as J
 from weftline.operators import reports as R
 from weftline.operators import search as S
-from weftline.operators import diff as D
 from weftline.operators.joins import bounded
 from weftline.operators.numbering import numbered
-from weftline.plans.registry import query
+from weftline.plans import events  # noqa: F401  its queries are sections here
+from weftline.plans.registry import ORACLES, QUERIES, query
 from weftline.sources.files import append, scratch
 from weftline.sources.tables import cte, raw, role
 from weftline.streaming import jobs as K
@@ -346,6 +350,28 @@ def n50_model_cells(spark, sf):
     return E.counted(rows, ["phase"], "model", "by_model").withColumn("by_model", F.replace(F.replace("by_model", F.lit("="), F.lit("×")), F.lit(","), F.lit(", ")))
 
 
+#: Sections of the report on rules: title, query, columns, and what its rows are ordered by (- for falling).
+_SECTIONS = (
+    ("Corrections", "e8_correction_clusters", ("old", "new", "n", "examples"), ("-n", "old", "new")), ("Corrections of nothing", "e9_null_buckets", ("field", "n"), ("-n", "field")),
+    ("Rules without a hit", "h1_zero_hit_rules", ("rule",), ("rule",)), ("Proposals", "i23_proposals", ("old", "new", "n", "kind"), ("-n", "old", "new")),
+)
+
+
+def _section_sql(place: int, title: str, name: str, columns: tuple[str, ...], order: tuple[str, ...]) -> str:
+    line = " || ' | ' || ".join(f"coalesce(CAST({c} AS STRING), '—')" for c in columns)
+    by = ", ".join(f"{o.removeprefix('-')} DESC" if o[0] == "-" else o for o in order)
+    head = f"'## {title}' || chr(10) || chr(10)"
+    return f"SELECT {place} AS place, coalesce({head} || '| {' | '.join(columns)} |' || chr(10) || '|{'---|' * len(columns)}' || chr(10) || string_agg('| ' || {line} || ' |', chr(10) ORDER BY {by}), {head} || '_None._') AS report FROM ({ORACLES[name]})"
+
+
+@query(" UNION ALL ".join(_section_sql(i, *x) for i, x in enumerate(_SECTIONS)))
+def n50b_rule_report(spark, sf):
+    """N50: the report on rules, section by section, each a small aggregate."""
+    order = lambda o: -F.col(o[1:]) if o[0] == "-" else F.col(o)
+    parts = [R.markdown(QUERIES[name](spark, sf), columns, [order(o) for o in by], title).select(F.lit(i).alias("place"), "report") for i, (title, name, columns, by) in enumerate(_SECTIONS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(f"""{_F}, g AS (SELECT media_id, min(remote_url) FILTER (variant_tag = 'PLEDGE') AS own, min(remote_url) FILTER (variant_tag IS NULL AND unknown_tag IS NULL) AS main FROM files WHERE media_id IS NOT NULL GROUP BY media_id) SELECT media_id, coalesce(own, main) AS url FROM g WHERE coalesce(own, main) IS NOT NULL""")
 def n7_asset_url(spark, sf):
     """A variant's file in any case, else the primary one."""
