@@ -11,7 +11,6 @@ from weftline.operators import media as M
 from weftline.operators import rules as R
 from weftline.operators import search as S
 from weftline.sources import files as FS
-from weftline.streaming import jobs as K
 
 
 def values(spark, column, rows, schema="x string"):
