@@ -88,3 +88,20 @@ def test_words_phrases_and_prefixes_of_live_texts(index):
     assert ids(got) == {i for i, w in words.items() if "common" in w and "x" not in w and "unique" in w}
     rows = index[0].postings(["rare"]).collect()
     assert {(r.doc_id, tuple(r.positions)) for r in rows} == {(i, tuple(k for k, x in enumerate(w) if x == "rare")) for i, w in words.items() if "rare" in w}
+
+
+def test_words_are_not_shuffled_to_be_counted(spark, tmp_path):
+    """One exchange of postings stands between texts and files, and blocks are cut by term whatever batches they come in."""
+    texts = {i: f"all all w{i % 3} end{i}" for i in range(3 * BLOCK)}
+    index = TextIndex(spark, f"file://{tmp_path}/i")
+    shuffled = lambda: sum(s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size())))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = shuffled()
+    index.add(0, spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    assert shuffled() - before == 3 * len(texts), "a row a term and text, once"
+    blocks = index._all().select("term", "n", "docs", "places").collect()
+    assert max(b.n for b in blocks) <= BLOCK and all(b.n == len(b.docs) == len(b.places) for b in blocks)
+    assert sorted(d.doc_id for b in blocks if b.term == "all" for d in b.docs) == sorted(texts)
+    assert all(p == [0, 1] for b in blocks if b.term == "all" for p in b.places)

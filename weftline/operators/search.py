@@ -45,8 +45,9 @@ def phrase(index: DataFrame, words: Sequence[str]) -> DataFrame:
     """doc_id of documents where these words follow one another: positions, moved to the first word, meet."""
     parts = None
     for i, w in enumerate(words):
-        own = index.where(F.col("term") == w).select("doc_id", F.explode("positions").alias("p")).select("doc_id", (F.col("p") - i).alias("at"))
-        parts = own if parts is None else parts.join(own, ["doc_id", "at"], "left_semi")
+        own = index.where(F.col("term") == w).select("doc_id", F.transform("positions", lambda p: p - i).alias("own"))  # noqa: B023
+        both = None if parts is None else parts.join(own, "doc_id").select("doc_id", F.array_intersect("at", "own").alias("at")).where(F.size("at") > 0)
+        parts = own.withColumnRenamed("own", "at") if both is None else both
     return parts.select("doc_id").distinct()
 
 

@@ -8,20 +8,28 @@ are read. A document's last segment counts, so a changed text replaces the old o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import bounded
 from weftline.operators.search import K1, B
+from weftline.session import text_batches
 
 #: Folders of a segment; postings in a block; blocks of each term that are scored first, beyond what k needs.
 BUCKETS, BLOCK, PROBE = 64, 128, 4
 _POSTINGS = "term string, n int, max_tf long, min_len long, docs array<struct<doc_id:long,tf:long>>, places array<array<int>>, segment int, bucket int"
 _DOCS = "doc_id long, len long, segment int"
 _WORD = "([a-z0-9]+)"
+_PLACED = "term string, doc_id long, len long, tf long, pos array<int>"
+_BLOCKS = "term string, n int, max_tf long, min_len long, docs array<struct<doc_id:long,tf:long>>, places array<array<int>>"
 
 
 def _bucket(term: Column) -> Column:
@@ -32,6 +40,56 @@ def _weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's terms with their places; a text is whole in its row, so no word is shuffled to be counted."""
+    words = re.compile(_WORD).findall
+    for batch in batches:
+        terms, owner, lengths, counts, flat = [], [], [], [], []
+        for i, text in enumerate(batch.column(1)):
+            found, own = words(text.as_py()), defaultdict(list)
+            for k, w in enumerate(found):
+                own[w].append(k)
+            terms += own
+            owner += [i] * len(own)
+            lengths += [len(found)] * len(own)
+            for places in own.values():
+                counts.append(len(places))
+                flat += places
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("int32"))
+        columns = [pa.array(terms, pa.string()), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(lengths, pa.int64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "len", "tf", "pos"])
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings in order of term and weight, as blocks of BLOCK at most, by doc_id inside; the last block of a batch waits for the next one."""
+
+    def cut(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        term = rows.column("term").combine_chunks()
+        at = np.arange(len(rows))
+        new = np.concatenate([[True], pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)])
+        starts = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % BLOCK == 0)
+        end = len(rows) if last else starts[-1]
+        starts = starts[starts < end]
+        done, ends = rows.slice(0, end), np.append(starts, end).astype("int32")
+        tf, length, doc = (done.column(c).to_numpy() for c in ("tf", "len", "doc_id"))
+        inside = np.lexsort((tf, doc, np.repeat(np.arange(len(starts)), np.diff(ends))))
+        pos = done.column("pos").take(pa.array(inside)).combine_chunks()
+        docs = pa.StructArray.from_arrays([pa.array(doc[inside], pa.int64()), pa.array(tf[inside], pa.int64())], ["doc_id", "tf"])
+        bound = lambda how, x: pa.array(how.reduceat(x, starts) if len(starts) else [], pa.int64())
+        columns = [term.take(pa.array(starts, pa.int64())), pa.array(np.diff(ends), pa.int32()), bound(np.maximum, tf), bound(np.minimum, length), pa.ListArray.from_arrays(pa.array(ends), docs), pa.ListArray.from_arrays(pa.array(ends), pos)]
+        return pa.RecordBatch.from_arrays(columns, ["term", "n", "max_tf", "min_len", "docs", "places"]), rows.slice(end)
+
+    left = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if left is None else pa.concat_tables([left, rows])
+        if len(rows):
+            out, left = cut(rows, False)
+            yield out
+    if left is not None and len(left):
+        yield cut(left, True)[0]
+
+
 @dataclass
 class Found:
     """A page of (doc_id, score), how many documents match at all, and the blocks read of those that the terms have."""
@@ -59,17 +117,14 @@ class TextIndex:
         """
         if segment in self._segments():
             return
-        words = texts.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), 1).alias("words"))
-        each = words.select("doc_id", F.size("words").cast("long").alias("len"), F.posexplode("words").alias("pos", "term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("pos"))
-        # in order of weight, for any mean: more of a term in a shorter text first; a frequent term spreads over many tasks
-        ordered = each.withColumn("order", -F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / 500))).repartitionByRange("term", "order", "doc_id").sortWithinPartitions("term", "order", "doc_id")
-        blocks = ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).groupBy("term", "block").agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "pos"))).alias("d"))
+        plain = text_batches(texts).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+        # in order of weight, for any mean: more of a term in a shorter text first; a frequent term spreads over many tasks, and nothing else is shuffled
+        order = -F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / 500))
+        each = plain.mapInArrow(_placed, _PLACED).withColumns({"bucket": _bucket(F.col("term")), "order": order}).repartitionByRange("bucket", "term", "order", "doc_id").sortWithinPartitions("bucket", "term", "order", "doc_id")
         # places stand in a column of their own, which ranked search doesn't read
-        blocks = blocks.select("term", "block", "n", "max_tf", "min_len", F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["tf"].alias("tf"))).alias("docs"), F.transform("d", lambda x: x["pos"]).alias("places"))
-        out = blocks.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term").drop("block")
+        out = each.select("term", "doc_id", "len", "tf", "pos").mapInArrow(_blocked, _BLOCKS).withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term")
         out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
-        docs = words.select("doc_id", F.size("words").cast("long").alias("len"))
+        docs = plain.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(_WORD), 1)).cast("long").alias("len"))
         if removed is not None:
             docs = docs.unionByName(removed.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("len")))
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/segment={segment}")
