@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections import defaultdict, deque
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import bounded
+from weftline.session import text_batches
 from weftline.sources.files import rule_rows
 
 #: Rules that a table of them has at most, to be joined or written out in a plan.
@@ -136,17 +139,41 @@ def subset_labels(labels: Column) -> Column:
     return F.flatten(F.transform(labels, lambda a: F.transform(F.filter(labels, lambda b: part(a, b)), lambda b: F.struct(a.alias("short"), b.alias("long")))))
 
 
+def claimed(flags: Sequence[bool], rules: Sequence[Sequence[str]]) -> tuple[int, int, int]:
+    """(both, violations left, flags left) of rows in order: each flag claims the first free violation whose first rule is among the flag's."""
+    free = defaultdict(deque)
+    for i, (flag, own) in enumerate(zip(flags, rules, strict=True)):
+        if not flag and own:
+            free[own[0]].append(i)
+    both = 0
+    for flag, own in zip(flags, rules, strict=True):
+        waiting = [free[r] for r in own if free.get(r)] if flag else None
+        if waiting:
+            min(waiting, key=lambda q: q[0]).popleft()
+            both += 1
+    n = sum(flags)
+    return both, len(flags) - n - both, n - both
+
+
 def greedy_matches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Flags of one job and phase in order each claim the first free violation whose rule is among theirs.
+    """matched_flags of one job and phase as a pandas frame."""
+    own = pdf.sort_values("ord", kind="stable")
+    return pd.DataFrame([(pdf.job.iloc[0], pdf.phase.iloc[0], *claimed((own.kind == "flag").tolist(), own.rules.tolist()))], columns=["job", "phase", "both", "lint_only", "flag_only"])
+
 
-    Rows: job, phase, kind (flag or lint), ord, rules (a list).
+def matched_flags(rows: DataFrame) -> DataFrame:
+    """(job, phase, both, lint_only, flag_only): flags of one job and phase in order each claim the first free violation whose rule is among theirs.
+
+    Rows: job, phase, kind (flag or lint), ord, rules (a list). A group is an array in a row, so that a batch holds many of them.
     """
-    free = pdf[pdf.kind == "lint"].sort_values("ord")[["ord", "rules"]].values.tolist()
-    both = 0
-    flags = pdf[pdf.kind == "flag"].sort_values("ord")
-    for rules in flags.rules:
-        hit = next((i for i, (_, own) in enumerate(free) if own[0] in set(rules)), None)
-        if hit is not None:
-            free.pop(hit)
-            both += 1
-    return pd.DataFrame([(pdf.job.iloc[0], pdf.phase.iloc[0], both, len(free), len(flags) - both)], columns=["job", "phase", "both", "lint_only", "flag_only"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [claimed(f, r) for f, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["job", "phase", "both", "lint_only", "flag_only"])
+
+    known = text_batches(rows).where(F.col("kind").isin("flag", "lint"))
+    groups = known.groupBy("job", "phase").agg(F.sort_array(F.collect_list(F.struct("ord", (F.col("kind") == "flag").alias("flag"), "rules"))).alias("s"))
+    lists = groups.select("job", "phase", F.transform("s", lambda x: x["flag"]).alias("flags"), F.transform("s", lambda x: x["rules"]).alias("rules"))
+    return lists.mapInArrow(run, f"job {rows.schema['job'].dataType.simpleString()}, phase {rows.schema['phase'].dataType.simpleString()}, both long, lint_only long, flag_only long")

@@ -343,7 +343,7 @@ def d12b_subset_pairs(spark, sf):
 def d10_greedy_match(spark, sf):
     """Flags claim violations in order, one group a document and source (both few rows)."""
     rows = lines(spark, sf).select(F.col("doc_id").alias("job"), F.col("lang").alias("phase"), F.when(F.col("n") % 2 == 0, "lint").otherwise("flag").alias("kind"), F.col("n").alias("ord"), F.array((F.length("line") % 5).cast("string"), (F.length("line") % 3).cast("string")).alias("rules"))
-    return rows.groupBy("job", "phase").applyInPandas(R.greedy_matches, "job long, phase string, both long, lint_only long, flag_only long")
+    return R.matched_flags(rows)
 
 
 _BM = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents), size AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents), tf AS (SELECT t, doc_id, count(*) AS tf FROM w WHERE t IN ('stupid', 'worthless', 'thheer') GROUP BY ALL),
