@@ -99,3 +99,17 @@ def test_substitutions_stay_outside_of_guards(spark, name):
         assert r["text_md5"] == hashlib.md5((text if ok else docs[r["doc_id"]]).encode()).hexdigest()
         applied += n
     assert applied > 300
+
+
+@pytest.mark.parametrize("name", ["b9_guarded_substitutions", "f12_split_speakers", "h6_sequence_diff"])
+def test_batches_of_whole_texts_are_bounded(spark, name):
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    QUERIES[name](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_equal_lines_stay_out_of_python(spark):
+    plan = QUERIES["h6_sequence_diff"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"ArrowEvalPython[\s\S]*Filter[^\n]*regexp_replace", plan)

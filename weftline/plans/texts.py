@@ -17,6 +17,7 @@ from weftline.operators.jobs import rank_one
 from weftline.operators.joins import bounded
 from weftline.operators.text_index import TextIndex, search_files
 from weftline.plans.registry import query
+from weftline.session import text_batches
 from weftline.sources.files import scratch
 from weftline.sources.tables import cte, raw, role
 
@@ -153,7 +154,7 @@ def i2_phrase_spans(spark, sf):
 def b9_guarded_substitutions(spark, sf):
     """With the guard that reverts a text whose word count moves by more than half a percent."""
     apply = R.guarded_substitutions([(r"\bthe\b", "The"), (r"\bof of\b", "of"), (r"\bis\b", "was")])
-    rows = docs(spark, sf).select("doc_id", "text", apply("text").alias("r"))
+    rows = text_batches(docs(spark, sf)).select("doc_id", "text", apply("text").alias("r"))
     ratio = T.word_count(F.col("r.text")) / F.greatest(T.word_count(F.col("text")), F.lit(1))
     told = rows.select("doc_id", "text", "r", ratio.between(0.995, 1.005).alias("ok"))
     return told.select("doc_id", F.col("r.count").alias("applied"), (~F.col("ok")).alias("reverted"), F.md5(F.when(F.col("ok"), F.col("r.text")).otherwise(F.col("text")).cast("binary")).alias("text_md5"))
@@ -258,7 +259,7 @@ def f7_chunk_captions(spark, sf):
 def f12_split_speakers(spark, sf):
     split = F.pandas_udf(C.split_speakers, C.CAPTIONS)
     marked = F.transform("captions", lambda c: F.struct(c["index"].alias("index"), c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), F.replace(c["text"], F.lit(". "), F.lit(". >> ")).alias("text")))
-    return captions(spark, sf).select("doc_id", F.explode(split(marked)).alias("c")).select("doc_id", "c.*")
+    return text_batches(captions(spark, sf)).select("doc_id", F.explode(split(marked)).alias("c")).select("doc_id", "c.*")
 
 
 @query(f"{_L}, c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS total, line FROM lines) SELECT doc_id, k, line FROM c WHERE total <= 5 OR k IN (SELECT CAST(floor(i * total / 5) AS BIGINT) FROM (SELECT unnest(range(5)) AS i))")
@@ -309,7 +310,8 @@ def j4_seam_coverage(spark, sf):
 def h6_sequence_diff(spark, sf):
     """Phrases that differ between a line and its edited form."""
     edited = F.regexp_replace(F.regexp_replace("line", r"\bthe\b", "a"), r"\band\b ", "")
-    rows = lines(spark, sf).select("doc_id", "n", T.tokens(F.col("line")).alias("old"), T.tokens(edited).alias("new"))
+    # what is equal differs in nothing, and isn't cut into tokens or sent to Python
+    rows = text_batches(lines(spark, sf)).where(F.col("line") != edited).select("doc_id", "n", T.tokens(F.col("line")).alias("old"), T.tokens(edited).alias("new")).where(F.col("old") != F.col("new"))
     return rows.select("doc_id", "n", F.posexplode(D.replaced_phrases()("old", "new")).alias("ord", "p")).select("doc_id", "n", "ord", "p.old", "p.new")
 
 
