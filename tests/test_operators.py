@@ -187,3 +187,11 @@ def test_many_flags_claim_in_time_that_follows_them(spark):
     began = time.process_time()
     assert R.claimed([False] * 30_000 + [True] * 30_000, [["x"]] * 29_999 + [["y"]] + [["y", "z"]] * 30_000) == (1, 29_999, 29_999)
     assert time.process_time() - began < 2, "a search from the front takes 900 million steps"
+
+
+def test_captions_are_held_against_one_set_of_their_document(spark):
+    output = spark.createDataFrame([(1, "One two THREE four's five"), (2, None), (4, "no captions here")], "doc_id long, output string")
+    texts = [(1, 3, "one TWO three"), (1, 1, "one two three zzz yyy xxx"), (1, 2, "a b"), (1, 4, None), (2, 1, "one two three"), (3, 1, "one two three")]
+    found = C.caption_status(spark.createDataFrame(texts, "doc_id long, ord int, text string"), output)
+    assert {tuple(r) for r in found.collect()} == {(1, 3, False), (1, 1, True), (1, 2, None), (1, 4, None), (2, 1, True)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 0, "no set is made for each caption of a document"

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import strip, trigrams
+from weftline.functions.text import strip
 from weftline.functions.time import SRT_TIME, srt_time
+from weftline.session import text_batches
 
 CAPTION = "index int, start_ms bigint, end_ms bigint, text string"
 CAPTIONS = f"array<struct<{CAPTION.replace(' ', ':').replace(',:', ',')}>>"
@@ -139,11 +144,29 @@ def missing_runs(status: DataFrame, least: int = 3) -> DataFrame:
 
 
 def caption_status(captions: DataFrame, output: DataFrame, floor: float = 0.34) -> DataFrame:
-    """(doc_id, ord, missing) of captions (doc_id, ord, text) against the output text (doc_id, output) of their document."""
-    own, have = trigrams(F.col("text")), F.col("grams")
-    joined = captions.join(output.select("doc_id", trigrams(F.col("output")).alias("grams")), "doc_id")
-    share = F.size(F.array_intersect(own, have)) / F.size(own)
-    return joined.select("doc_id", "ord", F.when(F.size(own) > 0, share < floor).alias("missing"))
+    """(doc_id, ord, missing) of captions (doc_id, ord, text) against the output text (doc_id, output) of their document.
+
+    A document's captions stand beside its output once, whose trigrams are made a set once, however many captions ask it.
+    """
+    words = re.compile(r"[a-z']{3,}").findall
+
+    def grams(text: str | None) -> set[tuple[str, str, str]]:
+        w = words(text or "")
+        return set(zip(w, w[1:], w[2:], strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at, missing = batch.column(1), [], []
+            for i, (texts, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                have = grams(text.as_py())
+                at += [i] * len(texts)
+                missing += [len(g & have) / len(g) < floor if (g := grams(t)) else None for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), own.flatten(), pa.array(missing, pa.bool_())], ["doc_id", "ord", "missing"])
+
+    kinds = {c: captions.schema[c].dataType.simpleString() for c in ("doc_id", "ord")}
+    every = text_batches(captions).groupBy("doc_id").agg(F.collect_list(F.struct("ord", F.lower("text").alias("text"))).alias("c"))
+    rows = every.join(output, "doc_id").select("doc_id", F.col("c.ord").alias("ords"), F.col("c.text").alias("texts"), F.lower("output").alias("output"))
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, ord {kinds['ord']}, missing boolean")
 
 
 def seam_echo(before: Column, after: Column, most: int = 6) -> Column:
