@@ -84,3 +84,17 @@ def test_walk_stops_at_its_depth(spark):
     assert sorted(r.url for r in R.walked(entries, roots, 0).collect()) == ["/a/1"]
     assert sorted(r.url for r in R.walked(entries, roots, 5).collect()) == ["/a/1", "/a/b/2"]
     assert sorted(r.url for r in R.walked(entries, roots, 5, ["b"]).collect()) == ["/a/1"]
+
+
+def test_a_rule_alone_is_found_as_among_all(spark):
+    from weftline.plans.style import limited
+
+    drafts = limited(spark, "/root/testdata/sf0.001").persist()
+    of = lambda rows: sorted((r.id, r.f.rule_id, r.f.message) for r in rows.select("id", F.explode("findings").alias("f")).collect())
+    every = of(S.lint(drafts))
+    for rule in sorted({r for _, r, _ in every}):
+        alone = S.lint(drafts, rule)
+        assert [x for x in of(alone) if x[1] == rule] == [x for x in every if x[1] == rule]
+        if rule == "lint.formatter.truncation_suspect":
+            assert {r.phase for r in alone.select("phase").distinct().collect()} == {"formatter"}, "nothing else is looked at"
+    drafts.unpersist()

@@ -30,7 +30,7 @@ def drafts(spark, sf):
 
 
 def _rule(spark, sf, rule: str):
-    found = S.lint(limited(spark, sf)).select("id", "phase", F.explode("findings").alias("f"))
+    found = S.lint(limited(spark, sf), rule).select("id", "phase", F.explode("findings").alias("f"))
     return found.where(F.col("f.rule_id") == rule)
 
 
