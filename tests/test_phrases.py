@@ -53,6 +53,22 @@ def test_tables_that_no_automaton_holds(spark, monkeypatch):
         P.automaton(spark.createDataFrame([("a", "x")] * 3, "id string, phrase string"))
 
 
+def test_more_phrases_than_an_automaton_holds(spark, monkeypatch):
+    phrases = [("a", "One two"), ("b", "two"), ("c", "one  TWO"), ("d", "three, four five"), ("a", "five"), ("e", " "), (None, "one"), ("f", None), ("g", "İx ")]
+    texts = [(1, "One two two; one\nTWO three, four five"), (2, "Three , FOUR\tfive  one"), (2, "two"), (3, ""), (4, None), (None, "é one two"), (5, "aİ İx ix")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    rules = spark.createDataFrame([(i, p, None if p is None else f"{i}{p}"[:2]) for i, p in phrases], "id string, phrase string, severity string")
+    rows = lambda found: sorted(tuple(map(str, r)) for r in found.collect())
+    want, told = rows(P.phrase_spans(df, rules)), rows(P.phrase_findings(df, rules.where("id <> 'a' OR phrase = 'five'")))
+    monkeypatch.setattr(P, "MAX_PHRASES", 2)
+    monkeypatch.setattr(P, "AT_ONCE", 0)
+    monkeypatch.setattr(P, "MAP_BITS", 1 << 16)
+    assert rows(P.phrase_spans(df, rules)) == want and len(want) == 16
+    assert rows(P.phrase_findings(df, rules.where("id <> 'a' OR phrase = 'five'"))) == told and len(told) > 5
+    monkeypatch.setattr(P, "bounded", lambda t, most: t)
+    assert rows(P.phrase_spans(df, rules)) == want
+
+
 #: category, need, part, rule: samples of what reviewers write.
 RULES = [("no_result", 1, "nothing was written", "r.none"), ("label", 1, "one-word label", "r.label"), ("label", 1, "name label", "r.label"), ("label", 0, "who said", None),
          ("too_long", 1, "letters", None), ("too_long", 2, "beyond", None), ("too_long", 2, "too many", None), ("too_long", 3, "headline", "r.title"), ("too_long", 3, "summary", "r.summary")]

@@ -130,11 +130,12 @@ _TOK = "'[a-z0-9]+|[^a-z0-9\\s]'"
 t AS (SELECT doc_id, unnest(ws) AS a, unnest(list_concat(ws[2:], [NULL])) AS b FROM w), n AS (SELECT doc_id, id, count(*) AS n FROM t JOIN p ON t.a = p.a AND t.b = p.b GROUP BY ALL)
 SELECT doc_id, 'voice.forbidden.' || CAST(id AS STRING) AS rule_id, CASE WHEN id % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, n FROM n""")
 def i2b_phrase_findings(spark, sf):
-    """I2, I15 and D15 by a table of rules: the first two words of every document, found in all documents by one automaton; as many phrases as documents."""
-    plain = F.lower(F.regexp_replace("text", r"[^\x00-\x7F]|_", "."))
-    texts = docs(spark, sf).select("doc_id", plain.alias("text"))
-    first = F.regexp_extract_all("text", F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), 0)
-    rules = texts.select("doc_id", first.alias("w")).where(F.size("w") >= 2).groupBy(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("phrase")).agg(F.min("doc_id").alias("id"))
+    """I2, I15 and D15 by a table of rules: the first two words of every document, found in all documents; as many phrases as documents."""
+    plain = lambda text: F.lower(F.regexp_replace(text, r"[_\x{80}-\x{10FFFF}]", "."))
+    texts = docs(spark, sf).select("doc_id", plain(F.col("text")).alias("text"))
+    first = F.regexp_extract("text", r"\A\s*+(?:[A-Za-z0-9]++|[^A-Za-z0-9\s])\s*+(?:[A-Za-z0-9]++|[^A-Za-z0-9\s])", 0)
+    phrase = F.regexp_replace(plain(first), r"\A\s*+([a-z0-9]++|[^a-z0-9\s])\s*+", "$1 ")
+    rules = docs(spark, sf).select("doc_id", phrase.alias("phrase")).where("phrase <> ''").groupBy("phrase").agg(F.min("doc_id").alias("id"))
     rules = rules.withColumn("severity", F.when(F.col("id") % 2 == 0, "error").otherwise("warning"))
     return P.phrase_findings(texts, rules).groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
 
