@@ -104,3 +104,12 @@ def test_a_burst_and_then_an_even_flow():
     asked = [(1, START + dt.timedelta(seconds=s), i, "x", None) for i, s in enumerate([0, 0, 0, 5, 100, 100])]
     got = sorted((seq, (granted - at(0)) // O.SECOND) for _, seq, _, granted in plain(O.Throttle(10 * O.SECOND, 2), asked, at(999)))
     assert got == [(0, 0), (1, 0), (2, 10), (3, 20), (4, 100), (5, 100)]
+
+
+def test_keys_share_the_entries_of_the_store(spark, tmp_path):
+    rows = [(None if r[0] == 4 else r[0] + 2**60, *r[1:]) for r in events(60, ids=9)]
+    until = micros(max(r[1] for r in rows)) - 7200 * O.SECOND
+    want = plain(O.Deferral((60, 600), 5000), rows, until)
+    frame = O.in_order(written(spark, rows, tmp_path, [20, 1, 39]), O.Deferral((60, 600), 5000), "2 hours", entries=2)
+    got = [tuple(r) for r in K.run_once(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {r[0] for r in got} >= {None, 2**60}
