@@ -1,5 +1,7 @@
 """Single operators on small inputs with known results."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -61,6 +63,12 @@ def test_text_helpers(spark):
     assert values(spark, T.truncated(F.col("x"), 10), ["short", "some longer text"]) == ["short", "some…"]
 
 
+def test_chunks_of_many_lines(spark):
+    began = time.monotonic()
+    assert values(spark, T.clean_chunk(F.col("x")), ["Sure.\n```\n" + "a line\n" * 8000 + "```"]) == ["a line\n" * 7999 + "a line"]
+    assert time.monotonic() - began < 30
+
+
 def test_srt_round_trip(spark):
     srt = "1\n00:00:01,000 --> 00:00:02,000\nhello\nthere\n\nbad\n\n7\n00:00:03,000 --> 00:00:04,500\nbye\n"
     row = spark.createDataFrame([(srt,)], "x string").select(C.parse_srt(F.col("x")).alias("c")).select("c", C.emit_srt(F.col("c")), C.emit_vtt(F.col("c"))).first()

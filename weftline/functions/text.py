@@ -176,18 +176,22 @@ def clean_chunk(text: Column) -> Column:
     Told by the places of lines: the first with a mark, the fence that it opens, the last that says something.
     """
 
+    # what a lambda reads for each line is computed once before it
     def kept(lines: Column) -> Column:
+        def bounds(marked: Column) -> Column:
+            fenced = F.coalesce(F.get(lines, marked - 1).rlike(r"^```(markdown|md)?\s*$"), F.lit(False)) & (marked > 0)
+            closing = F.size(lines) - F.coalesce((fenced & F.element_at(lines, -1).rlike(r"^```\s*$") & (F.size(lines) > marked)).cast("int"), F.lit(0))
+            first = F.when(fenced, marked).otherwise(F.greatest(marked, F.lit(1)) - 1)
+            return F.struct(first.alias("first"), closing.alias("closing"))
+
         marked = F.array_position(F.transform(lines, lambda x: x.rlike(CONTENT_MARKS)), True).cast("int")
-        fenced = F.coalesce(F.get(lines, marked - 1).rlike(r"^```(markdown|md)?\s*$"), F.lit(False)) & (marked > 0)
-        closing = F.size(lines) - F.coalesce((fenced & F.element_at(lines, -1).rlike(r"^```\s*$") & (F.size(lines) > marked)).cast("int"), F.lit(0))
-        first = F.when(fenced, marked).otherwise(F.greatest(marked, F.lit(1)) - 1)
-        inner = F.filter(lines, lambda x, i: (i >= first) & (i < closing) & ~x.rlike(SIGNATURE))
+        inner = let(let(marked, bounds), lambda e: F.filter(F.slice(lines, e["first"] + 1, F.greatest(e["closing"] - e["first"], F.lit(0))), lambda x: ~x.rlike(SIGNATURE)))
         says = lambda ls: F.array_max(F.transform(ls, lambda x, i: F.when(~x.rlike(RULE_LINE) & (F.trim(x) != ""), i + 1).otherwise(0)))
         return let(inner, lambda ls: F.array_join(F.slice(ls, F.lit(1), F.coalesce(says(ls), F.lit(0))), "\n"))
 
-    lines = F.split(strip(text), "\n")
     # a provenance comment is the first line
-    return strip(let(F.when(F.get(lines, F.lit(0)).rlike(PROVENANCE), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines), kept))
+    body = lambda lines: F.when(F.get(lines, F.lit(0)).rlike(PROVENANCE), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
+    return strip(let(let(F.split(strip(text), "\n"), body), kept))
 
 
 def model_family(model: Column) -> Column:
