@@ -99,3 +99,11 @@ def test_limits_most_specific_first(spark):
     common = {"t": (60, None, None), "k": (None, 15, 20)}
     assert got == {1: common, 2: {"t": (60, None, None), "k": (None, 5, 10)}, 3: {"t": (90, None, None), "k": (None, 5, 3)}, 4: common, 5: common}
     assert [r.limits for r in P.with_limits(rows, table.limit(0)).collect()] == [None] * 5
+
+
+def test_limits_of_one_kind_read_no_rows(spark, monkeypatch):
+    table = spark.createDataFrame([("t", None, None, 60, None, None)], "field string, content_type string, programme string, max int, min_count int, max_count int")
+    asked, own = [], P.resolved_limits
+    monkeypatch.setattr(P, "resolved_limits", lambda limits, kinds: asked.append(kinds) or own(limits, kinds))
+    assert [r.limits["t"].max for r in P.with_limits(spark.range(3), table).collect()] == [60] * 3
+    assert "Range" not in asked[0]._jdf.queryExecution().toString()

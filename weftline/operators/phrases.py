@@ -230,6 +230,8 @@ def with_limits(rows: DataFrame, limits: DataFrame, content_type: Column | None
     """rows with a column limits, the map that holds for each row's type and programme."""
     null = F.lit(None).cast("string")
     keyed = rows.withColumns({"_type": null if content_type is None else content_type, "_programme": null if programme is None else programme})
-    kinds = keyed.select(F.col("_type").alias("content_type"), F.col("_programme").alias("programme"))
+    # without either column all rows are of one kind, and need not be read for it
+    one = content_type is None and programme is None
+    kinds = limits.sparkSession.createDataFrame([(None, None)], "content_type string, programme string") if one else keyed.select(F.col("_type").alias("content_type"), F.col("_programme").alias("programme"))
     of = bounded(resolved_limits(limits, kinds), 100_000)
     return keyed.join(of, F.col("_type").eqNullSafe(F.col("content_type")) & F.col("_programme").eqNullSafe(F.col("programme")), "left").drop("_type", "_programme", "content_type", "programme")

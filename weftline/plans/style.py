@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.text import word_count
+from weftline.functions.text import let, word_count
 from weftline.operators import phrases as P
 from weftline.operators import style as S
 from weftline.plans.registry import query
@@ -133,8 +133,8 @@ def i21_edit_preview(spark, sf):
     rows = limited(spark, sf).select("id", "limits", S.canonical_terms(S.proper_nouns(F.col("analyst"), _STOP), _SEED).alias("terms"), S.field(F.col("seo"), "title")["value"].alias("title"), S.field(F.col("seo"), "short_description")["value"].alias("short_description")).where("title IS NOT NULL")
     items = F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).alias("v"), F.try_element_at("limits", F.lit(k))["max"].alias("limit")) for k in ("title", "short_description")))
     rows = rows.select("id", "terms", F.explode(items).alias("i"))
-    styled = S.down_styled(F.col("i.v"), F.col("terms"))
-    return rows.select("id", "i.field", (F.length("i.v") > F.col("i.limit")).alias("over"), F.regexp_count("i.v", F.lit(r"(?i)\b(we|our|us|you|your)\b")).cast("long").alias("person"), F.when((F.col("i.field") == "title") & (styled != F.col("i.v")), styled).alias("suggestion"))
+    changed = let(S.down_styled(F.col("i.v"), F.col("terms")), lambda styled: F.when(styled != F.col("i.v"), styled))
+    return rows.select("id", "i.field", (F.length("i.v") > F.col("i.limit")).alias("over"), F.regexp_count("i.v", F.lit(r"(?i)\b(we|our|us|you|your)\b")).cast("long").alias("person"), F.when(F.col("i.field") == "title", changed).alias("suggestion"))
 
 
 @query(f"""{_POST} SELECT id, stage, CAST(coalesce(length(t) > 60, false) AS INT) + CAST(coalesce(length(short_description) > 100, false) AS INT) + CAST(coalesce(length(long_description) > 350, false) AS INT) + CAST(regexp_matches(lower(t), '\\byou\\b') AS INT) AS findings, t AS title
