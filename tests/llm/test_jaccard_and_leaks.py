@@ -138,3 +138,22 @@ def test_leaks_in_another_order(spark):
     want = windows_by_hand(docs, items)
     assert {(r.doc_id, r.item_id) for r in contaminated_windows(d, b).collect()} == want and len(want) > 12
     assert (0, 0) in want and (8, 0) not in want
+
+
+def test_copies_of_items_and_texts_are_compared_once(spark, monkeypatch):
+    from weftline.llm import decontaminate as D
+
+    draw, rows, staged = random.Random(6), {}, D.stage
+    own = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    items = [own(20), own(30)]
+    docs = [own(10) + " " + items[0], own(50), items[1] + " " + own(5), items[1] + " " + own(5)]
+    monkeypatch.setattr(D, "stage", lambda df, name: rows.__setitem__(name, (out := staged(df, name)).count()) or out)
+    counts = []
+    for n, wide in ((1, 100_000), (4, 100_000), (4, 0)):
+        monkeypatch.setattr(D, "MAX_WIDE", wide)
+        d = spark.createDataFrame([(100 * k + i, t) for k in range(n) for i, t in enumerate(docs)], "doc_id long, text string")
+        b = spark.createDataFrame([(100 * k + i, t) for k in range(n) for i, t in enumerate(items)], "item_id long, text string")
+        found = {(r.doc_id, r.item_id, r.start) for r in contaminated_windows(d, b).collect()}
+        assert found == {(100 * k + i, 100 * j + m, at) for k in range(n) for j in range(n) for i, m, at in ((0, 0, 10), (2, 1, 0), (3, 1, 0))}
+        counts.append({k: v for k, v in rows.items() if k != "item-names"})
+    assert counts[0] == counts[1] == counts[2], "the copies cost no work of their own"
